@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def held_out(doc_id: str = "doc_id"):
 def pieces(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about `most` bytes of text each, with their texts; null is the empty text."""
     column = batch.column(text)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
         total += int(n)

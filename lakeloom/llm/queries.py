@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import held_out
+from .language_id import identify_languages, learn_languages
 from .token_counts import token_counts
 from .token_ids import token_id_table
+from .toxicity import learn_toxicity, score_toxicity
 from .url_filter import filter_urls
 
 #: (verdict, host, path) of the URL filter.
@@ -29,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts with their toxic label, of the documents that labels may be learned from."""
+    return docs.select("doc_id", "text").where(~held_out()).join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -37,9 +45,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, learn_languages(docs.where(~held_out())), {"doc_id": F.col("doc_id"), "held_out": held_out()})
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn_toxicity(labelled_texts(docs, labels))
+    return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out()})
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op6_toxicity, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {}

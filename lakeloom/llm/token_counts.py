@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
                         ["row", "pretoken", "held", id_col, "n_bytes", "counted"],
                     )
                 n = len(texts)
-                size = pa.compute.fill_null(pa.compute.binary_length(block.column(1)), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(block.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), block.column(0), size, pa.array(counted)],
                     ["row", "pretoken", "held", id_col, "n_bytes", "counted"],
