@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ._common import held_out
 from .language_id import identify_languages, learn_languages
+from .licenses import LICENSE_SQL, scan_licenses
+from .mixing import mix_sources
 from .token_counts import token_counts
 from .token_ids import token_id_table
+from .topk import TOP_K_SQL, top_k_products
 from .toxicity import learn_toxicity, score_toxicity
 from .url_filter import filter_urls
 
@@ -50,15 +53,43 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, learn_languages(docs.where(~held_out())), {"doc_id": F.col("doc_id"), "held_out": held_out()})
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_products(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn_toxicity(labelled_texts(docs, labels))
     return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out()})
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("times")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op6_toxicity, op10_token_ids)}
-ORACLE_SQL: dict[str, str] = {}
+URL_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path
+  FROM p
+), rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), m AS (
+  SELECT page_id, host, path, h || p AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+  FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.n = 1
+"""
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op5_topk, op6_toxicity, op7_mixing, op9_licenses, op10_token_ids)}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op5_topk": TOP_K_SQL, "op9_licenses": LICENSE_SQL}
