@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out
+from .decontaminate import find_leaks
+from .jaccard_join import jaccard_join
 from .language_id import identify_languages, learn_languages
 from .licenses import LICENSE_SQL, scan_licenses
 from .mixing import mix_sources
@@ -53,6 +55,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, learn_languages(docs.where(~held_out())), {"doc_id": F.col("doc_id"), "held_out": held_out()})
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_products(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +73,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -91,5 +101,5 @@ WITH p AS (
 SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.n = 1
 """
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op5_topk, op6_toxicity, op7_mixing, op9_licenses, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_jaccard_join, op5_topk, op6_toxicity, op7_mixing, op8_decontamination, op9_licenses, op10_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op5_topk": TOP_K_SQL, "op9_licenses": LICENSE_SQL}
