@@ -1,11 +1,67 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix, token ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; docs has the columns of
+documents, and so has what every stage but the last returns. Rows are told apart by doc_id; a null id counts as one id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.llm._common import held_out, written
+from lakeloom.llm.decontaminate import find_leaks
+from lakeloom.llm.jaccard_join import jaccard_join
+from lakeloom.llm.mixing import mix_sources
+from lakeloom.llm.queries import table, tokenizer_file
+from lakeloom.llm.token_ids import token_id_table
+from lakeloom.llm.toxicity import learn_toxicity, toxicity_column
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity score is under 0.3. Labels of the held-out quarter aren't learned from."""
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return docs.where(toxicity_column(spark, model, "text") < 0.3)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates: the one with the smallest id (one of them, if rows repeat it)."""
+    classes = jaccard_join(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return rows
+    again = rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_anti").unionByName(again)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a copy of a benchmark item."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it: 0, 1 or 2 times. Rows that repeat an id are all taken as often as one of them."""
+    times = mix_sources(docs).groupBy("doc_id").agg(F.min("times").alias("times")).where("times > 0")
+    rows = docs.join(times, docs.doc_id.eqNullSafe(times.doc_id)).select(*[docs[c] for c in docs.columns], "times")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-id files of all rows in id order, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    return token_id_table(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("mixing", mix), ("token_ids", encode)]
+#: Learned scores, random draws and token ids aren't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the whole documents table; every stage's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
