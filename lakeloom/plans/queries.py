@@ -1,4 +1,4 @@
-"""Registry of the library's queries and their SQL."""
+"""Registry: each query applies an operator to the given tables; with its SQL where SQL expresses it."""
 
 from __future__ import annotations
 
@@ -7,15 +7,581 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
+from ..functions.columns import name
+from ..operators import assertions as A
+from ..operators import catalog as K
+from ..operators import correlation as M
+from ..operators import distributions as D
+from ..operators import features as X
+from ..operators import missing as C
+from ..operators import outliers as O
+from ..operators import pipelines as P
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "column_profile_counts"
+FLAGSHIP = "k1_profile_lake"
+
+# lineitem with cells missing by rule, so that the metrics of missing data have something to count
+GAPS = """SELECT l_orderkey, l_linenumber, nullif(l_tax, 0.0) AS tax, nullif(l_discount, 0.05) AS discount, nullif(l_returnflag, 'R') AS flag, l_quantity AS quantity FROM lineitem"""
+
+
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __getattr__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}.parquet")
+
+    def gaps(self) -> DataFrame:
+        return self.lineitem.select(
+            "l_orderkey", "l_linenumber", F.nullif("l_tax", F.lit(0.0)).alias("tax"), F.nullif("l_discount", F.lit(0.05)).alias("discount"), F.nullif("l_returnflag", F.lit("R")).alias("flag"), F.col("l_quantity").alias("quantity")
+        )
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, path: f(Tables(spark, path))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.bround(name(c), digits) for c in columns})
+
+
+LAKE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def lake(t: Tables) -> DataFrame:
+    return K.profile_lake({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
+
+
+# ---- missing data and cleaning
+
+@query(f"""WITH g AS ({GAPS}) SELECT round_even(sum((tax IS NULL)::INT + (discount IS NULL)::INT + (flag IS NULL)::INT) / (6.0 * count(*)), 4) AS missing_rate FROM g""")
+def c1_overall_missing_rate(t):
+    return C.overall_missing_rate(t.gaps())
+
+
+@query(f"""WITH g AS ({GAPS}), r AS (SELECT unnest([0.0, 0.0, avg((tax IS NULL)::INT), avg((discount IS NULL)::INT), avg((flag IS NULL)::INT), 0.0]) AS rate FROM g),
+b(bin, lower, upper) AS (VALUES (0, 0.0::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.3), (2, 0.3, 0.5), (3, 0.5, 1.0))
+SELECT bin, lower, upper, round_even(count(rate) / 6.0, 4) AS column_share FROM b LEFT JOIN r ON rate >= lower AND (rate < upper OR (bin = 3 AND rate <= upper)) GROUP BY ALL""")
+def c2_column_missing_distribution(t):
+    return C.column_missing_distribution(t.gaps())
+
+
+@query(f"""WITH g AS ({GAPS}), n AS (SELECT (tax IS NULL)::INT + (discount IS NULL)::INT + (flag IS NULL)::INT AS n FROM g)
+SELECT round_even(avg((n = 0)::INT), 4) AS complete_share, round_even(avg((n > 0)::INT), 4) AS any_missing_share, round_even(avg((n > 3)::INT), 4) AS mostly_missing_share FROM n""")
+def c4_row_completeness(t):
+    return C.row_completeness(t.gaps())
+
+
+@query(f"""WITH g AS ({GAPS}), f AS (SELECT avg(tax) AS t, (SELECT flag FROM g WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1) AS m FROM g)
+SELECT l_orderkey, l_linenumber, round_even(coalesce(tax, t), 6) AS tax, discount, coalesce(flag, m) AS flag, quantity FROM g, f""")
+def c5_fill_missing(t):
+    return rounded(C.fill_missing(t.gaps(), ["tax", "flag"]), 6, "tax")
+
+
+@query(f"""WITH g AS ({GAPS}) SELECT l_orderkey, l_linenumber, tax, discount, flag, quantity FROM g""")
+def c6_drop_sparse_columns(t):
+    return C.drop_sparse_columns(t.gaps().withColumn("empty", F.lit(None).cast("string")), 0.5)
+
+
+@query("""WITH g AS (SELECT nullif(o_orderstatus, '?') AS s, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS p FROM orders)
+SELECT 'priority' AS "column", count(*) - count(p) AS n_missing FROM g HAVING count(*) > count(p)""")
+def c7_needs_cleaning(t):
+    priority = F.when(F.col("o_orderpriority") == "5-LOW", "n/a").otherwise(F.col("o_orderpriority"))
+    return C.needs_cleaning(t.orders.select("o_orderkey", priority.alias("priority"), F.col("o_orderstatus").alias("status")))
+
+
+@query(f"""WITH g AS ({GAPS}) SELECT l_orderkey, l_linenumber, coalesce(tax, 0) AS tax, coalesce(discount, 0) AS discount, coalesce(flag, 'x') AS flag, quantity FROM g""")
+def c8_clean_fill(t):
+    return C.clean_fill(t.gaps())
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, nullif(l_tax, 0.0) AS x, row_number() OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice)),
+s AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x IS NOT NULL THEN n END IGNORE NULLS) OVER b AS n0, first_value(x IGNORE NULLS) OVER a AS x1, first_value(CASE WHEN x IS NOT NULL THEN n END IGNORE NULLS) OVER a AS n1 FROM r
+WINDOW b AS (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT l_orderkey, n AS place, round_even(coalesce(x, x0 + (x1 - x0) * (n - n0) / nullif(n1 - n0, 0), x0, x1), 6) AS tax FROM s""")
+def c9_interpolate(t):
+    placed = t.lineitem.withColumn("place", F.row_number().over(_by_line()).cast("long")).select("l_orderkey", "place", F.nullif("l_tax", F.lit(0.0)).alias("tax"))
+    return rounded(C.interpolate(placed, ["tax"], "place", ["l_orderkey"]), 6, "tax")
+
+
+def _by_line():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey""")
+def c13_remove_duplicates(t):
+    return C.remove_duplicates(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "first", "o_orderkey")
+
+
+@query("""SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey HAVING count(*) = 1""")
+def c13_keep_unrepeated(t):
+    return C.remove_duplicates(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], False)
+
+
+@query("""SELECT c_custkey, round_even(ln(c_acctbal + abs(min(c_acctbal) OVER ()) + 1e-4), 6) AS c_acctbal FROM customer""")
+def c14_log_transform(t):
+    return rounded(C.unary_transform(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"], "log"), 6, "c_acctbal")
+
+
+# ---- outliers and integrity
+
+_IQR = """SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem"""
+
+
+@query("""WITH v AS (SELECT unnest(['q', 'p', 'd', 't']) AS c, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem),
+q AS (SELECT c, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM v GROUP BY c),
+o AS (SELECT c, count(*) AS n, count(*) FILTER (WHERE b > a AND (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a))) AS n_out FROM v JOIN q USING (c) GROUP BY c)
+SELECT round_even(avg((n_out > 0)::INT), 4) AS outlier_column_share, sum(n_out)::BIGINT AS n_outliers, round_even(avg(n_out / n), 4) AS mean_outlier_share FROM o""")
+def o1_outlier_summary(t):
+    return O.outlier_summary(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+@query("""WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders) SELECT o_orderkey, round_even(least(greatest(o_totalprice, m - 1.5 * d), m + 1.5 * d), 4) AS o_totalprice FROM orders, s""")
+def o3_zscore_clip(t):
+    return rounded(O.zscore_outliers(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"], 1.5), 4, "o_totalprice")
+
+
+@query(f"""WITH q AS ({_IQR}) SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, q WHERE l_extendedprice BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a)""")
+def o4_iqr_remove(t):
+    return O.iqr_outliers(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice"], 0.5, "remove")
+
+
+@query("""SELECT round_even((count(*) FILTER (WHERE mod(l_orderkey, 2) = 0) > 0 AND count(*) FILTER (WHERE mod(l_orderkey, 2) <> 0) > 0)::INT / 2.0, 4) AS inconsistent_share FROM lineitem""")
+def o5_type_consistency(t):
+    mixed = F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber").cast("string")).otherwise(F.col("l_returnflag"))
+    return O.type_consistency(t.lineitem.select(mixed.alias("mixed"), "l_linestatus"))
+
+
+@query("""SELECT 2 AS checked, ((SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)) > 1)::INT::BIGINT + ((SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) > 1)::INT::BIGINT AS violations""")
+def o6_uniqueness_violations(t):
+    return O.uniqueness_violations(t.orders)
+
+
+# ---- distributions
+
+_LONG = """SELECT unnest(['q', 'p', 'd', 't']) AS c, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem"""
+
+
+def _numbers(t):
+    return t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f"""WITH v AS ({_LONG}), m AS (SELECT c, avg(x) AS mu, stddev_pop(x) AS s FROM v GROUP BY c), g AS (SELECT c, avg(((x - mu) / s) ** 3) AS g FROM v JOIN m USING (c) GROUP BY c)
+SELECT round_even(avg((abs(g) > 1)::INT), 4) AS high_share, round_even(avg((g > 0.5)::INT), 4) AS right_share, round_even(avg((g < -0.5)::INT), 4) AS left_share, round_even(avg((abs(g) <= 0.5)::INT), 4) AS symmetric_share FROM g""")
+def d1_skewness_profile(t):
+    return D.skewness_profile(_numbers(t))
+
+
+@query(f"""WITH v AS ({_LONG}), m AS (SELECT c, min(x) AS lo, max(x) AS hi FROM v GROUP BY c) SELECT round_even(avg((hi - lo > 1000)::INT), 4) AS wide_share, bool_or(hi > 0) AS has_positive, bool_or(lo < 0) AS has_negative FROM m""")
+def d2_scale_profile(t):
+    return D.scale_profile(_numbers(t))
+
+
+@query()
+def d3_normality(t):
+    return D.normality(_numbers(t))
+
+
+@query()
+def d4_multimodality(t):
+    return D.multimodality(_numbers(t))
+
+
+@query("""WITH v AS (SELECT count(DISTINCT l_returnflag) AS n FROM lineitem UNION ALL SELECT count(DISTINCT l_linestatus) FROM lineitem) SELECT round_even(avg((n <= 10)::INT), 4) AS low_share, round_even(avg((n > 100)::INT), 4) AS high_share FROM v""")
+def d5_cardinality_profile(t):
+    return D.cardinality_profile(t.lineitem)
+
+
+@query("""WITH c AS (SELECT 'f' AS c, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY v UNION ALL SELECT 's', l_linestatus, count(*) FROM lineitem GROUP BY l_linestatus), p AS (SELECT max(n) / sum(n) AS p FROM c GROUP BY c)
+SELECT round_even(avg((p < 0.7)::INT), 4) AS balanced_share, round_even(avg((p >= 0.7 AND p < 0.9)::INT), 4) AS moderate_share, round_even(avg((p >= 0.9)::INT), 4) AS severe_share FROM p""")
+def d6_imbalance_profile(t):
+    return D.imbalance_profile(t.lineitem)
+
+
+@query("""WITH c AS (SELECT 'b' AS c, p_brand AS v, count(*) AS n FROM part GROUP BY v UNION ALL SELECT 't', p_type, count(*) FROM part GROUP BY p_type), p AS (SELECT c, n / sum(n) OVER (PARTITION BY c) AS p FROM c), m AS (SELECT c, sum(p) AS mass FROM p WHERE p < 0.045 GROUP BY c)
+SELECT round_even(count(*) / 2.0, 4) AS rare_column_share, coalesce(round_even(avg(mass), 4), 0) AS mean_rare_mass FROM m""")
+def d7_rare_categories(t):
+    return D.rare_categories(t.part.select("p_brand", "p_type"), 0.045)
+
+
+@query()
+def d8_cardinality_distribution(t):
+    return D.cardinality_distribution(t.orders)
+
+
+@query("""SELECT round_even(count(*) / 5.0, 4) AS samples_per_feature FROM orders""")
+def d9_samples_per_feature(t):
+    return D.samples_per_feature(t.orders, "o_orderstatus")
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE l_tax = 0) >= 0.9 * count(l_tax) AS z, count(*) FILTER (WHERE l_tax <> 0) <= 0.1 * count(*) AS s FROM lineitem UNION ALL SELECT count(*) FILTER (WHERE (l_quantity > 49)::INT = 0) >= 0.9 * count(*), count(*) FILTER (WHERE (l_quantity > 49)::INT <> 0) <= 0.1 * count(*) FROM lineitem)
+SELECT round_even(avg(z::INT), 4) AS zero_dominated_share, round_even(avg(s::INT), 4) AS sparse_share FROM c""")
+def d10_sparsity(t):
+    return D.sparsity(t.lineitem.select("l_tax", (F.col("l_quantity") > 49).cast("int").alias("rare")))
+
+
+@query("""WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT round_even(-sum(p * log2(p)) / log2(count(*)), 4) AS uncertainty FROM p""")
+def d11_uncertainty(t):
+    return D.uncertainty(t.orders, "o_orderpriority")
+
+
+# ---- correlation
+
+@query("""SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, round_even(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', round_even(corr(l_quantity, l_tax), 4) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', round_even(corr(l_extendedprice, l_tax), 4) FROM lineitem""")
+def m2_pairwise_pearson(t):
+    return rounded(M.pair_table(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"]), 4, "r")
+
+
+@query("""WITH c AS (SELECT l_quantity AS value, count(*) AS cnt FROM lineitem GROUP BY 1) SELECT value, cnt, sum(cnt) OVER (ORDER BY value) - cnt + (cnt + 1) / 2 AS rank FROM c""")
+def m4_average_ranks(t):
+    return M.average_ranks(t.lineitem, "l_quantity")
+
+
+_RHO = """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)"""
+
+
+@query(_RHO + """ SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, round_even(corr(a, b), 4) AS rho FROM r""")
+def m3_spearman(t):
+    return rounded(M.spearman_pair(t.lineitem, "l_quantity", "l_extendedprice"), 4, "rho")
+
+
+@query(_RHO + """ SELECT (abs(corr(a, b)) < 0.3)::INT::DOUBLE AS weak_share, (abs(corr(a, b)) >= 0.3 AND abs(corr(a, b)) < 0.7)::INT::DOUBLE AS moderate_share, (abs(corr(a, b)) >= 0.7)::INT::DOUBLE AS strong_share FROM r""")
+def m5_correlation_strength(t):
+    return M.correlation_strength(t.lineitem, ["l_quantity", "l_extendedprice"])
+
+
+@query()
+def m6_correlation_clusters(t):
+    return M.correlation_clusters(_numbers(t))
+
+
+@query()
+def m7_vif(t):
+    return rounded(M.vif(_numbers(t)), 4, "vif")
+
+
+@query("""SELECT round_even(1 - (abs(corr(l_quantity, l_extendedprice)) + abs(corr(l_quantity, l_tax)) + abs(corr(l_extendedprice, l_tax))) / 3, 4) AS interaction_potential FROM lineitem""")
+def m9_interaction_potential(t):
+    return M.interaction_potential(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"])
+
+
+@query()
+def m10_signal_to_noise(t):
+    return M.signal_to_noise(_numbers(t))
+
+
+@query()
+def m12_conditional_dependencies(t):
+    return M.conditional_dependencies(_numbers(t))
+
+
+@query("""SELECT 'l_quantity' AS "column", round_even(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem HAVING abs(corr(l_quantity, l_extendedprice)) > 0.001""")
+def m14_correlation_select(t):
+    return rounded(M.correlation_select(t.lineitem, "l_extendedprice", 0.001, ["l_quantity"]), 4, "r")
+
+
+@query(f"""WITH v AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS "column", unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem) SELECT "column", round_even(var_pop(x), 2) AS variance FROM v GROUP BY 1 HAVING var_pop(x) > 1""")
+def g11_variance_select(t):
+    return rounded(M.variance_select(_numbers(t), 1.0), 2, "variance")
+
+
+# ---- features
+
+@query("""SELECT o_orderkey, round_even((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice FROM orders""")
+def f1_scale_standard(t):
+    return rounded(X.scale(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"]), 6, "o_totalprice")
+
+
+@query("""SELECT o_orderkey, round_even((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) AS o_totalprice FROM orders""")
+def f1_scale_minmax(t):
+    return rounded(X.scale(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"], "minmax"), 6, "o_totalprice")
+
+
+@query("""WITH s AS (SELECT quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS d FROM orders) SELECT o_orderkey, round_even((o_totalprice - m) / d, 6) AS o_totalprice FROM orders, s""")
+def f1_scale_robust(t):
+    return rounded(X.scale(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"], "robust"), 6, "o_totalprice")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_returnflag = 'A')::INT::DOUBLE AS "l_returnflag_A", (l_returnflag = 'N')::INT::DOUBLE AS "l_returnflag_N", (l_returnflag = 'R')::INT::DOUBLE AS "l_returnflag_R" FROM lineitem""")
+def f2_one_hot(t):
+    return X.one_hot(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"), ["l_returnflag"])
+
+
+@query("""SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand_encoded FROM part""")
+def f3_label_encode(t):
+    return X.label_encode(t.part.select("p_partkey", "p_brand"), ["p_brand"])
+
+
+@query("""SELECT p_partkey, p_brand, round_even(count(*) OVER (PARTITION BY p_brand) / count(*) OVER (), 6) AS p_brand_freq FROM part""")
+def f4_frequency_encode(t):
+    return rounded(X.frequency_encode(t.part.select("p_partkey", "p_brand"), ["p_brand"]), 6, "p_brand_freq")
+
+
+@query("""WITH g AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS m FROM part GROUP BY 1), p AS (SELECT avg(p_retailprice) AS p FROM part)
+SELECT p_partkey, p_brand, p_retailprice, round_even(p * (1 - 1 / (1 + exp(-(n - 1)))) + m / (1 + exp(-(n - 1))), 4) AS p_brand_target_enc FROM part JOIN g USING (p_brand), p""")
+def f5_target_encode(t):
+    return rounded(X.target_encode(t.part.select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice"), 4, "p_brand_target_enc")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_tax, l_discount, round_even(l_tax * l_tax, 8) AS "l_tax^2", round_even(l_tax * l_discount, 8) AS "l_tax l_discount", round_even(l_discount * l_discount, 8) AS "l_discount^2" FROM lineitem""")
+def f6_polynomial(t):
+    out = X.polynomial(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), ["l_tax", "l_discount"])
+    return rounded(out, 8, "l_tax^2", "l_tax l_discount", "l_discount^2")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_tax, l_quantity, round_even(l_tax * l_quantity, 6) AS "l_tax * l_quantity" FROM lineitem""")
+def f7_combine(t):
+    return rounded(X.combine(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_quantity"), ["l_tax", "l_quantity"]), 6, "l_tax * l_quantity")
+
+
+# ---- typing, ids, labels, text
+
+@query("""SELECT o_orderkey, TRY_CAST(o_orderpriority[1] AS BIGINT) AS first_digit, o_orderstatus <> '' AS status, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS at FROM orders""")
+def t2_convert(t):
+    return t.orders.select("o_orderkey", L.convert(F.substring("o_orderpriority", 1, 1), "int").alias("first_digit"), L.convert(F.col("o_orderstatus"), "bool").alias("status"), L.format_datetime(L.convert(F.col("o_orderdate"), "datetime"), "%Y-%m-%d %H:%M").alias("at"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
+def t3_format_datetime(t):
+    return t.orders.select("o_orderkey", L.format_datetime(F.col("o_orderdate"), "%Y-%m-%d").alias("day"))
+
+
+@query("""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(p_type, '.csv', '', 'g'), '[^0-9a-zA-Z]+', ' ', 'g'))) AS label FROM (SELECT p_partkey, lower(p_type) AS p_type FROM part)""")
+def t4_make_label(t):
+    return t.part.select("p_partkey", L.make_label(F.lower("p_type")).alias("label"))
+
+
+@query("""SELECT DISTINCT array_to_string(list_slice(string_split(event_type || '.' || (user_id % 7), '.'), 1, unnest([1, 2])), '.') AS prefix FROM events""")
+def t9_library_prefixes(t):
+    return t.events.select(F.explode(L.library_prefixes(F.concat_ws(".", "event_type", (F.col("user_id") % 7).cast("string")))).alias("prefix")).distinct()
+
+
+@query("""SELECT o_orderkey, 's' || n AS statement FROM (SELECT o_orderkey, unnest(range(o_orderkey % 5, o_orderkey % 5 + o_custkey % 3 + 1)) AS n FROM orders)""")
+def t10_expand_ranges(t):
+    a = F.col("o_orderkey") % 5
+    token = F.concat(F.lit("s"), a.cast("string"), F.lit("-s"), (a + F.col("o_custkey") % 3).cast("string"))
+    return t.orders.select("o_orderkey", F.explode(L.expand_ranges(F.array(token))).alias("statement"))
+
+
+@query("""SELECT event_id, CASE WHEN lower(event_type) IN ('click', 'view', 'purchase') THEN lower(event_type) ELSE 'other' END AS kind FROM events""")
+def t11_one_of(t):
+    return t.events.select("event_id", L.one_of(F.col("event_type"), ["click", "view", "purchase"]).alias("kind"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
+def t16_html_to_text(t):
+    return t.pages.select("page_id", L.html_to_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT doc_id, i // 900 AS place, substr(text, i + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 900)) AS i FROM documents)""")
+def t17_chunks(t):
+    return t.documents.select("doc_id", F.posexplode(L.chunks(F.col("text"), 1000, 0.1)).alias("place", "chunk")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT doc_id, unnest(range(len(p)))::INT AS place, unnest(p) AS section FROM (SELECT doc_id, string_split(text, '---') AS p FROM documents)""")
+def t18_sections(t):
+    return t.documents.select("doc_id", F.posexplode(L.sections(F.col("text"))).alias("place", "section"))
+
+
+# ---- lake profiles and discovery
+
+def _profile_sql(table: str, column: str, kind: str) -> str:
+    number = f"{column}::DOUBLE" if kind in ("int", "float") else "NULL::DOUBLE"
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS data_type, count(*) AS total_values_count, count(*) - count({column}) AS missing_values_count, count(DISTINCT {column}) AS distinct_values_count,
+round_even(min({number}), 4) AS min_value, round_even(max({number}), 4) AS max_value, round_even(avg({number}), 4) AS mean, round_even(quantile_cont({number}, 0.5), 4) AS median, round_even(quantile_cont({number}, 0.75) - quantile_cont({number}, 0.25), 4) AS iqr FROM {table}"""
+
+
+# Columns of the given tables.
+COLUMNS = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "int", "c_name": "string", "c_nationkey": "int", "c_acctbal": "float", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "int", "s_name": "string", "s_nationkey": "int", "s_acctbal": "float"},
+    "part": {"p_partkey": "int", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "float"},
+    "orders": {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "date", "o_orderpriority": "string"},
+    "lineitem": {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "date"},
+    "events": {"event_id": "int", "ts": "date", "user_id": "int", "event_type": "string", "value": "float", "props": "string"},
+}
+PROFILE_SQL = "\nUNION ALL\n".join(_profile_sql(t, c, k) for t, cs in COLUMNS.items() for c, k in cs.items())
+
+
+@query(PROFILE_SQL)
+def k1_profile_lake(t):
+    numbers = ("min_value", "max_value", "mean", "median", "iqr")
+    return rounded(lake(t), 4, *numbers).select("table_name", "column_name", "data_type", "total_values_count", "missing_values_count", "distinct_values_count", *numbers)
+
+
+@query("SELECT count(*) AS n_columns, sum(n)::BIGINT AS n_cells FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t, cs in COLUMNS.items() for _ in cs) + ")")
+def q4_lake_totals(t):
+    return lake(t).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("total_values_count").alias("n_cells"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'tpch' AS dataset_name, '{t}' AS table_name, count(*) AS n_rows, {len(cs)}::BIGINT AS n_columns FROM {t}" for t, cs in COLUMNS.items()))
+def q2_tables_info(t):
+    return K.tables_info(lake(t))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, {len(cs)}::BIGINT AS n_columns, count(*) AS n_rows FROM {t}" for t, cs in COLUMNS.items() if any("key" in c for c in cs) and any("price" in c or "acctbal" in c for c in cs)))
+def q5_search_tables(t):
+    return K.search_tables(lake(t), [["price", "acctbal"], ["key"]])
+
+
+@query()
+def l3_label_similarity(t):
+    return rounded(K.label_similarity(lake(t), 0.75, "^[a-z]+_"), 4, "certainty")
+
+
+@query()
+def l5_content_similarity(t):
+    return rounded(K.content_similarity(K.content_vector(lake(t))), 4, "certainty")
+
+
+@query()
+def q6_joinable_tables(t):
+    columns = K.content_vector(lake(t))
+    return K.related_tables(K.content_similarity(columns), columns, None, 3, "content")
+
+
+@query()
+def q7_unionable_tables(t):
+    columns = lake(t)
+    return K.related_tables(K.label_similarity(columns, 0.75, "^[a-z]+_"), columns, None, 3, "label")
+
+
+@query()
+def l1_membership(t):
+    return K.membership_triples(lake(t))
+
+
+# ---- pipelines: orders as pipelines by customers, lines as calls of brands' parts, order status as tag
+
+def _pipelines(t):
+    return t.orders.select(F.col("o_orderkey").alias("pipeline_id"), F.col("o_custkey").alias("author"), F.col("o_custkey").alias("votes"), F.col("o_orderdate").alias("written_on"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("dataset_id"))
+
+
+def _calls(t):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("pipeline_id"), F.concat_ws(".", "p_brand", F.replace("p_type", F.lit(" "), F.lit("_"))).alias("component"))
+
+
+_CALLS = "calls AS (SELECT l_orderkey AS pipeline_id, p_brand AS lib, replace(p_type, ' ', '_') AS module FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("""SELECT o_orderkey AS pipeline_id, o_custkey AS votes, o_totalprice AS score FROM orders WHERE o_custkey = 7""")
+def p1_pipelines_info(t):
+    return P.pipelines_info(_pipelines(t), 7).select("pipeline_id", "votes", "score")
+
+
+@query("""SELECT o_orderkey AS pipeline_id FROM orders WHERE o_orderpriority = '5-LOW' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1""")
+def p2_most_recent_pipeline(t):
+    return P.most_recent_pipeline(_pipelines(t), "5-LOW").select("pipeline_id")
+
+
+@query("""SELECT dataset_id, place::INT AS place, pipeline_id, score FROM (SELECT o_orderpriority AS dataset_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey AS pipeline_id, o_totalprice AS score FROM orders) WHERE place <= 5""")
+def p3_top_k_pipelines(t):
+    return P.top_k_pipelines(_pipelines(t), 5)
+
+
+@query(f"""WITH {_CALLS}, c AS (SELECT lib AS library, count(DISTINCT pipeline_id) AS n_pipelines FROM calls GROUP BY 1), s AS (SELECT *, round_even(n_pipelines / sum(n_pipelines) OVER (), 4) AS share FROM c) SELECT * FROM s ORDER BY n_pipelines DESC, library LIMIT 10""")
+def p6_library_usage(t):
+    return P.library_usage(_calls(t), 10)
+
+
+@query(f"""WITH {_CALLS} SELECT module, count(*) AS n FROM calls WHERE regexp_matches(lib || '.' || module, '(?i)brand#1') GROUP BY 1 ORDER BY n DESC, module LIMIT 10""")
+def p12_top_modules(t):
+    return P.top_modules(_calls(t), "brand#1", 10)
+
+
+@query(f"""WITH {_CALLS}, two AS (SELECT unnest(c) AS c FROM (SELECT list(c) AS c FROM (SELECT lib || '.' || module AS c FROM calls GROUP BY 1 ORDER BY count(DISTINCT pipeline_id) DESC, 1 LIMIT 2)))
+SELECT pipeline_id FROM calls WHERE lib || '.' || module IN (SELECT c FROM two) GROUP BY 1 HAVING count(DISTINCT lib || '.' || module) = 2""")
+def p8_pipelines_calling(t):
+    calls = _calls(t)
+    two = calls.groupBy("component").agg(F.count_distinct("pipeline_id").alias("n")).orderBy(F.col("n").desc(), "component").limit(2).collect()
+    return P.pipelines_calling(calls, [r.component for r in two])
+
+
+@query("""SELECT o_orderstatus AS tag, count(DISTINCT o_orderkey) AS n_pipelines FROM orders GROUP BY 1""")
+def p11_pipelines_by_tag(t):
+    return P.pipelines_by_tag(t.orders.select(F.col("o_orderkey").alias("pipeline_id"), F.col("o_orderstatus").alias("tag")))
+
+
+@query("""SELECT 'urgent' AS task, count(*) FILTER (WHERE regexp_matches(o_orderpriority, '(?i)urgent')) AS n FROM orders UNION ALL SELECT 'high', count(*) FILTER (WHERE regexp_matches(o_orderpriority, '(?i)high|urgent')) FROM orders""")
+def p11_task_totals(t):
+    return P.task_totals(t.orders.select(F.col("o_orderpriority").alias("tag")), {"urgent": "urgent", "high": "high|urgent"})
+
+
+@query("""WITH s AS (SELECT conv_id AS pipeline_id, turn AS n, role AS phase, substr(text, 1, 200) AS text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM conversations),
+u AS (SELECT * FROM s WHERE k = 1), b AS (SELECT *, sum(brk) OVER (PARTITION BY pipeline_id ORDER BY n) AS block FROM (SELECT *, (lag(phase) OVER (PARTITION BY pipeline_id ORDER BY n) IS DISTINCT FROM phase)::INT AS brk FROM u))
+SELECT pipeline_id, block::BIGINT AS block, min(phase) AS phase, min(n) AS first_n, max(n) AS last_n, count(*) AS size, arg_min(text, n) AS first_text, arg_max(text, n) AS last_text FROM b GROUP BY 1, 2""")
+def p17_phase_blocks(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "turn").orderBy("role", F.substring("text", 1, 200))
+    one = t.conversations.where("text IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k = 1")
+    return P.phase_blocks(one.select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("n"), F.col("role").alias("phase"), "text"))
+
+
+@query(f"""WITH {_CALLS} SELECT DISTINCT lib AS parent, lib || '.' || module AS child FROM calls""")
+def p19_library_edges(t):
+    return P.library_edges(_calls(t))
+
+
+# ---- vectors and ranking
+
+_COS = "round_even(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4)"
+
+
+@query(f"""WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, {_COS} AS score FROM embeddings e, q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 5""")
+def v2_nearest(t):
+    first = t.embeddings.orderBy("vec_id").first()
+    return rounded(P.nearest(t.embeddings, list(first.embedding), 5, "vec_id", "embedding"), 4, "score")
+
+
+@query("""WITH b AS (SELECT o_custkey AS id, max(o_totalprice) AS base FROM orders GROUP BY 1), i AS (SELECT c_custkey AS id, c_acctbal AS insight FROM customer) SELECT id, round_even(0.3 * coalesce(base, 0) + 0.7 * coalesce(insight, 0), 4) AS score FROM b FULL JOIN i USING (id) ORDER BY score DESC, id LIMIT 20""")
+def v10_weighted_top_k(t):
+    base = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("base"))
+    return rounded(P.weighted_top_k(base, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("insight")), 0.3, 0.7, 20), 4, "score")
+
+
+@query("""WITH b AS (SELECT o_custkey AS id, max(o_totalprice) AS base FROM orders GROUP BY 1), r AS (SELECT * FROM b ORDER BY base DESC, id LIMIT 30) SELECT id, base, coalesce(c_acctbal, 0) AS insight FROM r LEFT JOIN customer ON id = c_custkey ORDER BY insight DESC, base DESC, id LIMIT 10""")
+def v11_recall_rerank(t):
+    base = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("base"))
+    return P.recall_rerank(base, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("insight")), 10)
+
+
+# ---- assertions
+
+@query("""SELECT 'no_duplicate_rows' AS "check", 'nation' AS subject, count(*) = (SELECT count(*) FROM (SELECT DISTINCT * FROM nation)) AS passed, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM nation)))::VARCHAR AS detail FROM nation""")
+def a2_no_duplicate_rows(t):
+    return A.no_duplicate_rows(t.nation, "nation")
+
+
+@query("""SELECT 'no_missing_values' AS "check", 'lines.' || c AS subject, m = 0 AS passed, m::VARCHAR AS detail FROM (SELECT unnest(['l_orderkey', 'tax']) AS c, unnest([count(*) - count(l_orderkey), count(*) - count(nullif(l_tax, 0.0))]) AS m FROM lineitem)""")
+def a4_no_missing_values(t):
+    return A.no_missing_values(t.gaps().select("l_orderkey", "tax"), "lines")
+
+
+@query("""SELECT 'consecutive_ids' AS "check", 'orders' AS subject, count(*) = count(DISTINCT o_orderkey) AND max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS passed, (count(*) - count(DISTINCT o_orderkey))::VARCHAR AS detail FROM orders""")
+def a15_consecutive_ids(t):
+    return A.consecutive_ids(t.orders, "o_orderkey", "orders")
 
 
-def column_profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the profiler lands: rows and distinct suppliers of lineitem."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("l_suppkey").alias("n"))
+@query("""SELECT 'same_ids' AS "check", 'orders' AS subject, n = 0 AS passed, n::VARCHAR AS detail FROM (SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem)) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders)) AS n)""")
+def a16_same_ids(t):
+    return A.same_ids(t.orders.select(F.col("o_orderkey").alias("id")), t.lineitem.select(F.col("l_orderkey").alias("id")).distinct(), "orders")
 
 
-QUERIES["column_profile_counts"] = column_profile_counts
-ORACLE_SQL["column_profile_counts"] = "SELECT count(*) AS total, count(DISTINCT l_suppkey) AS n FROM lineitem"
+@query("""SELECT 'rows_preserved' AS "check", 'orders' AS subject, a = b AS passed, (b - a)::VARCHAR AS detail FROM (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS b)""")
+def a10_rows_preserved(t):
+    return A.rows_preserved(t.orders, t.lineitem.select("l_orderkey").distinct(), "orders")
