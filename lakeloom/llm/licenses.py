@@ -58,7 +58,7 @@ KNOWN_LICENSES = [
 ]
 # Whole words and what they count as.
 SPELLINGS = [
-    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
+    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("non infringement", "noninfringement"),
     ("authorisation", "authorization"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"),
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("per cent", "percent"), ("whilst", "while"),
 ]

@@ -27,16 +27,21 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _direction(sizes: np.ndarray) -> np.ndarray:
-    """The move nearest to "the first document alone" that changes neither the number of documents nor their words."""
+def _direction(sizes: np.ndarray) -> np.ndarray | None:
+    """The move nearest to "one document alone" that changes neither the number of documents nor their words: of the
+    first document, or of the next if all such moves leave it where it is. None if there is no such move."""
     n, scaled = len(sizes), sizes / max(sizes.mean(), 1e-300)
     centred = scaled - scaled.mean()
     spread = float(centred @ centred)
-    u = np.full(n, -1.0 / n)
-    u[0] += 1.0
-    if spread > 1e-12 * n:
-        u -= centred * (centred[0] / spread)
-    return u
+    for i in range(n):
+        u = np.full(n, -1.0 / n)
+        u[i] += 1.0
+        if spread > 1e-12 * n:
+            u -= centred * (centred[i] / spread)
+        u[np.abs(u) < 1e-12] = 0.0
+        if np.abs(u).max() > 1e-9:
+            return u
+    return None
 
 
 def fly(sizes: np.ndarray, pi: np.ndarray, random: np.random.Generator, land: bool) -> np.ndarray:
@@ -49,8 +54,8 @@ def fly(sizes: np.ndarray, pi: np.ndarray, random: np.random.Generator, land: bo
     active = np.flatnonzero((pi > 0) & (pi < 1))
     while len(active):
         own = sizes[active]
-        u = _direction(own) if len(active) > 2 or own[0] == own[-1] and len(active) == 2 else None
-        if u is None or np.abs(u).max() < 1e-9:
+        u = _direction(own) if len(active) > 1 else None
+        if u is None:
             if not land:
                 break
             if len(active) == 2 and own.all():
