@@ -15,8 +15,12 @@ from ..operators import correlation as M
 from ..operators import distributions as D
 from ..operators import features as X
 from ..operators import missing as C
+from ..operators import models as G
 from ..operators import outliers as O
 from ..operators import pipelines as P
+from ..operators import ranking as V
+from ..operators import time_space as Z
+from ..sources import lake as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -585,3 +589,107 @@ def a16_same_ids(t):
 @query("""SELECT 'rows_preserved' AS "check", 'orders' AS subject, a = b AS passed, (b - a)::VARCHAR AS detail FROM (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS b)""")
 def a10_rows_preserved(t):
     return A.rows_preserved(t.orders, t.lineitem.select("l_orderkey").distinct(), "orders")
+
+
+# ---- time and space
+
+@query("""WITH r AS (SELECT user_id, value AS x, avg(value) OVER (PARTITION BY user_id) AS mu, unnest(range(1, 4)) AS k, ts, event_id FROM events),
+l AS (SELECT *, lag(x, 1) OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS l1, lag(x, 2) OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS l2, lag(x, 3) OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS l3 FROM r),
+a AS (SELECT user_id, k, count(*) AS n, sum((x - mu) * (CASE k WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l3 END - mu)) / nullif(sum((x - mu) ** 2), 0) AS r FROM l GROUP BY 1, 2)
+SELECT user_id, CASE WHEN max(n) < 30 THEN 0.0 ELSE coalesce(round_even(greatest(0.0, max(r)), 4), 0.0) END::DOUBLE AS periodicity FROM a GROUP BY 1""")
+def x1_periodicity(t):
+    return Z.periodicity(t.events, "ts", "value", "event_id", 3, ["user_id"])
+
+
+@query()
+def x2_stationarity(t):
+    return Z.stationarity(t.orders, "o_orderdate", "o_totalprice", "o_orderkey")
+
+
+@query()
+def x4_spatial_correlation(t):
+    return Z.spatial_correlation(t.lineitem, "l_quantity", "l_discount", "l_extendedprice", "l_orderkey")
+
+
+# ---- models
+
+@query("""WITH g AS (SELECT o_orderstatus AS t, count(*) AS n, sum(o_totalprice) AS s, sum(o_totalprice ** 2) AS q FROM orders GROUP BY 1)
+SELECT 'o_totalprice' AS "column", round_even(((sum(s * s / n) - sum(s) ** 2 / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))), 3) AS score FROM g""")
+def g1_anova_f(t):
+    return rounded(G.anova_f(t.orders, "o_orderstatus", ["o_totalprice"]), 3, "score")
+
+
+@query("""SELECT 'l_quantity' AS "column", round_even(corr(l_quantity, l_extendedprice) ** 2 / (1 - corr(l_quantity, l_extendedprice) ** 2) * (count(*) - 2), 3) AS score FROM lineitem""")
+def g2_regression_f(t):
+    return rounded(G.regression_f(t.lineitem, "l_extendedprice", ["l_quantity"]), 3, "score")
+
+
+@query("""WITH g AS (SELECT avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY l_returnflag), o AS (SELECT avg(l_quantity) AS mu FROM lineitem)
+SELECT 'l_returnflag' AS category, 'l_quantity' AS number, least(1.0, round_even(sum((m - mu) ** 2) / avg(v), 4)) AS score FROM g, o WHERE v IS NOT NULL""")
+def g6_cat_num_interaction(t):
+    return G.cat_num_interaction(t.lineitem, ["l_returnflag"], ["l_quantity"])
+
+
+@query()
+def g4_nonlinearity(t):
+    return G.nonlinearity(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query()
+def g3_tree_importances(t):
+    return rounded(G.tree_importances(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 4, "importance")
+
+
+@query()
+def g8_recursive_elimination(t):
+    return G.recursive_elimination(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], 1, "linear")
+
+
+@query()
+def g9_principal_components(t):
+    return rounded(G.principal_components(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"), ["l_quantity", "l_extendedprice", "l_tax"], 2), 6, "PC1", "PC2")
+
+
+# ---- sources and sinks over the profiles, ranking
+
+@query()
+def s6_triple_lines(t):
+    return S.triple_lines(K.membership_triples(lake(t)).select("s", "p", "o", F.lit("iri").alias("o_type"), F.lit(None).cast("double").alias("certainty")))
+
+
+@query("""SELECT vec_id, label FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)""")
+def s14_copy_holdout(t):
+    vectors = t.embeddings.select("vec_id", "label")
+    return S.copy_holdout(vectors, vectors.orderBy("vec_id").limit(1), "label")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def s10_skip_existing(t):
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("id"))
+    old = t.labels.select(F.md5(F.col("doc_id").cast("string")).alias("key_md5"))
+    return S.skip_existing(docs, old, "id").select(F.col("id").cast("long").alias("doc_id"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)drop(ped|ping)?\\b|remov|imput|fill(ed|ing)?\\b|encod|scal(e|ed|ing)\\b|transform') THEN 'reject' ELSE 'keep' END AS decision, text FROM conversations""")
+def v14_hard_gate(t):
+    rows = t.conversations.select("conv_id", "turn", "text", F.lit("eda").alias("phase"), F.lit(False).alias("time_series"), F.lit(False).alias("grouped"))
+    return V.hard_gate(rows).select("conv_id", "turn", "decision", "text")
+
+
+@query("""SELECT c.c_custkey AS case_id, d.c_custkey AS candidate_id FROM customer c JOIN customer d ON c.c_mktsegment = d.c_mktsegment AND c.c_nationkey = d.c_nationkey AND c.c_custkey <> d.c_custkey""")
+def v3_candidate_cases(t):
+    return V.candidate_cases(t.customer.select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("problem_type"), F.col("c_nationkey").alias("data_type")))
+
+
+@query()
+def v8_module_similarity(t):
+    c = t.customer.where("c_nationkey IS NOT NULL")
+    fields = c.select(F.col("c_custkey").alias("case_id"), F.lit("m").alias("module"), F.explode(F.array(F.struct(F.lit("balance").alias("field"), F.lit("float").alias("kind"), F.col("c_acctbal").cast("string").alias("value")), F.struct(F.lit("segment").alias("field"), F.lit("string").alias("kind"), F.col("c_mktsegment").alias("value")))).alias("f")).select("case_id", "module", "f.*")
+    pairs = v3_candidate_cases(t)
+    weights = t.spark.createDataFrame([("balance", 0.7), ("segment", 0.3)], "field string, weight double")
+    return V.module_similarity(fields, pairs, weights)
+
+
+@query("""SELECT o_custkey AS pipeline_id, o_orderkey AS insight_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders""")
+def v15_by_confidence(t):
+    return V.by_confidence(t.orders.select(F.col("o_custkey").alias("pipeline_id"), F.col("o_orderkey").alias("insight_id"), F.col("o_totalprice").alias("confidence"))).select("pipeline_id", "insight_id", "place")
