@@ -16,8 +16,8 @@ def periodicity(df: DataFrame, time: str, column: str, tie: str, most: int = 20,
     """(periodicity): the largest autocorrelation over lags 1 to min(most, n / 2), at least 0; 0 for fewer than 30 values.
     With `partition`, one row for each series, and series are windows of their own: do so for large tables."""
     keys = partition or []
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(time, tie)
-    rows = df.select(*keys, name(time).alias(time), name(tie).alias(tie), number(df, column).alias("x")).where("x IS NOT NULL")
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_time", "_tie")
+    rows = df.select(*keys, name(time).alias("_time"), name(tie).alias("_tie"), number(df, column).alias("x")).where("x IS NOT NULL")
     lagged = rows.select(*keys, "x", F.avg("x").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias("mu"), *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, most + 1)])
     n = F.count(F.lit(1))
     spread = F.sum((F.col("x") - F.col("mu")) ** 2)
@@ -45,9 +45,9 @@ def unit_root_p(tau: float) -> float:
 def stationarity(df: DataFrame, time: str, column: str, tie: str, lags: int = 1) -> DataFrame:
     """(stationarity): 1 - p of the augmented Dickey-Fuller test with a fixed number of lags; 0.5 where it isn't defined.
     Sums of products of a few lag columns are all that reaches the driver."""
-    w = Window.orderBy(time, tie)
-    rows = df.select(name(time).alias(time), name(tie).alias(tie), number(df, column).alias("x")).where("x IS NOT NULL")
-    d = rows.select("x", (F.col("x") - F.lag("x").over(w)).alias("dy"), F.lag("x").over(w).alias("level"), F.row_number().over(w).alias("n"), time, tie)
+    w = Window.orderBy("_time", "_tie")
+    rows = df.select(name(time).alias("_time"), name(tie).alias("_tie"), number(df, column).alias("x")).where("x IS NOT NULL")
+    d = rows.select("x", (F.col("x") - F.lag("x").over(w)).alias("dy"), F.lag("x").over(w).alias("level"), "_time", "_tie")
     d = d.select("dy", "level", *[F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)]).dropna()
     names = ["one", "level", *[f"d{k}" for k in range(1, lags + 1)], "dy"]
     d = d.withColumn("one", F.lit(1.0))
