@@ -164,3 +164,33 @@ def descendants(triples: DataFrame, root: str, depth: int = 3) -> DataFrame:
         front = triples.where(F.col("p") == "isPartOf").join(front.select(F.col("node").alias("o")), "o").select(F.col("s").alias("node"))
         out = out.union(front)
     return out.distinct()
+
+
+def flag_operations(columns: DataFrame, operations: DataFrame) -> DataFrame:
+    """columns with has_ops: whether operations(column_id) has any for it."""
+    used = operations.select("column_id").distinct().withColumn("has_ops", F.lit(True))
+    return columns.join(used, "column_id", "left").fillna(False, ["has_ops"])
+
+
+def recommend_charts(similar: DataFrame, operations: DataFrame) -> DataFrame:
+    """(query_id, analysis_type, chart_type, column_id): charts of each query column's nearest columns, nearest first.
+    similar: (query_id, column_id, place); operations: (column_id, analysis_type, chart_type)."""
+    met = similar.join(operations, "column_id")
+    w = Window.partitionBy("query_id", "analysis_type", "chart_type").orderBy("place", "column_id")
+    return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", "analysis_type", "chart_type", "column_id")
+
+
+def insight_triples(fields: DataFrame) -> DataFrame:
+    """(s, p, o, o_type) of insight fields (case_id, module, field, kind, value); booleans in lower case."""
+    o = F.when(F.col("kind") == "boolean", F.lower("value")).otherwise(F.col("value"))
+    kind = F.when(F.col("kind").isin("float", "int"), "number").otherwise("text")
+    return fields.select(F.concat_ws("/", "case_id", "module").alias("s"), F.concat(F.lit("has"), F.initcap(F.replace("field", F.lit("_"), F.lit(" ")))).alias("p"), o.alias("o"), kind.alias("o_type"))
+
+
+def flatten_insight(documents: DataFrame, id_col: str, json_col: str, weighted: DataFrame) -> DataFrame:
+    """(case_id, module, field, kind, value) rows of nested insight JSON {module: {field: value}}: the fields of weighted
+    (field, kind), 'unknown' where a module lacks a value; booleans in lower case."""
+    modules = documents.select(F.col(id_col).alias("case_id"), F.explode(F.from_json(json_col, "map<string, map<string, string>>")).alias("module", "fields"))
+    out = modules.crossJoin(F.broadcast(weighted))  # a fixed list of fields
+    raw = F.coalesce(F.try_element_at("fields", F.col("field")), F.lit("unknown"))
+    return out.select("case_id", "module", "field", "kind", F.when(F.col("kind") == "boolean", F.lower(raw)).otherwise(raw).alias("value"))

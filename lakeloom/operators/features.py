@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, name, number, value
+from ..functions.ranks import dense_ids
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
@@ -39,27 +40,14 @@ def one_hot(df: DataFrame, columns: list[str], drop_original: bool = True, most:
     return df.select(*kept, *added)
 
 
-def _codes(df: DataFrame, c: str) -> DataFrame:
-    """(value, code): codes in the order of the values, ranked by a range sort without a whole-table window."""
-    values = df.select(F.coalesce(name(c).cast("string"), F.lit("nan")).alias("value")).distinct()
-    ranked = values.orderBy("value").withColumn("id", F.monotonically_increasing_id())
-    part = F.shiftright("id", 33)
-    sizes = ranked.groupBy(part.alias("part")).count().collect()  # a row for each partition
-    before, total = [], 0
-    for r in sorted(sizes):
-        before.append((r["part"], total - (r["part"] << 33)))
-        total += r["count"]
-    base = df.sparkSession.createDataFrame(before, "part long, base long")
-    return ranked.join(F.broadcast(base), part == F.col("part")).select("value", (F.col("id") + F.col("base")).alias("code"))
-
-
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds `column_encoded`: the 0-based place of the value among the distinct ones in order; null is the text 'nan'.
     Numeric columns are skipped."""
     out = df
     for c in columns:
         if c in categorical_columns(df):
-            codes = _codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias(f"{c}_encoded"))
+            values = df.select(F.coalesce(name(c).cast("string"), F.lit("nan")).alias("_value")).distinct()
+            codes = dense_ids(values, "_value", f"{c}_encoded")
             out = out.join(codes, F.coalesce(name(c).cast("string"), F.lit("nan")) == F.col("_value"), "left").drop("_value")
     return out
 
@@ -136,3 +124,23 @@ def padded_vector(data_type, vector, types: list[str], size: int):
 
 def known_values(df: DataFrame, c: str) -> DataFrame:
     return df.select(value(df, c).alias("value")).where("value IS NOT NULL")
+
+
+# What a path of so many parts names.
+NODE_TYPES = {1: "source", 2: "dataset", 3: "table", 4: "column"}
+
+
+def typed_edges(triples: DataFrame) -> DataFrame:
+    """(s_type, p_id, o_type, s_id, o_id) of distinct complete triples (s, p, o): types by the number of path parts, dense
+    ids of the entities of each type and of the relations, in order."""
+    kind = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in NODE_TYPES.items() for x in kv]), F.size(F.split(c, "/"))), F.lit("other"))
+    t = triples.select("s", "p", "o").dropna().dropDuplicates().select("s", "p", "o", kind("s").alias("s_type"), kind("o").alias("o_type"))
+    nodes = t.select(F.col("s").alias("node"), F.col("s_type").alias("type")).union(t.select("o", "o_type")).distinct()
+    ids = None
+    for x in [*NODE_TYPES.values(), "other"]:
+        own = dense_ids(nodes.where(F.col("type") == x).select("node"), "node", "id").withColumn("type", F.lit(x))
+        ids = own if ids is None else ids.unionByName(own)
+    relations = dense_ids(t.select("p").distinct(), "p", "p_id")
+    s_ids = ids.select(F.col("node").alias("s"), F.col("type").alias("s_type"), F.col("id").alias("s_id"))
+    o_ids = ids.select(F.col("node").alias("o"), F.col("type").alias("o_type"), F.col("id").alias("o_id"))
+    return t.join(s_ids, ["s", "s_type"]).join(o_ids, ["o", "o_type"]).join(relations, "p").select("s_type", "p_id", "o_type", "s_id", "o_id")

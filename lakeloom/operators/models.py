@@ -174,3 +174,32 @@ def probabilities(predicted: DataFrame, column: str = "probability"):
 
 def all_numeric_but(df: DataFrame, target: str) -> list[str]:
     return [c for c in numeric_columns(df) if c != target]
+
+
+def synergy(df: DataFrame, target: str, columns: list[str], seed: int = 42) -> DataFrame:
+    """(synergy): 1 - the variation of a forest's importances, 1 at most; 0.3 for fewer than 20 rows."""
+    if df.limit(20).count() < 20:
+        return df.sparkSession.createDataFrame([(0.3,)], "synergy double")
+    table = tree_importances(df, target, columns, 50, seed)
+    return table.agg(F.bround(1 - F.least(F.lit(1.0), F.coalesce(F.try_divide(F.stddev_pop("importance"), F.nullif(F.avg("importance"), F.lit(0.0))), F.lit(1.0))), 4).alias("synergy"))
+
+
+def high_cardinality(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
+    """(high_share, impact): share of the columns with at least `least` distinct values, and the variance of their shares of
+    distinct values."""
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    rows = wide.select("n", F.explode(F.array(*[F.col(f"d{i}") for i in range(len(columns))])).alias("d"))
+    ratio = F.when(F.col("d") >= least, F.try_divide(F.col("d").cast("double"), F.col("n")))
+    return rows.agg(F.bround(F.count_if(F.col("d") >= least) / F.count(F.lit(1)), 4).alias("high_share"), F.coalesce(F.bround(F.var_pop(ratio), 4), F.lit(0.0)).alias("impact"))
+
+
+def dataset_complexity(df: DataFrame, target: str) -> DataFrame:
+    """One row: rows for each feature, interaction potential, sparsity, signal to noise, uncertainty of the target."""
+    from .correlation import interaction_potential, signal_to_noise
+    from .distributions import samples_per_feature, sparsity, uncertainty
+
+    parts = [samples_per_feature(df), interaction_potential(df), sparsity(df), signal_to_noise(df), uncertainty(df, target)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out

@@ -693,3 +693,92 @@ def v8_module_similarity(t):
 @query("""SELECT o_custkey AS pipeline_id, o_orderkey AS insight_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders""")
 def v15_by_confidence(t):
     return V.by_confidence(t.orders.select(F.col("o_custkey").alias("pipeline_id"), F.col("o_orderkey").alias("insight_id"), F.col("o_totalprice").alias("confidence"))).select("pipeline_id", "insight_id", "place")
+
+
+# ---- further operators
+
+@query()
+def c3_missing_pattern(t):
+    return C.missing_pattern(t.gaps())
+
+
+@query(f"""WITH g AS ({GAPS}), m AS (SELECT mode(tax ORDER BY tax) AS t, (SELECT discount FROM g WHERE discount IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS d, (SELECT tax FROM g WHERE tax IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS x, (SELECT flag FROM g WHERE flag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS f FROM g)
+SELECT l_orderkey, l_linenumber, coalesce(tax, x) AS tax, coalesce(discount, d) AS discount, coalesce(flag, f) AS flag, quantity FROM g, m""")
+def c10_impute_most_frequent(t):
+    return C.impute_most_frequent(t.gaps())
+
+
+@query()
+def c11_impute_nearest(t):
+    rows = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return rounded(C.impute_nearest(rows, ["c_nationkey", "c_acctbal"], "c_custkey"), 4, "c_acctbal")
+
+
+@query()
+def c12_impute_iterative(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), "l_extendedprice")
+    return rounded(C.impute_iterative(rows, ["l_quantity", "l_tax", "l_extendedprice"], 2), 6, "l_tax")
+
+
+@query()
+def f10_typed_edges(t):
+    return X.typed_edges(K.membership_triples(lake(t)))
+
+
+@query()
+def g5_synergy(t):
+    return G.synergy(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("""WITH d AS (SELECT unnest([count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_name)]) AS d, count(*) AS n FROM part) SELECT round_even(avg((d >= 20)::INT), 4) AS high_share, coalesce(round_even(var_pop(d / n) FILTER (WHERE d >= 20), 4), 0) AS impact FROM d""")
+def g7_high_cardinality(t):
+    return G.high_cardinality(t.part, ["p_brand", "p_type", "p_name"])
+
+
+@query()
+def g12_dataset_complexity(t):
+    return G.dataset_complexity(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"), "l_returnflag")
+
+
+@query("""SELECT o_orderkey AS version_id, o_custkey AS kernel_id, best_score, tags FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) o
+LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS best_score FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey LEFT JOIN (SELECT o_custkey AS k, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1) ON k = o_custkey WHERE n = 1""")
+def p16_kernel_rollup(t):
+    versions = t.orders.select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("kernel_id"))
+    scores = t.lineitem.select(F.col("l_orderkey").alias("version_id"), F.col("l_extendedprice").alias("score"))
+    return P.kernel_rollup(versions, scores, t.orders.select(F.col("o_custkey").alias("kernel_id"), F.col("o_orderpriority").alias("tag"))).select("version_id", "kernel_id", "best_score", "tags")
+
+
+@query("""SELECT o_orderkey AS insight_id, o_custkey AS pipeline_id, phases FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS phases FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def p14_insights(t):
+    insights = t.orders.select(F.col("o_orderkey").alias("insight_id"), F.col("o_custkey").alias("pipeline_id"))
+    return P.insights_of(insights, t.lineitem.select(F.col("l_orderkey").alias("insight_id"), F.col("l_returnflag").alias("phase")))
+
+
+@query("""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 3 = 0), q AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 1),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS column_id, list_cosine_similarity(q.e, c.e) AS score FROM q JOIN c USING (label)) SELECT query_id, column_id, round_even(score, 4) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, column_id) AS place FROM s) WHERE place <= 3""")
+def q10_similar_columns(t):
+    ops = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("column_id"))
+    columns = K.flag_operations(t.embeddings.select(F.col("vec_id").alias("column_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector")), ops)
+    queries = t.embeddings.where("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector"))
+    return rounded(V.similar_columns(columns, queries, 3).select("query_id", "column_id", "score", "place"), 4, "score")
+
+
+@query("SELECT 'no_duplicate_columns' AS \"check\", unnest([" + ", ".join(f"'{t}'" for t in LAKE) + "]) AS subject, true AS passed, '0' AS detail")
+def a5_no_duplicate_columns(t):
+    return A.no_duplicate_columns(lake(t).select("table_name", "column_name"))
+
+
+@query("SELECT 'has_id_column' AS \"check\", unnest([" + ", ".join(f"'{t}'" for t in LAKE) + "]) AS subject, unnest([" + ", ".join(str("event_id" in COLUMNS[t]).lower() for t in LAKE) + "]) AS passed, unnest([" + ", ".join(f"'{int('event_id' in COLUMNS[t])}'" for t in LAKE) + "]) AS detail")
+def a9_has_id_column(t):
+    return A.has_id_column(lake(t), ["event_id"])
+
+
+@query("SELECT 'feature_explosion' AS \"check\", 'lineitem' AS subject, true AS passed, '6->11' AS detail")
+def a6_feature_explosion(t):
+    return A.feature_explosion(lake(t), t.spark.createDataFrame([("orders", "lineitem")], "before string, after string"))
+
+
+@query("""SELECT 'prediction_plausible' AS "check", 'orders' AS subject, (SELECT bool_and(o_totalprice IN (0, 1)) FROM orders) OR (a <= 10 * b AND a * 10 >= b) AS passed, NULL::VARCHAR AS detail FROM (SELECT (SELECT avg(o_totalprice) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)) AS a, (SELECT avg(l_extendedprice) FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100)) AS b)""")
+def a12_prediction_plausible(t):
+    lines = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
+    return A.prediction_plausible(t.orders, lines, "o_orderkey", "o_totalprice", "orders").withColumn("detail", F.lit(None).cast("string"))
