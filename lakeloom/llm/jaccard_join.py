@@ -2,12 +2,12 @@
 
 Texts with the same n-gram set are one set. Each of RUNS runs samples a token of every set by a min-wise order, so sets
 of similarity s choose the same token with probability s; sets with the same choice are a bucket. A bucket of at most
-SMALL sets is compared by brute force. A larger one is first compared with one of its sets, the pivot: sets that are
-very like it can't be like anything that the pivot isn't linked to, and leave; sets linked to the pivot are already
-connected. What is left is split again on further sampled tokens, until buckets are small or all connected.
-Comparisons use signatures of COORDINATES min-wise values and a threshold well below the join's, and give candidate
-edges, one for each set of a bucket at most. A pair of similarity 0.8 misses one run's first choice with probability
-0.2, all ten with 0.2**10 = 1e-7, and each further split with 0.04; so the expected recall is over 0.9999.
+SMALL sets is compared by brute force. A larger one is dealt into parts of that size, each with the same few sets of the
+bucket as pivots; where three quarters of a bucket turn out to be connected through the pivots, it is as dense as splitting
+could make it, and the rest is compared with all of it, block by block. Other large buckets are split again on further
+sampled tokens. Comparisons use signatures of COORDINATES min-wise values and a threshold well below the join's, and
+give candidate edges, one for each set of a part at most. A pair of similarity 0.8 misses one run's first choice with
+probability 0.2, all ten with 0.2**10 = 1e-7, and each further split with 0.04; so the expected recall is over 0.9999.
 
 Connected candidates then meet with their whole n-gram sets, in blocks of BLOCK against BLOCK for large groups, where
 every pair is decided exactly. Pairs are counted where they are found and never become rows: a set has its number of
@@ -19,12 +19,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ._common import pieces, written
 from ._text import mix, randoms, shingles, word_hashes
@@ -36,9 +34,10 @@ COORDINATES = 64
 RUNS = 10
 BRANCHES = 2
 SMALL = 64
-DEPTH = 12
+DEPTH = 8
+PIVOTS = 16
+DENSE = 0.75
 LINK = 36
-LEAVE = 60
 BLOCK = 96
 _MULTIPLIERS = randoms(COORDINATES, 71)
 
@@ -116,65 +115,109 @@ def _fixed(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of small buckets: every set with the first set of its connected part of the bucket."""
-    for table, at in runs_of(batches, ["path"]):
-        ids, sig = table["set_id"].to_numpy(), _fixed(table["sig"], "<u4", COORDINATES)
-        size = np.diff(at)
-        two = at[:-1][size == 2]
-        like = (sig[two] == sig[two + 1]).sum(axis=1) >= LINK
-        a, b = [ids[two[like]]], [ids[two[like] + 1]]
-        for begin, end in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Connected parts of each group (path, x, y): for every set that isn't a guest, or is in the group with x = y = 0,
+    the first set of its part (root) and the smallest guest in it (label; null if none)."""
+    for table, at in runs_of(batches, ["path", "x", "y"]):
+        path, x, y, ids = (table[c].to_numpy() for c in ("path", "x", "y", "set_id"))
+        guest, sig = table["guest"].to_numpy(), _fixed(table["sig"], "<u4", COORDINATES)
+        root, label, linked = ids.copy(), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        two = at[:-1][np.diff(at) == 2]
+        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LINK]
+        root[two + 1] = root[two]
+        for g in (0, 1):
+            some = two[guest[two + g]]
+            label[some] = label[some + 1] = ids[some + g]
+            linked[some] = linked[some + 1] = True
+        for begin, end in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist(), strict=True):
             own = sig[begin:end]
-            x, y = np.nonzero(np.triu((own[:, None, :] == own[None, :, :]).sum(axis=2) >= LINK, 1))
             forest = _Forest(end - begin)
-            forest.join(zip(x.tolist(), y.tolist(), strict=True))
-            root = forest.roots()
-            some = np.flatnonzero(root != np.arange(len(root)))
-            a.append(ids[begin + root[some]])
-            b.append(ids[begin + some])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-
-@F.pandas_udf(IntegerType())
-def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-    same = np.frombuffer(b"".join(x), "<u4") == np.frombuffer(b"".join(y), "<u4")
-    return pd.Series(same.reshape(-1, COORDINATES).sum(axis=1).astype(np.int32))
+            for i in range(0, end - begin, 32):
+                a, b = np.nonzero((own[i : i + 32, None, :] == own[None, :, :]).sum(axis=2) >= LINK)
+                above = b > a + i
+                forest.join(zip((a[above] + i).tolist(), b[above].tolist(), strict=True))
+            up = forest.roots()
+            root[begin:end] = ids[begin + up]
+            guests = np.flatnonzero(guest[begin:end])
+            if len(guests):
+                low = np.full(end - begin, np.iinfo(np.int64).max)
+                np.minimum.at(low, up[guests], ids[begin + guests])
+                label[begin:end], linked[begin:end] = low[up], low[up] != np.iinfo(np.int64).max
+        told = np.flatnonzero(~guest | ((x == 0) & (y == 0)) | (root != ids))
+        keep = pa.array(told)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(path[told]), pa.array(ids[told]), pa.array(root[told]), pa.array(label[told], mask=~linked[told]), pa.array((~guest | ((x == 0) & (y == 0)))[told]), table["n"].take(keep).combine_chunks(), table["sig"].take(keep).combine_chunks()],
+            ["path", "set_id", "root", "label", "own", "n", "sig"],
+        )
+
+
+_FOUND = "path long, set_id long, root long, label long, own boolean, n long, sig binary"
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """_compare over rows (path, n, x, y, guest, set_id, sig), written."""
+    rows = rows.select("path", "n", "x", "y", "guest", "set_id", "sig")
+    return written(rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_compare, _FOUND))
 
 
 def _coordinate(i: int):
     return F.substring("sig", 4 * i + 1, 4)
 
 
+def _part(n, size: int):
+    """Of how many parts, and which one of them a set is in."""
+    parts = F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    return parts, F.pmod(F.xxhash64("set_id", F.lit("part")), parts).cast("int")
+
+
+def _against(guests: DataFrame, members: DataFrame, size: int = 256) -> DataFrame:
+    """Rows (path, n, x, y, guest, ...) that bring every guest of a path to every member, in blocks: guests
+    (path, n, n_guests, set_id, sig), members alike."""
+    by_member, member_part = _part(F.col("n"), size)
+    by_guest, guest_part = _part(F.col("n_guests"), size)
+    g = guests.withColumn("x", guest_part).withColumn("y", F.explode(F.sequence(F.lit(0), by_member - 1))).withColumn("guest", F.lit(True))
+    m = members.withColumn("y", member_part).withColumn("x", F.explode(F.sequence(F.lit(0), by_guest - 1))).withColumn("guest", F.lit(False))
+    columns = ["path", "n", "x", "y", "guest", "set_id", "sig"]
+    return g.select(*columns).union(m.select(*columns))
+
+
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between sets (set_id, sig) that connect all pairs whose signatures agree in LINK coordinates, as far
     as a run brings them together."""
     paths = F.array(*[F.xxhash64(F.lit(r), _coordinate(r)) for r in range(RUNS)])
-    state = sets.select("set_id", F.col("set_id").alias("part"), F.explode(paths).alias("path"))
+    state = sets.select("set_id", F.explode(paths).alias("path"))
     edges = []
     for depth in range(DEPTH + 1):
-        counts = state.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by("set_id", F.xxhash64("set_id", F.lit(depth))).alias("pivot"))
-        open_ones = counts.where("n > 1 AND lo <> hi").select("path", "n", "pivot")
-        members = written(state.join(open_ones, "path").join(sets, "set_id").select("path", "set_id", "part", "n", "pivot", "sig"))
-        small = members.where(F.col("n") <= SMALL).select("path", "set_id", "sig")
-        edges.append(written(small.repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")))
+        counts = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = written(state.join(counts, "path").join(sets, "set_id").select("path", "set_id", "n", "sig"))
+        zero = F.lit(0)
+        edges.append(_compared(members.where(F.col("n") <= SMALL).select("*", zero.alias("x"), zero.alias("y"), F.lit(False).alias("guest"))))
         large = members.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        if depth == DEPTH:  # exact way for what no token splits: blocks of the bucket against each other
-            edges.append(written(_in_blocks(large, SMALL // 2, ["path"], "n").select("path", "x", "y", "set_id", "sig").withColumn("path", F.xxhash64("path", "x", "y")).repartition("path").sortWithinPartitions("path").mapInArrow(_small_buckets, "a long, b long")))
+        if depth == DEPTH:  # exact way for what no token splits
+            everyone = large.withColumn("n_guests", F.col("n"))
+            edges.append(_compared(_against(everyone, everyone)))
             break
-        pivots = sets.select(F.col("set_id").alias("pivot"), F.col("sig").alias("pivot_sig"))
-        met = written(large.join(pivots, "pivot").withColumn("agree", _agreement("sig", "pivot_sig")).drop("pivot_sig"))
-        linked = (F.col("agree") >= LINK) & (F.col("set_id") != F.col("pivot"))
-        edges.append(met.where(linked).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
+        parts, part = _part(F.col("n"), SMALL)
+        pivot = F.pmod(F.xxhash64("set_id", "path"), F.col("n")) < PIVOTS
+        dealt = large.withColumn("guest", pivot).withColumn("x", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part)))).withColumn("y", F.lit(0))
+        found = _compared(dealt)
+        edges.append(found)
+        sizes = found.where("own").groupBy("path", "label").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("path").agg(F.max_by("label", F.when(F.col("label").isNotNull(), F.col("size"))).alias("main"), F.max(F.when(F.col("label").isNotNull(), F.col("size"))).alias("held"))
+        judged = written(found.where("own").join(main, "path").select("path", "set_id", "n", "sig", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("inside"), (F.coalesce("held", F.lit(0)) >= DENSE * F.col("n")).alias("dense"), (F.col("n") - F.col("held")).alias("n_guests")))
+        rest = judged.where("dense AND n_guests > 0")
+        edges.append(_compared(_against(rest.where("NOT inside"), rest.where("inside OR NOT inside"))))
         first = RUNS + BRANCHES * depth
         further = F.array(*[F.xxhash64("path", F.lit(j), _coordinate((first + j) % COORDINATES)) for j in range(BRANCHES)])
-        rest = met.where((F.col("agree") < LEAVE) | (F.col("set_id") == F.col("pivot")))
-        state = written(rest.select("set_id", F.when(F.col("agree") >= LINK, F.col("pivot")).otherwise(F.col("part")).alias("part"), F.explode(further).alias("path")))
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
+        state = written(judged.where("NOT dense").select("set_id", F.explode(further).alias("path")))
+        if state.isEmpty():
+            break
+    out = None
+    for more in edges:
+        pairs = more.where("root <> set_id").select(F.col("root").alias("a"), F.col("set_id").alias("b"))
+        out = pairs if out is None else out.union(pairs)
     return out.distinct()
 
 

@@ -37,11 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their toxic label, of the documents that labels may be learned from."""
-    return docs.select("doc_id", "text").where(~held_out()).join(labels.select("doc_id", "toxic").where("toxic is not null"), "doc_id")
-
-
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -65,7 +60,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = learn_toxicity(labelled_texts(docs, labels))
+    model = learn_toxicity(docs, labels.where(~held_out()))
     return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out()})
 
 

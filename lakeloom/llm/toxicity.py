@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ._common import pieces, written
 from ._text import mix, randoms
@@ -80,14 +82,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def learn_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", features: int = 4096, rows: int = 20_000, alpha: float = 1.0) -> Model:
-    """Model from labelled texts (rows with a null label are left out; a null text is empty).
+def learn_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", features: int = 4096, rows: int = 20_000, alpha: float = 1.0) -> Model:
+    """Model from texts with a label (rows with a null label or id are left out; a null text is empty).
 
-    The log-count ratios come from all labelled texts; the `features` buckets whose counts differ most between the
-    labels (chi-square) are kept. The regression is fitted on about `rows` rows, taken by a hash of the id: that is the
-    documented bound of what the fit reads. Without rows of both labels, every score is the smoothed share of label 1.
+    About `rows` labelled rows are learned from, taken by a hash of the id: that is the documented bound of the fit, and
+    the bound of the labels that are broadcast to pick the texts. The `features` buckets whose counts differ most
+    between the labels (chi-square) are kept. Without rows of both labels, every score is the smoothed share of label 1.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) == 1).cast("int").alias("label"))
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
+    share = rows / max(1, marked.count())
+    if share < 1:
+        marked = marked.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id").select("id", "text", "label"))
     per_label = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     p, q = per_label.get(1, 0), per_label.get(0, 0)
     prior = float(np.log((p + 1) / (q + 1))) if p + q else float(np.log(1 / 9))
@@ -118,9 +124,7 @@ def learn_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
     buckets = best["bucket"].to_numpy()
     ratio = np.log((alpha + best["p"].to_numpy()) / (alpha + p)) - np.log((alpha + best["q"].to_numpy()) / (alpha + q))
     chosen = Model(buckets, ratio, 0.0)
-    share = min(1.0, rows / (p + q))
-    sample = known if share >= 1 else known.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
-    shared = labelled.sparkSession.sparkContext.broadcast(chosen)  # a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)  # a fixed size
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -130,7 +134,7 @@ def learn_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
                 begins = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([block.column(2), pa.ListArray.from_arrays(begins, pa.array(place, pa.int32())), pa.ListArray.from_arrays(begins, pa.array(model.weights[place]))], ["label", "at", "value"])
 
-    rows_in = written(sample.mapInArrow(scaled, "label int, at array<int>, value array<double>"))
+    rows_in = written(known.mapInArrow(scaled, "label int, at array<int>, value array<double>"))
     to_vector = F.udf(lambda at, value: SparseVector(len(buckets), at, value), VectorUDT())
     fitted = LogisticRegression(regParam=1e-3, maxIter=40, standardization=False, labelCol="y", featuresCol="x").fit(
         rows_in.select(F.col("label").cast("double").alias("y"), to_vector("at", "value").alias("x"))
@@ -156,3 +160,16 @@ def score_toxicity(docs: DataFrame, model: Model, keep: dict[str, Column], text_
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(scores, f"{fields}, score double, predicted int")
+
+
+def toxicity_column(spark: SparkSession, model: Model, text_col: str) -> Column:
+    """The score of a text column as a column expression, for filters: other columns stay in the JVM."""
+    shared = spark.sparkContext.broadcast(model)  # a fixed size
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+        parts = [shared.value.score(own) for _, own in pieces(batch, 0)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score(F.col(text_col))
