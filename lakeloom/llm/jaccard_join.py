@@ -115,49 +115,61 @@ def _fixed(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Connected parts of each group (path, x, y): for every set that isn't a guest, or is in the group with x = y = 0,
-    the first set of its part (root) and the smallest guest in it (label; null if none)."""
-    for table, at in runs_of(batches, ["path", "x", "y"]):
-        path, x, y, ids = (table[c].to_numpy() for c in ("path", "x", "y", "set_id"))
-        guest, sig = table["guest"].to_numpy(), _fixed(table["sig"], "<u4", COORDINATES)
-        root, label, linked = ids.copy(), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-        two = at[:-1][np.diff(at) == 2]
-        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LINK]
-        root[two + 1] = root[two]
-        for g in (0, 1):
-            some = two[guest[two + g]]
-            label[some] = label[some + 1] = ids[some + g]
-            linked[some] = linked[some + 1] = True
-        for begin, end in zip(at[:-1][np.diff(at) > 2].tolist(), at[1:][np.diff(at) > 2].tolist(), strict=True):
-            own = sig[begin:end]
-            forest = _Forest(end - begin)
-            for i in range(0, end - begin, 32):
-                a, b = np.nonzero((own[i : i + 32, None, :] == own[None, :, :]).sum(axis=2) >= LINK)
-                above = b > a + i
-                forest.join(zip((a[above] + i).tolist(), b[above].tolist(), strict=True))
-            up = forest.roots()
-            root[begin:end] = ids[begin + up]
-            guests = np.flatnonzero(guest[begin:end])
-            if len(guests):
-                low = np.full(end - begin, np.iinfo(np.int64).max)
-                np.minimum.at(low, up[guests], ids[begin + guests])
-                label[begin:end], linked[begin:end] = low[up], low[up] != np.iinfo(np.int64).max
-        told = np.flatnonzero(~guest | ((x == 0) & (y == 0)) | (root != ids))
-        keep = pa.array(told)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(path[told]), pa.array(ids[told]), pa.array(root[told]), pa.array(label[told], mask=~linked[told]), pa.array((~guest | ((x == 0) & (y == 0)))[told]), table["n"].take(keep).combine_chunks(), table["sig"].take(keep).combine_chunks()],
-            ["path", "set_id", "root", "label", "own", "n", "sig"],
-        )
-
-
-_FOUND = "path long, set_id long, root long, label long, own boolean, n long, sig binary"
-
-
-def _compared(rows: DataFrame) -> DataFrame:
-    """_compare over rows (path, n, x, y, guest, set_id, sig), written."""
-    rows = rows.select("path", "n", "x", "y", "guest", "set_id", "sig")
-    return written(rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_compare, _FOUND))
+def _compare(labels: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Connected parts of each group (path, x, y): each set with the smallest guest of its part, or else the smallest set
+    (root). With `labels`, every set once with its guest (label; null if none) and signature. Sets marked `main` are
+    known to be connected: of those in a part, one tells of it."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in runs_of(batches, ["path", "x", "y"]):
+            path, x, y, ids, guest, main = (table[c].to_numpy() for c in ("path", "x", "y", "set_id", "guest", "main"))
+            sig = _fixed(table["sig"], "<u4", COORDINATES)
+            root, linked = ids.copy(), guest.copy()
+            size = np.diff(at)
+            two = at[:-1][size == 2]
+            a = two[(sig[two] == sig[two + 1]).sum(axis=1) >= LINK]
+            b = a + 1
+            low = np.where(guest[a] == guest[b], np.minimum(ids[a], ids[b]), np.where(guest[a], ids[a], ids[b]))
+            root[a] = root[b] = low
+            linked[a] = linked[b] = guest[a] | guest[b]
+            drop = b[main[a] & main[b]]
+            told = np.ones(len(ids), bool)
+            told[drop] = False
+            for begin, end in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+                own, mine, guests = sig[begin:end], ids[begin:end], guest[begin:end]
+                forest = _Forest(end - begin)
+                for i in range(0, end - begin, 32):
+                    p, q = np.nonzero((own[i : i + 32, None, :] == own[None, :, :]).sum(axis=2) >= LINK)
+                    above = q > p + i
+                    forest.join(zip((p[above] + i).tolist(), q[above].tolist(), strict=True))
+                up = forest.roots()
+                smallest, least_guest = (np.full(end - begin, np.iinfo(np.int64).max) for _ in range(2))
+                np.minimum.at(smallest, up, mine)
+                np.minimum.at(least_guest, up[guests], mine[guests])
+                has = (least_guest != np.iinfo(np.int64).max)[up]
+                root[begin:end] = np.where(has, least_guest[up], smallest[up])
+                linked[begin:end] = has
+                known = np.flatnonzero(main[begin:end])
+                told[begin + np.setdiff1d(known, known[np.unique(up[known], return_index=True)[1]])] = False
+            edge = (root != ids) & told
+            if not labels:
+                yield pa.RecordBatch.from_arrays([pa.array(root[edge]), pa.array(ids[edge])], ["root", "set_id"])
+                continue
+            once = ~guest | ((x == 0) & (y == 0))
+            rows = np.flatnonzero(once)
+            keep = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(path[rows]), pa.array(ids[rows]), pa.array(root[rows]), pa.array(root[rows], mask=~linked[rows]), table["n"].take(keep).combine_chunks(), table["sig"].take(keep).combine_chunks()],
+                ["path", "set_id", "root", "label", "n", "sig"],
+            )
+
+    return compare
+
+
+def _compared(rows: DataFrame, labels: bool = False) -> DataFrame:
+    """_compare over rows (path, n, x, y, guest, main, set_id, sig), written."""
+    rows = rows.select("path", "n", "x", "y", "guest", "main", "set_id", "sig").repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+    return written(rows.mapInArrow(_compare(labels), "path long, set_id long, root long, label long, n long, sig binary" if labels else "root long, set_id long"))
 
 
 def _coordinate(i: int):
@@ -172,12 +184,12 @@ def _part(n, size: int):
 
 def _against(guests: DataFrame, members: DataFrame, size: int = 256) -> DataFrame:
     """Rows (path, n, x, y, guest, ...) that bring every guest of a path to every member, in blocks: guests
-    (path, n, n_guests, set_id, sig), members alike."""
+    (path, n, n_guests, main, set_id, sig), members alike."""
     by_member, member_part = _part(F.col("n"), size)
     by_guest, guest_part = _part(F.col("n_guests"), size)
     g = guests.withColumn("x", guest_part).withColumn("y", F.explode(F.sequence(F.lit(0), by_member - 1))).withColumn("guest", F.lit(True))
     m = members.withColumn("y", member_part).withColumn("x", F.explode(F.sequence(F.lit(0), by_guest - 1))).withColumn("guest", F.lit(False))
-    columns = ["path", "n", "x", "y", "guest", "set_id", "sig"]
+    columns = ["path", "n", "x", "y", "guest", "main", "set_id", "sig"]
     return g.select(*columns).union(m.select(*columns))
 
 
@@ -190,25 +202,25 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         counts = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         members = written(state.join(counts, "path").join(sets, "set_id").select("path", "set_id", "n", "sig"))
-        zero = F.lit(0)
-        edges.append(_compared(members.where(F.col("n") <= SMALL).select("*", zero.alias("x"), zero.alias("y"), F.lit(False).alias("guest"))))
+        zero, no = F.lit(0), F.lit(False)
+        edges.append(_compared(members.where(F.col("n") <= SMALL).select("*", zero.alias("x"), zero.alias("y"), no.alias("guest"), no.alias("main"))))
         large = members.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         if depth == DEPTH:  # exact way for what no token splits
-            everyone = large.withColumn("n_guests", F.col("n"))
+            everyone = large.withColumn("n_guests", F.col("n")).withColumn("main", no)
             edges.append(_compared(_against(everyone, everyone)))
             break
         parts, part = _part(F.col("n"), SMALL)
         pivot = F.pmod(F.xxhash64("set_id", "path"), F.col("n")) < PIVOTS
-        dealt = large.withColumn("guest", pivot).withColumn("x", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part)))).withColumn("y", F.lit(0))
-        found = _compared(dealt)
+        dealt = large.withColumn("guest", pivot).withColumn("x", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part)))).withColumn("y", zero).withColumn("main", no)
+        found = _compared(dealt, labels=True)
         edges.append(found)
-        sizes = found.where("own").groupBy("path", "label").agg(F.count(F.lit(1)).alias("size"))
+        sizes = found.groupBy("path", "label").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("path").agg(F.max_by("label", F.when(F.col("label").isNotNull(), F.col("size"))).alias("main"), F.max(F.when(F.col("label").isNotNull(), F.col("size"))).alias("held"))
-        judged = written(found.where("own").join(main, "path").select("path", "set_id", "n", "sig", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("inside"), (F.coalesce("held", F.lit(0)) >= DENSE * F.col("n")).alias("dense"), (F.col("n") - F.col("held")).alias("n_guests")))
-        rest = judged.where("dense AND n_guests > 0")
-        edges.append(_compared(_against(rest.where("NOT inside"), rest.where("inside OR NOT inside"))))
+        judged = written(found.join(main, "path").select("path", "set_id", "n", "sig", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("inside"), (F.coalesce("held", F.lit(0)) >= DENSE * F.col("n")).alias("dense"), (F.col("n") - F.col("held")).alias("n_guests")))
+        rest = judged.where("dense AND n_guests > 0").withColumn("main", F.col("inside"))
+        edges.append(_compared(_against(rest.where("NOT inside"), rest)))
         first = RUNS + BRANCHES * depth
         further = F.array(*[F.xxhash64("path", F.lit(j), _coordinate((first + j) % COORDINATES)) for j in range(BRANCHES)])
         state = written(judged.where("NOT dense").select("set_id", F.explode(further).alias("path")))
