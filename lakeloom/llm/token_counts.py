@@ -25,7 +25,7 @@ from ._common import pieces
 #: A pre-token of at least this share of a block's documents is counted in the block, so no join key is very frequent.
 FREQUENT = 1 / 64
 # Unicode white space; Python's split() has U+001C to U+001F besides.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _TOKENIZERS: dict = {}
 

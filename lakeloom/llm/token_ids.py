@@ -51,11 +51,10 @@ def encode_words(codes: np.ndarray) -> np.ndarray:
         half = top[w // 2]
         top[w] = half.copy()
         np.maximum(half[: -(w // 2)], half[w // 2 :], out=top[w][: -(w // 2)])
-    choice = np.full(n, len(PER_WORD) - 1, np.int8)
-    for s in range(len(PER_WORD) - 2, -1, -1):
-        w = PER_WORD[s]
+    choice = np.zeros(n, np.int8)  # what fits a selector also fits all wider ones
+    for s, w in enumerate(PER_WORD[:-1]):
         p = 1 << (w.bit_length() - 1)
-        choice[np.maximum(top[p][:n], top[p][w - p : w - p + n]) <= s] = s
+        choice += np.maximum(top[p][:n], top[p][w - p : w - p + n]) > s
     jump = np.array(PER_WORD)[choice]
     starts, i, steps = [], 0, jump.tolist()
     while i < n:
@@ -102,7 +101,7 @@ class Encoder:
     with longer runs, two at its end, other white space, or a special token's first characters goes to the library whole.
     """
 
-    other_space = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
+    other_space = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     runs = re.compile(r"[ \n][ \n](?:[ \n]|\Z)")
 
     def __init__(self, file: str, most: int = 600_000):
@@ -111,9 +110,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what was met lately, and before that: bits that are met again move up
+        self.earlier: dict[str, bytes] = {}
         self.most = most
-        self.ends = {"": b""} | dict(zip(".,", self._library([".", ","]), strict=True))
+        self.ends = dict(zip(".,", self._library([".", ","]), strict=True))
 
     def whole(self, text: str) -> bool:
         """Does the text go to the library as a whole?"""
@@ -125,16 +125,21 @@ class Encoder:
 
     def _learn(self, bit: str) -> bytes:
         """Ids of a bit that isn't known yet. A run of letters, maybe after a space, is one pre-token: it goes straight to the merges."""
-        word, end = (bit[:-1], bit[-1:]) if bit[-1:] in self.ends else (bit, "")
-        if (word[1:] if word[:1] == " " else word).isalpha():
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
-            return struct.pack(f"<{len(ids)}I", *ids) + self.ends[end]
+        if bit[-1:] in self.ends and bit[-2:-1].isalpha():  # a full stop or comma after a letter is a pre-token of its own
+            word = bit[:-1]
+            own = self.known.get(word)
+            if own is None:
+                own = self.known[word] = self.earlier.get(word) or self._learn(word)
+            return own + self.ends[bit[-1]]
+        if (bit[1:] if bit[:1] == " " else bit).isalpha():
+            ids = [t.id for t in self.tokenizer.model.tokenize(bit.encode().decode("latin-1").translate(BYTE_SIGNS))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         return self._library([bit])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        known, learn, others = self.known, self._learn, []
+        known, earlier, learn, others = self.known, self.earlier, self._learn, []
         for i, text in enumerate(texts):
             if self.whole(text):
                 others.append(i)
@@ -144,9 +149,9 @@ class Encoder:
             if None in own:
                 for j, ids in enumerate(own):
                     if ids is None:
-                        own[j] = known[bits[j]] = learn(bits[j])
+                        own[j] = known[bits[j]] = earlier.get(bits[j]) or learn(bits[j])
                 if len(known) > self.most:
-                    known.clear()
+                    self.known, self.earlier = known, earlier = {}, known
             out[i] = b"".join(own)
         for i, ids in zip(others, self._library([texts[i] for i in others]), strict=True):
             out[i] = ids
