@@ -124,6 +124,27 @@ def test_leaks(spark):
     assert find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), bench.where("item_id < 0")).count() == 0
 
 
+def test_leaks_equal_plain_alignment_at_all_edit_rates(spark):
+    rng = random.Random(31)
+    items = [[f"m{rng.randrange(60 if i % 2 else 2000)}" for _ in range(rng.choice([4, 5, 9, 16, 30]))] for i in range(12)]
+    items.append([f"z{i}" for i in range(24)])
+    docs = [list(items[12]), [f"e{i}" if i % 8 == 3 else w for i, w in enumerate(items[12])], [x for w in items[12] for x in (w, "in")], [f"e{i}" if i % 4 == 3 else w for i, w in enumerate(items[12])]]
+    for rate in (0.05, 0.1, 0.2, 0.3):
+        for item in items * 2:
+            copy = []
+            for w in item:
+                kind = rng.choice("sid") if rng.random() < rate else ""
+                copy += {"": [w], "s": [f"x{rng.randrange(10**9)}"], "i": [w, f"x{rng.randrange(10**9)}"], "d": []}[kind]
+            pad = [f"m{rng.randrange(60)}" for _ in range(rng.randrange(20))]
+            docs.append(pad + copy + pad[::-1])
+    want = {(d, i): s for d, x in enumerate(docs) for i, y in enumerate(items) if (s := plain_align(y, x)) >= 0.5}
+    found = find_leaks(
+        spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    ).collect()
+    assert len(found) == len(want) and {(1, 12), (2, 12), (3, 12)} <= want.keys()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in found} == want
+
+
 @pytest.mark.parametrize("land", [False, True])
 def test_flight_keeps_totals(land):
     rng = np.random.default_rng(4)
