@@ -7,7 +7,7 @@ import pytest
 
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.decontaminate import align, find_leaks
-from lakeloom.llm.jaccard_join import gram_sets, jaccard_join
+from lakeloom.llm.jaccard_join import COORDINATES, RUNS, candidate_edges, gram_sets, jaccard_join
 from lakeloom.llm.mixing import fly, mix_sources
 from lakeloom.llm.topk import top_k_products
 
@@ -59,6 +59,18 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got[2].n_copies == 2 and got[0].n_copies == 1
 
 
+def test_large_buckets_are_split_on_tokens_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2**32, (640, COORDINATES), dtype=np.uint32).astype("<u4")
+    sig[:, :RUNS] = 1  # all runs have all sets in one bucket, which is not dense
+    for i in range(40):
+        sig[600 + i] = sig[i]
+        sig[600 + i, RUNS + i % 8 * 2 : RUNS + i % 8 * 2 + 2] = 0
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "set_id long, sig binary")
+    edges = candidate_edges(sets).collect()
+    assert {(min(e.a, e.b), max(e.a, e.b)) for e in edges} == {(i, 600 + i) for i in range(40)}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
