@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; docs has the columns of
-documents, and so has what every stage but the last returns. Rows are told apart by doc_id; a null id counts as one id.
+documents, and so has what every stage but the last returns. Ids may be null or repeat: stages number the rows when they begin, and decide and join on that.
 """
 
 from __future__ import annotations
@@ -24,29 +24,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity_column(spark, model, "text") < 0.3)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written, with a number of each row: `_row`."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one with the smallest id (one of them, if rows repeat it)."""
-    classes = jaccard_join(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    repeated = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return rows
-    again = rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_anti").unionByName(again)
+    """One row of each class of near duplicates: one with the smallest id, or without an id if all of them are."""
+    rows = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    classes = jaccard_join(rows.select(key.alias("key"), "text"), id_col="key")
+    kept = classes.where("key.row = class_id.row").select(F.col("key.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a copy of a benchmark item."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: 0, 1 or 2 times. Rows that repeat an id are all taken as often as one of them."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.min("times").alias("times")).where("times > 0")
-    rows = docs.join(times, docs.doc_id.eqNullSafe(times.doc_id)).select(*[docs[c] for c in docs.columns], "times")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
+    """Each row as often as the mix takes it: 0, 1 or 2 times."""
+    rows = numbered(docs)
+    times = mix_sources(rows, keep=("doc_id", "_row")).where("times > 0").select("_row", "times")
+    return rows.join(times, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import written
@@ -106,16 +106,34 @@ def source_targets(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), shar
     return ranked.select("src", "source", "source_size", "n_docs", F.least(cap, F.col("weight") * level).alias("target"))
 
 
-def _flight(names: list[str], key: str, seed: int, turn: int):
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows (.., mark, row) with `copy`, the number of the row among those of its mark, 0 for a mark of its own.
+
+    Rows of a mark are numbered inside each partition of `row`, after all of the partitions before, so a mark of many rows
+    is in many tasks.
+    """
+    counts = written(rows.groupBy("mark", F.shiftright("row", 33).alias("part")).count())
+    repeated = written(counts.groupBy("mark").agg(F.sum("count").alias("all")).where("all > 1").select("mark"))
+    if repeated.isEmpty():
+        return rows.drop("row").withColumn("copy", F.lit(0).cast("long"))
+    before = Window.partitionBy("mark").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.join(repeated, "mark").select("mark", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("mark", "part").orderBy("row")
+    some = rows.select("mark", "row", F.shiftright("row", 33).alias("part")).join(repeated, "mark", "left_semi")
+    copies = some.withColumn("at", F.row_number().over(inside) - 1).join(bases, ["mark", "part"]).select("row", (F.col("at") + F.col("base")).alias("copy"))
+    return rows.join(copies, "row", "left").drop("row").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+
+
+def _flight(names: list[str], seed: int, turn: int):
     """The flight over one block, as a function of its table."""
 
     def run(table: pa.Table) -> pa.Table:
         src, block, last = (table[c][0].as_py() for c in ("src", "block", "last"))
-        size, ids = table["size"].to_numpy(), table[key].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (-size[i], str(ids[i])))
+        size = table["size"].to_numpy()
+        order = np.lexsort((table["copy"].to_numpy(), table["mark"].to_numpy(), -size))
         random = np.random.default_rng([seed, turn, src, block])
         pi = table["pi"].to_numpy()
-        out = np.empty(len(ids))
+        out = np.empty(len(size))
         out[order] = fly(size[order], pi[order], random, last)
         return table.select(names).set_column(names.index("pi"), "pi", pa.array(out))
 
@@ -126,14 +144,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     """How often the mix takes each document: (columns of `keep`, size, source_size, target, times, taken).
 
     size: words of the text (0 for null); taken = times * size. One row for each input row; repeated rows are drawn
-    apart. Draws depend on the seed, the source's rank and the sizes and ids in a block alone, so reruns agree however
+    apart. Draws depend on the seed, the source's rank and the sizes, ids and texts in a block alone, so reruns agree however
     the input is partitioned. A document without words is taken 0 times; sources without words have the target 0.
-    Blocks are dealt by a hash of the first column of `keep`; rows that repeat its value many times share a block.
+    Blocks are dealt by a hash of the first column of `keep`, the text and, where rows repeat both, the number of the copy;
+    so neither null nor repeated ids gather in a block.
     """
-    key = keep[0]
-    rows = written(docs.select(*keep, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    mark = F.xxhash64(keep[0], F.col(text_col), F.col(source_col))
+    rows = written(docs.select(*keep, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mark.alias("mark"), F.monotonically_increasing_id().alias("row")))
+    rows = _marked(rows)
     targets = written(source_targets(rows, weights, share, most))
-    joined = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*[F.col(f"d.{c}") for c in keep], "size", "src", "source_size", "n_docs", "target")
+    joined = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*[F.col(f"d.{c}") for c in keep], "mark", "copy", "size", "src", "source_size", "n_docs", "target")
     rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     state = written(joined.withColumn("base", F.floor(rate).cast("int")).withColumn("pi", rate - F.floor(rate)).withColumn("left_over", F.col("n_docs")))
     decided = [state.where("pi = 0")]
@@ -144,9 +164,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     turn = 0
     while True:
         n_blocks = F.ceil(F.col("left_over") / BLOCK)
-        blocked = left.withColumn("last", n_blocks <= 1).withColumn("block", F.pmod(F.xxhash64(key, F.lit(seed + turn)), F.greatest(n_blocks, F.lit(1)))).drop("left_over")
+        blocked = left.withColumn("last", n_blocks <= 1).withColumn("block", F.pmod(F.xxhash64("mark", "copy", F.lit(seed + turn)), F.greatest(n_blocks, F.lit(1)))).drop("left_over")
 
-        flown = written(blocked.groupBy("src", "block").applyInArrow(_flight(names, key, seed, turn), schema))
+        flown = written(blocked.groupBy("src", "block").applyInArrow(_flight(names, seed, turn), schema))
         decided.append(flown.where("pi IN (0, 1)").select(*names))
         rest = flown.where("pi > 0 AND pi < 1")
         counts = rest.groupBy("src").agg(F.count(F.lit(1)).alias("left_over"))

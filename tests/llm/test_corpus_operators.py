@@ -224,3 +224,24 @@ def test_pipeline_stages_keep_the_columns(spark):
         out = stage(spark, docs, path)
         assert out.columns == docs.columns, name
         assert 0 < out.count()
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    path, rng = "/root/testdata/sf0.001", random.Random(3)
+    item = next(r.text for r in spark.read.parquet(f"{path}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 20)
+    text = lambda: " ".join(f"r{rng.randrange(10**6)}" for _ in range(30))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted((r.doc_id or 0, r.text) for r in stage(spark, frame(rows), path).collect())
+    one, two, three = text(), text(), text()
+    leaking = [(None, item, "en", "a", 1), (5, item, "en", "a", 1), (None, one, "en", "a", 1), (5, two, "en", "a", 1)]
+    assert left(corpus_pipeline.drop_leaks, leaking) == sorted([(0, one), (5, two)])
+    near = [(None, one, "en", "a", 1), (None, one + " more", "en", "a", 1), (None, two, "en", "a", 1), (9, two + " more", "en", "a", 1), (4, three, "en", "a", 1), (4, three + " more", "en", "a", 1)]
+    got = left(corpus_pipeline.drop_near_duplicates, near)
+    assert len(got) == 3 and [i for i, _ in got] == [0, 4, 9]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(["w"] * (i % 40 + 1)), "en", "ab"[i % 2], 1) for i in range(3000)]
+    target = dict(zip("ab", plain_targets([sum(len(r[1].split()) for r in rows if r[3] == s) for s in "ab"], [5, 2])))
+    mixed = corpus_pipeline.mix(spark, frame(rows), path).collect()
+    for s, t in target.items():
+        assert abs(sum(len(r.text.split()) for r in mixed if r.source == s) - t) <= 60
