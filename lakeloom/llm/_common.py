@@ -5,29 +5,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared one that the session names in spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a local session without that setting (a test) gets a temporary folder; elsewhere the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that `written` makes inside are removed at the end; those with `keep` belong to what is around it."""
+    folder = shared_dir(spark)
+    token = _SCRATCH.set((*_SCRATCH.get(), folder))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """df as a table written in the shared folder: lineage ends there, and losing executors costs nothing."""
-    path = shared_dir(df.sparkSession)
+    folders = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    path = f"{folders[-1]}/{uuid.uuid4().hex}" if folders else shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

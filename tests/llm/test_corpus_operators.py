@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lakeloom.llm import jaccard_join as J
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.decontaminate import align, find_leaks
 from lakeloom.llm.jaccard_join import COORDINATES, RUNS, candidate_edges, gram_sets, jaccard_join
@@ -59,7 +60,8 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got[2].n_copies == 2 and got[0].n_copies == 1
 
 
-def test_large_buckets_are_split_on_tokens_of_their_own(spark):
+def test_large_buckets_are_split_on_tokens_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(J, "HELD", 64)  # buckets that no task holds, at the size of a test
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 2**32, (640, COORDINATES), dtype=np.uint32).astype("<u4")
     sig[:, :RUNS] = 1  # all runs have all sets in one bucket, which is not dense
@@ -71,6 +73,56 @@ def test_large_buckets_are_split_on_tokens_of_their_own(spark):
     assert {(min(e.a, e.b), max(e.a, e.b)) for e in edges} == {(i, 600 + i) for i in range(40)}
 
 
+def test_buckets_inside_a_task_are_split_and_keep_pairs():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 3, (3000, COORDINATES), dtype=np.uint32).astype("<u4")  # a third agrees by chance
+    kept = 0
+    for pair in range(200):
+        sig[2 * pair + 1] = sig[2 * pair]
+        sig[2 * pair + 1, rng.permutation(COORDINATES)[:13]] = 9
+    groups = list(J._split(sig, np.arange(3000), np.random.default_rng(1), np.arange(RUNS, COORDINATES)))
+    assert max(map(len, groups)) <= J.SMALL
+    for pair in range(200):
+        kept += any({2 * pair, 2 * pair + 1} <= set(g.tolist()) for g in groups)
+    assert kept > 180  # of one run; there are ten
+
+
+def test_parts_of_a_bucket_equal_plain_components():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**32, (300, COORDINATES), dtype=np.uint32).astype("<u4")
+    for i in range(1, 200):
+        sig[i] = sig[i - 1] if i % 7 else sig[i]
+        sig[i, rng.permutation(COORDINATES)[: rng.integers(10, 34)]] = rng.integers(0, 2**32)
+    near = (sig[:, None] == sig[None]).sum(2) >= J.LINK
+    want = J._roots(near & ~np.eye(300, dtype=bool))
+    assert (J.connect(sig) == want).all()
+    known = np.zeros(300, bool)
+    known[[5, 250, 299]] = True
+    part = J.connect(sig, known)
+    assert len({*part[known]}) == 1 and len({*part}) == len({*want} - {want[250], want[299]})
+
+
+def test_jaccard_join_of_a_dense_bucket_that_no_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(J, "HELD", 64)
+    monkeypatch.setattr(J, "BLOCK_SETS", 40)
+    rng = random.Random(6)
+    base = [f"d{i}" for i in range(150)]
+    texts = [edited(rng, base, rng.randrange(1, 5)) for _ in range(300)] + [edited(rng, base, 12) for _ in range(40)]
+    texts += ["", " ".join(base) * 40]
+    got = {r.doc_id: r for r in jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    classes, links = plain_join(texts)
+    assert [got[i].class_id for i in range(len(texts))] == classes
+    assert [got[i].n_links for i in range(len(texts))] == links
+
+
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(None, text), (None, text + " more"), (4, text), (4, text), (4, "something else, by the same id"), (None, "alone and without an id"), (9, None)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.class_id or 0, r.n_links) for r in got) == [(0, 0), (4, 0), (4, 1), (4, 1), (4, 1), (4, 1), (9, 0)]
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
