@@ -1,15 +1,19 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark leaks, source mix, token ids.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; docs has the columns of
-documents, and so has what every stage but the last returns. Ids may be null or repeat: stages number the rows when they begin, and decide and join on that.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; docs is a table of documents as read
+from files, and every stage but the last returns the same columns. Ids may be null or repeat: stages decide by row, and a
+row's key is its file and its place there. Intermediate tables of a stage are removed when its decisions are written. An empty
+table gives an empty result; a null text is never toxic, a duplicate or a leak, and has no words to mix.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._common import held_out, written
+from lakeloom.llm._bloom import without
+from lakeloom.llm._common import held_out, scratch, written
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.jaccard_join import jaccard_join
 from lakeloom.llm.mixing import mix_sources
@@ -19,41 +23,52 @@ from lakeloom.llm.toxicity import learn_toxicity, toxicity_column
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.3. Labels of the held-out quarter aren't learned from."""
+    """Rows whose toxicity score is under 0.3, one by one: repeated rows have the same score. Labels of the held-out
+    quarter aren't learned from."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return docs.where(toxicity_column(spark, model, "text") < 0.3)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written, with a number of each row: `_row`."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, `_row`: its file and its place there. Rows of no file are written to one first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("_row"))
+    except AnalysisException:
+        return keyed(written(docs, keep=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: one with the smallest id, or without an id if all of them are."""
-    rows = numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    classes = jaccard_join(rows.select(key.alias("key"), "text"), id_col="key")
-    kept = classes.where("key.row = class_id.row").select(F.col("key.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    with scratch(spark):
+        key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+        classes = jaccard_join(rows.select(key.alias("key"), "text"), id_col="key")
+        rejected = written(classes.where("key.row <> class_id.row").select(F.col("key.row").alias("_row")), keep=True)
+    return without(rows, rejected, "_row").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a copy of a benchmark item."""
-    rows = numbered(docs)
-    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct()
-    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
+    """Rows without a copy of a benchmark item. Of repeated rows all stay or go."""
+    rows = keyed(docs)
+    with scratch(spark):
+        leaks = written(find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct(), keep=True)
+    return without(rows, leaks, "_row").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: 0, 1 or 2 times."""
-    rows = numbered(docs)
-    times = mix_sources(rows, keep=("doc_id", "_row")).where("times > 0").select("_row", "times")
-    return rows.join(times, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
+    """Each row as often as the mix takes it: 0, 1 or 2 times; repeated rows are drawn apart.
+
+    Most rows are taken, so both sides of the join grow with the table: neither is broadcast at any size.
+    """
+    rows = keyed(docs)
+    with scratch(spark):
+        times = written(mix_sources(rows, keep=("doc_id", "_row")).where("times > 0").select("_row", "times"), keep=True)
+    return rows.join(times.hint("merge"), "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of all rows in id order, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Token-id files of all rows in id order, null ids first, read back: (doc_id, start, n_tokens, ids_crc32), a row for each row."""
     return token_id_table(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
