@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,15 @@ def encode_words(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.zeros(0, "<u8")
-    codes = codes.astype(_U)
-    if int(codes.max()) >> 60:
+    most = int(codes.max())
+    if most >> 60:
         raise ValueError("a code needs more than 60 bits")
-    need = np.searchsorted(np.array([(1 << w) - 1 for w in WIDTHS], _U), codes).astype(np.int8)  # narrowest selector of each code
+    limits = np.array([(1 << w) - 1 for w in WIDTHS], _U)
+    codes = codes.astype(_U)
+    if most < 1 << 20:  # the narrowest selector of each code, by a table where that is small
+        need = np.searchsorted(limits, np.arange(most + 1, dtype=_U)).astype(np.int8)[codes.astype(np.int64)]
+    else:
+        need = np.searchsorted(limits, codes).astype(np.int8)
     # choice[i]: the narrowest selector s with need <= s over the PER_WORD[s] codes from i, or up to the end
     top = {1: np.concatenate([need, np.zeros(64, np.int8)])}  # the largest need of so many codes from each
     for w in (2, 4, 8, 16, 32):
@@ -97,8 +103,9 @@ class Encoder:
     """Ids of whole texts, as the tokenizers library gives them.
 
     Byte-level BPE breaks a text before each space that a visible character follows and around each line feed, as long
-    as at most two white-space characters stand together; so the ids of these bits are remembered and joined. A text
-    with longer runs, two at its end, other white space, or a special token's first characters goes to the library whole.
+    as at most two white-space characters stand together; so the ids of these bits are remembered and joined. The bits of
+    many texts are made distinct first, and each is looked up once. A text with longer runs, two at its end, other white
+    space, or a special token's first characters goes to the library whole.
     """
 
     other_space = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -123,39 +130,60 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, bit: str) -> bytes:
-        """Ids of a bit that isn't known yet. A run of letters, maybe after a space, is one pre-token: it goes straight to the merges."""
-        if bit[-1:] in self.ends and bit[-2:-1].isalpha():  # a full stop or comma after a letter is a pre-token of its own
-            word = bit[:-1]
-            own = self.known.get(word)
-            if own is None:
-                own = self.known[word] = self.earlier.get(word) or self._learn(word)
-            return own + self.ends[bit[-1]]
-        if (bit[1:] if bit[:1] == " " else bit).isalpha():
-            ids = [t.id for t in self.tokenizer.model.tokenize(bit.encode().decode("latin-1").translate(BYTE_SIGNS))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self._library([bit])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        known, earlier, learn, others = self.known, self.earlier, self._learn, []
-        for i, text in enumerate(texts):
-            if self.whole(text):
-                others.append(i)
-                continue
-            bits = (text.replace("\n", "\r\n\r") if "\n" in text else text).replace(" ", "\r ").split("\r")
-            own = [known.get(b) for b in bits]
-            if None in own:
-                for j, ids in enumerate(own):
-                    if ids is None:
-                        own[j] = known[bits[j]] = earlier.get(bits[j]) or learn(bits[j])
-                if len(known) > self.most:
-                    self.known, self.earlier = known, earlier = {}, known
-            out[i] = b"".join(own)
-        for i, ids in zip(others, self._library([texts[i] for i in others]), strict=True):
-            out[i] = ids
-        return out
+    def _word(self, bit: str) -> bytes | None:
+        """Ids of a run of letters, maybe after a space: one pre-token, which goes straight to the merges. None for others."""
+        if not (bit[1:] if bit[:1] == " " else bit).isalpha():
+            return None
+        ids = [t.id for t in self.tokenizer.model.tokenize(bit.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, bits: list[str]) -> None:
+        """Remember the ids of bits that were not met lately."""
+        known, earlier, others = self.known, self.earlier, []
+        for bit in bits:
+            ids = earlier.get(bit)
+            if ids is None and bit[-1:] in self.ends and bit[-2:-1].isalpha():  # a full stop or comma after a letter is a pre-token of its own
+                word = bit[:-1]
+                own = known.get(word) or earlier.get(word) or self._word(word)
+                if own is not None:
+                    known[word] = own
+                    ids = own + self.ends[bit[-1]]
+            elif ids is None:
+                ids = self._word(bit)
+            if ids is None:
+                others.append(bit)
+            else:
+                known[bit] = ids
+        known.update(zip(others, self._library(others), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        alone = [i for i, text in enumerate(texts) if self.whole(text)]
+        marked = [(x.replace("\n", "\r\n\r") if "\n" in x else x).replace(" ", "\r ") for x in texts]
+        for i in alone:
+            marked[i] = ""
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), "\r")
+        coded = lists.values.dictionary_encode()
+        bits = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = list(map(self.known.get, bits))
+        if None in own:
+            self._learn([b for b, ids in zip(bits, own, strict=True) if ids is None])
+            own = list(map(self.known.get, bits))
+            if len(self.known) > self.most:
+                self.known, self.earlier = {}, self.known
+        held = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids = np.frombuffer(b"".join(own), "<u4")
+        place = coded.indices.to_numpy()
+        n = held[place]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat((np.cumsum(held) - held)[place] - stops[:-1], n) + np.arange(stops[-1])]
+        stops = stops[lists.offsets.to_numpy()]
+        if not alone:
+            return ids, np.diff(stops)
+        parts = [ids[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)]
+        for i, x in zip(alone, self._library([texts[i] for i in alone]), strict=True):
+            parts[i] = np.frombuffer(x, "<u4")
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -187,39 +215,43 @@ def write_token_ids(docs: DataFrame, tokenizer_file: str, path: str, end_id: int
     kind = docs.schema[id_col].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, first, coder = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
-        keys: list = []
-        total = 0
+        part, block, first, coder, key_type = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer_file), None
+        held: list[tuple] = []  # (ids, keys, counts) of the block that isn't full yet
+
         def row() -> pa.RecordBatch:
-            nonlocal block, first, ids, keys, total
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            counts = [len(x) // 4 for x in ids]
-            ranks, codes = _codes(flat)
+            nonlocal block, first
+            ids, counts = (np.concatenate([x[i] for x in held]) for i in (0, 2))
+            keys = [k for x in held for k in x[1]]
+            ranks, codes = _codes(ids)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([counts], pa.list_(pa.int64())), pa.array([encode_words(ranks).tobytes()], pa.binary()), pa.array([len(ranks)], pa.int32()), pa.array([encode_words(codes).tobytes()], pa.binary())],
                 ["part", "block", "first", "doc_ids", "counts", "ranks", "n_ranks", "words"],
             )
-            block, first, ids, keys, total = block + 1, first + len(flat), [], [], 0
+            block, first = block + 1, first + len(ids)
+            held.clear()
             return out
 
-        key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for part_batch, texts in pieces(batch, 1):
-                for key, own in zip(part_batch.column(0).to_pylist(), coder.encode(texts), strict=True):
-                    ids.append(own + end)
-                    keys.append(key)
-                    total += len(own) // 4 + 1
-                    if total >= BLOCK_IDS:
+            for part_batch, texts in pieces(batch, 1, 8_000_000):
+                keys, (ids, counts) = part_batch.column(0).to_pylist(), coder.encode(texts)
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+                counts = counts + 1
+                stops = np.cumsum(counts)
+                begin = base = 0
+                while begin < len(keys):
+                    need = BLOCK_IDS - sum(len(x[0]) for x in held)
+                    end = min(int(np.searchsorted(stops, base + need)) + 1, len(keys))
+                    held.append((ids[base : stops[end - 1]], keys[begin:end], counts[begin:end]))
+                    if stops[end - 1] >= base + need:
                         yield row()
-        if ids:
+                    begin, base = end, int(stops[end - 1])
+        if held:
             yield row()
 
     (
         docs.select(id_col, text_col)
-        .repartitionByRange(F.col(id_col).asc_nulls_first())
+        .repartitionByRange(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
         .sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
         .mapInArrow(encode, f"part int, block long, first long, doc_ids array<{kind.simpleString()}>, counts array<long>, ranks binary, n_ranks int, words binary")
         .write.option("compression", "none")
