@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,18 @@ def split_text(text: str) -> list[str]:
     return [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
 
 
-def parted(pretoken: str) -> tuple[str, str]:
-    """A word and the full stop or comma after it, which are pre-tokens of their own; else the pre-token and nothing."""
-    return (pretoken[:-1], pretoken[-1]) if pretoken[-1] in ".," and pretoken[-2:-1].isalpha() else (pretoken, "")
+@cache
+def _ends_with_letter(letter: str, file: str) -> bool:
+    """Is the last character of this letter, as the tokenizer normalises it, a letter? U+0130 gives an i and a combining dot,
+    and a combining mark goes with what follows it."""
+    normalizer = _tokenizer(file).normalizer
+    return (normalizer.normalize_str(letter) if normalizer else letter)[-1:].isalpha()
+
+
+def parted(pretoken: str, file: str) -> tuple[str, str]:
+    """A word and the full stop or comma after it, where that is a pre-token of its own; else the pre-token and nothing."""
+    apart = pretoken[-1] in ".," and pretoken[-2:-1].isalpha() and _ends_with_letter(pretoken[-2], file)
+    return (pretoken[:-1], pretoken[-1]) if apart else (pretoken, "")
 
 
 def _postings(texts: list[str], file: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ def _postings(texts: list[str], file: str) -> tuple[list[str], np.ndarray, np.nd
     if not seen:
         return [], np.zeros(1, np.int64), np.zeros(0, np.uint32), counted
     of, times, text = np.array(of, np.int64), np.array(times, np.int64), np.repeat(np.arange(len(texts)), whose)
-    bits = [parted(x) for x in seen]
+    bits = [parted(x, file) for x in seen]
     dot, comma = count_pieces([".", ","], file)
     end = np.array([{"": 0, ".": dot, ",": comma}[e] for _, e in bits], np.int64)
     counted += np.bincount(text, weights=times * end[of], minlength=len(texts)).astype(np.int64)
