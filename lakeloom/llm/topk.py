@@ -5,9 +5,12 @@ contribution: for a positive query component the largest values come first, for
 are read to the same depth, which doubles. After each round a candidate's score is known to lie between
     lower = sum of contributions read + sum over unread lists of the list's last contribution
     upper = sum of contributions read + sum over unread lists of the list's frontier (the last one read).
-For a whole block of queries both come from two matrix products each, because what has been read depends on the sign
-of the query component alone. A list's reading stops when at most a few candidates still have an upper bound of at least
-the k-th best lower bound; their final scores are resolved, and the blocks' answers are merged by rank.
+For a whole block of queries both come from matrix products, because what has been read depends on the sign of the query
+component alone. A candidate whose upper bound is under the k-th best lower bound of every query is an outsider: later rounds
+read no more of it. Reading stops when few pairs of query and candidate are left; their final scores are resolved.
+
+A task takes the blocks of its group one after another. The k-th best score that a query has got so far is its bar in the next
+block, so after the first blocks the first slice of the lists is mostly all that is read. The groups' answers are merged by rank.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 512
 BLOCK = 2048
+PER_GROUP = 8
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,36 +36,40 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def no_random_access(queries: np.ndarray, block: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def no_random_access(queries: np.ndarray, block: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of a block for each query: (query, candidate, score); ties go to the smaller id.
 
-    own[i, j]: candidate j is query i's own row.
+    own[i, j]: candidate j is query i's own row. least: for each query, a score that candidates must reach.
     """
     n, dims = block.shape
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    if n <= 4 * k or dims == 0 or float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, dims) >= 2**53:
-        alive = ~own
-    else:
+    bar = np.full(len(queries), -np.inf) if least is None else least.astype(float)
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, dims)
+    live = np.arange(n)  # candidates that some query may still take
+    alive = ~own
+    if n and dims and most < 2**53:
+        plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
         ordered = np.sort(block, axis=0).astype(np.float64)
-        values = block.astype(np.float64)
         depth = max(1, n // 16)
-        while True:
+        while depth < n and np.count_nonzero(alive) > 8 * k * len(queries):
+            values = block[live].astype(np.float64)
             high, low = ordered[n - depth], ordered[depth - 1]  # frontiers of the lists from the top and from the bottom
             read_high, read_low = values >= high, values <= low
+            if len(live) > k:
+                lower = plus @ np.where(read_high, values, ordered[0]).T + minus @ np.where(read_low, values, ordered[-1]).T
+                lower[own[:, live]] = -np.inf
+                bar = np.maximum(bar, np.partition(lower, len(live) - k, axis=1)[:, len(live) - k])
             upper = plus @ np.where(read_high, values, high).T + minus @ np.where(read_low, values, low).T
-            lower = plus @ np.where(read_high, values, ordered[0]).T + minus @ np.where(read_low, values, ordered[-1]).T
-            lower[own] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k]
-            alive = (upper >= bar[:, None]) & ~own
-            if depth == n or np.count_nonzero(alive) <= 8 * k * len(queries):
-                break
+            alive &= upper >= bar[:, None]
+            some = alive.any(axis=0)
+            live, alive = live[some], alive[:, some]
             depth = min(n, 2 * depth)
     q, c = np.nonzero(alive)
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, dims)
     if len(q) * 4 > alive.size or most >= 2**53:
-        score = exact_products(queries, block)[q, c]
+        score = exact_products(queries, block[live])[q, c]
     else:
-        score = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + 65536]], block[c[i : i + 65536]]) for i in range(0, len(q), 65536)]) if len(q) else np.zeros(0, np.int64)
+        score = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + 65536]], block[live[c[i : i + 65536]]]) for i in range(0, len(q), 65536)]) if len(q) else np.zeros(0, np.int64)
+    enough = score >= bar[q]
+    q, c, score = q[enough], live[c[enough]], score[enough]
     order = np.lexsort((ids[c], -score, q))
     q, c, score = q[order], c[order], score[order]
     place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
@@ -117,22 +125,28 @@ def top_k_products(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: s
     n_blocks, n_query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     blocks = _blocks(rows.repartition(n_blocks), BLOCK)
     query_blocks = _blocks(queries.repartition(n_query_blocks), QUERY_BLOCK)
-    # the stated queries against all rows, in blocks: a copy of a query block for each group of blocks
-    groups = min(n_blocks, 4096)
-    left = query_blocks.select("dims", F.col("ids").alias("q_ids"), F.col("places").alias("q_places"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    # the stated queries against all rows, in blocks: a copy of a query block for each group of some PER_GROUP blocks
+    groups = max(1, min(-(-n_blocks // PER_GROUP), 4096))
+    left = query_blocks.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("places").alias("q_places"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     right = blocks.withColumn("grp", F.pmod(F.shiftright("block", 32), F.lit(groups)).cast("int"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, best = None, np.zeros((0, k))  # of the query block before: the k best scores of each query so far
         for batch in batches:
             for i in range(batch.num_rows):
-                dims = batch.column("dims")[i].as_py()
+                dims, q_block = batch.column("dims")[i].as_py(), batch.column("q_block")[i].as_py()
                 q_ids, q_places, ids = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("q_ids", "q_places", "ids"))
                 queries = np.frombuffer(batch.column("q_values")[i].as_py(), np.int64).reshape(len(q_ids), dims)
                 block = np.frombuffer(batch.column("values")[i].as_py(), np.int64).reshape(len(ids), dims)
-                q, c, score = no_random_access(queries, block, ids, q_ids[:, None] == ids[None, :], k)
+                if last != (dims, q_block):
+                    last, best = (dims, q_block), np.full((len(q_ids), k), -np.inf)
+                q, c, score = no_random_access(queries, block, ids, q_ids[:, None] == ids[None, :], k, best.min(axis=1))
+                here = np.full((len(q_ids), k), -np.inf)
+                here[q, np.arange(len(q)) - np.searchsorted(q, q, side="left")] = score
+                best = np.sort(np.concatenate([best, here], axis=1), axis=1)[:, -k:]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(q_places[q]), pa.array(ids[c]), pa.array(score)], ["query_id", "place", "vec_id", "score"])
 
-    found = left.join(right, ["dims", "grp"]).select("dims", "q_ids", "q_places", "q_values", "ids", "values").mapInArrow(match, "query_id long, place long, vec_id long, score long")
+    found = left.join(right, ["dims", "grp"]).select("dims", "q_block", "q_ids", "q_places", "q_values", "ids", "values").mapInArrow(match, "query_id long, place long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
