@@ -209,6 +209,14 @@ def test_leaks_equal_plain_alignment_at_all_edit_rates(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in found} == want
 
 
+def test_leaks_of_items_of_a_few_words(spark):
+    items = [(1, "Solo"), (2, "two words"), (3, "Three short words!"), (4, "..."), (4, None), (3, "three short words")]
+    docs = [(1, "so the solo, it plays"), (2, "words two"), (3, "these are two\nwords"), (4, "of three short words"), (5, "three shorter words"), (None, "solo solo"), (None, None), (6, ""), (7, "solo " * 20_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.score) for r in got) == [(0, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (4, 3, 1.0), (7, 1, 1.0)]
+
+
 @pytest.mark.parametrize("land", [False, True])
 def test_flight_keeps_totals(land):
     rng = np.random.default_rng(4)

@@ -1,6 +1,9 @@
 """Operators on texts against the libraries, plain versions, and round trips; with nulls, empty and long texts, repeated rows."""
 
+import os
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 from lakeloom.llm.language_id import LanguageFilters, identify_languages, learn_languages
 from lakeloom.llm.licenses import KNOWN_LICENSES, scan_licenses
 from lakeloom.llm.token_counts import token_counts
-from lakeloom.llm.token_ids import decode_words, encode_words, encoder, token_id_table
+from lakeloom.llm.token_ids import Encoder, decode_words, encode_words, encoder, token_id_table
 from lakeloom.llm.toxicity import learn_toxicity, score_toxicity
 from lakeloom.llm.url_filter import GlobSet, filter_urls, split_url
 from pyspark.sql import functions as F
@@ -55,7 +58,33 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(800)]
     own = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     want = [np.array(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert own.encode(texts) == want
+    for batch in (texts, texts[::-1]):
+        ids, counts = own.encode(batch)
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] == (want if batch is texts else want[::-1])
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=20)  # forgets between batches
+    for i in range(0, 800, 50):
+        ids, counts = own.encode(texts[i : i + 50])
+        assert ids.tobytes() == b"".join(want[i : i + 50]) and (counts == [len(x) // 4 for x in want[i : i + 50]]).all()
+
+
+def test_token_ids_of_repeated_and_null_ids(spark):
+    rows = [(None, "no id"), (None, "no id"), (3, "three"), *[(7, f"text {i} of one id") for i in range(300)], (9, None)]
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_id_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), file).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 3, *[7] * 300, 9]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert got[-1].n_tokens == 1
+
+
+def test_token_counts_of_letters_whose_lower_case_ends_in_a_mark(spark):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    rng = random.Random(11)
+    signs = ["İ", "I", "a", "e\u0301", "\u0307", ".", ",", " ", "ß", "Ǆ", "ﬁ", "１", "<|endoftext|>", "'s"]
+    texts = ["İ.", "İ,", "xİ. y", *["".join(rng.choice(signs) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]]
+    got = {r.doc_id: r.n_tokens for r in token_counts(frame(spark, texts), file).collect()}
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [got[i] for i in range(len(texts))] == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 5000])
@@ -124,3 +153,32 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in scan_licenses(frame(spark, texts)).collect()}
     assert [got[i].license_id for i in range(7)] == ["MIT", "MIT", "MIT", None, None, None, None]
     assert got[4].line_licenses == ["Apache-2.0"] and got[5].digest == got[6].digest
+    assert scan_licenses(frame(spark, [])).count() == 0
+
+
+def rewrapped(text):
+    """The text with other line ends, cases and punctuation, and a copyright line of its own."""
+    lines = []
+    for part in text.split("\n\n"):
+        lines += ["", *(textwrap.wrap(" ".join(part.split()), 47) if not re.search(r"(?i)copyright|\xa9|reserved|franklin st", part) else part.split("\n"))]
+    return "Copyright (c) 2031 Some One, Inc.\n" + "\n".join(lines).upper().replace("LICENSE", "LICENCE").replace(";", " ,")
+
+
+@pytest.mark.parametrize("name", sorted({n for n, _ in KNOWN_LICENSES}))
+def test_every_listed_text_is_found_in_other_wrappings(spark, name):
+    texts = [t for n, t in KNOWN_LICENSES if n == name]
+    got = scan_licenses(frame(spark, [rewrapped(t) for t in texts] + ["x" + t for t in texts])).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == [name] * len(texts) + [None] * len(texts)
+
+
+LONG = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the system has no licence texts")
+def test_long_licences_are_found_in_other_wrappings(spark):
+    found = {n: open(f"/usr/share/common-licenses/{f}", encoding="utf-8", errors="replace").read() for f, n in LONG.items() if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    names = sorted(found)
+    got = scan_licenses(frame(spark, [rewrapped(found[n]) for n in names] + [found[n].partition("END OF TERMS AND CONDITIONS")[0] for n in names])).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == names * 2
+    extra = spark.createDataFrame([("Own-1.0", "Do as you like, but be kind.")], "license_id string, text string")
+    assert scan_licenses(frame(spark, ["do AS you like -- but be kind!", "do as you like"]), known=extra).orderBy("doc_id").collect()[0].license_id == "Own-1.0"
