@@ -122,7 +122,7 @@ def learn_languages(
     langs = sorted(sizes)
     part = min(1.0, rows / sum(sizes.values()))
     if part < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(id_col, F.lit("languages")), F.lit(1_000_000)) < int(part * 1_000_000))
+        labelled = labelled.where(F.shiftrightunsigned(F.xxhash64(id_col, F.lit("languages")), 1) < int(part * 2**63))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(langs)}

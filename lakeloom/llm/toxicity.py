@@ -92,7 +92,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
     share = rows / max(1, marked.count())
     if share < 1:
-        marked = marked.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
+        marked = marked.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("toxicity")), 1) < int(share * 2**63))
     known = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id").select("id", "text", "label"))
     per_label = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     p, q = per_label.get(1, 0), per_label.get(0, 0)
