@@ -264,16 +264,21 @@ def _against(guests: DataFrame, members: DataFrame) -> DataFrame:
     return g.select(*columns).union(m.select(*columns))
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets (set_id, sig) that connect all pairs whose signatures agree in LINK coordinates, as far
-    as a run brings them together."""
-    paths = F.array(*[F.xxhash64(F.lit(r), _coordinate(r)) for r in range(RUNS)])
-    state = sets.select("set_id", F.explode(paths).alias("path"))
+def first_paths():
+    """The first path of each run."""
+    return F.array(*[F.xxhash64(F.lit(r), _coordinate(r)) for r in range(RUNS)])
+
+
+def candidate_edges(firsts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets (set_id, paths) that connect all pairs whose signatures agree in LINK coordinates, as far
+    as a run brings them together. sets: (set_id, sig), with those of `firsts` among them."""
+    state = firsts.select("set_id", F.explode("paths").alias("path"))
     zero, no = F.lit(0), F.lit(False)
     edges = []
     for depth in range(DEPTH + 1):
         counts = written(state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        members = state.join(counts, "path").join(sets, "set_id").select("path", "set_id", "n", "sig")
+        # counts are of all non-trivial buckets and grow with the sets: a merge join at any size
+        members = state.join(counts.hint("merge"), "path").join(sets.hint("merge"), "set_id").select("path", "set_id", "n", "sig")
         alone = members.select("*", zero.alias("x"), zero.alias("y"), no.alias("guest"), no.alias("main"))
         edges.append(_compared(alone.where(F.col("n") <= HELD)))
         if counts.where(F.col("n") > HELD).isEmpty():
@@ -419,26 +424,29 @@ def jaccard_join(docs: DataFrame, k: int = 5, least: float = 0.8, id_col: str =
 
     with scratch(docs.sparkSession):
         texts = written(docs.select(id_col, text_col).mapInArrow(prepare, f"row long, `{id_col}` {kind}, digest long, digest2 long, sig binary, grams binary"))
-        copies = texts.where("sig IS NOT NULL").groupBy("digest", "digest2").agg(F.min(F.struct("row", "sig")).alias("one"), F.count(F.lit(1)).alias("n_copies"))
-        classes = written(copies.select("digest", "digest2", "n_copies", F.col("one.row").alias("set_id"), F.col("one.sig").alias("sig")))
-        labels = connected_components(candidate_edges(classes.select("set_id", "sig")))
+        one = F.struct("row", (F.octet_length("grams") / 4).cast("long").alias("size"), first_paths().alias("paths"))
+        copies = texts.where("sig IS NOT NULL").groupBy("digest", "digest2").agg(F.min(one).alias("one"), F.count(F.lit(1)).alias("n_copies"))
+        classes = written(copies.select("digest", "digest2", "n_copies", F.col("one.row").alias("set_id"), "one.size", "one.paths"))
+        labels = connected_components(candidate_edges(classes.select("set_id", "paths"), texts.select(F.col("row").alias("set_id"), "sig")))
         filters = docs.sparkSession.sparkContext.broadcast(bloom(labels.select(F.col("node").alias("gram"))))  # at most 2**30 bits
+        sized = labels.withColumnRenamed("node", "set_id").join(classes.select("set_id", "size"), "set_id")
+        totals = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_grams"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("n_grams") / BLOCK_GRAMS))
+        placed = _in_blocks(sized.join(totals, "label"), blocks).select("label", "x", "y", "own", "blocks", "set_id")
 
         def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = in_bloom(batch.column(0).to_numpy().view(_U), *filters.value)
                 yield batch.take(pa.array(at))
 
+        # grams move twice, to their sets' places and to the groups; the places grow with the sets: a merge join at any size
         some = texts.select(F.col("row").alias("set_id"), "grams").mapInArrow(only, "set_id long, grams binary")
-        needed = written(some.join(labels.withColumnRenamed("node", "set_id"), "set_id"))
-        sizes = needed.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams") / 4).alias("n_grams"))
-        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("n_grams") / BLOCK_GRAMS))
-        grouped = _in_blocks(needed.join(sizes, "label"), blocks).select("label", "x", "y", "own", "blocks", "set_id", "grams")
+        grouped = some.join(placed.hint("merge"), "set_id")
         decided = written(grouped.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y").mapInArrow(_decide(least), "set_id long, links long, root long, alone boolean"))
         links = decided.groupBy("set_id").agg(F.sum("links").alias("n_links"))
         apart = decided.where("NOT alone AND root <> set_id").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
         roots = decided.where("alone").select("set_id", "root").union(connected_components(apart).select(F.col("node").alias("set_id"), F.col("label").alias("root")))
-        of_sets = classes.drop("sig").join(links, "set_id", "left").join(roots, "set_id", "left")
+        of_sets = classes.drop("paths").join(links, "set_id", "left").join(roots, "set_id", "left")
         of_sets = of_sets.select("digest", "digest2", "n_copies", F.coalesce("root", "set_id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         rows = texts.select("row", id_col, "digest", "digest2").join(of_sets, ["digest", "digest2"], "left")
         rows = written(rows.select(id_col, F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")), keep=True)

@@ -69,7 +69,7 @@ def test_large_buckets_are_split_on_tokens_of_their_own(spark, monkeypatch):
         sig[600 + i] = sig[i]
         sig[600 + i, RUNS + i % 8 * 2 : RUNS + i % 8 * 2 + 2] = 0
     sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "set_id long, sig binary")
-    edges = candidate_edges(sets).collect()
+    edges = candidate_edges(sets.select("set_id", J.first_paths().alias("paths")), sets).collect()
     assert {(min(e.a, e.b), max(e.a, e.b)) for e in edges} == {(i, 600 + i) for i in range(40)}
 
 
