@@ -51,6 +51,41 @@ def target_columns(columns: DataFrame, train: str, test: str) -> DataFrame:
     return columns.where(F.col("table_name") == train).select("column_name").join(columns.where(F.col("table_name") == test).select("column_name"), "column_name", "left_anti")
 
 
+def target_count(columns: DataFrame, train: str, test: str, n_targets: int) -> DataFrame:
+    """The train table has n_targets columns more than the test table, and all that the test table lacks are that many."""
+    n = lambda t: F.count_if(F.col("table_name") == t)
+    sizes = columns.agg((n(train) - n(test)).alias("more"))
+    lacking = target_columns(columns, train, test).agg(F.count(F.lit(1)).alias("targets"))
+    return sizes.crossJoin(F.broadcast(lacking)).select(*_row("target_count", f"{train},{test}", (F.col("more") == n_targets) & (F.col("targets") >= n_targets), F.col("more")))  # two single rows
+
+
+def targets_consistent(columns: DataFrame, train: str, test: str, submission: str, id_names: tuple[str, ...] = ("id",)) -> DataFrame:
+    """What the train table has and the test table lacks is what the submission has besides its id; neither is empty."""
+    a = target_columns(columns, train, test).withColumn("a", F.lit(True))
+    b = columns.where((F.col("table_name") == submission) & ~F.lower("column_name").isin(*id_names)).select("column_name", F.lit(True).alias("b"))
+    both = a.join(b, "column_name", "full").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("odd"))
+    return both.select(*_row("targets_consistent", f"{train},{submission}", (F.col("odd") == 0) & (F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("odd")))
+
+
+def features_consistent(columns: DataFrame, train: str, test: str, targets: DataFrame) -> DataFrame:
+    """The test table has no column that the train table lacks, and the train table none besides these and the targets
+    (column_name)."""
+    of = lambda t: columns.where(F.col("table_name") == t).select("column_name")
+    extra = of(test).join(of(train), "column_name", "left_anti").union(of(train).join(of(test), "column_name", "left_anti").join(targets.select("column_name"), "column_name", "left_anti"))
+    return extra.agg(F.count(F.lit(1)).alias("n")).select(*_row("features_consistent", f"{train},{test}", F.col("n") == 0, F.col("n")))
+
+
+def single_header(lines: DataFrame, separator: str = ",", threshold: float = 0.8, first: int = 5) -> DataFrame:
+    """A row for each file of lines (file, n, text), n from 0: fails if 2 or 3 of the first lines in a row look like headers:
+    no empty cell, and at least `threshold` of the cells no numbers. A file of one line passes."""
+    cells = F.split("text", F.lit(f"\\{separator}"))
+    empty = F.exists(cells, lambda x: F.lower(F.trim(x)).isin("", "nan"))
+    words = F.size(F.filter(cells, lambda x: F.trim(x).try_cast("double").isNull())) / F.size(cells)
+    top = lines.where(F.col("n") < first).select("file", "n", (~empty & (words >= threshold)).alias("header"))
+    runs = top.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.min(F.when(~F.col("header"), F.col("n"))), F.max("n") + 1).alias("headers"))
+    return runs.select(*_row("single_header", F.col("file"), (F.col("lines") < 2) | ~F.col("headers").between(2, 3), F.col("headers")))
+
+
 def has_id_column(columns: DataFrame, names: list[str]) -> DataFrame:
     """A row for each table: passes if a column has one of the names, case ignored."""
     out = columns.groupBy("table_name").agg(F.count_if(F.lower("column_name").isin(names)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import value
 from ..functions.labels import make_label, path_id
+from ..functions.quantiles import exact_quantiles
+from ..sources.shared import cut
 
 
 def _kind(t: T.DataType) -> str:
@@ -21,36 +24,140 @@ def _kind(t: T.DataType) -> str:
     return "boolean" if isinstance(t, T.BooleanType) else "date" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
 
 
+def lake_columns(tables: dict[str, DataFrame], source: str, dataset: str) -> DataFrame:
+    """A row for each column of all tables, from their schemas alone: ids, position, name and type."""
+    rows = [(table, i, f.name, _kind(f.dataType)) for table, df in tables.items() for i, f in enumerate(df.schema.fields)]
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
+    ids = [F.lit(source), F.lit(dataset), F.col("table_name")]
+    return out.select(path_id(*ids, F.col("column_name")).alias("column_id"), path_id(*ids).alias("table_id"), path_id(*ids[:2]).alias("dataset_id"), F.lit(source).alias("data_source"), F.lit(dataset).alias("dataset_name"), "table_name", "position", "column_name", "data_type")
+
+
+def lake_sizes(tables: dict[str, DataFrame], source: str, dataset: str) -> DataFrame:
+    """lake_columns with total_values_count: the tables are counted, which takes no column."""
+    counts = reduce(DataFrame.union, [df.select(F.lit(name).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("total_values_count")) for name, df in tables.items()])
+    return lake_columns(tables, source, dataset).join(F.broadcast(counts), "table_name", "left").fillna(0, ["total_values_count"])  # a row for each table
+
+
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+
+
+def _cells(df: DataFrame, first: int) -> DataFrame:
+    """(column, hash, hash2) of the known cells of a table's columns, numbered from `first`, but nested ones; one pass.
+
+    The first hash tells numbers and dates of up to 8 bytes apart without fail, so only strings and longer numbers need
+    the second one.
+    """
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        if not isinstance(f.dataType, NESTED):
+            x = value(df, f.name)
+            second = F.xxhash64(x, F.lit("second")) if isinstance(f.dataType, (T.StringType, T.DecimalType)) else F.lit(0).cast("long")
+            cells.append(F.when(x.isNotNull(), F.struct(F.lit(first + i).alias("column"), F.xxhash64(x).alias("hash"), second.alias("hash2"))))
+    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+
+
+def _statistics(df: DataFrame, table: str) -> list[tuple]:
+    """Counts and numbers of each column, in one wide aggregation and what exact_quantiles takes."""
+    fields = [(i, f.name, _kind(f.dataType)) for i, f in enumerate(df.schema.fields)]
+    numbers = [c for _, c, kind in fields if kind in ("int", "float")]
+    aggs = [F.count(F.lit(1)).alias("total")]
+    for i, c, kind in fields:
+        x = value(df, c)
+        aggs.append(F.count_if(x.isNull()).alias(f"missing{i}"))
+        if kind in ("int", "float"):
+            n = x.cast("double")
+            aggs += [F.min(n).alias(f"min{i}"), F.max(n).alias(f"max{i}"), F.avg(n).alias(f"mean{i}")]
+        if kind == "boolean":
+            aggs.append((F.count_if(x) / F.count(F.lit(1))).alias(f"true{i}"))
+    row = df.agg(*aggs).first().asDict()
+    quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75])
+    out = []
+    for i, c, _ in fields:
+        low, median, high = quartiles.get(c, (None, None, None))
+        out.append((table, i, row["total"], row[f"missing{i}"], *(row.get(f"{k}{i}") for k in ("min", "max", "mean")), median, None if median is None else high - low, row.get(f"true{i}")))
+    return out
+
+
+def profile_lake(tables: dict[str, DataFrame], source: str, dataset: str) -> DataFrame:
+    """A row for each column of all tables: ids, type, counts, and min, max, mean, median and interquartile range of
+    numbers and the share of true (null counts as false) of booleans. Columns of nested types have no distinct count.
+
+    The profiles are computed when this is called, and the result is a local table: as many rows as the schemas have
+    columns. Distinct values are counted as pairs of 64-bit hashes, in one aggregation over all tables.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    numbers = {(t, i): n for n, (t, i) in enumerate((t, i) for t, df in tables.items() for i in range(len(df.columns)))}
+    cells = reduce(DataFrame.union, [_cells(df, numbers[t, 0]) for t, df in tables.items() if any(not isinstance(f.dataType, NESTED) for f in df.schema.fields)])
+    per_column = cells.distinct().groupBy("column").count()
+    with ThreadPoolExecutor(8) as several:  # the tables' jobs run side by side
+        found = several.submit(lambda: {r[0]: r[1] for r in per_column.collect()})  # a row for each column
+        statistics = [r for own in several.map(lambda item: _statistics(item[1], item[0]), tables.items()) for r in own]
+        found = found.result()
+    distinct = {k: None if isinstance(tables[k[0]].schema[k[1]].dataType, NESTED) else found.get(n, 0) for k, n in numbers.items()}
+    rows = [(*r[:4], distinct[r[:2]], *r[4:]) for r in statistics]
+    counted = spark.createDataFrame(
+        rows, "table_name string, position int, total_values_count long, missing_values_count long, distinct_values_count long, min_value double, max_value double, mean double, median double, iqr double, true_ratio double"
+    )
+    columns = lake_columns(tables, source, dataset)
+    return columns.join(F.broadcast(counted), ["table_name", "position"]).select(*columns.columns, *counted.columns[2:])
+
+
 def profile_table(df: DataFrame, source: str, dataset: str, table: str) -> DataFrame:
-    """A row for each column: ids, type, counts, and min, max, mean, median and interquartile range of numbers and the
-    share of true (null counts as false) of booleans. One wide aggregation over the table. Columns of nested types carry
-    counts without distinct values."""
-    rows = []
+    """The profiles of one table's columns."""
+    return profile_lake({table: df}, source, dataset)
+
+
+def detect_types(df: DataFrame) -> DataFrame:
+    """(column_name, data_type) found from all values: the schema's boolean, int, float or date, where ints of exactly 0 and
+    1 are boolean; of strings, the first that all known values are: int (boolean for 0 and 1), float, boolean; date where
+    over half of the known values are one of under 50 signs; natural_language_text where over half of them have two words
+    or more, mostly of letters; else string. A column without known values is a string."""
+    half = lambda cond, x: F.count_if(cond) > 0.5 * F.count(x)
     aggs = []
     for i, f in enumerate(df.schema.fields):
         x, kind = value(df, f.name), _kind(f.dataType)
-        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-        n = x.cast("double") if kind in ("int", "float") else F.lit(None).cast("double")
-        aggs += [
-            F.count(F.lit(1)).alias(f"total{i}"), F.count_if(x.isNull()).alias(f"missing{i}"), (F.lit(None).cast("long") if nested else F.count_distinct(x)).alias(f"distinct{i}"),
-            F.min(n).alias(f"min{i}"), F.max(n).alias(f"max{i}"), F.avg(n).alias(f"mean{i}"), F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
-            ((F.count_if(x) / F.count(F.lit(1))) if kind == "boolean" else F.lit(None).cast("double")).alias(f"true{i}"),
-        ]
-        q = F.col(f"q{i}")
-        rows.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(kind).alias("data_type"), F.col(f"total{i}").alias("total_values_count"), F.col(f"missing{i}").alias("missing_values_count"),
-                F.col(f"distinct{i}").alias("distinct_values_count"), F.col(f"min{i}").alias("min_value"), F.col(f"max{i}").alias("max_value"), F.col(f"mean{i}").alias("mean"), q[1].alias("median"), (q[2] - q[0]).alias("iqr"), F.col(f"true{i}").alias("true_ratio"),
-            )
-        )
-    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    ids = [F.lit(x) for x in (source, dataset, table)]
-    return out.select(path_id(*ids, F.col("column_name")).alias("column_id"), path_id(*ids).alias("table_id"), path_id(*ids[:2]).alias("dataset_id"), F.lit(source).alias("data_source"), F.lit(dataset).alias("dataset_name"), F.lit(table).alias("table_name"), "*")
+        bits = lambda n, x=x: (F.count_if(~n.isin(0, 1)) == 0) & (F.min(n) == 0) & (F.max(n) == 1)
+        if kind == "int":
+            found = F.when(bits(x), "boolean").otherwise("int")
+        elif kind != "string" or not isinstance(f.dataType, T.StringType):
+            found = F.lit(kind)
+        else:
+            every = lambda y, x=x: F.count(y) == F.count(x)
+            whole, real = x.try_cast("bigint"), x.try_cast("double")
+            date = F.coalesce(x.try_cast("date").isNotNull(), F.lit(False)) & (F.length(x) < 50) & x.rlike("[0-9]")
+            words = F.regexp_count(F.substring(x, 1, 100), F.lit(r"\S+"))
+            letters = F.regexp_count(F.substring(x, 1, 100), F.lit(r"(?<!\S)\p{L}+[.,;:!?]?(?!\S)"))
+            found = (
+                F.when(F.count(x) == 0, "string").when(every(whole), F.when(bits(whole), "boolean").otherwise("int")).when(every(real), "float")
+                .when(every(F.when(F.lower(x).isin("true", "false"), 1)), "boolean").when(half(date, x), "date")
+                .when(half((words >= 2) & (letters > 0.5 * words), x), "natural_language_text").otherwise("string")
+            )
+        aggs.append(F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), found.alias("data_type")).alias(f"c{i}"))
+    return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(aggs))])).alias("r")).select("r.column_name", "r.data_type")
 
 
-def profile_lake(tables: dict[str, DataFrame], source: str, dataset: str) -> DataFrame:
-    """Profiles of all columns of all tables."""
-    return reduce(DataFrame.unionByName, [profile_table(df, source, dataset, name) for name, df in tables.items()])
+def schema_diff(columns: DataFrame, before: str, after: str) -> DataFrame:
+    """(column_name, change): columns of two tables that were added, removed or kept."""
+    names = lambda t, k: columns.where(F.col("table_name") == t).select("column_name", F.lit(True).alias(k))
+    both = names(before, "old").join(names(after, "new"), "column_name", "full")
+    return both.select("column_name", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("kept").alias("change"))
+
+
+def table_ids(columns: DataFrame, dataset: str, table: str) -> DataFrame:
+    """(table_id) of the tables of a data set with this name."""
+    return columns.where((F.col("dataset_name") == dataset) & (F.col("table_name") == table)).select("table_id").distinct()
+
+
+# Fields of a case that may be asked for.
+CASE_FIELDS = ("overview", "data_description", "problem_type", "data_type", "evaluation", "title")
+
+
+def case_field(cases: DataFrame, case_id, field: str) -> DataFrame:
+    """(value) of one allowed field of a case."""
+    if field not in CASE_FIELDS:
+        raise ValueError(f"no such field: {field}")
+    return cases.where(F.col("case_id") == case_id).select(F.col(field).alias("value"))
 
 
 def content_vector(profiles: DataFrame) -> DataFrame:
@@ -156,14 +263,15 @@ def membership_triples(columns: DataFrame) -> DataFrame:
     return part("column_id", "table_id").union(part("table_id", "dataset_id")).union(part("dataset_id", "data_source"))
 
 
-def descendants(triples: DataFrame, root: str, depth: int = 3) -> DataFrame:
-    """(node) of all that is part of the root, directly or not."""
-    front = triples.where((F.col("o") == root) & (F.col("p") == "isPartOf")).select(F.col("s").alias("node"))
+def descendants(triples: DataFrame, root: str) -> DataFrame:
+    """(node) of all that is part of the root, directly or not: one more step until nothing is new, so cycles end too."""
+    parts = triples.where(F.col("p") == "isPartOf").select(F.col("s").alias("node"), F.col("o").alias("whole"))
+    front = cut(parts.where(F.col("whole") == root).select("node").distinct())
     out = front
-    for _ in range(depth - 1):
-        front = triples.where(F.col("p") == "isPartOf").join(front.select(F.col("node").alias("o")), "o").select(F.col("s").alias("node"))
+    while not front.isEmpty():
+        front = cut(parts.join(front.select(F.col("node").alias("whole")), "whole").select("node").distinct().join(out, "node", "left_anti"))
         out = out.union(front)
-    return out.distinct()
+    return out
 
 
 def flag_operations(columns: DataFrame, operations: DataFrame) -> DataFrame:

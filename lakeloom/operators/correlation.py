@@ -68,6 +68,29 @@ def redundant_pairs(df: DataFrame, threshold: float = 0.9, columns: list[str] |
     return spearman_table(df, columns).where(F.abs("rho") >= threshold)
 
 
+def synergy_unsupervised(df: DataFrame, columns: list[str] | None = None, most: int = 10) -> DataFrame:
+    """(synergistic_interaction_ratio, numerical_numerical, categorical_numerical, categorical_categorical): of the first
+    `most` pairs of numeric columns, in order, the share whose Pearson and Spearman correlations differ by over 0.2, and
+    the mix of all pairs of columns by type. Pairs of fewer than 10 complete rows don't count among the first."""
+    columns = columns or numeric_columns(df)
+    pairs = list(combinations(columns, 2))
+    tried = min(most, len(pairs))
+    known = df.agg(F.lit(0), *[F.count_if(number(df, a).isNotNull() & number(df, b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]).first()
+    named = [p for i, p in enumerate(pairs) if known[f"n{i}"] >= 10][:tried]
+    wide = df.agg(F.lit(0).alias("none"), *[correlation(number(df, a), number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(named)])
+    pearson = wide.select(F.explode(F.array(F.struct(F.lit("").alias("x"), F.lit("").alias("y"), F.lit(None).cast("double").alias("r")), *[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(named)])).alias("p")).select("p.*")
+    spearman = df.sparkSession.createDataFrame([], "x string, y string, rho double")
+    for a, b in named:
+        spearman = spearman.union(spearman_pair(df, a, b))
+    n, m = len(columns), len(df.columns)
+    c, total = m - n, m * (m - 1) // 2
+    mix = {"numerical_numerical": n * (n - 1) // 2, "categorical_numerical": n * c, "categorical_categorical": c * (c - 1) // 2}
+    far = F.count_if(F.abs(F.col("r") - F.col("rho")) > 0.2)
+    return pearson.join(spearman, ["x", "y"], "left").agg(
+        (rounded(far / F.lit(tried)) if tried else F.lit(0.0)).alias("synergistic_interaction_ratio"), *[F.lit(round(v / total, 4) if total else 0.0).alias(k) for k, v in mix.items()]
+    )
+
+
 def interaction_potential(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(interaction_potential): 1 - mean |r| over complete rows; 0 for fewer than 10 of them."""
     columns = columns or numeric_columns(df)
@@ -82,6 +105,8 @@ def interaction_potential(df: DataFrame, columns: list[str] | None = None) -> Da
 def correlation_select(df: DataFrame, target: str, threshold: float = 0.5, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """(column, r) of numeric columns with |r| to the target over the threshold, strongest first."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"method must be pearson or spearman, not {method}")
     if method == "spearman":
         table = None
         for c in columns:

@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, name, number, value
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import dense_ids
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
     """Standard (population deviation), minmax or robust (median, interquartile range) scaling in place; a column
     without spread is divided by 1, nulls stay."""
+    quarters = exact_quantiles(df, columns, [0.25, 0.5, 0.75]) if method == "robust" else {}
+    if quarters:
+        one = {c: (F.lit(None).cast("double"), F.lit(None).cast("double")) if m is None else (F.lit(m), F.lit(b - a)) for c, (a, m, b) in quarters.items()}
+        scaled = lambda c: ((number(df, c) - one[c][0]) / F.coalesce(F.nullif(one[c][1], F.lit(0.0)), F.lit(1.0))).alias(c)
+        return df.select(*[scaled(c) if c in one else name(c) for c in df.columns])
     parts = {
         "standard": lambda x: (F.avg(x), F.stddev_pop(x)),
         "minmax": lambda x: (F.min(x), F.max(x) - F.min(x)),
-        "robust": lambda x: (F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)),
+        "robust": lambda x: (F.avg(x), F.stddev_pop(x)),  # of no columns
     }[method]
     stats = df.agg(*[e.alias(f"{k}{i}") for i, c in enumerate(columns) for k, e in zip(("mid", "spread"), parts(number(df, c)), strict=True)])
     at = {c: i for i, c in enumerate(columns)}

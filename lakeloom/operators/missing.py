@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import column_table, name, numeric_columns, rounded, value
+from ..functions.quantiles import exact_quantiles
 
 # Cells that count as missing in the repair tool.
 NA_TOKENS = ["none", "n/a", "na", "NaN", "nan", "missing", "?", "", " "]
@@ -54,10 +55,12 @@ def fill_missing(df: DataFrame, columns: list[str], method: str = "auto", consta
     """Fill missing cells: mean, median, mode (smallest of ties), constant; auto is mean for numbers, else mode."""
     numeric = set(numeric_columns(df))
 
+    medians = exact_quantiles(df, [c for c in columns if c in numeric], [0.5]) if method == "median" else {}
+
     def fill(c: str):
         x = value(df, c)
         how = ("mean" if c in numeric else "mode") if method == "auto" else method
-        return {"mean": F.avg(x), "median": F.percentile(x.cast("double"), 0.5) if c in numeric else None, "mode": F.mode(x, True), "constant": F.lit(constant)}[how]
+        return {"mean": F.avg(x), "median": F.lit(medians[c][0]).cast("double") if c in medians else F.lit(None), "mode": F.mode(x, True), "constant": F.lit(constant)}[how]
 
     fills = df.agg(*[fill(c).alias(f"fill_{i}") for i, c in enumerate(columns)])
     at = {c: i for i, c in enumerate(columns)}

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, column_table, name, number, numeric_columns, rounded, share, value, value_counts
+from ..functions.quantiles import exact_quantiles
 
 
 def _quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, int]]:
-    row = df.agg(*[x for i, c in enumerate(columns) for x in (F.percentile(number(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.count(number(df, c)).alias(f"n{i}"))]).first()
-    return {c: (*(row[f"q{i}"] or (None, None)), row[f"n{i}"]) for i, c in enumerate(columns)}
+    counts = df.agg(F.lit(0), *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: (*q, counts[f"n{i}"]) for i, (c, q) in enumerate(exact_quantiles(df, columns, [0.25, 0.75]).items())}
 
 
-def outlier_summary(df: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """(outlier_column_share, n_outliers, mean_outlier_share) by the interquartile rule; columns of fewer than 4 values
-    or without spread have none."""
+def column_outliers(df: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """(n_out, n) of each numeric column by the interquartile rule; columns of fewer than 4 values or without spread have
+    none."""
     columns = numeric_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "n_out long, n long")
     bounds = _quartiles(df, columns)
 
     def outside(c: str):
@@ -29,8 +32,20 @@ def outlier_summary(df: DataFrame, threshold: float = 1.5) -> DataFrame:
         return F.count_if((x < a - threshold * (b - a)) | (x > b + threshold * (b - a)))
 
     counts = df.agg(*[F.struct(outside(c).alias("n_out"), F.count(number(df, c)).alias("n")).alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = counts.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("r")).select("r.*")
-    return rows.agg(share(F.col("n_out") > 0).alias("outlier_column_share"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("n_outliers"), F.coalesce(rounded(F.avg(F.coalesce(F.try_divide(F.col("n_out").cast("double"), "n"), F.lit(0.0)))), F.lit(0.0)).alias("mean_outlier_share"))
+    return counts.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("r")).select("r.*")
+
+
+def outlier_severity(df: DataFrame) -> DataFrame:
+    """(mild_ratio, moderate_ratio, severe_ratio, no_outliers_ratio): shares of the numeric columns with outliers in under
+    5 %, under 20 %, or more of their values, and with none. All 0 without numeric columns."""
+    part = F.col("n_out") / F.col("n")
+    grades = {"mild_ratio": (F.col("n_out") > 0) & (part < 0.05), "moderate_ratio": (part >= 0.05) & (part < 0.2), "severe_ratio": part >= 0.2, "no_outliers_ratio": F.col("n_out") == 0}
+    return column_outliers(df).agg(*[share(c).alias(k) for k, c in grades.items()])
+
+
+def outlier_summary(df: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """(outlier_column_share, n_outliers, mean_outlier_share) of column_outliers."""
+    return column_outliers(df, threshold).agg(share(F.col("n_out") > 0).alias("outlier_column_share"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("n_outliers"), F.coalesce(rounded(F.avg(F.coalesce(F.try_divide(F.col("n_out").cast("double"), "n"), F.lit(0.0)))), F.lit(0.0)).alias("mean_outlier_share"))
 
 
 def _limit(df: DataFrame, c: str, low, high, method: str) -> DataFrame:

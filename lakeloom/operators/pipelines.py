@@ -45,6 +45,48 @@ def top_modules(calls: DataFrame, pattern: str, k: int, without: str | None = No
     return counts.orderBy(F.col("n").desc(), "module").limit(k)
 
 
+# Tasks and the part of a component's name that tells of them.
+TASK_WORDS = {"classification": "classifi", "clustering": "cluster", "visualization": "plot", "regression": "regress"}
+
+
+def task_libraries(calls: DataFrame, task: str, k: int) -> DataFrame:
+    """(library, module, pipeline_id) of calls whose component tells of the task, each once, of the k libraries that most
+    pipelines call for it; ties by name."""
+    hit = calls.where(F.col("component").rlike(f"(?i){TASK_WORDS[task]}")).select(library_of(F.col("component")).alias("library"), module_of(F.col("component")).alias("module"), "pipeline_id").where("library IS NOT NULL").distinct()
+    top = hit.groupBy("library").agg(F.count_distinct("pipeline_id").alias("n")).orderBy(F.col("n").desc(), "library").limit(k)
+    return hit.join(top.select("library"), "library", "left_semi")
+
+
+def tagged_pipelines(pipelines: DataFrame, tags: DataFrame, pattern: str = "deep learning") -> DataFrame:
+    """Pipelines with a tag that matches, each once, by score."""
+    return pipelines.join(tags.where(F.col("tag").rlike(f"(?i){pattern}")).select("pipeline_id"), "pipeline_id", "left_semi").orderBy(F.col("score").desc(), "pipeline_id")
+
+
+def transformations(calls: DataFrame, reads: DataFrame, pipelines: DataFrame, pattern: str = "preprocessing") -> DataFrame:
+    """(transformation, pipeline_id, table_name, dataset_id): components that match, called by pipelines that read the
+    table; reads: (pipeline_id, table_name)."""
+    used = calls.where(F.col("component").rlike(f"(?i){pattern}")).select("pipeline_id", F.col("component").alias("transformation")).distinct()
+    return used.join(reads.select("pipeline_id", "table_name").distinct(), "pipeline_id").join(pipelines.select("pipeline_id", "dataset_id"), "pipeline_id").select("transformation", "pipeline_id", "table_name", "dataset_id")
+
+
+def pipeline_count(pipelines: DataFrame) -> DataFrame:
+    return pipelines.agg(F.count_distinct("pipeline_id").alias("n_pipelines"))
+
+
+def insight_code(insight_statements: DataFrame, statements: DataFrame, insight) -> DataFrame:
+    """(n, text): the statements of an insight, in order. insight_statements: (insight_id, pipeline_id, n)."""
+    own = insight_statements.where(F.col("insight_id") == insight).select("pipeline_id", "n").distinct()
+    return statements.join(own, ["pipeline_id", "n"]).select("n", "text").orderBy("n")
+
+
+def insights_for_cases(cases: DataFrame, pipelines: DataFrame, insights: DataFrame, k: int = 3) -> DataFrame:
+    """(dataset_id, place, pipeline_id, insights): the k best pipelines of each case (dataset_id) with their sorted insight
+    ids; a pipeline without insights has none."""
+    best = top_k_pipelines(pipelines.join(cases.select("dataset_id").distinct(), "dataset_id", "left_semi"), k)
+    own = insights.groupBy("pipeline_id").agg(F.sort_array(F.collect_set("insight_id")).alias("insights"))
+    return best.join(own, "pipeline_id", "left").select("dataset_id", "place", "pipeline_id", "insights")
+
+
 def pipelines_calling(calls: DataFrame, components: list[str]) -> DataFrame:
     """(pipeline_id) of pipelines that call all the components."""
     return calls.where(F.col("component").isin(components)).groupBy("pipeline_id").agg(F.count_distinct("component").alias("n")).where(F.col("n") == len(set(components))).select("pipeline_id")
@@ -71,14 +113,14 @@ def task_totals(tags: DataFrame, tasks: dict[str, str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("n")) for t in tasks])).alias("r")).select("r.*")
 
 
-def phase_blocks(statements: DataFrame, most: int = 200) -> DataFrame:
+def phase_blocks(statements: DataFrame) -> DataFrame:
     """(pipeline_id, block, phase, first_n, last_n, size, first_text, last_text): runs of consecutive statements of one phase."""
     w = Window.partitionBy("pipeline_id").orderBy("n")
     breaks = F.when(F.lag("phase").over(w).eqNullSafe(F.col("phase")), 0).otherwise(1)
     blocks = statements.withColumn("start", breaks).withColumn("block", F.sum("start").over(w))
     return blocks.groupBy("pipeline_id", "block").agg(
         F.first("phase").alias("phase"), F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.count(F.lit(1)).alias("size"),
-        F.substring(F.min_by("text", "n"), 1, most).alias("first_text"), F.substring(F.max_by("text", "n"), 1, most).alias("last_text"),
+        F.min_by("text", "n").alias("first_text"), F.max_by("text", "n").alias("last_text"),
     )
 
 

@@ -63,9 +63,26 @@ LAKE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 
 def lake(t: Tables) -> DataFrame:
+    """The profiles of the lake's columns."""
     return K.profile_lake({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
 
 
+def schema(t: Tables) -> DataFrame:
+    """The lake's columns by name and type."""
+    return K.lake_columns({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
+
+
+def sizes(t: Tables) -> DataFrame:
+    """The lake's columns with their tables' numbers of rows."""
+    return K.lake_sizes({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
+
+
+# The lake's columns as SQL sees them
+COLUMNS_SQL = f"""cols AS (SELECT table_name, column_name, ordinal_position - 1 AS position, 'lake/tpch/' || table_name AS table_id, 'lake/tpch/' || table_name || '/' || column_name AS column_id,
+CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'int' WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'float' WHEN data_type = 'BOOLEAN' THEN 'boolean' WHEN data_type = 'DATE' OR data_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'string' END AS data_type
+FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in LAKE)}))"""
+
+
 # ---- missing data and cleaning
 
 @query(f"""WITH g AS ({GAPS}) SELECT round_even(sum((tax IS NULL)::INT + (discount IS NULL)::INT + (flag IS NULL)::INT) / (6.0 * count(*)), 4) AS missing_rate FROM g""")
@@ -429,44 +446,61 @@ def k1_profile_lake(t):
 
 @query("SELECT count(*) AS n_columns, sum(n)::BIGINT AS n_cells FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t, cs in COLUMNS.items() for _ in cs) + ")")
 def q4_lake_totals(t):
-    return lake(t).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("total_values_count").alias("n_cells"))
+    return sizes(t).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("total_values_count").alias("n_cells"))
 
 
 @query(" UNION ALL ".join(f"SELECT 'tpch' AS dataset_name, '{t}' AS table_name, count(*) AS n_rows, {len(cs)}::BIGINT AS n_columns FROM {t}" for t, cs in COLUMNS.items()))
 def q2_tables_info(t):
-    return K.tables_info(lake(t))
+    return K.tables_info(sizes(t))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, {len(cs)}::BIGINT AS n_columns, count(*) AS n_rows FROM {t}" for t, cs in COLUMNS.items() if any("key" in c for c in cs) and any("price" in c or "acctbal" in c for c in cs)))
 def q5_search_tables(t):
-    return K.search_tables(lake(t), [["price", "acctbal"], ["key"]])
+    return K.search_tables(sizes(t), [["price", "acctbal"], ["key"]])
 
 
-@query()
+LABEL_EDGES = f"""{COLUMNS_SQL}, w AS (SELECT *, list_distinct(string_split(trim(regexp_replace(regexp_replace(column_name, '^[a-z]+_', ''), '[^0-9a-z]+', ' ', 'g')), ' ')) AS words FROM cols),
+label_edges AS (SELECT * FROM (SELECT a.column_id AS column_id_1, b.column_id AS column_id_2, 'label' AS kind, a.table_id AS t1, b.table_id AS t2, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS certainty
+FROM w a JOIN w b ON a.data_type = b.data_type AND a.column_id < b.column_id AND a.table_id <> b.table_id) WHERE certainty >= 0.75)"""
+CONTENT_EDGES = f"""p AS ({PROFILE_SQL.replace("round_even(", "round(").replace(", 4) AS", ", 12) AS")}),
+v AS (SELECT 'lake/tpch/' || table_name AS table_id, 'lake/tpch/' || table_name || '/' || column_name AS column_id, data_type, list_transform([min_value, max_value, mean, median, iqr], lambda x: sign(x) * ln(1 + abs(x))) AS e FROM p WHERE data_type IN ('int', 'float') AND mean IS NOT NULL),
+content_edges AS (SELECT * FROM (SELECT a.column_id AS column_id_1, b.column_id AS column_id_2, 'content' AS kind, a.table_id AS t1, b.table_id AS t2, 1 - tanh(list_distance(a.e, b.e)) AS certainty
+FROM v a JOIN v b ON a.data_type = b.data_type AND a.column_id < b.column_id AND a.table_id <> b.table_id) WHERE certainty >= 0.75)"""
+
+
+def _related_sql(edges: str) -> str:
+    return f""", both_ways AS (SELECT t1 AS table_id, t2 AS related_table_id, certainty FROM {edges} UNION ALL SELECT t2, t1, certainty FROM {edges}), sums AS (SELECT table_id, related_table_id, sum(certainty) AS total FROM both_ways GROUP BY 1, 2)
+SELECT table_id, related_table_id, round_even(total / top, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY total DESC, related_table_id) AS n, max(total) OVER (PARTITION BY table_id) AS top FROM sums) WHERE n <= 3"""
+
+
+@query(f"WITH {LABEL_EDGES} SELECT column_id_1, column_id_2, kind, round_even(certainty, 4) AS certainty FROM label_edges")
 def l3_label_similarity(t):
-    return rounded(K.label_similarity(lake(t), 0.75, "^[a-z]+_"), 4, "certainty")
+    return rounded(K.label_similarity(schema(t), 0.75, "^[a-z]+_"), 4, "certainty")
 
 
-@query()
+@query(f"WITH {CONTENT_EDGES} SELECT column_id_1, column_id_2, kind, round_even(certainty, 4) AS certainty FROM content_edges")
 def l5_content_similarity(t):
     return rounded(K.content_similarity(K.content_vector(lake(t))), 4, "certainty")
 
 
-@query()
+@query(f"WITH {CONTENT_EDGES}{_related_sql('content_edges')}")
 def q6_joinable_tables(t):
     columns = K.content_vector(lake(t))
     return K.related_tables(K.content_similarity(columns), columns, None, 3, "content")
 
 
-@query()
+@query(f"WITH {LABEL_EDGES}{_related_sql('label_edges')}")
 def q7_unionable_tables(t):
-    columns = lake(t)
+    columns = schema(t)
     return K.related_tables(K.label_similarity(columns, 0.75, "^[a-z]+_"), columns, None, 3, "label")
 
 
-@query()
+MEMBERS = f"{COLUMNS_SQL}, members AS (SELECT column_id AS s, 'isPartOf' AS p, table_id AS o FROM cols UNION SELECT table_id, 'isPartOf', 'lake/tpch' FROM cols UNION SELECT 'lake/tpch', 'isPartOf', 'lake' FROM cols)"
+
+
+@query(f"WITH {MEMBERS} SELECT * FROM members")
 def l1_membership(t):
-    return K.membership_triples(lake(t))
+    return K.membership_triples(schema(t))
 
 
 # ---- pipelines: orders as pipelines by customers, lines as calls of brands' parts, order status as tag
@@ -525,13 +559,13 @@ def p11_task_totals(t):
     return P.task_totals(t.orders.select(F.col("o_orderpriority").alias("tag")), {"urgent": "urgent", "high": "high|urgent"})
 
 
-@query("""WITH s AS (SELECT conv_id AS pipeline_id, turn AS n, role AS phase, substr(text, 1, 200) AS text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM conversations),
+@query("""WITH s AS (SELECT conv_id AS pipeline_id, turn AS n, role AS phase, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM conversations),
 u AS (SELECT * FROM s WHERE k = 1), b AS (SELECT *, sum(brk) OVER (PARTITION BY pipeline_id ORDER BY n) AS block FROM (SELECT *, (lag(phase) OVER (PARTITION BY pipeline_id ORDER BY n) IS DISTINCT FROM phase)::INT AS brk FROM u))
 SELECT pipeline_id, block::BIGINT AS block, min(phase) AS phase, min(n) AS first_n, max(n) AS last_n, count(*) AS size, arg_min(text, n) AS first_text, arg_max(text, n) AS last_text FROM b GROUP BY 1, 2""")
 def p17_phase_blocks(t):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id", "turn").orderBy("role", F.substring("text", 1, 200))
+    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     one = t.conversations.where("text IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k = 1")
     return P.phase_blocks(one.select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("n"), F.col("role").alias("phase"), "text"))
 
@@ -652,9 +686,9 @@ def g9_principal_components(t):
 
 # ---- sources and sinks over the profiles, ranking
 
-@query()
+@query(f"WITH {MEMBERS} SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS line FROM members")
 def s6_triple_lines(t):
-    return S.triple_lines(K.membership_triples(lake(t)).select("s", "p", "o", F.lit("iri").alias("o_type"), F.lit(None).cast("double").alias("certainty")))
+    return S.triple_lines(K.membership_triples(schema(t)).select("s", "p", "o", F.lit("iri").alias("o_type"), F.lit(None).cast("double").alias("certainty")))
 
 
 @query("""SELECT vec_id, label FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)""")
@@ -670,8 +704,9 @@ def s10_skip_existing(t):
     return S.skip_existing(docs, old, "id").select(F.col("id").cast("long").alias("doc_id"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)drop(ped|ping)?\\b|remov|imput|fill(ed|ing)?\\b|encod|scal(e|ed|ing)\\b|transform') THEN 'reject' ELSE 'keep' END AS decision, text FROM conversations""")
+@query()
 def v14_hard_gate(t):
+    """The rule's wording is tested on labelled sentences; here it runs over all turns."""
     rows = t.conversations.select("conv_id", "turn", "text", F.lit("eda").alias("phase"), F.lit(False).alias("time_series"), F.lit(False).alias("grouped"))
     return V.hard_gate(rows).select("conv_id", "turn", "decision", "text")
 
@@ -754,31 +789,46 @@ def p14_insights(t):
     return P.insights_of(insights, t.lineitem.select(F.col("l_orderkey").alias("insight_id"), F.col("l_returnflag").alias("phase")))
 
 
-@query("""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 3 = 0), q AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 1),
+@query("""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)), q AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS column_id, list_cosine_similarity(q.e, c.e) AS score FROM q JOIN c USING (label)) SELECT query_id, column_id, round_even(score, 4) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, column_id) AS place FROM s) WHERE place <= 3""")
 def q10_similar_columns(t):
-    ops = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("column_id"))
-    columns = K.flag_operations(t.embeddings.select(F.col("vec_id").alias("column_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector")), ops)
-    queries = t.embeddings.where("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector"))
+    columns = K.flag_operations(t.embeddings.select(F.col("vec_id").alias("column_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector")), t.labels.select(F.col("doc_id").alias("column_id")))
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("data_type"), F.col("embedding").alias("vector"))
     return rounded(V.similar_columns(columns, queries, 3).select("query_id", "column_id", "score", "place"), 4, "score")
 
 
-@query("SELECT 'no_duplicate_columns' AS \"check\", unnest([" + ", ".join(f"'{t}'" for t in LAKE) + "]) AS subject, true AS passed, '0' AS detail")
+_HEADERS = f"{COLUMNS_SQL}, heads AS (SELECT table_name, regexp_replace(column_name, '^[a-z]+_', '') AS column_name FROM cols)"
+
+
+@query(f"WITH {_HEADERS}, n AS (SELECT table_name, column_name, count(*) AS n FROM heads GROUP BY 1, 2) SELECT 'no_duplicate_columns' AS \"check\", table_name AS subject, sum(n - 1) = 0 AS passed, sum(n - 1)::BIGINT::VARCHAR AS detail FROM n GROUP BY 1, 2")
 def a5_no_duplicate_columns(t):
-    return A.no_duplicate_columns(lake(t).select("table_name", "column_name"))
+    """Headers without the tables' prefixes; of customer and orders together, c_custkey and o_custkey repeat."""
+    heads = schema(t).select("table_name", F.regexp_replace("column_name", "^[a-z]+_", "").alias("column_name"))
+    return A.no_duplicate_columns(heads)
+
 
+@query(f"WITH {_HEADERS}, j AS (SELECT column_name FROM heads WHERE table_name IN ('customer', 'orders')), n AS (SELECT column_name, count(*) AS n FROM j GROUP BY 1) SELECT 'no_duplicate_columns' AS \"check\", 'customer_orders' AS subject, sum(n - 1) = 0 AS passed, sum(n - 1)::BIGINT::VARCHAR AS detail FROM n")
+def a5_joined_header(t):
+    """The header that a join of two tables would have: it repeats a name and fails."""
+    heads = schema(t).where("table_name IN ('customer', 'orders')").select(F.lit("customer_orders").alias("table_name"), F.regexp_replace("column_name", "^[a-z]+_", "").alias("column_name"))
+    return A.no_duplicate_columns(heads)
 
-@query("SELECT 'has_id_column' AS \"check\", unnest([" + ", ".join(f"'{t}'" for t in LAKE) + "]) AS subject, unnest([" + ", ".join(str("event_id" in COLUMNS[t]).lower() for t in LAKE) + "]) AS passed, unnest([" + ", ".join(f"'{int('event_id' in COLUMNS[t])}'" for t in LAKE) + "]) AS detail")
+
+@query(f"WITH {COLUMNS_SQL} SELECT 'has_id_column' AS \"check\", table_name AS subject, count(*) FILTER (WHERE lower(column_name) IN ('event_id', 'o_orderkey')) > 0 AS passed, (count(*) FILTER (WHERE lower(column_name) IN ('event_id', 'o_orderkey')))::VARCHAR AS detail FROM cols GROUP BY table_name")
 def a9_has_id_column(t):
-    return A.has_id_column(lake(t), ["event_id"])
+    return A.has_id_column(schema(t), ["event_id", "o_orderkey"])
 
 
-@query("SELECT 'feature_explosion' AS \"check\", 'lineitem' AS subject, true AS passed, '6->11' AS detail")
+@query(f"WITH {COLUMNS_SQL}, n AS (SELECT table_name, count(*) AS n FROM cols GROUP BY 1) SELECT 'feature_explosion' AS \"check\", b.table_name AS subject, b.n <= 3 * a.n OR b.n <= 5 AS passed, a.n || '->' || b.n AS detail FROM n a JOIN n b ON (a.table_name, b.table_name) IN (('orders', 'lineitem'), ('nation', 'lineitem'), ('region', 'nation'))")
 def a6_feature_explosion(t):
-    return A.feature_explosion(lake(t), t.spark.createDataFrame([("orders", "lineitem")], "before string, after string"))
+    pairs = t.spark.createDataFrame([("orders", "lineitem"), ("nation", "lineitem"), ("region", "nation")], "before string, after string")
+    return A.feature_explosion(schema(t), pairs, floor=5)
 
 
 @query("""SELECT 'prediction_plausible' AS "check", 'orders' AS subject, (SELECT bool_and(o_totalprice IN (0, 1)) FROM orders) OR (a <= 10 * b AND a * 10 >= b) AS passed, NULL::VARCHAR AS detail FROM (SELECT (SELECT avg(o_totalprice) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)) AS a, (SELECT avg(l_extendedprice) FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100)) AS b)""")
 def a12_prediction_plausible(t):
     lines = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
     return A.prediction_plausible(t.orders, lines, "o_orderkey", "o_totalprice", "orders").withColumn("detail", F.lit(None).cast("string"))
+
+
+from . import discovery  # noqa: E402, F401  registers further queries

@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import labels as L
+from lakeloom.functions.quantiles import exact_quantiles
 from lakeloom.operators import assertions as A
 from lakeloom.operators import catalog as K
 from lakeloom.operators import correlation as M
@@ -24,27 +26,30 @@ def column(df, c):
 
 
 @pytest.fixture
-def mixed(spark):
-    return spark.createDataFrame([(1, 1.0, "apple", 10.0), (2, 2.0, "banana", None), (3, None, None, 30.0), (4, 4.0, "banana", float("nan"))], "i int, A double, B string, C double")
+def gauges(spark):
+    """Readings of a gauge: 4 of 16 cells are missing, one of them a NaN, and no reading is whole but the first and the last."""
+    rows = [(11, 0.5, "north", 7.0), (12, 3.5, "south", None), (13, None, None, 9.0), (14, 6.5, "south", float("nan")), (15, 9.5, "west", 5.0)]
+    return spark.createDataFrame(rows, "reading int, level double, wind string, flow double")
 
 
-def test_fill_missing(mixed):
-    out = C.fill_missing(mixed, ["A", "B"]).orderBy("i").collect()
-    assert out[2].A == pytest.approx(7 / 3) and out[2].B == "banana" and out[1].C is None
-    assert column(C.fill_missing(mixed, ["B"], "constant", "orange").orderBy("i"), "B")[2] == "orange"
-    assert column(C.fill_missing(mixed, ["A"], "median").orderBy("i"), "A")[2] == 2.0
+def test_gaps_are_filled_by_mean_mode_median_or_constant(gauges):
+    filled = {r.reading: r for r in C.fill_missing(gauges, ["level", "wind"]).collect()}
+    assert filled[13].level == pytest.approx(5.0) and filled[13].wind == "south" and filled[12].flow is None
+    assert {r.reading: r.wind for r in C.fill_missing(gauges, ["wind"], "constant", "calm").collect()}[13] == "calm"
+    assert {r.reading: r.flow for r in C.fill_missing(gauges, ["flow"], "median").collect()}[14] == 7.0
 
 
-def test_nan_is_missing(mixed):
-    assert C.overall_missing_rate(mixed).first()[0] == 0.25
-    assert C.row_completeness(mixed).first()[:2] == (0.25, 0.75)
-    assert [r.column_share for r in C.column_missing_distribution(mixed).orderBy("bin").collect()] == [0.25, 0.5, 0.0, 0.25]
+def test_nan_counts_as_missing(gauges):
+    assert C.overall_missing_rate(gauges).first()[0] == 0.2
+    assert C.row_completeness(gauges).first()[:2] == (0.4, 0.6)
+    assert [r.column_share for r in C.column_missing_distribution(gauges).orderBy("bin").collect()] == [0.25, 0.5, 0.25, 0.0]
 
 
-def test_drop_sparse_columns(spark):
-    df = spark.createDataFrame([(1.0, 1.0, None), (2.0, None, None), (None, 3.0, None), (None, 4.0, None)], "A double, B double, C double")
-    assert C.drop_sparse_columns(df).columns == ["B"]
-    assert C.drop_sparse_columns(df.select("B", "A"), 0.9, ["A"]).columns == ["A", "B"]
+def test_sparse_columns_go(spark):
+    rows = [(i, i if i < 2 else None, None if i < 4 else 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "full int, two_of_five int, last int")
+    assert C.drop_sparse_columns(df).columns == ["full"]
+    assert C.drop_sparse_columns(df, 0.7, ["two_of_five", "last"]).columns == ["two_of_five", "full"]
 
 
 def test_outliers(spark):
@@ -53,13 +58,50 @@ def test_outliers(spark):
     assert sorted(column(O.iqr_outliers(df, ["A"]), "A")) == [1, 2, 4, 5, 9.5]
     assert O.iqr_outliers(df, ["A"], method="remove").count() == 4
     assert O.outlier_summary(df).first() == (0.5, 1, 0.1)
+    severe = spark.createDataFrame([(float(i), 0.0 if i < 90 else 1000.0 * i, 3.0) for i in range(100)], "even double, odd double, same double").withColumn("odd", F.col("odd") + F.col("even"))
+    assert O.outlier_severity(severe).first() == (0.0, 0.3333, 0.0, 0.6667)
+    assert O.outlier_severity(severe.select(F.lit("x").alias("text"))).first() == (0.0, 0.0, 0.0, 0.0)
 
 
-def test_duplicates(spark):
-    df = spark.createDataFrame([(1, 1, "apple"), (2, 2, "banana"), (3, 2, "banana"), (4, 4, "banana")], "i int, A int, B string")
-    assert sorted(column(C.remove_duplicates(df, ["A", "B"], "first", "i"), "i")) == [1, 2, 4]
-    assert sorted(column(C.remove_duplicates(df, ["A"], "last", "i"), "i")) == [1, 3, 4]
-    assert sorted(column(C.remove_duplicates(df, ["A"], False), "i")) == [1, 4]
+def test_repeated_rows_go(spark):
+    rows = [(1, "oak", 30), (2, "oak", 30), (3, "elm", 30), (4, "oak", 12), (5, "oak", 30)]
+    df = spark.createDataFrame(rows, "n int, tree string, age int")
+    assert sorted(column(C.remove_duplicates(df, ["tree", "age"], "first", "n"), "n")) == [1, 3, 4]
+    assert sorted(column(C.remove_duplicates(df, ["tree"], "last", "n"), "n")) == [3, 5]
+    assert sorted(column(C.remove_duplicates(df, ["tree", "age"], False), "n")) == [3, 4]
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "few", "nulls"])
+def test_exact_quantiles_equal_sorted_values(spark, kind):
+    rng = np.random.default_rng(5)
+    values = {"spread": rng.normal(size=30_000), "ties": rng.integers(0, 3, 20_000).astype(float), "few": np.array([4.0, 1.0]), "nulls": np.zeros(0)}[kind]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(5)
+    got = exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.999, 1.0], accuracy=500)["x"]
+    want = np.quantile(values, [0, 0.25, 0.5, 0.999, 1]).tolist() if len(values) else [None] * 5
+    assert got == (pytest.approx(want) if len(values) else want)
+
+
+def test_types_are_found_from_the_cells(spark):
+    rows = [("1", "0", "2.5", "true", "2024-01-03", "A whole sentence, with words.", "x-17", None), ("-2", "1", "7", "False", "2024-02-05", "Another one of them", "y_18", None), (None, "0", "nan", "true", "soon", "two words", "z9", None)]
+    df = spark.createDataFrame(rows, "i string, b string, f string, t string, d string, n string, s string, none string")
+    assert [r.data_type for r in K.detect_types(df).collect()] == ["int", "boolean", "float", "boolean", "date", "natural_language_text", "string", "string"]
+    assert [r.data_type for r in K.detect_types(spark.createDataFrame([(0, 5), (1, 6)], "bit int, other long")).collect()] == ["boolean", "int"]
+
+
+@pytest.mark.parametrize(("text", "decision"), [
+    ("Drop the columns with a constant value", "reject"), ("We filled missing values with the median", "reject"), ("one-hot encoding of the district", "reject"), ("Apply a log transform to the price", "reject"),
+    ("remove duplicated rows first", "reject"), ("Scale all numeric features", "reject"), ("Sales dropped in March", "keep"), ("Large-scale surveys differ", "keep"), ("The glass is half filled", "keep"),
+    ("Prices fell; demand transformed the market", "keep"), ("Look at the distribution of each column", "keep"),
+])
+def test_gate_asks_for_a_change_of_data(spark, text, decision):
+    rows = spark.createDataFrame([(text, "EDA", False, False)], "text string, phase string, time_series boolean, grouped boolean")
+    assert V.hard_gate(rows).first().decision == decision
+
+
+def test_descendants_end_in_cycles(spark):
+    chain = [(f"n{i + 1}", "isPartOf", f"n{i}") for i in range(7)] + [("n0", "isPartOf", "n7"), ("x", "near", "n0")]
+    triples = spark.createDataFrame(chain, "s string, p string, o string")
+    assert sorted(r.node for r in K.descendants(triples, "n0").collect()) == [f"n{i}" for i in range(8)]
 
 
 def test_conversions(spark):
@@ -96,13 +138,13 @@ def test_correlation(spark):
     assert {r.value: r.rank for r in M.average_ranks(tied, "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
 
 
-def test_empty_and_tiny_tables(spark, mixed):
-    none = mixed.where("i < 0")
+def test_empty_and_tiny_tables(spark, gauges):
+    none = gauges.where("reading < 0")
     for f in (C.overall_missing_rate, C.row_completeness, D.skewness_profile, D.scale_profile, D.normality, D.cardinality_profile, D.imbalance_profile, D.rare_categories, D.sparsity, D.samples_per_feature, O.outlier_summary, O.uniqueness_violations):
         assert f(none).count() == 1, f.__name__
-        assert f(mixed).count() == 1, f.__name__
-    assert D.uncertainty(mixed, "B").first()[0] == 0.5
-    assert D.cardinality_distribution(mixed).first().shape == "unknown"
+        assert f(gauges).count() == 1, f.__name__
+    assert D.uncertainty(gauges, "wind").first()[0] == 0.5
+    assert D.cardinality_distribution(gauges).first().shape == "unknown"
 
 
 def test_peaks(spark):
