@@ -278,10 +278,16 @@ def candidate_edges(firsts: DataFrame, sets: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         counts = written(state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         # counts are of all non-trivial buckets and grow with the sets: a merge join at any size
-        members = state.join(counts.hint("merge"), "path").join(sets.hint("merge"), "set_id").select("path", "set_id", "n", "sig")
+        members = state.join(counts.hint("merge"), "path")
+        if depth == 0:  # later on, the few sets of large buckets have their signatures with them
+            members = members.join(sets.hint("merge"), "set_id")
+        members = members.select("path", "set_id", "n", "sig")
+        more = not counts.where(F.col("n") > HELD).isEmpty()
+        if more:
+            members = written(members)
         alone = members.select("*", zero.alias("x"), zero.alias("y"), no.alias("guest"), no.alias("main"))
         edges.append(_compared(alone.where(F.col("n") <= HELD)))
-        if counts.where(F.col("n") > HELD).isEmpty():
+        if not more:
             break
         large = members.where(F.col("n") > HELD)
         if depth == DEPTH:  # exact way for what no token splits
@@ -298,7 +304,7 @@ def candidate_edges(firsts: DataFrame, sets: DataFrame) -> DataFrame:
         judged = written(found.join(main, "path").select("path", "set_id", "n", "sig", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("inside"), (F.coalesce("held", F.lit(0)) >= DENSE * F.col("n")).alias("dense"), (F.col("n") - F.col("held")).alias("n_guests")))
         rest = judged.where("dense AND n_guests > 0").withColumn("main", F.col("inside"))
         edges.append(_compared(_against(rest.where("NOT inside"), rest)))
-        state = written(judged.where("NOT dense").select("set_id", F.explode(_further()).alias("path")))
+        state = written(judged.where("NOT dense").select("set_id", "sig", F.explode(_further()).alias("path")))
         if state.isEmpty():
             break
     out = None
