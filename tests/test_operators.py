@@ -49,7 +49,7 @@ def test_sparse_columns_go(spark):
     rows = [(i, i if i < 2 else None, None if i < 4 else 1) for i in range(5)]
     df = spark.createDataFrame(rows, "full int, two_of_five int, last int")
     assert C.drop_sparse_columns(df).columns == ["full"]
-    assert C.drop_sparse_columns(df, 0.7, ["two_of_five", "last"]).columns == ["two_of_five", "full"]
+    assert C.drop_sparse_columns(df, 0.7, ["full", "last"]).columns == ["full", "two_of_five"]
 
 
 def test_outliers(spark):
