@@ -23,6 +23,7 @@ from ._text import mix, randoms
 _U = np.uint64
 GRAMS = (4, 5, 6)
 BUCKETS = 1 << 20
+PIECE = 500_000  # bytes of text whose n-grams a task holds at once
 
 
 def char_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_gram = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for block, texts in pieces(batch, 1):
+            for block, texts in pieces(batch, 1, PIECE):
                 label = block.column(2).to_numpy()
                 buckets, owner = _distinct(*char_grams(texts))
                 for y in (0, 1):
@@ -129,7 +130,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for block, texts in pieces(batch, 1):
+            for block, texts in pieces(batch, 1, PIECE):
                 place, owner = model.features(texts)
                 begins = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([block.column(2), pa.ListArray.from_arrays(begins, pa.array(place, pa.int32())), pa.ListArray.from_arrays(begins, pa.array(model.weights[place]))], ["label", "at", "value"])
@@ -154,7 +155,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: dict[str, Column], text_
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in pieces(batch, len(names)):
+            for block, texts in pieces(batch, len(names), PIECE):
                 score = shared.value.score(texts)
                 yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -169,7 +170,7 @@ def toxicity_column(spark: SparkSession, model: Model, text_col: str) -> Column:
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        parts = [shared.value.score(own) for _, own in pieces(batch, 0)]
+        parts = [shared.value.score(own) for _, own in pieces(batch, 0, PIECE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.col(text_col))
