@@ -79,7 +79,7 @@ def t12_library_and_module(t):
 
 def _type_sql(table: str, column: str) -> str:
     x = f'"{column}"'
-    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, CASE WHEN count({x}) = 0 THEN 'string' WHEN count(*) FILTER (WHERE regexp_full_match(trim({x}), '[+-]?\d+')) = count({x}) THEN CASE WHEN min(try_cast({x} AS BIGINT)) = 0 AND max(try_cast({x} AS BIGINT)) = 1 THEN 'boolean' ELSE 'int' END
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, CASE WHEN count({x}) = 0 THEN 'string' WHEN count(*) FILTER (WHERE regexp_full_match(trim({x}), '[+-]?\\d+')) = count({x}) THEN CASE WHEN min(try_cast({x} AS BIGINT)) = 0 AND max(try_cast({x} AS BIGINT)) = 1 THEN 'boolean' ELSE 'int' END
 WHEN count(try_cast({x} AS DOUBLE)) = count({x}) THEN 'float' WHEN count(*) FILTER (WHERE lower({x}) IN ('true', 'false')) = count({x}) THEN 'boolean' WHEN count(*) FILTER (WHERE try_cast({x} AS DATE) IS NOT NULL AND length({x}) < 50) > 0.5 * count({x}) THEN 'date'
 WHEN count(*) FILTER (WHERE len(regexp_extract_all(substr({x}, 1, 100), '\\S+')) >= 2 AND len(list_filter(regexp_split_to_array(substr({x}, 1, 100), '\\s+'), lambda w: regexp_full_match(w, '\\p{{L}}+[.,;:!?]?'))) > 0.5 * len(regexp_extract_all(substr({x}, 1, 100), '\\S+'))) > 0.5 * count({x}) THEN 'natural_language_text' ELSE 'string' END AS data_type
 FROM (SELECT CAST({x} AS VARCHAR) AS {x} FROM {table})"""
