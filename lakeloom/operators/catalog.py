@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import value
+from ..functions.columns import name, value
 from ..functions.labels import make_label, path_id
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import cut
@@ -167,9 +167,38 @@ def content_vector(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("embedding", F.when(numeric, parts))
 
 
-def label_tokens(name: Column, prefix: str = "") -> Column:
+def text_vectors(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, vector, scale) of texts (id, text): the mean vector of a text's words in words (word, vector of one length), repeats
+    counted, and its largest absolute component. Texts without a known word have no row."""
+    head = words.select(F.size("vector").alias("n")).where("n >= 0").first()
+    length = head.n if head else 0
+    met = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"), F.lit(1))).alias("word")).join(words.where(F.size("vector") == length), "word")
+    means = F.array(*[F.avg(F.element_at("vector", i + 1).cast("double")) for i in range(length)])
+    return met.groupBy("id").agg(means.alias("vector")).select("id", "vector", F.array_max(F.transform("vector", F.abs)).alias("scale"))
+
+
+def profile_sample(df: DataFrame, key: str, large: int = 10_000, few: int = 1_000) -> DataFrame:
+    """The rows that costly profiles may read: about a tenth of a table of over `large` rows, else the first `few`, both by
+    the md5 of the key, so that reruns agree. Rows without a key are never in a tenth."""
+    spread = F.md5(name(key).cast("string"))
+    if df.count() > large:
+        return df.where(F.conv(F.substring(spread, 1, 7), 16, 10).cast("long") % 10 == 0)
+    return df.orderBy(spread, name(key)).limit(few)
+
+
+def replace_profiles(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """stored with the fresh profiles in place of those of the same data sets and tables."""
+    return stored.join(fresh.select("dataset_name", "table_name").distinct(), ["dataset_name", "table_name"], "left_anti").unionByName(fresh)
+
+
+def ask(tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """A query of the caller's own, which names tables in braces."""
+    return next(iter(tables.values())).sparkSession.sql(sql, **tables)
+
+
+def label_tokens(label: Column, prefix: str = "") -> Column:
     """Distinct words of a label."""
-    return F.array_sort(F.array_distinct(F.split(make_label(F.regexp_replace(name, prefix, "") if prefix else name), " ")))
+    return F.array_sort(F.array_distinct(F.split(make_label(F.regexp_replace(label, prefix, "") if prefix else label), " ")))
 
 
 def label_similarity(columns: DataFrame, least: float = 0.75, prefix: str = "") -> DataFrame:
@@ -184,17 +213,18 @@ def label_similarity(columns: DataFrame, least: float = 0.75, prefix: str = "")
     return counted.select("column_id_1", "column_id_2", F.lit("label").alias("kind"), certainty.alias("certainty")).where(F.col("certainty") >= least)
 
 
-def content_similarity(columns: DataFrame, least: float = 0.75) -> DataFrame:
-    """Edges of columns of one type in different tables with 1 - tanh(distance of their embeddings) >= least.
+def content_similarity(columns: DataFrame, least: float = 0.75, scale: str | None = None) -> DataFrame:
+    """Edges of columns of one type in different tables with 1 - tanh(distance of their embeddings) >= least; with `scale`,
+    a column of values of at least 0, both columns' scales are added to the distance, and a null scale makes no edge.
 
     At 0.75 the distance is at most 0.2554, so only columns in the same or the next cell of the first component are
     compared: a band join by equi-keys, not all pairs."""
     width = math.atanh(1 - least)
-    rows = columns.where("embedding IS NOT NULL").select("column_id", "table_id", "data_type", "embedding", F.floor(F.element_at("embedding", 1) / width).alias("cell"))
+    rows = columns.where("embedding IS NOT NULL").select("column_id", "table_id", "data_type", "embedding", (name(scale) if scale else F.lit(0.0)).alias("scale"), F.floor(F.element_at("embedding", 1) / width).alias("cell"))
     near = rows.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
     a, b = rows.alias("a"), near.alias("b")
     met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.data_type") == F.col("b.data_type")) & (F.col("a.column_id") < F.col("b.column_id")) & (F.col("a.table_id") != F.col("b.table_id")))
-    distance = F.sqrt(F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    distance = F.sqrt(F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) + F.col("a.scale") + F.col("b.scale")
     return met.select(F.col("a.column_id").alias("column_id_1"), F.col("b.column_id").alias("column_id_2"), F.lit("content").alias("kind"), (1 - F.tanh(distance)).alias("certainty")).where(F.col("certainty") >= least)
 
 

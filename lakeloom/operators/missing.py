@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import column_table, name, numeric_columns, rounded, value
 from ..functions.quantiles import exact_quantiles
+from ..functions.ranks import numbered
 
 # Cells that count as missing in the repair tool.
 NA_TOKENS = ["none", "n/a", "na", "NaN", "nan", "missing", "?", "", " "]
@@ -96,19 +99,30 @@ def clean_fill(df: DataFrame) -> DataFrame:
     return fill_missing(out, numbers, "constant", 0) if texts and numbers else fill_missing(out, numbers, "mean") if numbers else out
 
 
-def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None) -> DataFrame:
-    """Linear interpolation down the rows between the nearest known values, the nearest known one at the ends.
-    Without `partition` the whole table is one window: give one for large tables."""
-    whole = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(order)
+def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, run: int = 100_000) -> DataFrame:
+    """Linear interpolation down the rows between the nearest known values, the nearest known one at the ends. Without
+    `partition` the rows, told apart by `order`, are numbered by a range sort and dealt in runs of `run` rows; each run gets
+    the nearest known values before and after it from a table of a row for each run."""
+    known = {c: F.when(value(df, c).isNotNull(), F.struct(F.col("_n").alias("n"), number_or_null(df, c).alias("x"))) for c in columns}
+    if partition:
+        out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
+    else:
+        rows = numbered(df, [order], "_n").withColumn("_run", F.expr(f"_n div {run}"))
+        ends = rows.groupBy("_run").agg(*[e for i, c in enumerate(columns) for e in (F.max(known[c]).alias(f"_last{i}"), F.min(known[c]).alias(f"_first{i}"))])
+        over_runs = Window.orderBy("_run")  # a row for each run
+        earlier, later = over_runs.rowsBetween(Window.unboundedPreceding, -1), over_runs.rowsBetween(1, Window.unboundedFollowing)
+        carried = ends.select("_run", *[e for i in range(len(columns)) for e in (F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}"), F.first(f"_first{i}", True).over(later).alias(f"_after{i}"))])
+        out = rows.join(carried, "_run")
+    whole = Window.partitionBy(*(partition or ["_run"])).orderBy("_n")
     back, ahead = whole.rowsBetween(Window.unboundedPreceding, 0), whole.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("_n", F.row_number().over(whole))
-    for c in columns:
-        x, at = number_or_null(df, c), F.when(value(df, c).isNotNull(), F.col("_n"))
-        before, after = F.last(x, True).over(back), F.first(x, True).over(ahead)
-        n0, n1 = F.last(at, True).over(back), F.first(at, True).over(ahead)
-        between = before + (after - before) * F.try_divide((F.col("_n") - n0).cast("double"), n1 - n0)
-        out = out.withColumn(c, F.coalesce(x, between, before, after))
-    return out.drop("_n")
+    for i, c in enumerate(columns):
+        before = F.coalesce(F.last(known[c], True).over(back), *([] if partition else [F.col(f"_before{i}")]))
+        after = F.coalesce(F.first(known[c], True).over(ahead), *([] if partition else [F.col(f"_after{i}")]))
+        out = out.withColumns({f"_b{i}": before, f"_a{i}": after})
+    for i, c in enumerate(columns):
+        x0, x1, n0, n1 = (F.col(f"{side}.{part}") for part in ("x", "n") for side in (f"_b{i}", f"_a{i}"))
+        out = out.withColumn(c, F.coalesce(number_or_null(df, c), x0 + (x1 - x0) * F.try_divide((F.col("_n") - n0).cast("double"), n1 - n0), x0, x1))
+    return out.select(*[name(c) for c in df.columns])
 
 
 def number_or_null(df: DataFrame, c: str):
@@ -197,24 +211,50 @@ def impute_most_frequent(df: DataFrame) -> DataFrame:
     return fill_missing(df, df.columns, "mode")
 
 
-def impute_nearest(df: DataFrame, columns: list[str], key: str, k: int = 5, donors: int = 1000) -> DataFrame:
-    """Missing numbers get the mean of the k nearest donors that know them. Donors are up to `donors` rows, first by a hash
-    of the key: a documented bound, broadcast. Distance: over the columns known in both rows, scaled up for the others."""
-    x = {c: number_or_null(df, c) for c in columns}
-    pool = df.select(F.col(key).alias("_donor"), F.array(*x.values()).alias("_d")).orderBy(F.xxhash64(key), key).limit(donors)
-    gaps = df.where(" OR ".join(f"`{c}` IS NULL" for c in columns) + "".join(f" OR isnan(`{c}`)" for c in columns))
-    pairs = gaps.select(F.col(key).alias("_key"), F.array(*x.values()).alias("_x")).join(F.broadcast(pool), F.col("_key") != F.col("_donor"))
-    known = F.zip_with("_x", "_d", lambda a, b: (a - b) * (a - b))
-    used = F.filter(known, lambda v: v.isNotNull())
-    distance = F.aggregate(used, F.lit(0.0), lambda s, v: s + v) * F.try_divide(F.lit(float(len(columns))), F.size(used))
-    scored = pairs.withColumn("_dist", distance).where("_dist IS NOT NULL")
-    out = df
-    for i, c in enumerate(columns):
-        mine = scored.where(F.col("_x")[i].isNull() & F.col("_d")[i].isNotNull())
-        near = mine.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_dist", "_donor"))).where(F.col("_n") <= k)
-        filled = near.groupBy("_key").agg(F.avg(F.col("_d")[i]).alias("_fill"))
-        out = out.join(filled, F.col(key) == F.col("_key"), "left").withColumn(c, F.coalesce(number_or_null(df, c), "_fill")).select(*df.columns)
-    return out
+def impute_nearest(df: DataFrame, columns: list[str], key: str, k: int = 5, rows: int = 2048) -> DataFrame:
+    """Missing numbers get the mean of the k nearest of all rows that know them, ties to the smaller key. Distance: over the
+    columns known in both rows, scaled up for the others; a cell stays missing where no row has one. Keys tell rows apart.
+
+    Rows with gaps and donors are dealt in blocks of about `rows` rows; each pair of blocks is a task that keeps k donors
+    for each gap, and these are ranked again. The work is the number of gaps times that of donors, as the definition has it.
+    """
+    cells = df.select(F.col(key).alias("_key"), F.array(*[number_or_null(df, c) for c in columns]).alias("_x"))
+    gap, knows = F.exists("_x", lambda v: v.isNull()), F.exists("_x", lambda v: v.isNotNull())
+    sizes = cells.agg(F.count_if(gap & knows).alias("gaps"), F.count_if(knows).alias("donors")).first()
+    n_gaps, n_donors = (max(1, -(-n // rows)) for n in sizes)
+    block = lambda n: F.pmod(F.xxhash64("_key", "_x"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = cells.where(gap & knows).select("_key", "_x", block(n_gaps).alias("_g"), every(n_donors).alias("_d"))
+    donors = cells.where(knows).select("_key", "_x", every(n_gaps).alias("_g"), block(n_donors).alias("_d"))
+    of_key = df.schema[key].dataType
+    fields = [("_key", of_key), ("_at", T.IntegerType()), ("_donor", of_key), ("_distance", T.DoubleType()), ("_value", T.DoubleType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({n: [] for n, _ in fields})]
+        if len(left) and len(right):
+            right = right.sort_values("_key", kind="stable")
+            a, b = (np.array([list(v) for v in side["_x"]], dtype=float) for side in (left, right))
+            squares, used = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+            for j in range(a.shape[1]):
+                step = a[:, j, None] - b[None, :, j]
+                met = ~np.isnan(step)
+                squares += np.where(met, step * step, 0.0)
+                used += met
+            distance = np.where(used > 0, squares * (a.shape[1] / np.maximum(used, 1)), np.inf)
+            for j in range(a.shape[1]):
+                mine, pool = np.flatnonzero(np.isnan(a[:, j])), np.flatnonzero(~np.isnan(b[:, j]))
+                near = np.argsort(distance[np.ix_(mine, pool)], axis=1, kind="stable")[:, :k]
+                at, to = np.repeat(mine, near.shape[1]), pool[near.ravel()]
+                here = pd.DataFrame({"_key": left["_key"].to_numpy()[at], "_at": j, "_donor": right["_key"].to_numpy()[to], "_distance": distance[at, to], "_value": b[to, j]})
+                found.append(here[np.isfinite(here["_distance"])])
+        return pd.concat([f for f in found if len(f)] or found)
+
+    near = asked.groupBy("_g", "_d").cogroup(donors.groupBy("_g", "_d")).applyInPandas(best, schema)
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_at").orderBy("_distance", "_donor"))).where(F.col("_n") <= k)
+    fills = ranked.groupBy("_key").agg(*[F.avg(F.when(F.col("_at") == i, F.col("_value"))).alias(f"_fill{i}") for i in range(len(columns))])
+    at = {c: i for i, c in enumerate(columns)}
+    return df.join(fills, F.col(key) == F.col("_key"), "left").select(*[F.coalesce(number_or_null(df, c), F.col(f"_fill{at[c]}")).alias(c) if c in at else name(c) for c in df.columns])
 
 
 def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3, ridge: float = 1e-3) -> DataFrame:

@@ -10,15 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import correlation, name, number, rounded
+from ..functions.ranks import numbered
+
+
+def lags(rows: DataFrame, keys: list[str], most: int, run: int = 100_000) -> DataFrame:
+    """(keys, x, l1, ..., lmost) of rows (keys, _time, _tie, x): the values 1 to `most` rows before, in the order of _time and _tie.
+
+    Without keys the rows are numbered by a range sort and dealt in runs of `run` (at least `most`) rows, each with the
+    last `most` rows of the run before it, so no task gets the whole series.
+    """
+    before = lambda w: [F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, most + 1)]
+    if keys:
+        return rows.select(*keys, "x", *before(Window.partitionBy(*keys).orderBy("_time", "_tie")))
+    placed = numbered(rows, ["_time", "_tie"], "_n").select("x", "_n", F.expr(f"_n div {run}").alias("_run"), F.lit(True).alias("_own"))
+    tails = placed.where(F.col("_n") % run >= run - most).select("x", "_n", F.col("_run") + 1, F.lit(False))
+    return placed.union(tails).select("x", *before(Window.partitionBy("_run").orderBy("_n")), "_own").where("_own").drop("_own")
 
 
 def periodicity(df: DataFrame, time: str, column: str, tie: str, most: int = 20, partition: list[str] | None = None) -> DataFrame:
     """(periodicity): the largest autocorrelation over lags 1 to min(most, n / 2), at least 0; 0 for fewer than 30 values.
-    With `partition`, one row for each series, and series are windows of their own: do so for large tables."""
+    With `partition`, one row for each series, and series are windows of their own."""
     keys = partition or []
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_time", "_tie")
     rows = df.select(*keys, name(time).alias("_time"), name(tie).alias("_tie"), number(df, column).alias("x")).where("x IS NOT NULL")
-    lagged = rows.select(*keys, "x", F.avg("x").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias("mu"), *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, most + 1)])
+    means = rows.groupBy(*keys).agg(F.avg("x").alias("mu"))
+    lagged = lags(rows, keys, most)
+    lagged = lagged.join(means.withColumnsRenamed({k: f"_of_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else lagged.crossJoin(F.broadcast(means))  # one row
     n = F.count(F.lit(1))
     spread = F.sum((F.col("x") - F.col("mu")) ** 2)
     acf = [F.when(F.lit(2 * k) <= n, F.try_divide(F.sum((F.col("x") - F.col("mu")) * (F.col(f"l{k}") - F.col("mu"))), F.nullif(spread, F.lit(0.0)))) for k in range(1, most + 1)]
@@ -42,14 +58,14 @@ def unit_root_p(tau: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def stationarity(df: DataFrame, time: str, column: str, tie: str, lags: int = 1) -> DataFrame:
+def stationarity(df: DataFrame, time: str, column: str, tie: str, n_lags: int = 1) -> DataFrame:
     """(stationarity): 1 - p of the augmented Dickey-Fuller test with a fixed number of lags; 0.5 where it isn't defined.
     Sums of products of a few lag columns are all that reaches the driver."""
-    w = Window.orderBy("_time", "_tie")
     rows = df.select(name(time).alias("_time"), name(tie).alias("_tie"), number(df, column).alias("x")).where("x IS NOT NULL")
-    d = rows.select("x", (F.col("x") - F.lag("x").over(w)).alias("dy"), F.lag("x").over(w).alias("level"), "_time", "_tie")
-    d = d.select("dy", "level", *[F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)]).dropna()
-    names = ["one", "level", *[f"d{k}" for k in range(1, lags + 1)], "dy"]
+    near = ["x", *[f"l{k}" for k in range(1, n_lags + 2)]]
+    steps = [(F.col(p) - F.col(q)).alias("dy" if k == 0 else f"d{k}") for k, (p, q) in enumerate(zip(near[:-1], near[1:], strict=True))]
+    d = lags(rows, [], n_lags + 1).select(F.col("l1").alias("level"), *steps).dropna()
+    names = ["one", "level", *[f"d{k}" for k in range(1, n_lags + 1)], "dy"]
     d = d.withColumn("one", F.lit(1.0))
     got = d.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]).first()
     m = np.array([[got[f"{a}_{b}"] if f"{a}_{b}" in got.asDict() else got[f"{b}_{a}"] for b in names] for a in names], dtype=float)

@@ -386,3 +386,32 @@ def s8_graph_of_file(t):
 def s9_upsert_vectors(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "label")
     return S.upsert_vectors(rows.union(rows.where("id % 2 = 0")), rows.where("id % 3 = 0"))
+
+
+# ---- profiles of one case, and the user's own queries
+
+
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h, count(*) OVER () AS n, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS place FROM orders) WHERE CASE WHEN n > 10000 THEN ('0x' || substr(h, 1, 7))::BIGINT % 10 = 0 ELSE place <= 1000 END""")
+def k6_profile_sample(t):
+    return K.profile_sample(t.orders.select("o_orderkey"), "o_orderkey")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest([conv_id, turn]) AS word FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), m AS (SELECT conv_id, turn, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM w JOIN embeddings ON vec_id = word WHERE embedding IS NOT NULL), a AS (SELECT conv_id, turn, i, avg(x) AS x FROM m GROUP BY 1, 2, 3)
+SELECT conv_id, turn, list(round_even(x, 4) ORDER BY i) AS vector, round_even(max(abs(x)), 4) AS scale FROM a GROUP BY 1, 2""")
+def k8_text_vectors(t):
+    """Turns as texts of two numbers, and embeddings as the vectors of such words."""
+    texts = t.conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    texts = texts.select(F.struct("conv_id", "turn").alias("id"), F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text"))
+    words = t.embeddings.where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    return K.text_vectors(texts, words).select("id.*", F.transform("vector", lambda x: F.bround(x, 4)).alias("vector"), F.bround("scale", 4).alias("scale"))
+
+
+@query(f"WITH {COLUMNS_SQL} SELECT table_name, column_name, CASE WHEN table_name = 'orders' THEN 'new' ELSE 'old' END AS state FROM cols")
+def k9_replace_profiles(t):
+    stored = schema(t).withColumn("state", F.lit("old"))
+    return K.replace_profiles(stored, stored.where("table_name = 'orders'").withColumn("state", F.lit("new"))).select("table_name", "column_name", "state")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def q13_ask(t):
+    return K.ask({"orders": t.orders, "customer": t.customer}, "SELECT o_orderpriority, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")

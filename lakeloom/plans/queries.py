@@ -743,7 +743,9 @@ def c10_impute_most_frequent(t):
     return C.impute_most_frequent(t.gaps())
 
 
-@query()
+@query("""WITH r AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer),
+n AS (SELECT g.c_custkey, d.c_acctbal AS fill, row_number() OVER (PARTITION BY g.c_custkey ORDER BY (g.c_nationkey - d.c_nationkey) ** 2, d.c_custkey) AS n FROM r g JOIN r d ON g.c_acctbal IS NULL AND d.c_acctbal IS NOT NULL),
+f AS (SELECT c_custkey, avg(fill) AS fill FROM n WHERE n <= 5 GROUP BY 1) SELECT c_custkey, c_nationkey, round_even(coalesce(c_acctbal, fill), 4) AS c_acctbal FROM r LEFT JOIN f USING (c_custkey)""")
 def c11_impute_nearest(t):
     rows = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"))
     return rounded(C.impute_nearest(rows, ["c_nationkey", "c_acctbal"], "c_custkey"), 4, "c_acctbal")

@@ -242,3 +242,49 @@ def test_assertions(spark):
     assert {r.subject: r.passed for r in A.has_id_column(columns, ["id"]).collect()} == {"train": True, "test": True, "bad": False}
     assert {r.subject: r.passed for r in A.no_duplicate_columns(columns).collect()} == {"train": True, "test": True, "bad": False}
     assert A.same_columns(columns, "train", "test").first().passed is False
+
+
+def test_runs_of_a_series(spark):
+    """Runs of few rows give the lags and the interpolation that the whole series gives."""
+    x = [None if i % 5 in (0, 1) or 20 <= i < 33 else float(i * i % 37) for i in range(60)]
+    df = spark.createDataFrame([((i * 7) % 60, x[(i * 7) % 60]) for i in range(60)], "n int, x double")
+    got = column(C.interpolate(df, ["x"], "n", run=4).orderBy("n"), "x")
+    known = [i for i in range(60) if x[i] is not None]
+    assert np.allclose(got, np.interp(range(60), known, [x[i] for i in known]))
+    rows = df.where("x IS NOT NULL").select(F.col("n").alias("_time"), F.lit(0).alias("_tie"), "x")
+    lagged = {tuple(r) for r in Z.lags(rows, [], 3, run=3).collect()}
+    v = [x[i] for i in known]
+    assert lagged == {(v[i], *[v[i - k] if i >= k else None for k in (1, 2, 3)]) for i in range(len(v))}
+
+
+def test_impute_nearest_in_blocks(spark):
+    """Blocks of few rows give what comparing all rows gives; a row without known cells keeps its gaps."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 9, (70, 3)).astype(float)
+    a[rng.random(a.shape) < 0.3] = np.nan
+    a[5] = np.nan
+    cells = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(a)]
+    df = spark.createDataFrame(cells, "id int, a double, b double, c double")
+    want = [list(r[1:]) for r in cells]
+    for i, j in zip(*np.where(np.isnan(a)), strict=True):
+        near = []
+        for d in range(len(a)):
+            both = ~np.isnan(a[i]) & ~np.isnan(a[d])
+            if not np.isnan(a[d, j]) and both.any():
+                near.append((((a[i] - a[d])[both] ** 2).sum() * (3 / both.sum()), d))
+        want[i][j] = np.mean([a[d, j] for _, d in sorted(near)[:5]]) if near else None
+    got = [list(r)[1:] for r in C.impute_nearest(df, ["a", "b", "c"], "id", rows=16).orderBy("id").collect()]
+    assert got[5] == [None, None, None]
+    assert np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), equal_nan=True)
+    whole = spark.createDataFrame([(1, 2.0)], "id int, a double")
+    assert C.impute_nearest(whole, ["a"], "id").collect() == whole.collect() and C.impute_nearest(whole.limit(0), ["a"], "id").count() == 0
+
+
+def test_scales_and_text_vectors(spark):
+    columns = spark.createDataFrame([("x", "t", "int", [0.0], 0.0), ("y", "u", "int", [0.1], 0.1), ("z", "v", "int", [0.1], 0.3)], "column_id string, table_id string, data_type string, embedding array<double>, s double")
+    assert {(r.column_id_1, r.column_id_2) for r in K.content_similarity(columns, scale="s").collect()} == {("x", "y")}
+    assert K.content_similarity(columns).count() == 3
+    words = spark.createDataFrame([("red", [1.0, -4.0]), ("hat", [3.0, 0.0])], "word string, vector array<double>")
+    texts = spark.createDataFrame([(1, "Red, red hat"), (2, "nothing"), (3, None)], "id int, text string")
+    assert [(r.id, [round(v, 3) for v in r.vector], round(r.scale, 3)) for r in K.text_vectors(texts, words).collect()] == [(1, [1.667, -2.667], 2.667)]
+    assert K.text_vectors(texts, words.limit(0)).count() == 0
