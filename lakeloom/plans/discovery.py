@@ -415,3 +415,15 @@ def k9_replace_profiles(t):
 @query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
 def q13_ask(t):
     return K.ask({"orders": t.orders, "customer": t.customer}, "SELECT o_orderpriority, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+
+
+@query(f"""WITH {_CALLS}, said AS (SELECT 'pipeline/' || o_orderkey AS s, 'hasScore' AS p, round_even(o_totalprice, 3)::DOUBLE::VARCHAR AS o FROM orders WHERE o_totalprice <> 0 UNION SELECT 'pipeline/' || o_orderkey, 'isPartOf', '<' || o_orderpriority || '>' FROM orders UNION SELECT 'pipeline/' || pipeline_id, 'callsLibrary', '<' || lib || '>' FROM calls),
+lists AS (SELECT s, p, string_agg(o, ', ' ORDER BY o) AS os FROM said WHERE s IS NOT NULL AND o IS NOT NULL GROUP BY 1, 2) SELECT '<' || s || '> ' || string_agg('<' || p || '> ' || os, ' ;' || chr(10) || chr(9) ORDER BY p) || ' .' AS block FROM lists GROUP BY s""")
+def s7_pipeline_blocks(t):
+    return S.turtle_blocks(S.pipeline_triples(_pipelines(t), _calls(t)))
+
+
+@query("SELECT 'dear' AS column_name, count(*) AS total_values_count, count(DISTINCT p_retailprice > 1200) AS distinct_values_count, round_even(count(*) FILTER (WHERE p_retailprice > 1200) / count(*), 4) AS true_ratio FROM part")
+def k4_true_ratio(t):
+    dear = t.part.select((F.col("p_retailprice") > 1200).alias("dear"))
+    return rounded(K.profile_table(dear, "lake", "tpch", "part").select("column_name", "total_values_count", "distinct_values_count", "true_ratio"), 4, "true_ratio")

@@ -77,19 +77,46 @@ def _literal(c: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def triple_lines(triples: DataFrame) -> DataFrame:
-    """(line) of triples (s, p, o, o_type, certainty): iri objects in brackets, texts escaped, numbers typed and rounded to
-    three decimals; a certainty makes the triple the quoted subject of a second statement."""
-    iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
+def _iri(c: str) -> Column:
+    return F.concat(F.lit("<"), F.col(c), F.lit(">"))
+
+
+def _object() -> Column:
+    """The object o of a triple by its o_type: iris in brackets, numbers typed and rounded to three decimals, texts escaped."""
     double = F.col("o").try_cast("double")
     number = F.when(F.isnan(double), F.lit('"NaN"^^<http://www.w3.org/2001/XMLSchema#double>')).when(F.abs(double) == float("inf"), F.concat(F.lit('"'), F.when(double > 0, "INF").otherwise("-INF"), F.lit('"^^<http://www.w3.org/2001/XMLSchema#double>'))).otherwise(F.bround(double, 3).cast("string"))
-    o = F.when(F.col("o_type") == "iri", iri("o")).when(F.col("o_type") == "number", number).otherwise(_literal(F.col("o")))
-    plain = F.concat_ws(" ", iri("s"), iri("p"), o)
+    return F.when(F.col("o_type") == "iri", _iri("o")).when(F.col("o_type") == "number", number).otherwise(_literal(F.col("o")))
+
+
+def triple_lines(triples: DataFrame) -> DataFrame:
+    """(line) of triples (s, p, o, o_type, certainty); a certainty makes the triple the quoted subject of a second statement."""
+    plain = F.concat_ws(" ", _iri("s"), _iri("p"), _object())
     scored = F.concat(F.lit("<< "), plain, F.lit(" >> <withCertainty> "), F.bround("certainty", 3).cast("string"), F.lit(" ."))
     lines = F.when(F.col("certainty").isNull(), F.array(F.concat(plain, F.lit(" .")))).otherwise(F.array(F.concat(plain, F.lit(" .")), scored))
     return triples.select(F.explode(lines).alias("line"))
 
 
+def turtle_blocks(triples: DataFrame, most: int = 1000) -> DataFrame:
+    """(block) of the distinct triples (s, p, o, o_type) without nulls: a subject's predicates, each with its objects, as one
+    Turtle block in the order of the signs. A subject of over `most` triples gets several blocks, so no group is unbounded."""
+    rows = triples.select("s", "p", _object().alias("o")).dropna().distinct()
+    sizes = rows.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / most).alias("n"))
+    dealt = rows.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("p", "o"), "n"))
+    lists = dealt.groupBy("s", "part", "p").agg(F.array_join(F.sort_array(F.collect_list("o")), ", ").alias("os"))
+    said = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", _iri("p"), "os"))), " ;\n\t")
+    return lists.groupBy("s", "part").agg(said.alias("said")).select(F.concat(_iri("s"), F.lit(" "), "said", F.lit(" .")).alias("block"))
+
+
+def pipeline_triples(pipelines: DataFrame, calls: DataFrame) -> DataFrame:
+    """(s, p, o, o_type) of pipelines (pipeline_id, dataset_id, score) and calls (pipeline_id, component): the data set that a
+    pipeline is part of, the libraries it calls, and its score unless that is 0 or null."""
+    s = lambda: F.concat(F.lit("pipeline/"), F.col("pipeline_id").cast("string")).alias("s")
+    said = lambda df, p, o, kind: df.select(s(), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_type"))
+    scored = pipelines.where("score <> 0")
+    library = F.split_part("component", F.lit("."), F.lit(1))
+    return said(scored, "hasScore", F.col("score"), "number").union(said(pipelines, "isPartOf", F.col("dataset_id"), "iri")).union(said(calls, "callsLibrary", library, "iri"))
+
+
 def export_triples(triples: DataFrame, path: str) -> None:
     triple_lines(triples).write.text(path)
 
