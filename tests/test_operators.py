@@ -288,3 +288,25 @@ def test_scales_and_text_vectors(spark):
     texts = spark.createDataFrame([(1, "Red, red hat"), (2, "nothing"), (3, None)], "id int, text string")
     assert [(r.id, [round(v, 3) for v in r.vector], round(r.scale, 3)) for r in K.text_vectors(texts, words).collect()] == [(1, [1.667, -2.667], 2.667)]
     assert K.text_vectors(texts, words.limit(0)).count() == 0
+
+
+def test_turtle_blocks(spark):
+    """Objects in order, texts escaped, repeats and nulls left out; a large subject in several blocks that say the same."""
+    rows = [("a", "p", "y", "iri"), ("a", "p", "x", "iri"), ("a", "p", "x", "iri"), ("a", "q", 'say "no"', "text"), ("a", "q", None, "text"), ("b", "n", "2.00049", "number")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string, o_type string")
+    assert {r.block for r in S.turtle_blocks(triples).collect()} == {'<a> <p> <x>, <y> ;\n\t<q> "say \\"no\\"" .', "<b> <n> 2.0 ."}
+    many = spark.range(200).select(F.lit("s").alias("s"), F.lit("p").alias("p"), F.col("id").cast("string").alias("o"), F.lit("iri").alias("o_type"))
+    blocks = [r.block for r in S.turtle_blocks(many, most=20).collect()]
+    assert len(blocks) > 5 and sorted(o for b in blocks for o in b[len("<s> <p> ") : -2].split(", ")) == sorted(f"<{i}>" for i in range(200))
+    assert S.turtle_blocks(triples.limit(0)).count() == 0
+
+
+def test_unit_root_statistic(spark):
+    """The regression over lags in runs equals plain least squares."""
+    x = np.cumsum(np.random.default_rng(5).normal(size=400)) * 0.3 + np.random.default_rng(6).normal(size=400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "t int, x double")
+    dy = np.diff(x)
+    design = np.column_stack([np.ones(398), x[1:-1], dy[:-1]])
+    beta, rss = np.linalg.lstsq(design, dy[1:], rcond=None)[:2]
+    tau = beta[1] / math.sqrt(rss[0] / (398 - 3) * np.linalg.inv(design.T @ design)[1, 1])
+    assert Z.stationarity(df, "t", "x", "t").first()[0] == pytest.approx(1 - Z.unit_root_p(tau), abs=1e-3)
