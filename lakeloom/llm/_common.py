@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,35 @@ def pieces(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[
             part = batch.slice(start, i + 1 - start)
             yield part, [x or "" for x in part.column(text).to_pylist()]
             start, total = i + 1, 0
+
+
+def numbered(df: DataFrame, by: list, as_name: str) -> DataFrame:
+    """df, which needs no ties in `by` broken, with the 0-based place of each row in that order, in a column `as_name`.
+
+    The sorted rows are written once, so that what was numbered stays so. The driver sees one count for each partition.
+    """
+    ordered = written(df.orderBy(*by).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before, total = [], 0
+    for p, n in sorted(tuple(r) for r in ordered.groupBy(part).count().collect()):
+        before.append((p, total - (p << 33)))
+        total += n
+    base = df.sparkSession.createDataFrame(before, "_part long, _base long")  # a row for each partition
+    return ordered.join(F.broadcast(base), part == F.col("_part")).select(*df.columns, (F.col("_id") + F.col("_base")).alias(as_name))
+
+
+def free_name(name: str, *taken: list[str]) -> str:
+    """name, or name with underscores before it, unlike all the names taken (letter case aside)."""
+    used = {t.lower() for names in taken for t in names}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of each row in a column `name`: its file and its place there. Rows of no file are written to one first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name))
+    except AnalysisException:
+        return keyed(written(docs, keep=True), name)

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ._common import held_out
 from .decontaminate import find_leaks
+from .fingerprints import edited_likeness
 from .jaccard_join import jaccard_join
 from .language_id import identify_languages, learn_languages
 from .licenses import LICENSE_SQL, scan_licenses
 from .mixing import mix_sources
+from .periodic_runs import find_runs
+from .prefix_trie import conversation_trie
 from .token_counts import token_counts
 from .token_ids import token_id_table
 from .topk import TOP_K_SQL, top_k_products
@@ -80,6 +83,36 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, by h = crc32(doc_id as text), with each word i >= a replaced by word a + (i - a) % p;
+    a and p follow from floor(h / 10). The others, and those of rows without an id, stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), chosen.alias("words")).withColumn("n", F.greatest(F.size("words"), F.lit(0)))
+    at = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    plan = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    word = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return plan.select("doc_id", F.when(F.col("n") > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_periods(table(spark, sf_dir, "documents")), {"doc_id": F.col("doc_id")})
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 URL_SQL = """
 WITH p AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -96,5 +129,5 @@ WITH p AS (
 SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.n = 1
 """
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_jaccard_join, op5_topk, op6_toxicity, op7_mixing, op8_decontamination, op9_licenses, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_jaccard_join, op5_topk, op6_toxicity, op7_mixing, op8_decontamination, op9_licenses, op10_token_ids, op11_periodic_runs, op12_prefix_trie, op13_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op5_topk": TOP_K_SQL, "op9_licenses": LICENSE_SQL}
