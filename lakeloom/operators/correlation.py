@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, number, numeric_columns, rounded, share
+from ..functions.ranks import numbered
+from ..sources.shared import cut
 
 
 def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,33 +32,114 @@ def pair_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, cnt, rank): the average rank of each distinct value. Counts are summed before a range sort of the
-    distinct values, and the partitions' totals are added up apart, so no single task sorts all values."""
+    """(value, cnt, rank): the average rank of each distinct value. Counts are summed before a range sort of the distinct
+    values, which is written once; what each partition holds is added up apart, so no task sorts all values."""
     counts = df.select(number(df, column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(counts.orderBy("value").withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    before, total = [], 0
+    for part, n in sorted(tuple(r) for r in parts.groupBy("_part").agg(F.sum("cnt")).collect()):  # a row for each partition
+        before.append((part, total))
+        total += n
+    base = df.sparkSession.createDataFrame(before, "_part int, _base long")
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     local = parts.withColumn("before", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    totals = parts.groupBy("part").agg(F.sum("cnt").alias("n"), F.min("value").alias("lo"))
-    order = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    base = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    return local.join(F.broadcast(base), "part").select("value", "cnt", (F.col("base") + F.col("before") + (F.col("cnt") + 1) / 2).alias("rank"))
+    return local.join(F.broadcast(base), "_part").select("value", "cnt", (F.col("_base") + F.col("before") + (F.col("cnt") + 1) / 2).alias("rank"))
+
+
+#: Rank tables of at most so many distinct values are broadcast; each is counted before.
+BROADCAST_RANKS = 100_000
+
+
+def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(r0, r1, ..): the columns' average ranks in each row, null where the value is missing. Each column is ranked once."""
+    out = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        ranks = cut(average_ranks(df, c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}")))
+        out = out.join(F.broadcast(ranks) if ranks.count() <= BROADCAST_RANKS else ranks, f"v{i}", "left")
+    return out.select(*[f"r{i}" for i in range(len(columns))])
+
+
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(x, y, rho) of pairs of columns, each over the rows where both are known. Columns without missing cells share one ranking
+    and all their pairs one pass; other pairs are ranked over their own rows."""
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, rho double")
+    columns = sorted({c for p in pairs for c in p}, key=df.columns.index)
+    gaps = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if not gaps[f"g{i}"]]
+    shared = [p for p in pairs if p[0] in whole and p[1] in whole]
+    tables = []
+    for own, ranked in [(shared, with_ranks(df, whole))] * bool(shared) + [([p], with_ranks(df.where(number(df, p[0]).isNotNull() & number(df, p[1]).isNotNull()), list(p))) for p in pairs if p not in shared]:
+        at = {c: f"r{i}" for i, c in enumerate(whole if own is shared else own[0])}
+        wide = ranked.agg(*[correlation(F.col(at[x]), F.col(at[y])).alias(f"c{i}") for i, (x, y) in enumerate(own)])
+        tables.append(wide.select(F.inline(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("rho")) for i, (x, y) in enumerate(own)]))))
+    return reduce(DataFrame.union, tables)
 
 
 def spearman_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y, rho) over rows where both are known."""
-    both = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
-    rx = average_ranks(both, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-    ry = average_ranks(both, "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-    return both.join(rx, "x").join(ry, "y").agg(correlation(F.col("rx"), F.col("ry")).alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "rho")
+    return spearman_pairs(df, [(x, y)])
 
 
 def spearman_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(x, y, rho) for all pairs. Pairwise complete: columns without nulls share their ranks."""
-    columns = columns or numeric_columns(df)
-    out = df.sparkSession.createDataFrame([], "x string, y string, rho double")
-    for a, b in combinations(columns, 2):
-        out = out.union(spearman_pair(df, a, b))
-    return out
+    """(x, y, rho) for all pairs, pairwise complete."""
+    return spearman_pairs(df, list(combinations(columns or numeric_columns(df), 2)))
+
+
+def weighted_inversions(values: np.ndarray, weights: np.ndarray) -> float:
+    """Sum of weights[i] * weights[j] over i < j with values[i] > values[j]. By the bits of the values, highest first: where two
+    values share all higher bits, and the earlier has the bit and the later has not, they are inverted."""
+    total, v, w = 0.0, np.asarray(values, np.int64), np.asarray(weights, np.float64)
+    for bit in range(int(v.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (v >> bit & 1).astype(bool)
+        above = np.cumsum(np.where(one, w, 0.0))
+        group = v >> (bit + 1)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        start = np.repeat((above - np.where(one, w, 0.0))[first], np.diff(np.append(first, len(v))))
+        total += float(((above - start) * w)[~one].sum())
+        turn = np.argsort(v >> bit, kind="stable")
+        v, w = v[turn], w[turn]
+    return total
+
+
+def kendall_pair(df: DataFrame, x: str, y: str, blocks: int = 1000, least: int = 1 << 16) -> DataFrame:
+    """(x, y, tau): Kendall's tau-b over rows where both are known; null where one is constant.
+
+    Equal pairs of values are counted first, so no value is hot. The distinct pairs are numbered by (x, y) and by (y, x); a pair of
+    them is discordant if the two orders disagree and both values differ, which strict inversions of the second number along the
+    first count: ties never invert. Both orders are cut in at most `blocks` blocks of `least` pairs or more. Two pairs in one block
+    of either order are counted inside it, and those in different blocks of both by the histogram of blocks, of at most blocks x blocks
+    cells. A task holds one block, or the histogram.
+    """
+    both = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
+    counts = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    by_x = numbered(counts, ["x", "y"], "i")
+    placed = cut(numbered(by_x, ["y", "x"], "j").select("x", "y", "w", "i", "j"))
+    size = max(least, -(-placed.count() // blocks))
+    dealt = placed.select("w", "i", "j", F.expr(f"i div {size}").alias("p"), F.expr(f"j div {size}").alias("q"))
+
+    def inside(along: str, key: str):
+        def count(table: pa.Table) -> pa.Table:
+            order = np.argsort(table["i"].to_numpy(), kind="stable")
+            values = table[key].to_numpy()[order]
+            return pa.table({"d": [weighted_inversions(values - values.min(), table["w"].to_numpy()[order])]})
+
+        return dealt.groupBy(along).applyInArrow(count, "d double")
+
+    def across(table: pa.Table) -> pa.Table:
+        p, q, w = (table[c].to_numpy() for c in ("p", "q", "w"))
+        order = np.lexsort((q, p))  # cells of one block of the first order ascend, so they aren't inverted
+        return pa.table({"d": [weighted_inversions(q[order], w[order])]})
+
+    cells = dealt.groupBy("p", "q").agg(F.sum("w").alias("w"))
+    discordant = inside("p", "q").union(inside("q", "j")).union(cells.withColumn("all", F.lit("all")).groupBy("all").applyInArrow(across, "d double")).agg(F.sum("d").alias("d"))
+    pairs_of = lambda t, n: t.agg(F.coalesce(F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2), F.lit(0.0)).alias("t"))
+    ties = [pairs_of(placed.groupBy(c).agg(F.sum("w").alias("w")), "w").withColumnRenamed("t", f"t_{c}") for c in ("x", "y")]
+    tied = placed.agg(F.sum("w").cast("double").alias("n"), F.sum(F.col("w").cast("double") * (F.col("w") - 1) / 2).alias("t_xy"))
+    wide = reduce(DataFrame.crossJoin, [tied, *ties, discordant])  # of one row each
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    tau = (n0 - F.col("t_x") - F.col("t_y") + F.col("t_xy") - 2 * F.col("d")) / F.nullif(F.sqrt(n0 - F.col("t_x")) * F.sqrt(n0 - F.col("t_y")), F.lit(0.0))
+    return wide.select(F.lit(x).alias("x"), F.lit(y).alias("y"), tau.alias("tau"))
 
 
 def correlation_strength(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,9 +164,7 @@ def synergy_unsupervised(df: DataFrame, columns: list[str] | None = None, most:
     named = [p for i, p in enumerate(pairs) if known[f"n{i}"] >= 10][:tried]
     wide = df.agg(F.lit(0).alias("none"), *[correlation(number(df, a), number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(named)])
     pearson = wide.select(F.explode(F.array(F.struct(F.lit("").alias("x"), F.lit("").alias("y"), F.lit(None).cast("double").alias("r")), *[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(named)])).alias("p")).select("p.*")
-    spearman = df.sparkSession.createDataFrame([], "x string, y string, rho double")
-    for a, b in named:
-        spearman = spearman.union(spearman_pair(df, a, b))
+    spearman = spearman_pairs(df, named)
     n, m = len(columns), len(df.columns)
     c, total = m - n, m * (m - 1) // 2
     mix = {"numerical_numerical": n * (n - 1) // 2, "categorical_numerical": n * c, "categorical_categorical": c * (c - 1) // 2}
@@ -103,18 +186,19 @@ def interaction_potential(df: DataFrame, columns: list[str] | None = None) -> Da
 
 
 def correlation_select(df: DataFrame, target: str, threshold: float = 0.5, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
-    """(column, r) of numeric columns with |r| to the target over the threshold, strongest first."""
+    """(column, r) of numeric columns with |r| to the target over the threshold, strongest first. method: pearson,
+    spearman or kendall (tau-b), each over the rows where both are known."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
-    if method not in ("pearson", "spearman"):
-        raise ValueError(f"method must be pearson or spearman, not {method}")
+    empty = df.sparkSession.createDataFrame([], "column string, r double")
     if method == "spearman":
-        table = None
-        for c in columns:
-            one = spearman_pair(df, c, target).select(F.col("x").alias("column"), F.col("rho").alias("r"))
-            table = one if table is None else table.union(one)
+        table = spearman_pairs(df, [(c, target) for c in columns]).select(F.col("x").alias("column"), F.col("rho").alias("r"))
+    elif method == "kendall":
+        table = reduce(DataFrame.union, [kendall_pair(df, c, target).select(F.col("x").alias("column"), F.col("tau").alias("r")) for c in columns], empty)
+    elif method == "pearson":
+        wide = df.agg(F.lit(0), *[correlation(number(df, c), number(df, target)).alias(f"r{i}") for i, c in enumerate(columns)])
+        table = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)]))) if columns else empty
     else:
-        wide = df.agg(*[correlation(number(df, c), number(df, target)).alias(f"r{i}") for i, c in enumerate(columns)])
-        table = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)])).alias("p")).select("p.*")
+        raise ValueError(f"method must be pearson, spearman or kendall, not {method}")
     return table.where(F.abs("r") > threshold).orderBy(F.abs("r").desc(), "column")
 
 

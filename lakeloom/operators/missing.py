@@ -54,18 +54,37 @@ def row_completeness(df: DataFrame) -> DataFrame:
     return df.agg(part(n == 0).alias("complete_share"), part(n > 0).alias("any_missing_share"), part(n > len(df.columns) / 2).alias("mostly_missing_share"))
 
 
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(mode_0, mode_1, ..): each column's most frequent known value, the smallest of ties, in one row; null without a known value and
+    for nested types and bytes.
+
+    Values become rows and are counted by (column, value), in every task before the shuffle too; then each count of a column keeps its
+    smallest value, and the largest count wins. So no task holds a column's values, and one pass does for all columns.
+    """
+    plain = {i: c for i, c in enumerate(columns) if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))}
+    lanes = [F.when(value(df, c).isNotNull(), F.struct(F.lit(i).alias("at"), value(df, c).cast("string").alias("text"))) for i, c in plain.items()]
+    cells = df.select(F.inline(F.array_compact(F.array(*lanes)))) if lanes else df.select(F.lit(0).alias("at"), F.lit("").alias("text"))
+    counts = cells.groupBy("at", "text").agg(F.count(F.lit(1)).alias("n"))
+    typed = lambda i: F.when(F.col("at") == i, F.col("text").cast(df.schema[columns[i]].dataType))
+    least = counts.groupBy("at", "n").agg(F.lit(0), *[F.min(typed(i)).alias(f"x{i}") for i in plain])
+    return least.agg(F.lit(0).alias("_"), *[(F.max_by(f"x{i}", F.when(F.col("at") == i, F.col("n"))) if i in plain else F.lit(None).cast(df.schema[c].dataType)).alias(f"mode_{i}") for i, c in enumerate(columns)]).drop("_")
+
+
 def fill_missing(df: DataFrame, columns: list[str], method: str = "auto", constant=None) -> DataFrame:
     """Fill missing cells: mean, median, mode (smallest of ties), constant; auto is mean for numbers, else mode."""
     numeric = set(numeric_columns(df))
 
     medians = exact_quantiles(df, [c for c in columns if c in numeric], [0.5]) if method == "median" else {}
 
+    how = {c: ("mean" if c in numeric else "mode") if method == "auto" else method for c in columns}
+    modal = [c for c in columns if how[c] == "mode"]
+
     def fill(c: str):
-        x = value(df, c)
-        how = ("mean" if c in numeric else "mode") if method == "auto" else method
-        return {"mean": F.avg(x), "median": F.lit(medians[c][0]).cast("double") if c in medians else F.lit(None), "mode": F.mode(x, True), "constant": F.lit(constant)}[how]
+        return {"mean": F.avg(value(df, c)) if c in numeric else F.lit(None), "median": F.lit(medians[c][0]).cast("double") if c in medians else F.lit(None), "mode": F.lit(None), "constant": F.lit(constant)}[how[c]]
 
-    fills = df.agg(*[fill(c).alias(f"fill_{i}") for i, c in enumerate(columns)])
+    fills = df.agg(F.lit(0), *[fill(c).alias(f"fill_{i}") for i, c in enumerate(columns) if how[c] != "mode"])
+    if modal:
+        fills = fills.crossJoin(modes(df, modal).withColumnsRenamed({f"mode_{i}": f"fill_{columns.index(c)}" for i, c in enumerate(modal)}))  # one row each
     at = {c: i for i, c in enumerate(columns)}
     return df.crossJoin(F.broadcast(fills)).select(*[F.coalesce(value(df, c), F.col(f"fill_{at[c]}")).alias(c) if c in at else name(c) for c in df.columns])  # one row of fills
 

@@ -397,7 +397,7 @@ def k6_profile_sample(t):
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest([conv_id, turn]) AS word FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), m AS (SELECT conv_id, turn, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM w JOIN embeddings ON vec_id = word WHERE embedding IS NOT NULL), a AS (SELECT conv_id, turn, i, avg(x) AS x FROM m GROUP BY 1, 2, 3)
-SELECT conv_id, turn, list(round_even(x, 4) ORDER BY i) AS vector, round_even(max(abs(x)), 4) AS scale FROM a GROUP BY 1, 2""")
+SELECT conv_id, turn, list(round_even(x, 4) + 0.0 ORDER BY i) AS vector, round_even(max(abs(x)), 4) AS scale FROM a GROUP BY 1, 2""")
 def k8_text_vectors(t):
     """Turns as texts of two numbers, and embeddings as the vectors of such words."""
     texts = t.conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()

@@ -270,17 +270,18 @@ def m4_average_ranks(t):
     return M.average_ranks(t.lineitem, "l_quantity")
 
 
-_RHO = """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)"""
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_RHO = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in _FOUR) + " FROM lineitem), s AS (" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS rho FROM r" for i, a in enumerate(_FOUR) for b in _FOUR[i + 1 :]) + ")"
 
 
-@query(_RHO + """ SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, round_even(corr(a, b), 4) AS rho FROM r""")
+@query(_RHO + """ SELECT x, y, round_even(rho, 4) AS rho FROM s""")
 def m3_spearman(t):
-    return rounded(M.spearman_pair(t.lineitem, "l_quantity", "l_extendedprice"), 4, "rho")
+    return rounded(M.spearman_table(t.lineitem, list(_FOUR)), 4, "rho")
 
 
-@query(_RHO + """ SELECT (abs(corr(a, b)) < 0.3)::INT::DOUBLE AS weak_share, (abs(corr(a, b)) >= 0.3 AND abs(corr(a, b)) < 0.7)::INT::DOUBLE AS moderate_share, (abs(corr(a, b)) >= 0.7)::INT::DOUBLE AS strong_share FROM r""")
+@query(_RHO + """ SELECT round_even(avg((abs(rho) < 0.3)::INT), 4) AS weak_share, round_even(avg((abs(rho) >= 0.3 AND abs(rho) < 0.7)::INT), 4) AS moderate_share, round_even(avg((abs(rho) >= 0.7)::INT), 4) AS strong_share FROM s""")
 def m5_correlation_strength(t):
-    return M.correlation_strength(t.lineitem, ["l_quantity", "l_extendedprice"])
+    return M.correlation_strength(t.lineitem, list(_FOUR))
 
 
 @query()
@@ -308,9 +309,23 @@ def m12_conditional_dependencies(t):
     return M.conditional_dependencies(_numbers(t))
 
 
-@query("""SELECT 'l_quantity' AS "column", round_even(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem HAVING abs(corr(l_quantity, l_extendedprice)) > 0.001""")
+def _tau_sql(x: str, y: str) -> str:
+    """Kendall's tau-b of two columns of lineitem, by cumulative counts for each value of y."""
+    return f"""(WITH p AS (SELECT {x} AS x, {y} AS y, count(*) AS w FROM lineitem WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2), k AS (SELECT DISTINCT y AS k FROM p),
+    s AS (SELECT x, k, sum(CASE WHEN y > k THEN w ELSE 0 END) AS s FROM p, k GROUP BY 1, 2), c AS (SELECT x, k, coalesce(sum(s) OVER (PARTITION BY k ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM s),
+    d AS (SELECT sum(w * s)::DOUBLE AS d FROM p JOIN c ON p.x = c.x AND p.y = c.k), n AS (SELECT sum(w)::DOUBLE AS n, sum(w * (w - 1) / 2)::DOUBLE AS t FROM p),
+    tx AS (SELECT sum(w * (w - 1) / 2)::DOUBLE AS t FROM (SELECT sum(w) AS w FROM p GROUP BY x)), ty AS (SELECT sum(w * (w - 1) / 2)::DOUBLE AS t FROM (SELECT sum(w) AS w FROM p GROUP BY y))
+    SELECT (n * (n - 1) / 2 - tx.t - ty.t + n.t - 2 * d) / (sqrt(n * (n - 1) / 2 - tx.t) * sqrt(n * (n - 1) / 2 - ty.t)) FROM n, d, tx, ty)"""
+
+
+@query(
+    _RHO + ", t AS (" + " UNION ALL ".join(
+        f"SELECT 'pearson' AS method, '{c}' AS \"column\", (SELECT corr({c}, l_quantity) FROM lineitem) AS r UNION ALL SELECT 'spearman', '{c}', (SELECT rho FROM s WHERE x = 'l_quantity' AND y = '{c}') UNION ALL SELECT 'kendall', '{c}', {_tau_sql(c, 'l_quantity')}" for c in _FOUR[1:]
+    ) + """) SELECT method, "column", round_even(r, 4) AS r FROM t WHERE abs(r) > 0.0005"""
+)
 def m14_correlation_select(t):
-    return rounded(M.correlation_select(t.lineitem, "l_extendedprice", 0.001, ["l_quantity"]), 4, "r")
+    one = lambda method: M.correlation_select(t.lineitem, "l_quantity", 0.0005, list(_FOUR), method).select(F.lit(method).alias("method"), "column", "r")
+    return rounded(one("pearson").union(one("spearman")).union(one("kendall")), 4, "r")
 
 
 @query(f"""WITH v AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS "column", unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem) SELECT "column", round_even(var_pop(x), 2) AS variance FROM v GROUP BY 1 HAVING var_pop(x) > 1""")
