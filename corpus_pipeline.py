@@ -8,12 +8,11 @@ table gives an empty result; a null text is never toxic, a duplicate or a leak,
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm._bloom import without
-from lakeloom.llm._common import held_out, scratch, written
+from lakeloom.llm._common import free_name, held_out, keyed, remove, scratch, shared_dir, written
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.jaccard_join import jaccard_join
 from lakeloom.llm.mixing import mix_sources
@@ -29,31 +28,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity_column(spark, model, "text") < 0.3)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, `_row`: its file and its place there. Rows of no file are written to one first."""
-    try:
-        place = docs.metadataColumn("_metadata")
-        return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("_row"))
-    except AnalysisException:
-        return keyed(written(docs, keep=True))
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: one with the smallest id, or without an id if all of them are."""
-    rows = keyed(docs)
+    row = free_name("_row", docs.columns)
+    rows = keyed(docs, row)
     with scratch(spark):
-        key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+        key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
         classes = jaccard_join(rows.select(key.alias("key"), "text"), id_col="key")
-        rejected = written(classes.where("key.row <> class_id.row").select(F.col("key.row").alias("_row")), keep=True)
-    return without(rows, rejected, "_row").select(*docs.columns)
+        rejected = written(classes.where("key.row <> class_id.row").select(F.col("key.row").alias(row)), keep=True)
+    return without(rows, rejected, row).select(*columns_of(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a copy of a benchmark item. Of repeated rows all stay or go."""
-    rows = keyed(docs)
+    row = free_name("_row", docs.columns)
+    rows = keyed(docs, row)
     with scratch(spark):
-        leaks = written(find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct(), keep=True)
-    return without(rows, leaks, "_row").select(*docs.columns)
+        passages = rows.select(F.col(row).alias("key"), "text")
+        leaks = written(find_leaks(passages, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("key").alias(row)).distinct(), keep=True)
+    return without(rows, leaks, row).select(*columns_of(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Most rows are taken, so both sides of the join grow with the table: neither is broadcast at any size.
     """
-    rows = keyed(docs)
+    row = free_name("_row", docs.columns)
+    turns = free_name("_turns", docs.columns)
+    rows = keyed(docs, row)
     with scratch(spark):
-        times = written(mix_sources(rows, keep=("doc_id", "_row")).where("times > 0").select("_row", "times"), keep=True)
-    return rows.join(times.hint("merge"), "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("turn")).select(*docs.columns)
+        drawn = mix_sources(rows.select("doc_id", "text", "source", F.col(row).alias("key")), keep=("doc_id", "key")).where("times > 0")
+        taken = written(drawn.select(F.col("key").alias(row), F.sequence(F.lit(1), "times").alias(turns)), keep=True)
+    return rows.join(taken.hint("merge"), row).withColumn(turns, F.explode(turns)).select(*columns_of(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +79,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over the whole documents table; every stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, over the whole documents table; every stage's rows are written and read again, and
+    removed, with what the stage wrote beside them, when the next stage's are written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = shared_dir(spark)
+        with scratch(spark), scratch(spark):  # the outer one has what a stage keeps until its rows are written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, last)  # the last stage has written its files
+    return result
