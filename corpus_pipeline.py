@@ -8,11 +8,11 @@ table gives an empty result; a null text is never toxic, a duplicate or a leak,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm._bloom import without
-from lakeloom.llm._common import free_name, held_out, keyed, remove, scratch, shared_dir, written
+from lakeloom.llm._common import columns_of, free_name, held_out, keyed, remove, scratch, shared_dir, written
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.jaccard_join import jaccard_join
 from lakeloom.llm.mixing import mix_sources
@@ -28,11 +28,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity_column(spark, model, "text") < 0.3)
 
 
-def columns_of(docs: DataFrame) -> list[Column]:
-    """All columns of docs, whatever their names."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: one with the smallest id, or without an id if all of them are."""
     row = free_name("_row", docs.columns)
