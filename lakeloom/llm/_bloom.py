@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import columns_of, written
 from ._text import mix
 
 _U = np.uint64
@@ -64,4 +64,4 @@ def without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
         return pd.Series(out)
 
     wrongly = written(docs.select(key).where(has(hashed)).join(rejected.select(key), key, "left_anti"), keep=True)
-    return docs.where(~has(hashed)).union(docs.where(has(hashed)).join(wrongly, key, "left_semi").select(*docs.columns))
+    return docs.where(~has(hashed)).union(docs.where(has(hashed)).join(wrongly, key, "left_semi").select(*columns_of(docs)))

@@ -11,7 +11,7 @@ from contextvars import ContextVar
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
@@ -42,8 +42,13 @@ def scratch(spark: SparkSession):
         yield
     finally:
         _SCRATCH.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame:
@@ -87,6 +92,20 @@ def numbered(df: DataFrame, by: list, as_name: str) -> DataFrame:
     return ordered.join(F.broadcast(base), part == F.col("_part")).select(*df.columns, (F.col("_id") + F.col("_base")).alias(as_name))
 
 
+def sampled(docs: DataFrame, share: float, purpose: str) -> DataFrame:
+    """About a share of the rows of docs, drawn row by row: rows with equal ids, or none, are drawn apart, and reruns over the same
+    files agree. The draw is by 63 bits of a hash of the row's file and its place there."""
+    if share >= 1:
+        return docs
+    key = free_name("_key", docs.columns)
+    return keyed(docs, key).where(F.shiftrightunsigned(F.xxhash64(key, F.lit(purpose)), 1) < int(share * 2**63)).drop(key)
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs, dots and quotes in their names included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def free_name(name: str, *taken: list[str]) -> str:
     """name, or name with underscores before it, unlike all the names taken (letter case aside)."""
     used = {t.lower() for names in taken for t in names}

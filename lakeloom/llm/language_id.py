@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, written
+from ._common import pieces, sampled, written
 from ._text import mix, randoms
 
 _U = np.uint64
@@ -106,30 +106,32 @@ class LanguageFilters:
 
 
 def learn_languages(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = 50_000, least: int = 3, share: float = 0.05
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = 50_000, least: int = 3, share: float = 0.05, languages: int = 4096
 ) -> LanguageFilters:
     """Filters from labelled rows (null languages and texts are left out).
 
-    rows: about so many rows are learned from at most, taken by a hash of the id, whatever the table's size. An n-gram
+    rows: about so many rows are learned from at most, drawn row by row whatever their ids and the table's size. languages:
+    no more are learned, those with most rows, since each has a bit in every mask and a count on the driver. An n-gram
     enters a language's filter if at least `least` of its rows have it, and if its share of the language's n-grams is
     at least `share` of its largest share in any language: foreign phrases in a few texts don't fill a filter. The
     driver gets the filter alone: at most `POSITIONS` masks, whatever the input.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sizes = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()}
     if not sizes:
         return LanguageFilters([], np.zeros((POSITIONS, 1), _U), "und")
     langs = sorted(sizes)
     part = min(1.0, rows / sum(sizes.values()))
-    if part < 1:
-        labelled = labelled.where(F.shiftrightunsigned(F.xxhash64(id_col, F.lit("languages")), 1) < int(part * 2**63))
+    labelled = sampled(labelled, part, "languages").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(langs)}
         for batch in batches:
-            for block, texts in pieces(batch, 2):
+            for block, texts in pieces(batch, 1):
+                known = [number.get(x, -1) for x in block.column(0).to_pylist()]
+                texts, lang = [t for t, x in zip(texts, known, strict=True) if x >= 0], [x for x in known if x >= 0]
                 grams, owner = letter_grams(texts)
-                lang = np.array([number[x] for x in block.column(1).to_pylist()], np.int64)[owner]
+                lang = np.array(lang, np.int64)[owner]
                 order = np.lexsort((owner, grams, lang))
                 g, o, x = grams[order], owner[order], lang[order]
                 first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])) if len(g) else np.zeros(0, np.int64)

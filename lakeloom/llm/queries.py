@@ -129,5 +129,51 @@ WITH p AS (
 SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.n = 1
 """
+
+
+def _crc_nibbles() -> str:
+    """The 16 remainders of CRC-32 by half bytes, from its polynomial, as a SQL list."""
+    out = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ 0xEDB88320 * (i & 1)
+        out.append(f"{i}::BIGINT")
+    return f"[{', '.join(out)}]"
+
+
+#: Digits' CRC-32 by half bytes; prefixes as lists of turns; every node adds its values to its smallest member's prefixes.
+TRIE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text)) - 1 AS idx
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), k AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1
+), crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS c FROM k
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor({_crc_nibbles()}[((xor(c1, b >> 4)) & 15) + 1], c1 >> 4)
+  FROM (SELECT conv_id, s, i, b, xor({_crc_nibbles()}[((xor(c, b)) & 15) + 1], c >> 4) AS c1 FROM (SELECT *, ascii(s[i])::BIGINT AS b FROM crc WHERE i <= length(s)))
+), plan AS (
+  SELECT k.conv_id, h, least(h, coalesce(b.n, 0)) AS taken, least(h, coalesce(b.n, 0)) + greatest(k.n - h, 0) AS size
+  FROM k JOIN (SELECT conv_id, xor(max_by(c, i), 4294967295) % 9 AS h FROM crc GROUP BY 1) USING (conv_id) LEFT JOIN k AS b ON b.conv_id = k.conv_id - k.conv_id % 5
+), r AS (
+  SELECT p.conv_id, t.idx - h + taken AS pos, role, text, size FROM t JOIN plan AS p USING (conv_id) WHERE t.idx >= h
+  UNION ALL
+  SELECT p.conv_id, t.idx, role, text, size FROM plan AS p JOIN t ON t.conv_id = p.conv_id - p.conv_id % 5 WHERE t.idx < taken
+), pre AS (
+  SELECT conv_id, pos + 1 AS depth, list({{'r': role, 'x': text}}) OVER (PARTITION BY conv_id ORDER BY pos) AS p, strlen(text) AS n_bytes, size FROM r
+  UNION ALL
+  SELECT conv_id, 0, [], 0, size FROM plan
+), node AS (
+  SELECT p, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256 FROM pre GROUP BY p
+), up AS (
+  SELECT node.p, pre.p AS parent FROM node JOIN pre ON pre.conv_id = node.conv_id AND pre.depth = node.depth - 1
+), kids AS (SELECT parent AS p, count(*) AS n_children FROM up GROUP BY 1
+), own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * n_bytes AS saved FROM node LEFT JOIN kids USING (p)
+), tot AS (
+  SELECT pre.p, sum((own.n_children = 0)::INT)::BIGINT AS n_leaves, sum(own.saved)::BIGINT AS saved_tokens FROM own JOIN pre ON pre.conv_id = own.conv_id AND pre.depth <= own.depth GROUP BY 1
+)
+SELECT own.conv_id, own.depth::BIGINT AS depth, top.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+FROM own JOIN tot USING (p) LEFT JOIN up USING (p) LEFT JOIN node AS top ON top.p = up.parent
+"""
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_jaccard_join, op5_topk, op6_toxicity, op7_mixing, op8_decontamination, op9_licenses, op10_token_ids, op11_periodic_runs, op12_prefix_trie, op13_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op5_topk": TOP_K_SQL, "op9_licenses": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op5_topk": TOP_K_SQL, "op9_licenses": LICENSE_SQL, "op12_prefix_trie": TRIE_SQL}

@@ -249,10 +249,13 @@ def write_token_ids(docs: DataFrame, tokenizer_file: str, path: str, end_id: int
         if held:
             yield row()
 
+    # rows with one id and text may come in any order: their places in the input part them, so no key is hot
+    order = [F.col("key").asc_nulls_first(), F.col("tie"), F.col("place")]
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("place"))
     (
-        docs.select(id_col, text_col)
-        .repartitionByRange(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
-        .sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(F.col("key").alias(id_col), "text")
         .mapInArrow(encode, f"part int, block long, first long, doc_ids array<{kind.simpleString()}>, counts array<long>, ranks binary, n_ranks int, words binary")
         .write.option("compression", "none")
         .parquet(path)

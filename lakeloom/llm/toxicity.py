@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._common import pieces, written
+from ._common import pieces, sampled, written
 from ._text import mix, randoms
 
 _U = np.uint64
@@ -86,15 +86,15 @@ class Model:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", features: int = 4096, rows: int = 20_000, alpha: float = 1.0) -> Model:
     """Model from texts with a label (rows with a null label or id are left out; a null text is empty).
 
-    About `rows` labelled rows are learned from, taken by a hash of the id: that is the documented bound of the fit, and
-    the bound of the labels that are broadcast to pick the texts. The `features` buckets whose counts differ most
-    between the labels (chi-square) are kept. Without rows of both labels, every score is the smoothed share of label 1.
+    About `rows` labelled rows are learned from, drawn row by row whatever their ids: that is the documented bound of the fit.
+    An id with several labels has the more frequent one, 1 if both are; each row with that id has it. The `features` buckets
+    whose counts differ most between the labels (chi-square) are kept. Without rows of both labels, every score is the smoothed share of
+    label 1.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
-    share = rows / max(1, marked.count())
-    if share < 1:
-        marked = marked.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("toxicity")), 1) < int(share * 2**63))
-    known = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id").select("id", "text", "label"))
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
+    marked = named.groupBy("id").agg((2 * F.sum("label") >= F.count(F.lit(1))).cast("int").alias("label"))
+    share = rows / max(1, docs.select(F.col(id_col).alias("id")).join(marked, "id").count())
+    known = written(sampled(docs, share, "toxicity").select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id").select("id", "text", "label"))
     per_label = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     p, q = per_label.get(1, 0), per_label.get(0, 0)
     prior = float(np.log((p + 1) / (q + 1))) if p + q else float(np.log(1 / 9))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _U = np.uint64
+PACK = 16  # bytes between looks for URLs that are decided
+FEW = 8  # URLs that are left to single steps
 
 
 def globs_of(host: str, path: str) -> list[str]:
@@ -55,6 +57,7 @@ class GlobSet:
         for b, both in loops:
             rows = np.arange(256) if both else np.flatnonzero(np.arange(256) != ord("/"))
             self.loop[rows, b // 64] |= _U(1) << _U(b % 64)
+        self.settled = self.accept & self._mask([b for b, both in loops if both])  # set for good, and nothing follows
 
     def _mask(self, bits: list[int]) -> np.ndarray:
         out = np.zeros(self.words, _U)
@@ -62,6 +65,16 @@ class GlobSet:
             out[b // 64] |= _U(1) << _U(b % 64)
         return out
 
+    def _alone(self, state: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The state after the bytes of rest, for one long URL: the same step on one whole number for all words."""
+        whole = lambda words: int.from_bytes(words.tobytes(), "little")
+        step, loop, settled, now = [whole(x) for x in self.step], [whole(x) for x in self.loop], whole(self.settled), whole(state)
+        for c in rest.tobytes():
+            if not now & ~settled:
+                break
+            now = ((now << 1) & step[c]) | (now & loop[c])
+        return np.frombuffer(now.to_bytes(8 * self.words, "little"), _U)
+
     def first(self, urls: list[bytes]) -> np.ndarray:
         """The index of the first glob that fits each URL as a whole; -1 where none does."""
         found = np.full(len(urls), -1, np.int64)
@@ -70,13 +83,22 @@ class GlobSet:
         raw = np.frombuffer(b"".join(urls[i] for i in order), np.uint8)
         at = np.cumsum(lengths) - lengths
         state = np.tile(self.start, (len(urls), 1))
-        for j in range(int(lengths[0]) if len(urls) else 0):
-            live = int(np.searchsorted(-lengths, -j, side="left"))  # those longer than j come first
-            now = state[:live]
-            c = raw[at[:live] + j]
+        live = np.arange(len(urls))  # longest first
+        j = 0
+        while len(live):
+            if j % PACK == 0:  # leave out those that no byte can change any more
+                live = live[(lengths[live] > j) & (state[live] & ~self.settled).any(axis=1)]
+                if len(live) <= FEW:
+                    for i in live:
+                        state[i] = self._alone(state[i], raw[at[i] + j : at[i] + lengths[i]])
+                    break
+            longer = live[: int(np.searchsorted(-lengths[live], -j, side="left"))]
+            now = state[longer]
+            c = raw[at[longer] + j]
             moved = now << _U(1)
             moved[:, 1:] |= now[:, :-1] >> _U(63)
-            state[:live] = (moved & self.step[c]) | (now & self.loop[c])
+            state[longer] = (moved & self.step[c]) | (now & self.loop[c])
+            j += 1
         state &= self.accept
         rows = np.flatnonzero(state.any(axis=1))
         word = (state[rows] != 0).argmax(axis=1)

@@ -1,8 +1,10 @@
 """Operators on whole tables against brute force."""
 
 import random
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from lakeloom.llm import jaccard_join as J
@@ -11,6 +13,7 @@ from lakeloom.llm.decontaminate import align, find_leaks
 from lakeloom.llm.jaccard_join import COORDINATES, RUNS, candidate_edges, gram_sets, jaccard_join
 from lakeloom.llm.mixing import fly, mix_sources
 from lakeloom.llm.topk import top_k_products
+from pyspark.sql import functions as F
 
 
 def plain_join(texts, least=0.8):
@@ -305,3 +308,40 @@ def test_pipeline_stages_decide_by_row(spark):
     mixed = corpus_pipeline.mix(spark, frame(rows), path).collect()
     for s, t in target.items():
         assert abs(sum(len(r.text.split()) for r in mixed if r.source == s) - t) <= 60
+
+
+def test_pipeline_stages_with_clashing_names_and_empty_tables(spark):
+    import corpus_pipeline
+
+    path = "/root/testdata/sf0.001"
+    names = ["turn", "times", "_row", "label", "id", "key", "a.b", "_turns", "size"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        if name != "token_ids":
+            assert out.columns == docs.columns and out.select("`a.b`", "_row").distinct().collect() == [(6, 2)], name
+        else:
+            assert out.count() == 60
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+
+
+def test_whole_pipeline_equals_its_stages_one_by_one(spark, tmp_path):
+    """run() over its own folder: what each stage keeps is checked, and the ids of the last one against the library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs.unionByName(docs.where("doc_id < 20")).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, rows, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
+        before, rows = rows.count(), spark.read.parquet(str(tmp_path / f"stage{i}"))
+        assert 0 < rows.count() <= (before if name != "mixing" else 2 * before), name
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    library, kept = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), sorted((r.doc_id, r.text) for r in rows.collect())
+    assert [r.doc_id for r in got] == [i for i, _ in kept]
+    ids = {(i, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in kept}
+    assert {(r.doc_id, r.ids_crc32) for r in got} == ids

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from lakeloom.llm._common import sampled, written
 from lakeloom.llm.language_id import LanguageFilters, identify_languages, learn_languages
 from lakeloom.llm.licenses import KNOWN_LICENSES, scan_licenses
 from lakeloom.llm.token_counts import token_counts
@@ -119,6 +120,21 @@ def test_globs():
     assert globs.first([b"abc", b"a/c", b"zz/", b"a/cx"]).tolist() == [0, 1, 2, 2]
 
 
+def test_globs_of_long_urls_and_few_at_a_time():
+    """Against regular expressions; a URL of a million bytes is decided long before its end, or taken alone."""
+    rng = random.Random(1)
+    pattern = lambda g: re.compile(b"".join({b"**": b"(?s:.*)", b"*": b"[^/]*"}.get(p, re.escape(p)) for p in re.split(rb"(\*\*|\*)", g.encode())))
+    for size in (9, 60):
+        globs = [re.sub(r"\*{3,}", "**", "".join(rng.choice(["a", "b", "/", "*", "**"]) for _ in range(rng.randrange(1, size)))) for _ in range(40)]
+        for n in (1, 5, 60):
+            urls = ["".join(rng.choice("ab/") for _ in range(rng.choice([0, 1, 5, 30, 80]))).encode() for _ in range(n)]
+            some = rng.sample(globs, 5)
+            rules = [pattern(g) for g in some]
+            assert GlobSet(some).first(urls).tolist() == [next((k for k, r in enumerate(rules) if r.fullmatch(u)), -1) for u in urls]
+    long = GlobSet(["*.com/**", "a*b"])
+    assert long.first([b"x.com/" + b"y" * 1_000_000, b"a" * 1_000_000 + b"b", b"q/" + b"z" * 1_000_000]).tolist() == [0, 1, -1]
+
+
 def test_languages(spark):
     words = {"aa": "ka lo mi ta re".split(), "bb": "shu gre wox plu dri".split()}
     rng = random.Random(1)
@@ -147,6 +163,54 @@ def test_toxicity(spark):
     assert 0 < score_toxicity(docs, none, {"doc_id": F.col("doc_id")}).first().score < 0.3
 
 
+ODD_IDS = {"distinct": lambda i: i, "a third under one id": lambda i: 5 if i % 3 == 0 else i, "one id": lambda i: 7, "another id": lambda i: 8, "no id": lambda i: None}
+
+
+@pytest.mark.parametrize("ids", list(ODD_IDS))
+def test_samples_are_drawn_by_row(spark, ids):
+    """The bound of learned rows holds, and both models are right, however ids repeat."""
+    rng = random.Random(6)
+    words = {"aa": "ka lo mi ta re".split(), "bb": "shu gre wox plu dri".split()}
+    lang = lambda i: "aa" if i // 3 % 2 else "bb"
+    data = [(ODD_IDS[ids](i), " ".join(rng.choice(words[lang(i)]) + rng.choice(words[lang(i)]) for _ in range(12)), lang(i), "clash") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, _key string").repartition(3)
+    filters = learn_languages(df, rows=500)
+    assert filters.langs == ["aa", "bb"]
+    got = identify_languages(df, filters, {"lang": F.col("lang")})
+    assert got.where("lang <> lang_pred").count() == 0
+    assert 350 < sampled(df, 500 / 3000, "languages").count() < 650
+
+
+@pytest.mark.parametrize("ids", list(ODD_IDS))
+def test_toxicity_learns_each_row_once(spark, ids, monkeypatch):
+    """Repeated ids of documents and of labels multiply no rows; an id's label is the more frequent one."""
+    import lakeloom.llm.toxicity as toxicity
+
+    tables, rng = [], random.Random(4)
+    monkeypatch.setattr(toxicity, "written", lambda df: tables.append(made := written(df)) or made)
+    bad = lambda i: (ODD_IDS[ids](i) if ODD_IDS[ids](i) is not None else i) % 4 == 0
+    docs = spark.createDataFrame([(ODD_IDS[ids](i), " ".join(rng.choices(["lorem", "ipsum", "dolor"], k=9) + ["vilething"] * bad(i)), 1, 2) for i in range(1200)], "doc_id long, text string, label int, id int")
+    labels = spark.createDataFrame([(ODD_IDS[ids](i), int(bad(i))) for i in range(1200)] + [(4, 0), (4, 1), (4, 1)], "doc_id long, toxic int")
+    model = learn_toxicity(docs, labels, rows=400)
+    assert (tables[0].count() if tables else 0) <= 480
+    if ids in ("distinct", "a third under one id"):
+        got = score_toxicity(docs, model, {"text": F.col("text")}).collect()
+        assert all(r.predicted == ("vilething" in r.text) for r in got)
+
+
+def test_learning_from_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert learn_languages(docs).langs == []
+    model = learn_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert score_toxicity(docs, model, {"doc_id": F.col("doc_id")}).count() == 0
+    assert identify_languages(docs, learn_languages(docs), {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    data = [(i, "ab" * (i + 2), f"l{i % 5}") for i in range(11)]
+    assert learn_languages(spark.createDataFrame(data, "doc_id long, text string, lang string"), languages=2).langs == ["l0", "l1"]
+
+
 def test_licenses(spark):
     mit = KNOWN_LICENSES[0][1]
     texts = [mit, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper().replace("LICENSE", "LICENCE"), mit.replace("sublicense", "sub-licence").replace(".", " ;"), mit + " more", "first\nLicensed under the Apache Licence, Version 2.0\nlast", None, ""]
