@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import name, value
 from ..functions.labels import make_label, path_id
+from ..functions.metric import near_pairs
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import cut
 
@@ -160,11 +165,58 @@ def case_field(cases: DataFrame, case_id, field: str) -> DataFrame:
     return cases.where(F.col("case_id") == case_id).select(F.col(field).alias("value"))
 
 
-def content_vector(profiles: DataFrame) -> DataFrame:
-    """profiles with `embedding`: logarithms of a numeric column's statistics, as a plain stand-in for a learned vector."""
-    numeric = F.col("data_type").isin("int", "float")
-    parts = F.array(*[F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))) for c in ("min_value", "max_value", "mean", "median", "iqr")])
-    return profiles.withColumn("embedding", F.when(numeric, parts))
+# The signs of a text that have a bit each, as a pattern; letters of both cases count.
+SIGN_BITS = [*"abcdefghijklmnopqrstuvwxyz", "[0-9]", r"\s", "[-_./:]", "[^ -~]", r"^\S*$", "^.{0,8}$"]
+
+
+def _ones(cells: pa.Array) -> np.ndarray:
+    """How many cells have each of their 32 bits set, lowest first."""
+    if pa.types.is_floating(cells.type):
+        with np.errstate(over="ignore"):
+            f = cells.to_numpy(zero_copy_only=False).astype(np.float32)
+        bits = np.where(f == 0, np.float32(0), f).view(np.uint32)  # both zeros alike
+        return np.array([np.count_nonzero(bits >> np.uint32(k) & np.uint32(1)) for k in range(32)], np.int64)
+    low = pc.utf8_lower(cells)
+    return np.array([pc.sum(pc.match_substring(low, p) if len(p) == 1 else pc.match_substring_regex(low, p)).as_py() or 0 for p in SIGN_BITS], np.int64)
+
+
+def content_vectors(tables: dict[str, DataFrame], source: str, dataset: str) -> DataFrame:
+    """(column_id, embedding) of each column with a known value: the mean of 32 bits over all known values, lowest bit first. Of numbers,
+    and of dates as seconds, these are the bits of the single-precision float; of texts, which letters and kinds of signs
+    they have (`SIGN_BITS`). Booleans and nested types have no row.
+
+    Each task counts set bits column by column over its batches and gives one row for each column, so one pass over each table does, and
+    next to nothing is shuffled.
+    """
+    parts, names = [], []
+    for table, df in tables.items():
+        cells = []
+        for f in df.schema.fields:
+            kind, x = _kind(f.dataType), value(df, f.name)
+            if not isinstance(f.dataType, NESTED) and kind != "boolean":
+                cells.append((x.cast("string") if kind == "string" else (x.cast("timestamp") if kind == "date" else x).cast("double")).alias(f"c{len(cells)}"))
+                names.append((len(names), table, f.name))
+        first = len(names) - len(cells)
+
+        def count(batches: Iterator[pa.RecordBatch], first: int = first, many: int = len(cells)) -> Iterator[pa.RecordBatch]:
+            n, ones = np.zeros(many, np.int64), np.zeros((many, 32), np.int64)
+            for batch in batches:
+                for i, column in enumerate(batch.columns):
+                    known = column.drop_null()
+                    n[i] += len(known)
+                    if len(known):
+                        ones[i] += _ones(known)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + many), pa.int32()), pa.array(n), pa.array(ones.tolist(), pa.list_(pa.int64()))], ["column", "n", "ones"])
+
+        if cells:
+            parts.append(df.select(*cells).mapInArrow(count, "column int, n long, ones array<long>"))
+    spark = next(iter(tables.values())).sparkSession
+    named = spark.createDataFrame(names, "column int, table_name string, column_name string")
+    if not parts:
+        return named.select(F.col("table_name").alias("column_id"), F.array().cast("array<double>").alias("embedding")).limit(0)
+    sums = reduce(DataFrame.union, parts).groupBy("column").agg(F.sum("n").alias("n"), *[F.sum(F.get("ones", F.lit(k))).alias(f"b{k}") for k in range(32)]).where("n > 0")
+    means = sums.select("column", F.array(*[F.col(f"b{k}") / F.col("n") for k in range(32)]).alias("embedding"))
+    return means.join(F.broadcast(named), "column").select(path_id(F.lit(source), F.lit(dataset), F.col("table_name"), F.col("column_name")).alias("column_id"), "embedding")  # a row for each column
 
 
 def text_vectors(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -217,15 +269,62 @@ def content_similarity(columns: DataFrame, least: float = 0.75, scale: str | Non
     """Edges of columns of one type in different tables with 1 - tanh(distance of their embeddings) >= least; with `scale`,
     a column of values of at least 0, both columns' scales are added to the distance, and a null scale makes no edge.
 
-    At 0.75 the distance is at most 0.2554, so only columns in the same or the next cell of the first component are
-    compared: a band join by equi-keys, not all pairs."""
-    width = math.atanh(1 - least)
-    rows = columns.where("embedding IS NOT NULL").select("column_id", "table_id", "data_type", "embedding", (name(scale) if scale else F.lit(0.0)).alias("scale"), F.floor(F.element_at("embedding", 1) / width).alias("cell"))
-    near = rows.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    a, b = rows.alias("a"), near.alias("b")
-    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.data_type") == F.col("b.data_type")) & (F.col("a.column_id") < F.col("b.column_id")) & (F.col("a.table_id") != F.col("b.table_id")))
-    distance = F.sqrt(F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) + F.col("a.scale") + F.col("b.scale")
-    return met.select(F.col("a.column_id").alias("column_id_1"), F.col("b.column_id").alias("column_id_2"), F.lit("content").alias("kind"), (1 - F.tanh(distance)).alias("certainty")).where(F.col("certainty") >= least)
+    At 0.75 the distance is at most 0.2554 in all dimensions together, so pairs come from the cells of `near_pairs`."""
+    known = columns.where("embedding IS NOT NULL")
+    found = near_pairs(known.select(F.col("column_id").alias("id"), F.col("data_type").alias("group"), F.col("embedding").alias("vector")), math.atanh(1 - least) + 1e-9)
+    side = lambda i: known.select(F.col("column_id").alias(f"id_{i}"), F.col("table_id").alias(f"t{i}"), (name(scale).cast("double") if scale else F.lit(0.0)).alias(f"s{i}"))
+    met = found.join(side(1), "id_1").join(side(2), "id_2").where("t1 <> t2")
+    certainty = 1 - F.tanh(F.col("distance") + F.col("s1") + F.col("s2"))
+    return met.select(F.col("id_1").alias("column_id_1"), F.col("id_2").alias("column_id_2"), F.lit("content").alias("kind"), certainty.alias("certainty")).where(F.col("certainty") >= least)
+
+
+def word_label_similarity(columns: DataFrame, words: DataFrame, least: float = 0.75, prefix: str = "") -> DataFrame:
+    """(column_id_1, column_id_2, kind, certainty) of columns of one type in different tables, by word vectors: certainty is 1 for equal
+    labels, else the mean inner product of the unit vectors of one label's words with the other's; 0 if a word has no
+    vector. Words that both labels have are left out where both have several words, unless one label has no other word; labels of
+    the same words have 1. words: (word, vector), each word once, vectors of one length.
+
+    Only distinct labels are compared. A mean of at least `least` takes a pair of words with such a product, so candidates are labels
+    with two near words (`near_pairs` over distinct words), those where one label is one word of the other, and those
+    where one has all words of the other, found by its rarest one. A common word alone makes no candidate.
+    """
+    label = make_label(F.regexp_replace("column_name", prefix, "") if prefix else F.col("column_name"))
+    named = cut(columns.select("column_id", "table_id", "data_type", label.alias("label")))
+    labels = cut(named.select("label").distinct().withColumn("tokens", F.split("label", " ")))
+    one = labels.select("label", F.size("tokens").alias("n"), F.explode(F.array_distinct("tokens")).alias("word")).where("word <> ''")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = cut(words.join(one.select("word").distinct(), "word", "left_semi").select("word", F.transform("vector", lambda x: x.cast("double") / length).alias("vector")).where(length > 0))
+    near = near_pairs(unit.select(F.col("word").alias("id"), F.lit("w").alias("group"), "vector"), math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
+    both = near.select(F.col("id_1").alias("word"), F.col("id_2").alias("other")).union(near.select("id_2", "id_1"))
+    other = one.select(F.col("label").alias("label_2"), F.col("word").alias("other"))
+    by_near = one.select(F.col("label").alias("label_1"), "word").join(both, "word").join(other, "other").select("label_1", "label_2")
+    by_word = one.where("n = 1").select(F.col("label").alias("label_1"), F.col("word").alias("other")).join(other, "other").select("label_1", "label_2")
+    often = one.groupBy("word").count()
+    rarest = one.where("n > 1").join(often, "word").groupBy("label").agg(F.min_by("word", F.struct("count", "word")).alias("other"))
+    sets = labels.select("label", F.array_distinct("tokens").alias("set"))
+    held = rarest.withColumnRenamed("label", "label_1").join(other, "other").join(sets.select(F.col("label").alias("label_1"), F.col("set").alias("a")), "label_1").join(sets.select(F.col("label").alias("label_2"), F.col("set").alias("b")), "label_2")
+    by_set = held.where(F.size(F.array_except("a", "b")) == 0).select("label_1", "label_2")
+    pairs = by_near.union(by_word).union(by_set).where("label_1 <> label_2").select(F.least("label_1", "label_2").alias("label_1"), F.greatest("label_1", "label_2").alias("label_2")).distinct()
+    sides = [labels.select(F.col("label").alias(f"label_{i}"), F.col("tokens").alias(t)) for i, t in ((1, "a"), (2, "b"))]
+    met = pairs.join(sides[0], "label_1").join(sides[1], "label_2")
+    shared = F.array_intersect("a", "b")
+    less = lambda c: F.filter(c, lambda w: ~F.array_contains(shared, w))
+    many = (F.size("a") > 1) & (F.size("b") > 1)
+    met = met.select("label_1", "label_2", "a", "b", F.when(many, less("a")).otherwise(F.col("a")).alias("x"), F.when(many, less("b")).otherwise(F.col("b")).alias("y"))
+    alike = (F.size("x") == 0) & (F.size("y") == 0)
+    whole = (F.size("x") == 0) != (F.size("y") == 0)
+    met = cut(met.select("label_1", "label_2", alike.alias("alike"), F.when(whole, F.col("a")).otherwise(F.col("x")).alias("x"), F.when(whole, F.col("b")).otherwise(F.col("y")).alias("y")))
+    product = F.aggregate(F.zip_with("v", "u", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    combined = met.where("NOT alike").select("label_1", "label_2", F.explode("x").alias("word"), "y").select("label_1", "label_2", "word", F.explode("y").alias("other"))
+    scored = combined.join(unit.select("word", F.col("vector").alias("v")), "word", "left").join(unit.select(F.col("word").alias("other"), F.col("vector").alias("u")), "other", "left")
+    means = scored.groupBy("label_1", "label_2").agg(F.when(F.count_if(F.col("v").isNull() | F.col("u").isNull()) == 0, F.avg(product)).otherwise(0.0).alias("certainty"))
+    same = named.select(F.col("label").alias("label_1"), F.col("label").alias("label_2")).distinct().select("*", F.lit(1.0).alias("certainty"))
+    scores = cut(means.union(met.where("alike").select("label_1", "label_2", F.lit(1.0))).where(F.col("certainty") >= least).union(same))
+    turned = scores.union(scores.where("label_1 <> label_2").select("label_2", "label_1", "certainty"))
+    a = named.select(F.col("label").alias("label_1"), F.col("column_id").alias("column_id_1"), F.col("table_id").alias("t1"), F.col("data_type").alias("d1"))
+    b = named.select(F.col("label").alias("label_2"), F.col("column_id").alias("column_id_2"), F.col("table_id").alias("t2"), F.col("data_type").alias("d2"))
+    edges = a.join(turned, "label_1").join(b, "label_2").where("column_id_1 < column_id_2 AND t1 <> t2 AND d1 = d2")
+    return edges.select("column_id_1", "column_id_2", F.lit("label").alias("kind"), "certainty")
 
 
 def boolean_similarity(columns: DataFrame, least: float = 0.75) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import ranks as R
 from ..functions.columns import name
 from ..operators import assertions as A
 from ..operators import catalog as K
@@ -72,6 +73,11 @@ def schema(t: Tables) -> DataFrame:
     return K.lake_columns({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
 
 
+def contents(t: Tables) -> DataFrame:
+    """The lake's columns with their content vectors."""
+    return schema(t).join(K.content_vectors({n: getattr(t, n) for n in LAKE}, "lake", "tpch"), "column_id", "left")
+
+
 def sizes(t: Tables) -> DataFrame:
     """The lake's columns with their tables' numbers of rows."""
     return K.lake_sizes({n: getattr(t, n) for n in LAKE}, "lake", "tpch")
@@ -477,10 +483,24 @@ def q5_search_tables(t):
 LABEL_EDGES = f"""{COLUMNS_SQL}, w AS (SELECT *, list_distinct(string_split(trim(regexp_replace(regexp_replace(column_name, '^[a-z]+_', ''), '[^0-9a-z]+', ' ', 'g')), ' ')) AS words FROM cols),
 label_edges AS (SELECT * FROM (SELECT a.column_id AS column_id_1, b.column_id AS column_id_2, 'label' AS kind, a.table_id AS t1, b.table_id AS t2, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS certainty
 FROM w a JOIN w b ON a.data_type = b.data_type AND a.column_id < b.column_id AND a.table_id <> b.table_id) WHERE certainty >= 0.75)"""
-CONTENT_EDGES = f"""p AS ({PROFILE_SQL.replace("round_even(", "round(").replace(", 4) AS", ", 12) AS")}),
-v AS (SELECT 'lake/tpch/' || table_name AS table_id, 'lake/tpch/' || table_name || '/' || column_name AS column_id, data_type, list_transform([min_value, max_value, mean, median, iqr], lambda x: sign(x) * ln(1 + abs(x))) AS e FROM p WHERE data_type IN ('int', 'float') AND mean IS NOT NULL),
+
+
+def _bits_sql(c: str, kind: str) -> str:
+    """32 bits of a cell: of the single-precision float of a number, or the signs of a text."""
+    if kind == "string":
+        return " + ".join(f"({f"contains(lower({c}), '{p}')" if len(p) == 1 else f"regexp_matches(lower({c}), '{p}')"}::BIGINT << {i})" for i, p in enumerate(K.SIGN_BITS))
+    f = f"abs(CAST({f'epoch({c})' if kind == 'date' else c} AS FLOAT)::DOUBLE)"
+    near = f"floor(log2({f}))"
+    e = f"({near} + ({f} >= pow(2, {near} + 1))::INT - ({f} < pow(2, {near}))::INT)"
+    return f"CASE WHEN {f} < pow(2, -126) THEN 0 ELSE (CASE WHEN {'epoch(' + c + ')' if kind == 'date' else c} < 0 THEN 2147483648 ELSE 0 END) + (({e} + 127)::BIGINT << 23) + floor(({f} / pow(2, {e}) - 1) * 8388608)::BIGINT END"
+
+
+CONTENT_EDGES = (
+    "b AS (" + " UNION ALL ".join(f"SELECT 'lake/tpch/{t}/{c}' AS column_id, 'lake/tpch/{t}' AS table_id, '{k}' AS data_type, {_bits_sql(c, k)} AS b FROM {t} WHERE {c} IS NOT NULL" for t, cs in COLUMNS.items() for c, k in cs.items() if k != "boolean")
+    + "), v AS (SELECT column_id, table_id, data_type, [" + ", ".join(f"avg((b >> {k}) & 1)" for k in range(32)) + """] AS e FROM b GROUP BY 1, 2, 3),
 content_edges AS (SELECT * FROM (SELECT a.column_id AS column_id_1, b.column_id AS column_id_2, 'content' AS kind, a.table_id AS t1, b.table_id AS t2, 1 - tanh(list_distance(a.e, b.e)) AS certainty
 FROM v a JOIN v b ON a.data_type = b.data_type AND a.column_id < b.column_id AND a.table_id <> b.table_id) WHERE certainty >= 0.75)"""
+)
 
 
 def _related_sql(edges: str) -> str:
@@ -495,15 +515,41 @@ def l3_label_similarity(t):
 
 @query(f"WITH {CONTENT_EDGES} SELECT column_id_1, column_id_2, kind, round_even(certainty, 4) AS certainty FROM content_edges")
 def l5_content_similarity(t):
-    return rounded(K.content_similarity(K.content_vector(lake(t))), 4, "certainty")
+    return rounded(K.content_similarity(contents(t)), 4, "certainty")
 
 
 @query(f"WITH {CONTENT_EDGES}{_related_sql('content_edges')}")
 def q6_joinable_tables(t):
-    columns = K.content_vector(lake(t))
+    columns = contents(t)
     return K.related_tables(K.content_similarity(columns), columns, None, 3, "content")
 
 
+@query("WITH b AS (" + " UNION ALL ".join(f"SELECT 'lake/tpch/{t}/{c}' AS column_id, {_bits_sql(c, k)} AS b FROM {t} WHERE {c} IS NOT NULL" for t, cs in COLUMNS.items() for c, k in cs.items() if k != "boolean") + ") SELECT column_id, [" + ", ".join(f"round_even(avg((b >> {k}) & 1), 6)" for k in range(32)) + "] AS embedding FROM b GROUP BY 1")
+def k7_content_vectors(t):
+    return contents(t).where("embedding IS NOT NULL").select("column_id", F.transform("embedding", lambda x: F.bround(x, 6)).alias("embedding"))
+
+
+#: Names of parts as labels of the columns of their brands' tables; each word has the vector of a row of embeddings, two words in the
+#: order of the alphabet the same one.
+_WORD_LABELS = """c AS (SELECT DISTINCT p_brand || '/' || p_name || '/' || p_type AS column_id, p_brand AS table_id, p_type AS data_type, p_name AS label FROM part WHERE p_name IS NOT NULL),
+w AS (SELECT DISTINCT unnest(string_split(label, ' ')) AS word FROM c), n AS (SELECT word, (row_number() OVER (ORDER BY word) - 1) // 2 AS vec FROM w),
+u AS (SELECT word, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM n JOIN embeddings ON vec_id = vec),
+l AS (SELECT DISTINCT label, string_split(label, ' ') AS a FROM c), p AS (SELECT x.label AS l1, y.label AS l2, x.a AS a, y.a AS b FROM l x, l y),
+r AS (SELECT l1, l2, CASE WHEN len(a) > 1 AND len(b) > 1 THEN list_filter(a, lambda i: NOT list_contains(b, i)) ELSE a END AS x, CASE WHEN len(a) > 1 AND len(b) > 1 THEN list_filter(b, lambda i: NOT list_contains(a, i)) ELSE b END AS y, a, b FROM p),
+z AS (SELECT l1, l2, len(x) = 0 AND len(y) = 0 AS alike, CASE WHEN len(y) = 0 AND len(x) > 0 OR len(x) = 0 AND len(y) > 0 THEN a ELSE x END AS x, CASE WHEN len(y) = 0 AND len(x) > 0 OR len(x) = 0 AND len(y) > 0 THEN b ELSE y END AS y FROM r),
+m AS (SELECT l1, l2, avg(list_inner_product(s.v, t.v)) AS d FROM (SELECT l1, l2, xw, unnest(y) AS yw FROM (SELECT l1, l2, unnest(x) AS xw, y FROM z WHERE NOT alike)) JOIN u s ON s.word = xw JOIN u t ON t.word = yw GROUP BY 1, 2),
+sim AS (SELECT l1, l2, CASE WHEN l1 = l2 THEN 1.0 ELSE d END AS d FROM m UNION ALL SELECT l1, l2, 1.0 FROM z WHERE alike)"""
+
+
+@query(f"""WITH {_WORD_LABELS} SELECT c1.column_id AS column_id_1, c2.column_id AS column_id_2, 'label' AS kind, round_even(d, 4) AS certainty FROM sim JOIN c c1 ON c1.label = l1 JOIN c c2 ON c2.label = l2
+WHERE c1.column_id < c2.column_id AND c1.table_id <> c2.table_id AND c1.data_type = c2.data_type AND d >= 0.75""")
+def l3_word_similarity(t):
+    columns = t.part.where("p_name IS NOT NULL").select(F.concat_ws("/", "p_brand", "p_name", "p_type").alias("column_id"), F.col("p_brand").alias("table_id"), F.col("p_type").alias("data_type"), F.col("p_name").alias("column_name")).distinct()
+    words = R.dense_ids(columns.select(F.explode(F.split("column_name", " ")).alias("word")).distinct(), "word", "at")
+    vectors = words.join(t.embeddings, F.expr("at div 2 = vec_id")).select("word", F.col("embedding").alias("vector"))
+    return rounded(K.word_label_similarity(columns, vectors), 4, "certainty")
+
+
 @query(f"WITH {LABEL_EDGES}{_related_sql('label_edges')}")
 def q7_unionable_tables(t):
     columns = schema(t)

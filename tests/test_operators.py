@@ -168,7 +168,8 @@ def test_labels(spark):
 def test_catalog(spark):
     a = spark.createDataFrame([(1, 2.0, True), (2, 3.0, False)], "customer_id int, price double, paid boolean")
     b = spark.createDataFrame([(1, 2.0, False), (2, 3.0, False)], "customerId int, cost double, paid boolean")
-    columns = K.content_vector(K.profile_lake({"a": a, "b": b}, "src", "set")).cache()
+    tables = {"a": a, "b": b}
+    columns = K.profile_lake(tables, "src", "set").join(K.content_vectors(tables, "src", "set"), "column_id", "left").cache()
     label = {(r.column_id_1.split("/")[-1], r.column_id_2.split("/")[-1]) for r in K.label_similarity(columns).collect()}
     assert label == {("customer_id", "customerId"), ("paid", "paid")}
     content = K.content_similarity(columns)
