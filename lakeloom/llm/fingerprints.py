@@ -95,32 +95,32 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "sketch",
     return docs.withColumn(name, sketch(F.col(text_col), k))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, sketch_col: str) -> DataFrame:
-    """(id, text, sketch, next_id, head, next_sketch) of each row: head is the first third (as many code points as a third of the row's own
+def with_next(docs: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFrame:
+    """(id, text, next_id, head, next_sketch) of each row: head is the first third (as many code points as a third of the row's own
     text, rounded down) of the next row's text, by descending id; after the last comes the first.
 
     Null ids come last; rows with equal ids are in an order of their texts' hashes, so each row has one next row. A row's key is
-    its file and its place there. Only keys, ids and lengths are sorted; each text is shuffled once, and its head once more.
+    its file and its place there. Only keys, ids and lengths are sorted; each text is shuffled once, and its head once more with the
+    sketch. A row's own sketch isn't shuffled: where it is needed, its text is at hand.
     """
-    rows = keyed(docs, free_name("_key", docs.columns)) if id_col in docs.columns else docs
-    rows = rows.select(F.col(rows.columns[-1]).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(sketch_col).alias("sketch"))
+    key = free_name("_key", docs.columns)
+    rows = keyed(docs, key).select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     narrow = rows.select("key", "id", F.length("text").alias("n"), F.xxhash64("text").alias("tie"))
     order = written(numbered(narrow, [F.col("id").desc_nulls_last(), F.col("tie"), F.col("key")], "at").select("key", "n", "at"))
     last = order.count() - 1
     before = order.select(F.col("key").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"), F.when(F.col("at") == last, F.lit(0).cast("long")).otherwise(F.col("at") + 1).alias("at"))
     links = order.select("key", "at").join(before, "at").select("key", "to", "take")
-    heads = rows.join(links, "key").select(F.col("to").alias("key"), F.col("id").alias("next_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))
+    heads = rows.join(links, "key").select(F.col("to").alias("key"), F.col("id").alias("next_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), sketch(F.col("text"), k).alias("next_sketch"))
     return rows.join(heads, "key").drop("key")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is that of `with_next`: (id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id). A null text is empty; one row for each row."""
-    own = free_name("_sketch", docs.columns)
-    pairs = with_next(fingerprints(docs, text_col, own, k), id_col, text_col, own)
+    pairs = with_next(docs, id_col, text_col, k)
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    both = pairs.select("id", n.cast("long").alias("n_chars"), "sketch", "next_id", "next_sketch", F.sha2(edited, 256).alias("edited_sha256"), sketch(edited, k).alias("edited_sketch"))
+    both = pairs.select("id", n.cast("long").alias("n_chars"), sketch(F.col("text"), k).alias("sketch"), "next_id", "next_sketch", F.sha2(edited, 256).alias("edited_sha256"), sketch(edited, k).alias("edited_sketch"))
     return both.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"), "next_id",
