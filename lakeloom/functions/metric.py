@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
@@ -93,3 +94,39 @@ def near_pairs(vectors: DataFrame, radius: float, pivots: int = PIVOTS, home: in
     met = hosts.union(asked).groupBy("cell", "h", "g").applyInArrow(compare, f"a {kind}, b {kind}, d double, same boolean")
     once = met.where(F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     return once.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), F.col("d").alias("distance"))
+
+
+def top_pairs(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, id, score, place) of the k rows with the largest cosine to each query, of the query's own group; ties, at twelve
+    decimals, to the smaller id. queries: (query_id, group, vector); rows: (id, group, vector), all vectors of one length; vectors
+    without a length are in no pair.
+
+    Every query is scored against every row of its group, so the work is their product; both are dealt in blocks, and each pair of
+    blocks is a task with one matrix product that keeps k rows for each query. So a group of any size is many tasks, and only k rows for
+    each query and block are shuffled again.
+    """
+    kind, of = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    known = lambda df: df.where("vector IS NOT NULL AND exists(vector, x -> x <> 0)").withColumn("vector", F.transform("vector", lambda x: x.cast("double")))
+    asked, held = known(queries), known(rows)
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = cut(count(asked, "qs").join(count(held, "rs"), "group"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda i, c: F.pmod(F.xxhash64(i), F.col(c)).cast("int")
+    left = asked.join(sizes, "group").select("group", part("query_id", "qs").alias("q"), every("rs").alias("r"), F.col("query_id"), F.lit(None).cast(of).alias("id"), "vector")
+    right = held.join(sizes, "group").select("group", every("qs").alias("q"), part("id", "rs").alias("r"), F.lit(None).cast(kind).alias("query_id"), "id", "vector")
+
+    def best(table: pa.Table) -> pa.Table:
+        is_query = table["query_id"].is_valid().to_numpy().astype(bool)
+        x = _matrix(table["vector"])
+        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        a, b = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        names = table["id"].combine_chunks()
+        b = b[pc.sort_indices(names.take(pa.array(b))).to_numpy()] if len(b) else b  # so that a stable sort breaks ties by id
+        score = np.round(x[a] @ x[b].T, 12) if len(a) and len(b) else np.zeros((len(a), 0))
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        i = np.repeat(a, order.shape[1])
+        return pa.table({"query_id": table["query_id"].combine_chunks().take(pa.array(i)), "id": names.take(pa.array(b[order.ravel()])), "score": pa.array(np.take_along_axis(score, order, axis=1).ravel())})
+
+    found = left.union(right).groupBy("group", "q", "r").applyInArrow(best, f"query_id {kind}, id {of}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)

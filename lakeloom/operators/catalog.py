@@ -19,6 +19,7 @@ from ..functions.labels import make_label, path_id
 from ..functions.metric import near_pairs
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import cut
+from .pipelines import cosine
 
 
 def _kind(t: T.DataType) -> str:
@@ -356,15 +357,34 @@ def related_tables(edges: DataFrame, columns: DataFrame, table_id: str | None, k
 
 
 def join_paths(edges: DataFrame, columns: DataFrame, source: str, target: str, hops: int, kind: str = "content") -> DataFrame:
-    """(t0, ..., thops, certainty): paths of `hops` similar-column steps between two tables; certainty is their product."""
+    """(t0, ..., thops, steps, certainty): paths of `hops` steps from a column of one table to a similar one of another, between two
+    tables; steps: the pair of columns of each step; certainty: the product of theirs.
+
+    Paths grow from both ends, half of the steps from each, and meet in the middle table by an equi-join: the target cuts the last
+    half down from its first step on, and no path of more than half of the steps is made that doesn't arrive.
+    """
     of = columns.select("column_id", "table_id")
     step = both_ways(edges.where(F.col("kind") == kind)).join(of.select(F.col("column_id").alias("column_id_1"), F.col("table_id").alias("src")), "column_id_1").join(of.select(F.col("column_id").alias("column_id_2"), F.col("table_id").alias("dst")), "column_id_2")
-    step = step.groupBy("src", "dst").agg(F.max("certainty").alias("c"))
-    path = step.where(F.col("src") == source).select(F.col("src").alias("t0"), F.col("dst").alias("t1"), F.col("c").alias("certainty"))
-    for i in range(2, hops + 1):
-        nxt = step.select(F.col("src").alias(f"t{i - 1}"), F.col("dst").alias(f"t{i}"), "c")
-        path = path.join(nxt, f"t{i - 1}").withColumn("certainty", F.col("certainty") * F.col("c")).drop("c")
-    return path.where(F.col(f"t{hops}") == target).select(*[f"t{i}" for i in range(hops + 1)], "certainty")
+    step = step.select("src", "dst", F.struct(F.col("column_id_1").alias("a"), F.col("column_id_2").alias("b")).alias("by"), F.col("certainty").alias("c"))
+
+    def grown(table: str, n: int, near: str, far: str) -> DataFrame | None:
+        """Paths of n steps whose `near` end is the table: (end, tables, steps, c), in the order of walking from it."""
+        path = None
+        for _ in range(n):
+            if path is None:
+                path = step.where(F.col(near) == table).select(F.col(far).alias("end"), F.array(F.col(near), F.col(far)).alias("tables"), F.array("by").alias("steps"), "c")
+            else:
+                more = step.select(F.col(near).alias("end"), F.col(far).alias("next"), "by", F.col("c").alias("c2"))
+                path = path.join(more, "end").select(F.col("next").alias("end"), F.concat("tables", F.array("next")).alias("tables"), F.concat("steps", F.array("by")).alias("steps"), (F.col("c") * F.col("c2")).alias("c"))
+        return path
+
+    ahead, back = grown(source, hops - hops // 2, "src", "dst"), grown(target, hops // 2, "dst", "src")
+    if back is None:
+        whole = ahead.where(F.col("end") == target)
+    else:
+        back = back.select("end", F.reverse("tables").alias("later"), F.reverse("steps").alias("last"), F.col("c").alias("c2"))
+        whole = ahead.join(back, "end").select(F.concat("tables", F.slice("later", 2, hops)).alias("tables"), F.concat("steps", "last").alias("steps"), (F.col("c") * F.col("c2")).alias("c"))
+    return whole.select(*[F.get("tables", F.lit(i)).alias(f"t{i}") for i in range(hops + 1)], "steps", F.col("c").alias("certainty"))
 
 
 def datasets_info(columns: DataFrame) -> DataFrame:
@@ -417,6 +437,48 @@ def recommend_charts(similar: DataFrame, operations: DataFrame) -> DataFrame:
     return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", "analysis_type", "chart_type", "column_id")
 
 
+# Charts over all columns of a table, which name none.
+WHOLE_TABLE_CHARTS = ("heatmap", "pairwise")
+
+
+def recommend_joint_charts(mains: DataFrame, operations: DataFrame, columns: DataFrame, own: DataFrame) -> DataFrame:
+    """(query_table, main_column, eda_id, partner_id, analysis_type, chart_type, chart_columns): charts of two and more columns for a table's column
+    by what was drawn with the library column most similar to it.
+
+    mains: (query_table, main_column, similar_id); operations: (eda_id, column_id, analysis_type, chart_type), a row for each column
+    of an operation; columns: (column_id, data_type, vector) of the library; own: (query_table, name, data_type, vector) of the tables asked
+    about. A bivariate operation gives a row for each other column of it (partner_id): the main column and the table's
+    nearest other column of the partner's type, by cosine, ties by name. A multivariate one gives one row: each of its other
+    columns, by id, takes the nearest column of its type that isn't used yet; fewer than three columns make no chart, but
+    charts over the whole table need none. Names come in order.
+
+    Nearest columns are ranked once for each table and partner, over that table's columns of one type.
+    """
+    drawn = operations.select("eda_id", "column_id", "analysis_type", "chart_type").distinct()
+    asked = mains.join(drawn.withColumnRenamed("column_id", "similar_id"), "similar_id")
+    several = asked.where(F.col("analysis_type").isin("bivariate", "multivariate"))
+    other = drawn.select("eda_id", "analysis_type", "chart_type", F.col("column_id").alias("partner_id"))
+    met = cut(several.join(other, ["eda_id", "analysis_type", "chart_type"], "left").where("partner_id <> similar_id"))
+    wanted = met.select("query_table", "partner_id").distinct().join(columns.select(F.col("column_id").alias("partner_id"), "data_type", F.col("vector").alias("v")), "partner_id")
+    near = wanted.join(own, ["query_table", "data_type"]).select("query_table", "partner_id", F.struct((-cosine(F.col("v"), F.col("vector"))).alias("d"), F.col("name").alias("name")).alias("n"))
+    ranked = near.where("n.d IS NOT NULL").groupBy("query_table", "partner_id").agg(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["name"]).alias("names"))  # columns of one table
+    keys = ["query_table", "main_column", "eda_id"]
+    placed = met.join(ranked, ["query_table", "partner_id"], "left")
+    first = F.get(F.filter("names", lambda n: n != F.col("main_column")), F.lit(0))
+    two = placed.where("analysis_type = 'bivariate'").select(*keys, "partner_id", "analysis_type", "chart_type", first.alias("second"), "main_column")
+    pairs = two.where("second IS NOT NULL").select(*keys, "partner_id", "analysis_type", "chart_type", F.array_sort(F.array("main_column", "second")).alias("chart_columns"))
+    lists = placed.where(F.col("analysis_type").eqNullSafe("multivariate") & ~F.col("chart_type").isin(*WHOLE_TABLE_CHARTS)).groupBy(*keys, "analysis_type", "chart_type").agg(F.sort_array(F.collect_list(F.struct("partner_id", "names"))).alias("partners"))
+
+    def take(used: Column, partner: Column) -> Column:
+        free = F.get(F.filter(partner["names"], lambda n: ~F.array_contains(used, n)), F.lit(0))
+        return F.when(free.isNull(), used).otherwise(F.concat(used, F.array(free)))
+
+    many = lists.select(*keys, F.lit(None).cast(columns.schema["column_id"].dataType).alias("partner_id"), "analysis_type", "chart_type", F.array_sort(F.aggregate("partners", F.array("main_column"), take)).alias("chart_columns")).where(F.size("chart_columns") > 2)
+    whole = several.where((F.col("analysis_type") == "multivariate") & F.col("chart_type").isin(*WHOLE_TABLE_CHARTS)).join(met.select(*keys).distinct(), keys, "left_semi")
+    whole = whole.select(*keys, F.lit(None).cast(columns.schema["column_id"].dataType).alias("partner_id"), "analysis_type", "chart_type", F.array().cast("array<string>").alias("chart_columns")).distinct()
+    return pairs.union(many).union(whole)
+
+
 def insight_triples(fields: DataFrame) -> DataFrame:
     """(s, p, o, o_type) of insight fields (case_id, module, field, kind, value); booleans in lower case."""
     o = F.when(F.col("kind") == "boolean", F.lower("value")).otherwise(F.col("value"))

@@ -118,11 +118,13 @@ def clean_fill(df: DataFrame) -> DataFrame:
     return fill_missing(out, numbers, "constant", 0) if texts and numbers else fill_missing(out, numbers, "mean") if numbers else out
 
 
-def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, run: int = 100_000) -> DataFrame:
-    """Linear interpolation down the rows between the nearest known values, the nearest known one at the ends. Without
+def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[str] | None = None, run: int = 100_000, linear: bool = True) -> DataFrame:
+    """Linear interpolation down the rows between the nearest known values, the nearest known one at the ends; or, if not
+    linear, the next known value of any type, and the last one at the end. Without
     `partition` the rows, told apart by `order`, are numbered by a range sort and dealt in runs of `run` rows; each run gets
     the nearest known values before and after it from a table of a row for each run."""
-    known = {c: F.when(value(df, c).isNotNull(), F.struct(F.col("_n").alias("n"), number_or_null(df, c).alias("x"))) for c in columns}
+    cell = number_or_null if linear else value
+    known = {c: F.when(value(df, c).isNotNull(), F.struct(F.col("_n").alias("n"), cell(df, c).alias("x"))) for c in columns}
     if partition:
         out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
     else:
@@ -140,10 +142,45 @@ def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[s
         out = out.withColumns({f"_b{i}": before, f"_a{i}": after})
     for i, c in enumerate(columns):
         x0, x1, n0, n1 = (F.col(f"{side}.{part}") for part in ("x", "n") for side in (f"_b{i}", f"_a{i}"))
-        out = out.withColumn(c, F.coalesce(number_or_null(df, c), x0 + (x1 - x0) * F.try_divide((F.col("_n") - n0).cast("double"), n1 - n0), x0, x1))
+        between = [x0 + (x1 - x0) * F.try_divide((F.col("_n") - n0).cast("double"), n1 - n0), x0, x1] if linear else [x1, x0]
+        out = out.withColumn(c, F.coalesce(cell(df, c), *between))
     return out.select(*[name(c) for c in df.columns])
 
 
+def interpolate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Missing cells of the columns (all) from their row's other cells, in the order of the columns. With a string column among
+    them, all become strings and a missing one takes the nearest known one before it. Otherwise it is interpolated linearly between the known
+    ones around it, and takes the last known one where none comes after. What no known cell comes before stays missing."""
+    columns = columns or df.columns
+    texts = any(isinstance(df.schema[c].dataType, T.StringType) for c in columns)
+    cells = F.array(*[value(df, c).cast("string" if texts else "double") for c in columns])
+    known = F.filter(F.transform(cells, lambda x, i: F.struct(i.alias("n"), x.alias("x"))), lambda s: s["x"].isNotNull())
+
+    def whole(row):
+        def cell(x, i):
+            last = F.try_element_at(F.filter(row["known"], lambda s: s["n"] < i), F.lit(-1))
+            if texts:
+                return F.coalesce(x, last["x"])
+            after = F.try_element_at(F.filter(row["known"], lambda s: s["n"] > i), F.lit(1))
+            return F.coalesce(x, last["x"] + (after["x"] - last["x"]) * (i - last["n"]) / (after["n"] - last["n"]), last["x"])
+
+        return F.transform(row["cells"], cell)
+
+    filled = F.transform(F.array(F.struct(cells.alias("cells"), known.alias("known"))), whole)[0]  # so that known is found once a row
+    others = [c for c in df.columns if c not in columns]
+    rows = df.select(*[name(c) for c in others], filled.alias("_filled"))
+    return rows.select(*[F.get("_filled", F.lit(columns.index(c))).alias(c) if c in columns else name(c) for c in df.columns])
+
+
+def clean_interpolate(df: DataFrame, order: str) -> DataFrame:
+    """Missing cells from their row (`interpolate_rows`), then down each column by the order column, which tells rows apart: backward
+    and then forward, which leaves a cell missing only in a column without a known one, so further rounds change nothing. Numbers are
+    interpolated linearly, strings take the next known cell, or the last one at the end. The order column stays as it is."""
+    columns = [c for c in df.columns if c != order]
+    rows = interpolate_rows(df, columns)
+    return interpolate(rows, columns, order, linear=not any(isinstance(f.dataType, T.StringType) for f in rows.schema.fields if f.name in columns))
+
+
 def number_or_null(df: DataFrame, c: str):
     return value(df, c).cast("double")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import library_of, library_prefixes, module_of
+from ..functions.metric import top_pairs
 
 
 def pipelines_info(pipelines: DataFrame, author: str | None = None) -> DataFrame:
@@ -147,6 +148,35 @@ def kernel_rollup(versions: DataFrame, scores: DataFrame, tags: DataFrame) -> Da
     return latest.join(best, "version_id", "left").join(names, "kernel_id", "left")
 
 
+# The languages of scripts and notebooks in Python.
+PYTHON_LANGUAGES = (2, 9)
+
+
+def notebook_rollup(tables: dict[str, DataFrame], languages: tuple[int, ...] = PYTHON_LANGUAGES, sources: list[str] | None = None) -> DataFrame:
+    """(kernel_version_id, kernel_id, title, creation_date, data_source, author, kernel_name, votes, tags, score): the current version of each
+    kernel in one of the languages that reads a source, with the largest of its sources' names, its tags in order and its best score.
+
+    tables: versions(id, kernel_id, title, creation_date, author_id, language_id), kernels(id, name, votes, current_version_id),
+    languages(id), version_sources(version_id, source_id), sources(id, name), users(id, name), kernel_tags(kernel_id, tag_id), tags(id,
+    name), submissions(version_id, score). A kernel without tags or scores keeps null there; one without a known author, language or
+    source is left out. With `sources`, only these sources' names count.
+
+    What fans out (sources, tags, scores) is grouped before the joins, so no join multiplies rows, and the filter by
+    language and current version comes first, so the groups are joined to the rows that stay alone.
+    """
+    t = tables
+    kernels = t["kernels"].select(F.col("id").alias("kernel_id"), F.col("name").alias("kernel_name"), "votes", F.col("current_version_id").alias("kernel_version_id"))
+    wanted = t["versions"].where(F.col("language_id").isin(*languages)).select(F.col("id").alias("kernel_version_id"), "kernel_id", "title", "creation_date", "author_id", "language_id")
+    current = wanted.join(kernels, ["kernel_id", "kernel_version_id"]).join(t["languages"].select(F.col("id").alias("language_id")), "language_id", "left_semi")
+    named = t["sources"].where(F.col("name").isin(*sources)) if sources else t["sources"]
+    read = t["version_sources"].join(named.select(F.col("id").alias("source_id"), "name"), "source_id").groupBy(F.col("version_id").alias("kernel_version_id")).agg(F.max("name").alias("data_source"))
+    users = t["users"].select(F.col("id").alias("author_id"), F.col("name").alias("author"))
+    tags = t["kernel_tags"].join(t["tags"].select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("kernel_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("tags"))
+    best = t["submissions"].groupBy(F.col("version_id").alias("kernel_version_id")).agg(F.max("score").alias("score"))
+    whole = current.join(read, "kernel_version_id").join(users, "author_id").join(tags, "kernel_id", "left").join(best, "kernel_version_id", "left")
+    return whole.select("kernel_version_id", "kernel_id", "title", "creation_date", "data_source", "author", "kernel_name", "votes", "tags", "score")
+
+
 def insights_of(insights: DataFrame, spans: DataFrame) -> DataFrame:
     """Insights with the phases they span, in order."""
     phases = spans.groupBy("insight_id").agg(F.array_join(F.sort_array(F.collect_set("phase")), ",").alias("phases"))
@@ -187,3 +217,12 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_
     """(id, score): the k rows with the largest cosine to the query vector; ties to the smaller id."""
     q = F.array(*[F.lit(float(v)) for v in query])
     return vectors.select(id_col, cosine(F.col(vector_col), q).alias("score")).where("score IS NOT NULL").orderBy(F.col("score").desc(), id_col).limit(k)
+
+
+def nearest_to_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, place): the k rows (id, vector) with the largest cosine to each query (query_id, vector), but the row
+    of the query's own id; ties to the smaller id. In blocks, as `top_pairs`."""
+    one = F.lit("all").alias("group")
+    found = top_pairs(queries.select("query_id", one, "vector"), vectors.select("id", one, "vector"), k + 1).where("query_id <> id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    return found.withColumn("place", place).where(F.col("place") <= k)

@@ -87,12 +87,17 @@ def time_column(df: DataFrame) -> str | None:
     return next((f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))), None)
 
 
-def spatial_correlation(df: DataFrame, x: str, y: str, z: str, order: str, rows: int = 1000) -> DataFrame:
-    """(spatial_correlation): minus the correlation of distance and difference in z over the pairs of the first `rows`
-    rows by the order column; 0 for fewer than 50. The sample's size bounds the pairs."""
-    known = df.select(name(order).alias("k"), number(df, x).alias("x"), number(df, y).alias("y"), number(df, z).alias("z")).dropna().orderBy("k").limit(rows)
+def spatial_correlation(df: DataFrame, x: str, y: str, z: str, order: str | list[str], rows: int = 1000) -> DataFrame:
+    """(spatial_correlation): minus the correlation of distance and difference in z over all pairs of the first `rows` rows with known
+    cells, by the order columns and then the cells, so that only equal rows are tied; 0 for fewer than 50. `rows` is
+    the surveyed tool's own limit, and bounds the pairs."""
+    keys = [order] if isinstance(order, str) else order
+    cells = df.select(*[name(k).alias(f"k{i}") for i, k in enumerate(keys)], number(df, x).alias("x"), number(df, y).alias("y"), number(df, z).alias("z")).dropna(subset=["x", "y", "z"])
+    by = [*[f"k{i}" for i in range(len(keys))], "x", "y", "z"]
+    first = cells.orderBy(*by).limit(rows)  # at most `rows` rows, so one task may number them
+    known = first.withColumn("n", F.row_number().over(Window.orderBy(*by)))
     a, b = known.alias("a"), known.alias("b")
-    pairs = a.join(F.broadcast(b), F.col("a.k") < F.col("b.k"))
+    pairs = a.join(F.broadcast(b), F.col("a.n") < F.col("b.n"))
     distance = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
     value = -correlation(distance, F.abs(F.col("a.z") - F.col("b.z")))
     n = known.agg(F.count(F.lit(1)).alias("n"))

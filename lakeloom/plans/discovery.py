@@ -121,11 +121,12 @@ def q3_table_info(t):
     return K.tables_info(sizes(t), "tpch").where("table_name = 'orders'")
 
 
-@query(f"""WITH {LABEL_EDGES}, e AS (SELECT t1 AS src, t2 AS dst, certainty FROM label_edges UNION ALL SELECT t2, t1, certainty FROM label_edges), s AS (SELECT src, dst, max(certainty) AS c FROM e GROUP BY 1, 2)
-SELECT a.src AS t0, a.dst AS t1, b.dst AS t2, round_even(a.c * b.c, 4) AS certainty FROM s a JOIN s b ON a.dst = b.src WHERE a.src = 'lake/tpch/orders' AND b.dst = 'lake/tpch/supplier'""")
+@query(f"""WITH {LABEL_EDGES}, s AS (SELECT t1 AS src, t2 AS dst, certainty AS c FROM label_edges UNION ALL SELECT t2, t1, certainty FROM label_edges)
+SELECT a.src AS t0, a.dst AS t1, b.dst AS t2, round_even(max(a.c * b.c), 4) AS certainty FROM s a JOIN s b ON a.dst = b.src WHERE a.src = 'lake/tpch/orders' AND b.dst = 'lake/tpch/supplier' GROUP BY 1, 2, 3""")
 def q8_join_paths(t):
     columns = schema(t)
-    return rounded(K.join_paths(K.label_similarity(columns, 0.75, "^[a-z]+_"), columns, "lake/tpch/orders", "lake/tpch/supplier", 2, "label"), 4, "certainty")
+    paths = K.join_paths(K.label_similarity(columns, 0.75, "^[a-z]+_"), columns, "lake/tpch/orders", "lake/tpch/supplier", 2, "label")
+    return rounded(paths.groupBy("t0", "t1", "t2").agg(F.max("certainty").alias("certainty")), 4, "certainty")
 
 
 @query(f"WITH {COLUMNS_SQL} SELECT DISTINCT table_id FROM cols WHERE table_name = 'orders'")

@@ -638,13 +638,6 @@ def p19_library_edges(t):
 
 # ---- vectors and ranking
 
-_COS = "round_even(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4)"
-
-
-@query(f"""WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, {_COS} AS score FROM embeddings e, q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 5""")
-def v2_nearest(t):
-    first = t.embeddings.orderBy("vec_id").first()
-    return rounded(P.nearest(t.embeddings, list(first.embedding), 5, "vec_id", "embedding"), 4, "score")
 
 
 @query("""WITH b AS (SELECT o_custkey AS id, max(o_totalprice) AS base FROM orders GROUP BY 1), i AS (SELECT c_custkey AS id, c_acctbal AS insight FROM customer) SELECT id, round_even(0.3 * coalesce(base, 0) + 0.7 * coalesce(insight, 0), 4) AS score FROM b FULL JOIN i USING (id) ORDER BY score DESC, id LIMIT 20""")
@@ -701,11 +694,6 @@ def x2_stationarity(t):
     return Z.stationarity(t.orders, "o_orderdate", "o_totalprice", "o_orderkey")
 
 
-@query()
-def x4_spatial_correlation(t):
-    return Z.spatial_correlation(t.lineitem, "l_quantity", "l_discount", "l_extendedprice", "l_orderkey")
-
-
 # ---- models
 
 @query("""WITH g AS (SELECT o_orderstatus AS t, count(*) AS n, sum(o_totalprice) AS s, sum(o_totalprice ** 2) AS q FROM orders GROUP BY 1)
@@ -894,4 +882,4 @@ def a12_prediction_plausible(t):
     return A.prediction_plausible(t.orders, lines, "o_orderkey", "o_totalprice", "orders").withColumn("detail", F.lit(None).cast("string"))
 
 
-from . import discovery  # noqa: E402, F401  registers further queries
+from . import discovery, relations  # noqa: E402, F401  register further queries

@@ -125,3 +125,20 @@ def graph_of_file(lines: DataFrame) -> DataFrame:
     """(path, graph): the parent path of the first statement uri of each file, of rows (path, n, line)."""
     uri = F.regexp_extract("line", r"<([^>]+)/s\d+>", 1)
     return lines.withColumn("uri", uri).where("uri <> ''").groupBy("path").agg(F.min_by("uri", "n").alias("graph"))
+
+
+def read_database(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, columns: list[str] | None = None, where: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """A table of a relational database, read by `partitions` tasks, each with its range of the whole-number column `key`; rows outside
+    of `bounds` (found by a query if not given), and those without a key, are read by the first and last. Columns and the filter go to the database.
+    """
+    chosen = ", ".join(columns) if columns else "*"
+    source = f"(SELECT {chosen} FROM {table}{f' WHERE {where}' if where else ''}) t"
+    reader = spark.read.format("jdbc").options(url=url, **(options or {}))
+    if key is None:
+        return reader.option("dbtable", source).load()
+    if bounds is None:
+        low, high = reader.option("dbtable", f"(SELECT min({key}) AS low, max({key}) AS high FROM {table}{f' WHERE {where}' if where else ''}) b").load().first()
+        if low is None:
+            return reader.option("dbtable", source).load()
+        bounds = (int(low), int(high) + 1)
+    return reader.option("dbtable", source).options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions)).load()
