@@ -131,14 +131,15 @@ def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[s
         rows = numbered(df, [order], "_n").withColumn("_run", F.expr(f"_n div {run}"))
         ends = rows.groupBy("_run").agg(*[e for i, c in enumerate(columns) for e in (F.max(known[c]).alias(f"_last{i}"), F.min(known[c]).alias(f"_first{i}"))])
         over_runs = Window.orderBy("_run")  # a row for each run
-        earlier, later = over_runs.rowsBetween(Window.unboundedPreceding, -1), over_runs.rowsBetween(1, Window.unboundedFollowing)
-        carried = ends.select("_run", *[e for i in range(len(columns)) for e in (F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}"), F.first(f"_first{i}", True).over(later).alias(f"_after{i}"))])
+        earlier, later = over_runs.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("_run", *[e for i in range(len(columns)) for e in (F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}"), F.last(f"_first{i}", True).over(later).alias(f"_after{i}"))])
         out = rows.join(carried, "_run")
-    whole = Window.partitionBy(*(partition or ["_run"])).orderBy("_n")
-    back, ahead = whole.rowsBetween(Window.unboundedPreceding, 0), whole.rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy(*(partition or ["_run"]))
+    # from the end backward: a frame that is open at its end would be gone through anew for each row
+    back, ahead = (whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in ("_n", F.col("_n").desc()))
     for i, c in enumerate(columns):
         before = F.coalesce(F.last(known[c], True).over(back), *([] if partition else [F.col(f"_before{i}")]))
-        after = F.coalesce(F.first(known[c], True).over(ahead), *([] if partition else [F.col(f"_after{i}")]))
+        after = F.coalesce(F.last(known[c], True).over(ahead), *([] if partition else [F.col(f"_after{i}")]))
         out = out.withColumns({f"_b{i}": before, f"_a{i}": after})
     for i, c in enumerate(columns):
         x0, x1, n0, n1 = (F.col(f"{side}.{part}") for part in ("x", "n") for side in (f"_b{i}", f"_a{i}"))
