@@ -294,7 +294,7 @@ def word_label_similarity(columns: DataFrame, words: DataFrame, least: float = 0
     labels = cut(named.select("label").distinct().withColumn("tokens", F.split("label", " ")))
     one = labels.select("label", F.size("tokens").alias("n"), F.explode(F.array_distinct("tokens")).alias("word")).where("word <> ''")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = cut(words.join(one.select("word").distinct(), "word", "left_semi").select("word", F.transform("vector", lambda x: x.cast("double") / length).alias("vector")).where(length > 0))
+    unit = cut(words.join(one.select("word").distinct(), "word", "left_semi").select("word", F.transform("vector", lambda x: F.try_divide(x.cast("double"), length)).alias("vector")).where(~F.exists("vector", lambda x: x.isNull())))
     near = near_pairs(unit.select(F.col("word").alias("id"), F.lit("w").alias("group"), "vector"), math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
     both = near.select(F.col("id_1").alias("word"), F.col("id_2").alias("other")).union(near.select("id_2", "id_1"))
     other = one.select(F.col("label").alias("label_2"), F.col("word").alias("other"))

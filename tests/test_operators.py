@@ -1,12 +1,14 @@
 """Small golden frames and edge frames for the library's operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import labels as L
+from lakeloom.functions.metric import near_pairs, top_pairs
 from lakeloom.functions.quantiles import exact_quantiles
 from lakeloom.operators import assertions as A
 from lakeloom.operators import catalog as K
@@ -53,11 +55,14 @@ def test_sparse_columns_go(spark):
 
 
 def test_outliers(spark):
-    df = spark.createDataFrame([(1.0, 10), (2.0, 20), (100.0, 30), (4.0, 40), (5.0, 50)], "A double, B int")
-    assert sorted(column(O.zscore_outliers(df, ["A"], 2.0), "A")) == [1, 2, 4, 5, 100]
-    assert sorted(column(O.iqr_outliers(df, ["A"]), "A")) == [1, 2, 4, 5, 9.5]
-    assert O.iqr_outliers(df, ["A"], method="remove").count() == 4
-    assert O.outlier_summary(df).first() == (0.5, 1, 0.1)
+    depths = [3.5, 4.0, 4.25, 4.5, 5.0, 5.5, 6.0, 41.0]
+    df = spark.createDataFrame([(d, i * i) for i, d in enumerate(depths)], "depth double, square int")
+    mean, sd = np.mean(depths), np.std(depths, ddof=1)
+    assert sorted(column(O.zscore_outliers(df, ["depth"], 1.5), "depth")) == pytest.approx(sorted(np.clip(depths, mean - 1.5 * sd, mean + 1.5 * sd)))
+    low, high = np.quantile(depths, [0.25, 0.75])
+    assert sorted(column(O.iqr_outliers(df, ["depth"]), "depth")) == pytest.approx([*depths[:-1], high + 1.5 * (high - low)])
+    assert sorted(column(O.iqr_outliers(df, ["depth"], method="remove"), "depth")) == depths[:-1]
+    assert O.outlier_summary(df).first() == (0.5, 1, 0.0625)
     severe = spark.createDataFrame([(float(i), 0.0 if i < 90 else 1000.0 * i, 3.0) for i in range(100)], "even double, odd double, same double").withColumn("odd", F.col("odd") + F.col("even"))
     assert O.outlier_severity(severe).first() == (0.0, 0.3333, 0.0, 0.6667)
     assert O.outlier_severity(severe.select(F.lit("x").alias("text"))).first() == (0.0, 0.0, 0.0, 0.0)
@@ -105,19 +110,25 @@ def test_descendants_end_in_cycles(spark):
 
 
 def test_conversions(spark):
-    df = spark.createDataFrame([("True", "2023-01-01 12:00:00"), ("False", "invalid_date"), (None, None), ("True", "2023-02-03 00:00:00")], "C string, d string")
-    assert column(df.select(L.convert(F.col("C"), "bool").alias("x")), "x") == [True, True, False, True]
-    assert column(df.select(L.format_datetime(F.col("d"), "%Y-%m-%d").alias("x")), "x") == ["2023-01-01", None, None, "2023-02-03"]
+    df = spark.createDataFrame([("False", "1969-07-20 20:17:40"), (None, None), ("True", "the day after"), ("False", "2000-02-29 08:00:00")], "landed string, at string")
+    assert column(df.select(L.convert(F.col("landed"), "bool").alias("x")), "x") == [True, False, True, True]
+    assert column(df.select(L.format_datetime(F.col("at"), "%Y-%m-%d").alias("x")), "x") == ["1969-07-20", None, None, "2000-02-29"]
 
 
 def test_encoders(spark):
-    df = spark.createDataFrame([(1, "apple", 1.0), (2, "banana", 0.0), (3, "apple", 1.0), (4, "cherry", 0.0)], "i int, fruit string, target double")
-    assert column(X.label_encode(df, ["fruit", "target"]).orderBy("i"), "fruit_encoded") == [0, 1, 0, 2]
-    assert column(X.frequency_encode(df, ["fruit"]).orderBy("i"), "fruit_freq") == [0.5, 0.25, 0.5, 0.25]
-    assert column(X.target_encode(df, ["fruit"], "target").orderBy("i"), "fruit_target_enc") == pytest.approx([0.865529, 0.25, 0.865529, 0.25], abs=1e-6)
-    assert X.one_hot(df.select("fruit"), ["fruit"]).columns == ["fruit_apple", "fruit_banana", "fruit_cherry"]
+    birds = [(0, "wren", 3.0), (1, "owl", 9.0), (2, "wren", 5.0), (3, None, 1.0), (4, "wren", 4.0), (5, "heron", 8.0)]
+    df = spark.createDataFrame(birds, "i int, bird string, eggs double")
+    assert column(X.label_encode(df.where("bird IS NOT NULL"), ["bird"]).orderBy("i"), "bird_encoded") == [2, 1, 2, 2, 0]
+    shares = column(X.frequency_encode(df.where("bird IS NOT NULL"), ["bird"]).orderBy("i"), "bird_freq")
+    assert shares == pytest.approx([0.6, 0.2, 0.6, 0.6, 0.2])
+    whole = np.mean([e for _, b, e in birds if b])
+    of = lambda b: [e for _, x, e in birds if x == b]
+    weight = lambda b: 1 / (1 + math.exp(1 - len(of(b))))  # noqa: E731  of a group's own mean
+    want = [weight(b) * np.mean(of(b)) + (1 - weight(b)) * whole for _, b, _ in birds if b]
+    assert column(X.target_encode(df.where("bird IS NOT NULL"), ["bird"], "eggs").orderBy("i"), "bird_target_enc") == pytest.approx(want)
+    assert X.one_hot(df.where("bird IS NOT NULL").select("bird"), ["bird"]).columns == ["bird_heron", "bird_owl", "bird_wren"]
     with pytest.raises(ValueError):
-        X.one_hot(df, ["fruit"], most=2)
+        X.one_hot(df, ["bird"], most=2)
 
 
 def test_scaling_and_products(spark):
@@ -129,11 +140,16 @@ def test_scaling_and_products(spark):
 
 
 def test_correlation(spark):
-    df = spark.createDataFrame([(float(i), 6.0 - i, 10.0 * i, 1.0) for i in range(1, 6)], "feature1 double, feature2 double, target double, flat double")
-    assert {r.column: r.r for r in M.correlation_select(df, "target").collect()} == pytest.approx({"feature1": 1.0, "feature2": -1.0})
-    assert {r["column"]: r.variance for r in M.variance_select(df.select("feature1", "flat"), 0.1).collect()} == {"feature1": 2.0}
+    df = spark.createDataFrame([(float(i * i), float(i), -3.0 * i + 2, 4.5) for i in range(-1, 7)], "bowl double, line double, fall double, level double")
+    chosen = {r.column: r.r for r in M.correlation_select(df, "line", 0.5).collect()}
+    assert chosen == pytest.approx({"fall": -1.0, "bowl": np.corrcoef([i * i for i in range(-1, 7)], range(8))[0, 1]})
+    assert {r.column: round(r.r, 6) for r in M.correlation_select(df, "line", 0.99, method="kendall").collect()} == {"fall": -1.0}
+    assert {r["column"]: r.variance for r in M.variance_select(df.select("line", "level"), 0.1).collect()} == {"line": 5.25}
     assert all(math.isinf(r.vif) for r in M.vif(df).collect())
-    assert [r.rho for r in M.spearman_table(df, ["feature1", "flat"]).collect()] == [None]
+    assert [r.rho for r in M.spearman_table(df, ["fall", "level"]).collect()] == [None]
+    assert M.correlation_select(df, "line", columns=["line"], method="spearman").count() == 0
+    with pytest.raises(ValueError):
+        M.correlation_select(df, "line", method="guess")
     tied = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,), (None,)], "x double")
     assert {r.value: r.rank for r in M.average_ranks(tied, "x").collect()} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
 
@@ -176,7 +192,7 @@ def test_catalog(spark):
     assert ("price", "cost") in {(r.column_id_1.split("/")[-1], r.column_id_2.split("/")[-1]) for r in content.collect()}
     assert K.boolean_similarity(columns).count() == 0
     assert {tuple(r) for r in K.related_tables(content, columns, None, 3, "content").select("table_id", "related_table_id").collect()} == {("src/set/a", "src/set/b"), ("src/set/b", "src/set/a")}
-    assert K.join_paths(content, columns, "src/set/a", "src/set/a", 2).count() == 1
+    assert K.join_paths(content, columns, "src/set/a", "src/set/a", 2).count() == 4
     assert K.descendants(K.membership_triples(columns), "src/set").count() == 8
 
 
@@ -311,3 +327,169 @@ def test_unit_root_statistic(spark):
     beta, rss = np.linalg.lstsq(design, dy[1:], rcond=None)[:2]
     tau = beta[1] / math.sqrt(rss[0] / (398 - 3) * np.linalg.inv(design.T @ design)[1, 1])
     assert Z.stationarity(df, "t", "x", "t").first()[0] == pytest.approx(1 - Z.unit_root_p(tau), abs=1e-3)
+
+
+def plain_tau(pairs):
+    sign = lambda a, b: (a > b) - (a < b)
+    found = [(sign(a, c), sign(b, d)) for i, (a, b) in enumerate(pairs) for c, d in pairs[:i]]
+    n, same_x, same_y = len(found), sum(x == 0 for x, _ in found), sum(y == 0 for _, y in found)
+    under = math.sqrt(n - same_x) * math.sqrt(n - same_y)
+    return sum(x * y for x, y in found) / under if under else None
+
+
+@pytest.mark.parametrize(("a", "b"), [(3, 3), (200, 4), (1000, 1000), (1, 5)])
+def test_kendall_equals_all_pairs(spark, a, b):
+    rng = random.Random(a)
+    pairs = [(float(rng.randrange(a)), float(rng.randrange(b))) for _ in range(120)]
+    df = spark.createDataFrame([*pairs, (None, 1.0), (2.0, float("nan"))], "x double, y double")
+    for blocks, least in ((1000, 1 << 16), (6, 1), (50, 1)):
+        got = M.kendall_pair(df, "x", "y", blocks, least).first().tau
+        assert got == (None if plain_tau(pairs) is None else pytest.approx(plain_tau(pairs), abs=1e-12))
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    df = spark.range(5000).select((F.xxhash64("id") % 700).cast("double").alias("x"), (F.xxhash64("id", F.lit(1)) % 9).cast("double").alias("y"), F.when(F.col("id") % 5 > 0, F.col("id") % 83).alias("z"))
+    rows = [(r.x, r.y) for r in df.collect()]
+    rank = lambda v: {x: sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in set(v)}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.value: r.rank for r in M.average_ranks(df, "x").collect()}
+        table = {(r.x, r.y): r.rho for r in M.spearman_table(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = rank([x for x, _ in rows])
+    assert got == want
+    ry = rank([y for _, y in rows])
+    assert table["x", "y"] == pytest.approx(np.corrcoef([want[x] for x, _ in rows], [ry[y] for _, y in rows])[0, 1])
+    some = [(r.x, r.z) for r in df.collect() if r.z is not None]
+    rx, rz = rank([x for x, _ in some]), rank([z for _, z in some])
+    assert table["x", "z"] == pytest.approx(np.corrcoef([rx[x] for x, _ in some], [rz[z] for _, z in some])[0, 1])
+
+
+@pytest.mark.parametrize(("left", "accuracy"), [(20_000, 10_000), (5, 20), (2, 10)])
+def test_quantiles_narrow_until_few_values_are_left(spark, left, accuracy):
+    rng = random.Random(3)
+    cells = [(float(rng.choice([rng.random(), rng.randrange(3), 5.0])), float(rng.randrange(2)), None, math.exp(50 * rng.random())) for _ in range(2000)]
+    df = spark.createDataFrame(cells, "a double, b double, c double, d double")
+    fractions = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], fractions, accuracy, left)
+    assert got["c"] == [None] * 5
+    for i, c in ((0, "a"), (1, "b"), (3, "d")):
+        assert got[c] == pytest.approx(np.quantile([r[i] for r in cells], fractions), rel=1e-9)
+
+
+def test_modes_of_all_types(spark):
+    rows = [("b", 2, 0.5, True), ("a", 2, 0.5, None), ("b", 1, None, True), ("a", 1, 0.25, False), (None, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "s string, i int, x double, t boolean").withColumn("none", F.lit(None).cast("int"))
+    got = C.modes(df, df.columns).first()
+    assert tuple(got) == ("a", 1, 0.5, True, None) and C.modes(df.limit(0), ["s", "i"]).first() == (None, None)
+    assert C.impute_most_frequent(df).where("s = 'b' AND i = 1").first().x == 0.5
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    points = [(f"p{i}", f"g{i % 3}", (rng.normal(size=6) * rng.choice([0.05, 1.0])).tolist()) for i in range(500)] + [(f"q{i}", "g0", [0.0] * 6) for i in range(30)] + [("none", "g0", None), ("other", "g0", [0.0])]
+    df = spark.createDataFrame(points, "id string, group string, vector array<double>").repartition(5)
+    want = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and len(a[2]) == len(b[2]) and math.dist(a[2], b[2]) <= 0.4}
+    for pivots, home, guests in ((512, 4096, 16_384), (7, 11, 13), (1, 50, 60)):
+        got = [(r.id_1, r.id_2) for r in near_pairs(df, 0.4, pivots, home, guests).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert near_pairs(df.limit(0), 0.4).count() == 0
+
+
+def test_content_of_numbers_dates_and_texts(spark):
+    import datetime
+    import struct
+
+    days = [datetime.datetime(2020, 1, 1 + i) for i in range(6)]
+    a = spark.createDataFrame([(float(i) - 2.5, days[i], ["oak", "elm", "ash"][i % 3], True) for i in range(6)], "x double, day timestamp, tree string, t boolean")
+    b = spark.createDataFrame([(float(i) - 2.5, days[i], ["elm", "oak", "ash"][i % 3], None) for i in range(6)], "y double, at timestamp, wood string, none string")
+    got = {r.column_id: r.embedding for r in K.content_vectors({"a": a, "b": b}, "s", "d").collect()}
+    bits = [int.from_bytes(struct.pack("<f", i - 2.5), "little") for i in range(6)]
+    assert got["s/d/a/x"] == pytest.approx([np.mean([b >> k & 1 for b in bits]) for k in range(32)])
+    assert "s/d/b/none" not in got and "s/d/a/t" not in got
+    columns = K.lake_columns({"a": a, "b": b}, "s", "d").join(K.content_vectors({"a": a, "b": b}, "s", "d"), "column_id", "left")
+    edges = {(r.column_id_1[4:], r.column_id_2[4:]): r.certainty for r in K.content_similarity(columns).collect()}
+    assert edges == pytest.approx({("a/x", "b/y"): 1.0, ("a/day", "b/at"): 1.0, ("a/tree", "b/wood"): 1.0})
+
+
+def plain_label_score(l1, l2, vectors):
+    a, b = l1.split(" "), l2.split(" ")
+    if l1 == l2:
+        return 1.0
+    x, y = ([w for w in a if w not in b], [w for w in b if w not in a]) if len(a) > 1 and len(b) > 1 else (a, b)
+    if not x and not y:
+        return 1.0
+    x, y = (a, b) if not x or not y else (x, y)
+    if any(w not in vectors for w in x + y):
+        return 0.0
+    unit = {w: np.array(v) / np.linalg.norm(v) for w, v in vectors.items()}
+    return float(np.mean([unit[p] @ unit[q] for p in x for q in y]))
+
+
+def test_word_labels_equal_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(4, 5))
+    vectors = {w: (base[i % 4] + rng.normal(size=5) * 0.25).tolist() for i, w in enumerate(["id", "key", "name", "price", "number", "code", "title", "cost"])}
+    names = ["id", "key", "user_id", "id_user", "user_key", "name", "title", "book_title", "name_title", "price", "unit_price", "unit_cost", "cost_unit", "mystery", "id_id", "", "order number", "code_order", "key_code"]
+    rows = [(f"t{i % 4}/{n}/{i}", f"t{i % 4}", "ab"[i % 3 == 0], n) for i, n in enumerate(names * 2)]
+    df = spark.createDataFrame(rows, "column_id string, table_id string, data_type string, column_name string")
+    words = spark.createDataFrame([(w, v) for w, v in vectors.items() if w != "mystery"] + [("zero", [0.0] * 5)], "word string, vector array<double>")
+    label = {r.column_name: r.l for r in df.select("column_name", L.make_label(F.col("column_name")).alias("l")).distinct().collect()}
+    want = {}
+    for c1, t1, d1, n1 in rows:
+        for c2, t2, d2, n2 in rows:
+            if c1 < c2 and t1 != t2 and d1 == d2 and (s := plain_label_score(label[n1], label[n2], vectors)) >= 0.75:
+                want[c1, c2] = s
+    assert {(r.column_id_1, r.column_id_2): r.certainty for r in K.word_label_similarity(df, words).collect()} == pytest.approx(want)
+
+
+def test_joint_charts_take_each_column_once(spark):
+    own = [("t", "a", "n", [1.0, 0.0]), ("t", "b", "n", [0.9, 0.1]), ("t", "c", "n", [0.0, 1.0]), ("t", "d", "s", [1.0, 1.0]), ("u", "a", "n", [1.0, 0.0])]
+    library = [(1, "n", [1.0, 0.0]), (2, "n", [1.0, 0.05]), (3, "n", [1.0, 0.1]), (4, "s", [1.0, 0.0]), (5, "x", [1.0, 0.0])]
+    drawn = [("two", 1, "bivariate", "scatter"), ("two", 2, "bivariate", "scatter"), ("typed", 1, "bivariate", "box"), ("typed", 5, "bivariate", "box"), *[("many", i, "multivariate", "line") for i in (1, 2, 3, 4)], ("few", 1, "multivariate", "line"), ("few", 5, "multivariate", "line"), *[("all", i, "multivariate", "heatmap") for i in (1, 2)], ("one", 1, "univariate", "bar")]
+    got = K.recommend_joint_charts(
+        spark.createDataFrame([("t", "a", 1), ("u", "a", 1), ("t", "b", 9)], "query_table string, main_column string, similar_id int"),
+        spark.createDataFrame(drawn, "eda_id string, column_id int, analysis_type string, chart_type string"),
+        spark.createDataFrame(library, "column_id int, data_type string, vector array<double>"),
+        spark.createDataFrame(own, "query_table string, name string, data_type string, vector array<double>"),
+    )
+    assert {(r.query_table, r.eda_id, tuple(r.chart_columns)) for r in got.collect()} == {("t", "two", ("a", "b")), ("t", "many", ("a", "b", "c", "d")), ("t", "all", ()), ("u", "all", ())}
+
+
+def test_cells_along_a_row(spark):
+    numbers = spark.createDataFrame([(1, None, 2.0, None, 8.0, None), (2, None, None, None, None, None), (3, 4.0, None, None, 1.0, 0.0)], "n int, a double, b double, c double, d double, e double")
+    assert [tuple(r)[1:] for r in C.interpolate_rows(numbers, list("abcde")).orderBy("n").collect()] == [(None, 2.0, 5.0, 8.0, 8.0), (None,) * 5, (4.0, 3.0, 2.0, 1.0, 0.0)]
+    assert [tuple(r)[1:] for r in C.clean_interpolate(numbers, "n").orderBy("n").collect()] == [(4.0, 2.0, 5.0, 8.0, 8.0), (4.0, 2.5, 3.5, 4.5, 4.0), (4.0, 3.0, 2.0, 1.0, 0.0)]
+    texts = spark.createDataFrame([(1, None, "x", None), (2, None, None, 7), (3, "y", None, None)], "n int, a string, b string, c int")
+    assert [tuple(r)[1:] for r in C.clean_interpolate(texts, "n").orderBy("n").collect()] == [("y", "x", "x"), ("y", "y", "7"), ("y", "y", "y")]
+
+
+def test_paths_meet_in_the_middle(spark):
+    edges = spark.createDataFrame([("a1", "b1", "content", 0.9), ("a2", "b1", "content", 0.8), ("b2", "c1", "content", 0.5), ("c1", "d1", "content", 1.0), ("a1", "d1", "label", 1.0)], "column_id_1 string, column_id_2 string, kind string, certainty double")
+    columns = spark.createDataFrame([(c, c[0]) for c in ("a1", "a2", "b1", "b2", "c1", "d1")], "column_id string, table_id string")
+    got = {(r.t0, r.t1, r.t2, r.t3, tuple(tuple(s) for s in r.steps)): r.certainty for r in K.join_paths(edges, columns, "a", "d", 3).collect()}
+    assert got == pytest.approx({("a", "b", "c", "d", ((x, "b1"), ("b2", "c1"), ("c1", "d1"))): y * 0.5 for x, y in (("a1", 0.9), ("a2", 0.8))})
+    assert K.join_paths(edges, columns, "a", "b", 1).count() == 2 and K.join_paths(edges, columns, "a", "d", 1).count() == 0
+
+
+def test_top_pairs_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"g{i % 2}", rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, "g0", [1.0, 1.0, 0.0, 0.0]) for i in range(5)] + [(200, "g0", [0.0] * 4), (201, "g0", None)]
+    df = spark.createDataFrame(rows, "id long, group string, vector array<double>")
+    got = {}
+    for r in top_pairs(df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), df, 4, block=9).orderBy("place").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+    known = [r for r in rows if r[2] and any(r[2])]
+    assert got == {q: [i for _, i in sorted((-cos(v, w), i) for i, h, w in known if h == g)[:4]] for q, g, v in known if q % 10 == 0}
+
+
+def test_a_database_is_read_in_ranges(spark):
+    url = "jdbc:derby:memory:lake"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("ID"), (F.col("id") * 2).cast("int").alias("TWICE"))
+    rows.write.jdbc(url + ";create=true", "numbers", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    got = S.read_database(spark, url, "numbers", key="ID", partitions=4, where="ID < 50", options=options)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(50)]
+    assert S.read_database(spark, url, "numbers", columns=["TWICE"], options=options).count() == 100
