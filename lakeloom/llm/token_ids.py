@@ -111,7 +111,7 @@ class Encoder:
     other_space = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     runs = re.compile(r"[ \n][ \n](?:[ \n]|\Z)")
 
-    def __init__(self, file: str, most: int = 400_000):
+    def __init__(self, file: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -233,7 +233,7 @@ def write_token_ids(docs: DataFrame, tokenizer_file: str, path: str, end_id: int
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for part_batch, texts in pieces(batch, 1, 3_000_000):
+            for part_batch, texts in pieces(batch, 1, 6_000_000):
                 keys, (ids, counts) = part_batch.column(0).to_pylist(), coder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 counts = counts + 1
