@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +56,11 @@ def without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     hashed = F.xxhash64(key)
     filters = docs.sparkSession.sparkContext.broadcast(bloom(rejected.select(hashed.alias("gram"))))
 
-    @F.pandas_udf("boolean")
-    def has(hashes: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def has(hashes: pa.Array) -> pa.Array:
         out = np.zeros(len(hashes), bool)
-        out[in_bloom(hashes.to_numpy(np.int64).view(_U), *filters.value)] = True
-        return pd.Series(out)
+        out[in_bloom(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(_U), *filters.value)] = True
+        return pa.array(out)
 
     wrongly = written(docs.select(key).where(has(hashed)).join(rejected.select(key), key, "left_anti"), keep=True)
     return docs.where(~has(hashed)).union(docs.where(has(hashed)).join(wrongly, key, "left_semi").select(*columns_of(docs)))

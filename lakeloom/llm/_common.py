@@ -59,6 +59,15 @@ def written(df: DataFrame, codec: str = "zstd", keep: bool = False) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let rows with texts reach Python in batches of `most` bytes, where the session has a larger bound (64 MB by default): a task
+    holds a batch several times, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if now.rstrip("b").isdigit() and not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose crc32 of the id as text leaves 2 when divided by 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

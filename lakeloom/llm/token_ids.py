@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, shared_dir
+from ._common import pieces, shared_dir, text_batches
 
 _U = np.uint64
 # Codes in a word, for selectors 2 to 15 (0 and 1, runs of zeros, aren't used); each takes 60 // n bits.
@@ -298,6 +298,7 @@ def read_token_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def token_id_table(docs: DataFrame, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all texts as token ids to a new folder of the shared one, and read the documents back from it."""
+    text_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession)
     write_token_ids(docs, tokenizer_file, path, end_id, id_col, text_col)
     return read_token_ids(docs.sparkSession, path, id_col)

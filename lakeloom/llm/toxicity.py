@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -167,10 +166,10 @@ def toxicity_column(spark: SparkSession, model: Model, text_col: str) -> Column:
     """The score of a text column as a column expression, for filters: other columns stay in the JVM."""
     shared = spark.sparkContext.broadcast(model)  # a fixed size
 
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
         parts = [shared.value.score(own) for _, own in pieces(batch, 0, PIECE)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.col(text_col))
