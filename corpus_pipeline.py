@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm._bloom import without
-from lakeloom.llm._common import columns_of, free_name, held_out, keyed, remove, scratch, shared_dir, written
+from lakeloom.llm._common import columns_of, free_name, held_out, keyed, remove, scratch, shared_dir, text_batches, written
 from lakeloom.llm.decontaminate import find_leaks
 from lakeloom.llm.jaccard_join import jaccard_join
 from lakeloom.llm.mixing import mix_sources
@@ -24,12 +24,14 @@ from lakeloom.llm.toxicity import learn_toxicity, toxicity_column
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under 0.3, one by one: repeated rows have the same score. Labels of the held-out
     quarter aren't learned from."""
+    text_batches(spark)
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return docs.where(toxicity_column(spark, model, "text") < 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: one with the smallest id, or without an id if all of them are."""
+    text_batches(spark)
     row = free_name("_row", docs.columns)
     rows = keyed(docs, row)
     with scratch(spark):
@@ -41,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a copy of a benchmark item. Of repeated rows all stay or go."""
+    text_batches(spark)
     row = free_name("_row", docs.columns)
     rows = keyed(docs, row)
     with scratch(spark):
@@ -54,6 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Most rows are taken, so both sides of the join grow with the table: neither is broadcast at any size.
     """
+    text_batches(spark)
     row = free_name("_row", docs.columns)
     turns = free_name("_turns", docs.columns)
     rows = keyed(docs, row)
