@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import name, value
@@ -20,6 +21,25 @@ def required_tables(required: DataFrame, tables: DataFrame) -> DataFrame:
     return required.select("case").distinct().join(lacking, "case", "left").select(*_row("required_tables", F.col("case"), F.col("names").isNull(), F.coalesce("names", F.lit(""))))
 
 
+# What a phase must have written; others need nothing. What every case has from the start.
+PHASE_TABLES = {"Data Cleaning": ("cleaned_train", "cleaned_test"), "Feature Engineering": ("processed_train", "processed_test"), "Model Building, Validation, and Prediction": ("submission",)}
+BASE_TABLES = ("train", "test", "sample_submission", "overview")
+
+
+def phase_tables(cases: DataFrame, tables: DataFrame, base: bool = False) -> DataFrame:
+    """required_tables for each (case, phase) of cases: what the phase must have written, with `base` also what every case
+    has from the start. A case of which nothing is asked passes."""
+    names = F.array(*[F.lit(n) for n in BASE_TABLES] if base else []).cast("array<string>")
+    by_phase = F.lit(None).cast("array<string>")
+    for phase, written in PHASE_TABLES.items():
+        by_phase = F.when(F.col("phase") == phase, F.array(*map(F.lit, written))).otherwise(by_phase)
+    asked = cases.select("case", F.explode_outer(F.concat(names, F.coalesce(by_phase, F.array().cast("array<string>")))).alias("table_name"))
+    known = tables.select("case", "table_name").distinct().withColumn("known", F.lit(True))
+    met = asked.distinct().join(known, ["case", "table_name"], "left")
+    lacking = met.groupBy("case").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("known").isNull(), F.col("table_name")))), ",").alias("names"))
+    return lacking.select(*_row("required_tables", F.col("case"), F.col("names") == "", F.col("names")))
+
+
 def no_duplicate_rows(df: DataFrame, subject: str) -> DataFrame:
     extra = df.groupBy(*[name(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
     return extra.select(*_row("no_duplicate_rows", subject, F.col("extra") == 0, F.col("extra")))
@@ -124,6 +144,23 @@ def prediction_plausible(predictions: DataFrame, sample: DataFrame, id_col: str,
     return both.select(*_row("prediction_plausible", subject, F.coalesce("binary", F.lit(False)) | F.coalesce(near, F.lit(False)), F.bround("m0", 4)))
 
 
+def run_phase(phase: str, suites: dict[str, list[str]], checks: dict[str, Callable[[], DataFrame]], first: str = "required_tables") -> DataFrame:
+    """The failed rows of the checks that suites[phase] lists, in their order. Checks after `first` are neither planned nor run if a row of it
+    fails, since the tables they read may not be there; names without a check are passed over, and a phase without a suite fails nothing.
+
+    Only whether `first` failed reaches the driver.
+    """
+    failed = None
+    for listed in suites.get(phase, []):
+        if listed not in checks:
+            continue
+        rows = checks[listed]().where(~F.coalesce("passed", F.lit(False))).select("check", "subject", "passed", "detail")
+        failed = rows if failed is None else failed.unionByName(rows)
+        if listed == first and not rows.isEmpty():
+            break
+    return SparkSession.active().createDataFrame([], "check string, subject string, passed boolean, detail string") if failed is None else failed
+
+
 def run_checks(*checks: DataFrame) -> DataFrame:
     """All rows of the checks."""
     return reduce(DataFrame.unionByName, checks)

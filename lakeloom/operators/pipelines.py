@@ -114,15 +114,21 @@ def task_totals(tags: DataFrame, tasks: dict[str, str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("n")) for t in tasks])).alias("r")).select("r.*")
 
 
-def phase_blocks(statements: DataFrame) -> DataFrame:
-    """(pipeline_id, block, phase, first_n, last_n, size, first_text, last_text): runs of consecutive statements of one phase."""
+def phase_blocks(statements: DataFrame, shown: int = 2, signs: int = 200) -> DataFrame:
+    """(pipeline_id, block, phase, first_n, last_n, size, statements, snippets): runs of statements of one phase whose numbers follow each
+    other; block numbers count from 1 in a pipeline. statements: the run as s3-s7, or s3; snippets: (n, text) of its first and last `shown`
+    statements, each once, in order, with the first `signs` characters of their texts. Numbers are distinct in a pipeline."""
     w = Window.partitionBy("pipeline_id").orderBy("n")
-    breaks = F.when(F.lag("phase").over(w).eqNullSafe(F.col("phase")), 0).otherwise(1)
-    blocks = statements.withColumn("start", breaks).withColumn("block", F.sum("start").over(w))
-    return blocks.groupBy("pipeline_id", "block").agg(
-        F.first("phase").alias("phase"), F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.count(F.lit(1)).alias("size"),
-        F.min_by("text", "n").alias("first_text"), F.max_by("text", "n").alias("last_text"),
+    follows = F.lag("phase").over(w).eqNullSafe(F.col("phase")) & F.coalesce(F.lag("n").over(w) + 1 == F.col("n"), F.lit(False))
+    blocks = statements.withColumn("start", F.when(follows, 0).otherwise(1)).withColumn("block", F.sum("start").over(w))
+    inside = Window.partitionBy("pipeline_id", "block")
+    placed = blocks.withColumn("ahead", F.row_number().over(inside.orderBy("n"))).withColumn("after", F.row_number().over(inside.orderBy(F.desc("n"))))
+    sample = F.when((F.col("ahead") <= shown) | (F.col("after") <= shown), F.struct("n", F.substring("text", 1, signs).alias("text")))
+    whole = placed.groupBy("pipeline_id", "block").agg(
+        F.first("phase").alias("phase"), F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(sample)).alias("snippets"),
     )
+    ends = F.transform(F.array_distinct(F.array("first_n", "last_n")), lambda n: F.concat(F.lit("s"), n.cast("string")))
+    return whole.select("pipeline_id", "block", "phase", "first_n", "last_n", "size", F.array_join(ends, "-").alias("statements"), "snippets")
 
 
 def library_edges(calls: DataFrame) -> DataFrame:
@@ -132,11 +138,26 @@ def library_edges(calls: DataFrame) -> DataFrame:
     return paths.where(F.size("p") > 1).select(F.explode(pairs).alias("e")).select("e.*").distinct()
 
 
+_DOTTED = r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$"
+
+
 def import_edges(sources: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, library): libraries that a source text imports, with their parents."""
-    text = F.col(text_col)
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\w.]+)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^\s*from\s+([\w.]+)\s+import"), F.lit(1)))
-    return sources.select(id_col, F.explode(found).alias("path")).select(id_col, F.explode(library_prefixes(F.col("path"))).alias("library")).distinct()
+    """(id, library), each once: what a Python source text imports, with all its parents; `from a.b import c` imports a.b.c.
+
+    Several names, `as`, names in brackets over lines, lines carried on by a backslash, several statements a line and comments are
+    understood. Of `import *` the module counts; relative imports name no library and are left out, as is what isn't a dotted name.
+    Statements inside texts in quotes are taken for imports too. A null text imports nothing.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col), r"\\\r?\n", " "), r"#[^\r\n]*", "")
+    named = lambda c: F.transform(F.split(F.regexp_replace(c, r"[()]", " "), ","), lambda n: F.regexp_replace(F.regexp_replace(n, r"^\s+|\s+$", ""), r"\s+as\s+\w+$", ""))
+    every = r"(?md)(?:^|;)[ \t]*"
+    plain = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(every + r"import[ \t]+([^\r\n;]+)"), F.lit(1)), named))
+    of = every + r"from[ \t]+([\w.]+)[ \t]+import[ \t]*(\([^)]*\)|[^\r\n;(]+)"
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(of), F.lit(i)).alias(k) for i, k in ((1, "m"), (2, "n"))])
+    below = F.flatten(F.transform(parts, lambda p: F.transform(named(p["n"]), lambda n: F.when(n == "*", p["m"]).otherwise(F.concat(p["m"], F.lit("."), n)))))
+    paths = F.array_distinct(F.filter(F.concat(plain, below), lambda p: p.rlike(_DOTTED)))
+    prefixes = F.array_distinct(F.flatten(F.transform(paths, library_prefixes)))
+    return sources.select(id_col, F.explode(prefixes).alias("library")).distinct()
 
 
 def kernel_rollup(versions: DataFrame, scores: DataFrame, tags: DataFrame) -> DataFrame:

@@ -240,14 +240,6 @@ def p18_flatten_insights(t):
     return P.flatten_insights(whole, "by_phase", "across")
 
 
-@query("""WITH x AS (SELECT conv_id AS id, unnest(regexp_extract_all('import ' || role || '.core' || chr(10) || 'from tool.' || role || ' import x' || chr(10) || text, '(?m)^import\\s+([\\w.]+)', 1) || regexp_extract_all('from tool.' || role || ' import x', '(?m)^from\\s+([\\w.]+)\\s+import', 1)) AS path FROM conversations WHERE role IS NOT NULL AND conv_id IS NOT NULL AND text IS NOT NULL AND NOT regexp_matches(text, '(?m)^\\s*(import|from)\\s'))
-SELECT DISTINCT id, unnest(CASE WHEN contains(path, '.') THEN [split_part(path, '.', 1), path] ELSE [path] END) AS library FROM x""")
-def p20_import_edges(t):
-    source = F.concat(F.lit("import "), "role", F.lit(".core\nfrom tool."), "role", F.lit(" import x\n"), "text")
-    rows = t.conversations.where("role IS NOT NULL AND conv_id IS NOT NULL AND text IS NOT NULL").where(~F.col("text").rlike(r"(?m)^\s*(import|from)\s"))
-    return P.import_edges(rows.select(F.col("conv_id").alias("id"), source.alias("source")), "id", "source")
-
-
 # ---- ranking
 
 _L2 = "round_even(1 - sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])))), 3)"

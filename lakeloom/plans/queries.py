@@ -621,14 +621,17 @@ def p11_task_totals(t):
 
 
 @query("""WITH s AS (SELECT conv_id AS pipeline_id, turn AS n, role AS phase, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k FROM conversations),
-u AS (SELECT * FROM s WHERE k = 1), b AS (SELECT *, sum(brk) OVER (PARTITION BY pipeline_id ORDER BY n) AS block FROM (SELECT *, (lag(phase) OVER (PARTITION BY pipeline_id ORDER BY n) IS DISTINCT FROM phase)::INT AS brk FROM u))
-SELECT pipeline_id, block::BIGINT AS block, min(phase) AS phase, min(n) AS first_n, max(n) AS last_n, count(*) AS size, arg_min(text, n) AS first_text, arg_max(text, n) AS last_text FROM b GROUP BY 1, 2""")
+u AS (SELECT * FROM s WHERE k = 1), b AS (SELECT *, sum(brk) OVER (PARTITION BY pipeline_id ORDER BY n) AS block FROM (SELECT *, (lag(phase) OVER w IS DISTINCT FROM phase OR lag(n) OVER w IS DISTINCT FROM n - 1)::INT AS brk FROM u WINDOW w AS (PARTITION BY pipeline_id ORDER BY n))),
+p AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id, block ORDER BY n) AS i, count(*) OVER (PARTITION BY pipeline_id, block) AS size FROM b)
+SELECT pipeline_id, block::BIGINT AS block, min(phase) AS phase, min(n) AS first_n, max(n) AS last_n, count(*) AS size, CASE WHEN count(*) = 1 THEN 's' || min(n) ELSE 's' || min(n) || '-s' || max(n) END AS statements, string_agg(n || ':' || text[1:200], '|' ORDER BY n) FILTER (WHERE i <= 2 OR i > size - 2) AS snippets FROM p GROUP BY 1, 2""")
 def p17_phase_blocks(t):
+    """Snippets as one text each."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     one = t.conversations.where("text IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k = 1")
-    return P.phase_blocks(one.select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("n"), F.col("role").alias("phase"), "text"))
+    blocks = P.phase_blocks(one.select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("n"), F.col("role").alias("phase"), "text"))
+    return blocks.withColumn("snippets", F.array_join(F.transform("snippets", lambda s: F.concat(s["n"].cast("string"), F.lit(":"), s["text"])), "|"))
 
 
 @query(f"""WITH {_CALLS} SELECT DISTINCT lib AS parent, lib || '.' || module AS child FROM calls""")
@@ -882,4 +885,4 @@ def a12_prediction_plausible(t):
     return A.prediction_plausible(t.orders, lines, "o_orderkey", "o_totalprice", "orders").withColumn("detail", F.lit(None).cast("string"))
 
 
-from . import discovery, relations  # noqa: E402, F401  register further queries
+from . import discovery, insights, relations  # noqa: E402, F401  register further queries

@@ -226,7 +226,7 @@ def test_pipelines(spark):
     statements = spark.createDataFrame([(1, i, p, f"t{i}") for i, p in enumerate("aabba")], "pipeline_id int, n int, phase string, text string")
     assert [(r.phase, r.first_n, r.size) for r in P.phase_blocks(statements).orderBy("block").collect()] == [("a", 0, 2), ("b", 2, 2), ("a", 4, 1)]
     code = spark.createDataFrame([(1, "import os.path\nfrom a.b import c\n")], "id int, text string")
-    assert sorted(column(P.import_edges(code, "id", "text"), "library")) == ["a", "a.b", "os", "os.path"]
+    assert sorted(column(P.import_edges(code, "id", "text"), "library")) == ["a", "a.b", "a.b.c", "os", "os.path"]
 
 
 def test_ranking(spark):
@@ -243,6 +243,76 @@ def test_ranking(spark):
     assert [tuple(r) for r in V.plan_references(plan, "id", "text").collect()] == [(1, 1, "a", "b", "c")]
 
 
+def test_tool_states(spark):
+    """Empty insights, nulls, tools without paths, paths twice and inner objects."""
+    values = [(1, "q.gaps.rate", "0.5"), (1, "q.gaps.kind", "unknown"), (1, "q.odd", "unknown"), (1, "deep.a.b", "unknown"), (1, "flat.x", None), (1, "none", None), (2, "q.odd", "3"), (None, "q.odd", "3")]
+    fields = spark.createDataFrame(values, "case_id int, path string, value string")
+    tools = spark.createDataFrame([("gaps", "q.gaps"), ("gaps", "q.odd"), ("gaps", "q.odd"), ("odd", "q.odd"), ("deep", "deep"), ("flat", "flat"), ("none", "none")], "tool string, path string")
+    asked = spark.createDataFrame([(1, t) for t in ("gaps", "gaps", "odd", "deep", "flat", "none", "own")] + [(2, "odd"), (3, "gaps")], "case_id int, tool string")
+    states = V.tool_states(fields, asked, tools)
+    assert {(r.case_id, r.tool): (r.state, r.n_fields, r.n_extracted, r.missing_fields) for r in states.collect()} == {
+        (1, "gaps"): ("partial", 2, 1, ["q.odd"]), (1, "odd"): ("missing", 1, 0, ["q.odd"]), (1, "deep"): ("complete", 1, 1, []), (1, "flat"): ("complete", 1, 1, []),
+        (1, "none"): ("missing", 1, 0, ["none"]), (1, "own"): ("no_mapping", 0, 0, []), (2, "odd"): ("complete", 1, 1, []), (3, "gaps"): ("missing", 2, 0, ["q.gaps", "q.odd"]),
+    }
+    # q, q.gaps, its two, q.odd, deep, deep.a, deep.a.b, flat, flat.x, none: 11 fields, 3 of them unknown
+    report = {r.case_id: tuple(r)[1:] for r in V.completeness_report(fields, states).collect()}
+    assert report[1] == (3.6, 3, 11, ["no output of: none, odd", "part of the output of: gaps"]) and report[2] == (5.0, 0, 2, [])
+    poor = V.completeness_report(fields.where("value = 'unknown'").where("path = 'q.odd'"), states)
+    assert poor.first().score == 2.5 and poor.first().warnings[0] == "low completeness: 50.0%"
+    assert V.tool_states(fields.limit(0), asked.limit(0), tools).count() == 0 and V.completeness_report(fields.limit(0), states).count() == 0
+
+
+def test_field_similarity_of_structures(spark):
+    rows = [
+        ("missing_pattern", "MAR", "MCAR", 0.7), ("missing_pattern", "MNAR", "MAR", 0.5), ("missing_pattern", "MNAR", "MCAR", 0.0), ("missing_pattern", "X", "X", 0.0), ("missing_pattern", "unknown", "MAR", 0.0),
+        ("missing_pattern", None, "MAR", None), ("distribution", "balanced", "uniform", 0.6), ("distribution", "power_law", "uniform", 0.0), ("distribution", "odd", "odd", 1.0),
+        ("vector", '{"a": 3, "b": 4}', '{"b": 4, "a": 3}', 1.0), ("vector", '{"a": 1}', '{"a": 3, "c": 4}', 0.6), ("vector", '{"a": null}', '{"a": 1}', 0.0), ("vector", "[3, 4]", "[4, 3]", 0.96), ("vector", "[1]", "[1, 2]", 0.0),
+        ("vector", "[1]", '{"a": 1}', 0.0), ("vector", "{}", "{}", 0.0), ("vector", "text", "text", 0.0), ("vector", "unknown", "unknown", 1.0), ("vector", None, "[1]", 0.0), ("float", "0", "0.0", 1.0), ("float", "2", "-2", 0.0),
+        ("float", "NaN", "1", 0.0), ("int", "x", "1", 0.0), ("boolean", "True", "true", 1.0), ("string", None, "a", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, a string, b string, want double")
+    got = df.select("i", F.bround(V.field_similarity(F.col("kind"), F.col("a"), F.col("b")), 9).alias("s")).orderBy("i").collect()
+    assert [(rows[r.i], r.s) for r in got] == [(r, r[3]) for r in rows]
+
+
+def test_visible_fields(spark):
+    names = [("pre_eda", "data_quality"), ("pre_eda", "other"), ("deep_eda", "complexity"), ("deep_eda", "feature_importance"), ("else", "data_quality"), (None, None)]
+    fields = spark.createDataFrame([(1, *n) for n in names], "case_id int, section string, module string")
+    seen = lambda phase: {r.module for r in V.visible_fields(fields, spark.createDataFrame([(1, phase), (1, phase), (2, phase)], "case_id int, phase string")).collect()}
+    assert seen("Data Cleaning") == seen("Preliminary Exploratory Data Analysis") == {"data_quality"}
+    assert seen(" In-depth Exploratory Data Analysis ") == {"data_quality", "other", "complexity"}
+    assert seen("Feature Engineering") == {"data_quality", "other", "complexity", "feature_importance"}
+    assert seen(None) == seen("Reporting") == {"data_quality", "other"}
+
+
+def test_phases_of_checks(spark):
+    cases = spark.createDataFrame([("a", "Data Cleaning"), ("b", "Feature Engineering"), ("c", "Reporting"), ("d", None)], "case string, phase string")
+    tables = spark.createDataFrame([("a", "cleaned_train"), ("a", "cleaned_train"), ("b", "processed_train"), ("b", "processed_test")], "case string, table_name string")
+    assert {r.subject: (r.passed, r.detail) for r in A.phase_tables(cases, tables).collect()} == {"a": (False, "cleaned_test"), "b": (True, ""), "c": (True, ""), "d": (True, "")}
+    assert {r.subject: r.detail for r in A.phase_tables(cases, tables, base=True).collect()}["c"] == "overview,sample_submission,test,train"
+    asked = []
+
+    def later():
+        asked.append(1)
+        return A.no_duplicate_rows(tables, "tables")
+
+    of = lambda case: {"required_tables": lambda: A.phase_tables(cases.where(F.col("case") == case), tables), "later": later}
+    suites = {"p": ["required_tables", "unknown", "later"]}
+    assert [(r.check, r.passed) for r in A.run_phase("p", suites, of("a")).collect()] == [("required_tables", False)] and not asked
+    assert [(r.check, r.detail) for r in A.run_phase("p", suites, of("b")).collect()] == [("no_duplicate_rows", "1")] and asked
+    assert A.run_phase("none", suites, of("b")).collect() == []
+
+
+def test_blocks_and_imports(spark):
+    turns = [(1, n, p, f"{n}" * 300) for n, p in ((0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "a"), (6, "a"), (7, None), (8, None))]
+    blocks = P.phase_blocks(spark.createDataFrame(turns, "pipeline_id int, n int, phase string, text string")).orderBy("block").collect()
+    assert [(r.block, r.phase, r.statements, r["size"], [s.n for s in r.snippets]) for r in blocks] == [(1, "a", "s0-s4", 5, [0, 1, 3, 4]), (2, "a", "s6", 1, [6]), (3, None, "s7-s8", 2, [7, 8])]
+    assert blocks[0].snippets[0].text == "0" * 200
+    code = "import os, numpy as np; import re\nfrom a.b import (c,  # d\n  e as f,\n)\nfrom g import *\nfrom . import h\nfrom .i import j\nif x:\n    import k.l\nfrom m \\\n  import n\nimportant = 1\n# import no\nimport 3x, o-p\n"
+    found = P.import_edges(spark.createDataFrame([(1, code), (2, None), (3, "")], "id int, source string"), "id", "source")
+    assert sorted(column(found, "library")) == ["a", "a.b", "a.b.c", "a.b.e", "g", "k", "k.l", "m", "m.n", "numpy", "os", "re"]
+
+
 def test_time(spark):
     wave = spark.range(200).select("id", F.sin(F.col("id") * math.pi / 5).alias("x"))
     assert Z.periodicity(wave, "id", "x", "id").first()[0] > 0.9
