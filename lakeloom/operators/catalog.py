@@ -387,6 +387,14 @@ def join_paths(edges: DataFrame, columns: DataFrame, source: str, target: str, h
     return whole.select(*[F.get("tables", F.lit(i)).alias(f"t{i}") for i in range(hops + 1)], "steps", F.col("c").alias("certainty"))
 
 
+def graph_info(columns: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """(datasets, pipelines, tables, columns): what the lake holds, each once. columns: (column_id, table_id, dataset_id); pipelines:
+    (pipeline_id, dataset_id), those of no dataset of the lake left out."""
+    counts = columns.agg(F.count_distinct("dataset_id").alias("datasets"), F.count_distinct("table_id").alias("tables"), F.count_distinct("column_id").alias("columns"))
+    own = pipelines.join(columns.select("dataset_id").distinct(), "dataset_id", "left_semi").agg(F.count_distinct("pipeline_id").alias("pipelines"))
+    return counts.crossJoin(own).select("datasets", "pipelines", "tables", "columns")  # one row each
+
+
 def datasets_info(columns: DataFrame) -> DataFrame:
     return columns.groupBy("dataset_name").agg(F.count_distinct("table_id").alias("n_tables")).orderBy("dataset_name")
 

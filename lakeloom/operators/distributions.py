@@ -138,9 +138,16 @@ def sparsity(df: DataFrame) -> DataFrame:
     return rows.agg(share((F.col("n") > 0) & (F.col("zeros") >= 0.9 * F.col("n"))).alias("zero_dominated_share"), share((F.col("n") > 0) & (F.col("filled") <= 0.1 * F.col("rows"))).alias("sparse_share"))
 
 
-def uncertainty(df: DataFrame, target: str) -> DataFrame:
+def uncertainty(df: DataFrame, target: str | None = None) -> DataFrame:
     """(uncertainty): entropy of the target over its largest possible value. A numeric target is cut into min(10, n // 5)
-    right-closed bins of equal width; fewer than 5 values give 0.5."""
+    right-closed bins of equal width; fewer than 5 values give 0.5. Without a target, or one that is no column: the mean share of distinct
+    values of the first ten columns with at least 5 values, which are what the surveyed tool reads; 0.5 without any. No row at all gives 0.1."""
+    if target is None or target not in df.columns:
+        columns = df.columns[:10]
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(F.count(value(df, c)).alias("n"), F.count_distinct(value(df, c)).alias("d")).alias(f"c{i}") for i, c in enumerate(columns)])
+        each = wide.select("rows", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("r")).select("rows", "r.*")
+        mean = F.coalesce(rounded(F.avg(F.when(F.col("n") >= 5, F.col("d") / F.col("n")))), F.lit(0.5))
+        return each.agg(F.when(F.max("rows") == 0, 0.1).otherwise(mean).alias("uncertainty"))
     x = value(df, target)
     if target in numeric_columns(df):
         stats = df.agg(F.count(x).alias("n"), F.min(x.cast("double")).alias("lo"), F.max(x.cast("double")).alias("hi"))

@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, name, number, numeric_columns, rounded
+from ..functions.columns import correlation, name, number, numeric_columns, rounded, value
 from .correlation import matrix
 
 
@@ -43,10 +43,14 @@ def anova_f(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
 
 
 def regression_f(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """(column, score): F statistic of a straight line from each column to the target."""
-    y = number(df, target)
-    wide = df.agg(*[x for i, c in enumerate(columns) for x in (correlation(number(df, c), y).alias(f"r{i}"), F.count_if(number(df, c).isNotNull() & y.isNotNull()).alias(f"n{i}"))])
-    score = lambda i: F.try_divide(F.col(f"r{i}") ** 2, F.nullif(1 - F.col(f"r{i}") ** 2, F.lit(0.0))) * (F.col(f"n{i}") - 2)
+    """(column, score): F statistic of a straight line from each column, missing cells as its mean, to the target. If the
+    target has missing cells, the statistic isn't defined: the score is |r| over the rows with both, 0 where that isn't defined."""
+    cells = df.select(number(df, target).alias("y"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    means = cells.agg(F.count_if(F.col("y").isNull()).alias("gaps"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))])
+    rows = cells.crossJoin(F.broadcast(means)).select("gaps", "y", *[x for i in range(len(columns)) for x in (F.col(f"x{i}"), F.coalesce(f"x{i}", f"m{i}").alias(f"f{i}"))])  # one row of means
+    wide = rows.agg(F.max("gaps").alias("gaps"), F.count(F.lit(1)).alias("n"), *[x for i in range(len(columns)) for x in (correlation(F.col(f"f{i}"), F.col("y")).alias(f"r{i}"), correlation(F.col(f"x{i}"), F.col("y")).alias(f"p{i}"))])
+    line = lambda i: F.try_divide(F.col(f"r{i}") ** 2, F.nullif(1 - F.col(f"r{i}") ** 2, F.lit(0.0))) * (F.col("n") - 2)
+    score = lambda i: F.when(F.col("gaps") > 0, F.coalesce(F.abs(F.col(f"p{i}")), F.lit(0.0))).otherwise(line(i))
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), score(i).alias("score")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
@@ -102,15 +106,95 @@ def nonlinearity(df: DataFrame, target: str, columns: list[str], seed: int = 42)
     return df.sparkSession.createDataFrame([(round(value, 4),)], "nonlinearity double")
 
 
+# One-hot columns that a tree is grown over at most; see encoded_importances and high_cardinality_impact.
+MOST_INDICATORS = 200_000
+
+
+def _label(df: DataFrame, target: str) -> tuple[Column, bool]:
+    """The class or number of the target, null for a row without one, and whether it is a class: at most ten distinct values.
+    A text of more values has no label."""
+    x = value(df, target)
+    found = sorted(r[0] for r in df.select(x.alias("x")).where("x IS NOT NULL").distinct().limit(11).collect())  # eleven values at most
+    if len(found) > 10:
+        return number(df, target) if target in numeric_columns(df) else F.lit(None).cast("double"), False
+    code = F.lit(None).cast("double")
+    for i, v in enumerate(found):
+        code = F.when(x == F.lit(v), float(i)).otherwise(code)
+    return code, True
+
+
+def _indicators(df: DataFrame, label: Column, numbers: list[str], categories: list[str], with_missing: bool) -> tuple[DataFrame, list[str]]:
+    """`features` and `label` of the rows with a label, and the source column of each feature: the numbers, missing cells as the mean, then for each
+    category column an indicator of each value but the first in order, and of missing cells if asked. The vectors are sparse. No
+    row or no feature gives no sources.
+
+    The values of the category columns reach the driver, so callers count them first.
+    """
+    rows = df.select(label.alias("label"), *[number(df, c).alias(f"n{i}") for i, c in enumerate(numbers)], *[name(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)]).where("label IS NOT NULL")
+    means = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.avg(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(len(numbers))], *[F.count(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).first().asDict()
+    if not means["rows"]:
+        return rows, []
+    rows = rows.fillna({f"n{i}": means[f"n{i}"] for i in range(len(numbers))}) if numbers else rows
+    inputs, sources, stages = [f"n{i}" for i in range(len(numbers))], list(numbers), []
+    for i, c in enumerate(categories):
+        if not means[f"c{i}"]:
+            continue  # nothing but missing cells
+        index = StringIndexer(inputCol=f"c{i}", outputCol=f"i{i}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(rows)
+        kept = list(range(1, len(index.labels) + with_missing))
+        if kept:
+            stages += [index, OneHotEncoder(inputCol=f"i{i}", outputCol=f"h{i}", dropLast=not with_missing, handleInvalid="error"), VectorSlicer(inputCol=f"h{i}", outputCol=f"v{i}", indices=kept)]
+            inputs.append(f"v{i}")
+            sources += [c] * len(kept)
+    if not inputs:
+        return rows, []
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows).transform(rows).select("features", "label"), sources
+
+
+def _grown(data: DataFrame, classes: bool, trees: int, depth: int, seed: int) -> np.ndarray:
+    kinds = {(True, True): DecisionTreeClassifier, (True, False): RandomForestClassifier, (False, True): DecisionTreeRegressor, (False, False): RandomForestRegressor}
+    model = kinds[classes, trees == 1](maxDepth=depth, seed=seed, **({} if trees == 1 else {"numTrees": trees}))
+    return model.fit(data).featureImportances.toArray()
+
+
+def _distinct(df: DataFrame, columns: list[str]) -> list[int]:
+    return list(df.agg(*[F.count_distinct(name(c)) for c in columns], F.lit(0)).first())[: len(columns)]
+
+
+def encoded_importances(df: DataFrame, target: str, numbers: list[str], categories: list[str], trees: int = 1, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(column, feature, importance): importances of a tree or forest over the numbers and one-hot categories, `feature` counting
+    a column's features from 0 (the categories' values from the second one on). Their sum by column is the column's importance.
+
+    Rows without a target are left out; missing numbers are the mean, missing categories no indicator. A target of at most ten
+    values is a class. No row if there is no row, no feature, or a text target of more values. Over MOST_INDICATORS values of all
+    categories are an error: such columns are keys, which no model over their indicators can use.
+    """
+    if (n := sum(_distinct(df, categories))) > MOST_INDICATORS:
+        raise ValueError(f"{n} values of {categories} are too many for indicators")
+    label, classes = _label(df, target)
+    data, sources = _indicators(df, label, numbers, categories, False)
+    found: list[tuple[str, int, float]] = []
+    place: dict[str, int] = {}
+    for c, v in zip(sources, _grown(data, classes, trees, depth, seed) if sources else [], strict=True):
+        found.append((c, place.setdefault(c, 0), float(v)))
+        place[c] += 1
+    return df.sparkSession.createDataFrame(found, "column string, feature int, importance double")
+
+
 def tree_importances(df: DataFrame, target: str, columns: list[str], trees: int = 1, seed: int = 42) -> DataFrame:
-    """(column, importance) of a tree, or forest, of depth 5."""
-    data = _vectors(df, columns, target)
-    if _is_class(df, target):
-        model = DecisionTreeClassifier(maxDepth=5, seed=seed) if trees == 1 else RandomForestClassifier(numTrees=trees, maxDepth=5, seed=seed)
-    else:
-        model = DecisionTreeRegressor(maxDepth=5, seed=seed) if trees == 1 else RandomForestRegressor(numTrees=trees, maxDepth=5, seed=seed)
-    importance = model.fit(data).featureImportances.toArray()
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, importance, strict=True)], "column string, importance double")
+    """(column, importance) of a tree, or forest, of depth 5 over numbers; missing cells are the mean, rows without a target
+    are left out; all 0 where nothing can be split."""
+    found = encoded_importances(df, target, columns, [], trees, 5, seed)
+    order = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "place int, column string")
+    return order.join(found, "column", "left").orderBy("place").select("column", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def interaction_effects(df: DataFrame, target: str, columns: list[str], seed: int = 42) -> DataFrame:
+    """(complex_interaction_ratio): 1 less twice the concentration of a tree's importances, at least 0: 1 where they are spread
+    evenly. 0 for fewer than two columns; 1 if no column is of any importance."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([(0.0,)], "complex_interaction_ratio double")
+    concentration = _lorenz(tree_importances(df, target, columns, 1, seed), "importance")
+    return concentration.select(F.bround(F.greatest(F.lit(0.0), 1 - F.col("concentration") / 0.5), 4).alias("complex_interaction_ratio"))
 
 
 def recursive_elimination(df: DataFrame, target: str, columns: list[str], keep: int, estimator: str = "auto", step: int = 1) -> DataFrame:
@@ -176,12 +260,15 @@ def all_numeric_but(df: DataFrame, target: str) -> list[str]:
     return [c for c in numeric_columns(df) if c != target]
 
 
-def synergy(df: DataFrame, target: str, columns: list[str], seed: int = 42) -> DataFrame:
-    """(synergy): 1 - the variation of a forest's importances, 1 at most; 0.3 for fewer than 20 rows."""
+def synergy(df: DataFrame, target: str, columns: list[str], categories: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """(synergy): 1 - the variation of a forest's importances over the columns and the one-hot categories, at least 0; 0.3 for fewer
+    than 20 rows and where no forest can be grown."""
+    small = df.sparkSession.createDataFrame([(0.3,)], "synergy double")
     if df.limit(20).count() < 20:
-        return df.sparkSession.createDataFrame([(0.3,)], "synergy double")
-    table = tree_importances(df, target, columns, 50, seed)
-    return table.agg(F.bround(1 - F.least(F.lit(1.0), F.coalesce(F.try_divide(F.stddev_pop("importance"), F.nullif(F.avg("importance"), F.lit(0.0))), F.lit(1.0))), 4).alias("synergy"))
+        return small
+    table = encoded_importances(df, target, columns, categories or [], 50, 5, seed)
+    spread = F.coalesce(F.try_divide(F.stddev_pop("importance"), F.nullif(F.avg("importance"), F.lit(0.0))), F.lit(1.0))
+    return table.agg(F.when(F.count("importance") == 0, 0.3).otherwise(F.bround(1 - F.least(F.lit(1.0), spread), 4)).alias("synergy"))
 
 
 def high_cardinality(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
@@ -193,13 +280,43 @@ def high_cardinality(df: DataFrame, columns: list[str], least: int = 20) -> Data
     return rows.agg(F.bround(F.count_if(F.col("d") >= least) / F.count(F.lit(1)), 4).alias("high_share"), F.coalesce(F.bround(F.var_pop(ratio), 4), F.lit(0.0)).alias("impact"))
 
 
-def dataset_complexity(df: DataFrame, target: str) -> DataFrame:
-    """One row: rows for each feature, interaction potential, sparsity, signal to noise, uncertainty of the target."""
+def high_cardinality_impact(df: DataFrame, target: str, columns: list[str], least: int = 20, most: int = 5, seed: int = 42) -> DataFrame:
+    """(high_share, impact): share of the columns with at least `least` distinct values; ten times the mean importance, at most 1, of the
+    indicators of the first `most` such columns, missing cells with one of their own, in a tree of depth 3. No such column, or a
+    text target of over ten values, gives the default 0.3; the surveyed tool reads `most` columns.
+
+    A tree's importances sum to 1 or, where nothing can be split, to 0; so beyond MOST_INDICATORS indicators the impact is less
+    than 0.00005, which rounds to 0, and no tree is grown.
+    """
+    distinct = _distinct(df, columns)
+    high = [c for c, d in zip(columns, distinct, strict=True) if d >= least]
+    label, classes = _label(df, target)
+    impact = 0.3
+    if sum([d for d in distinct if d >= least][:most]) > MOST_INDICATORS:
+        impact = 0.3 if df.where(label.isNotNull()).isEmpty() else 0.0
+    elif high:
+        data, sources = _indicators(df, label, [], high[:most], True)
+        impact = min(1.0, float(_grown(data, classes, 1, 3, seed).mean()) * 10) if sources else 0.3
+    share = len(high) / len(columns) if columns else 0.0
+    return df.sparkSession.createDataFrame([(round(share, 4), round(impact if columns else 0.0, 4))], "high_share double, impact double")
+
+
+def dataset_complexity(df: DataFrame, target: str | None = None) -> DataFrame:
+    """(dimensionality, sparsity_patterns, noise_level), one row of structs: rows for each feature (the target is one) and interaction potential;
+    shares of zero-dominated and sparse columns; signal to noise and uncertainty. A table without rows has 0, but a signal of
+    2.5 and an uncertainty of 0.1."""
     from .correlation import interaction_potential, signal_to_noise
     from .distributions import samples_per_feature, sparsity, uncertainty
 
+    def whole(dimensionality: list, patterns: list, noise: list) -> list:
+        return [F.struct(*dimensionality).alias("dimensionality"), F.struct(*patterns).alias("sparsity_patterns"), F.struct(*noise).alias("noise_level")]
+
+    names = [["samples_per_feature", "interaction_potential"], ["zero_dominated_share", "sparse_share"], ["signal_to_noise", "uncertainty"]]
+    if df.isEmpty():
+        one = df.sparkSession.range(1)
+        return one.select(*whole(*[[F.lit(2.5 if n == "signal_to_noise" else 0.1 if n == "uncertainty" else 0.0).alias(n) for n in group] for group in names]))
     parts = [samples_per_feature(df), interaction_potential(df), sparsity(df), signal_to_noise(df), uncertainty(df, target)]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
-    return out
+    return out.select(*whole(*names))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import correlation, name, number, rounded
+from ..functions.columns import correlation, name, number, numeric_columns, rounded
 from ..functions.ranks import numbered
 
 
@@ -87,6 +88,18 @@ def time_column(df: DataFrame) -> str | None:
     return next((f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))), None)
 
 
+def time_series_properties(df: DataFrame, time: str | None = None, tie: str | None = None, most: int = 3) -> DataFrame:
+    """(is_time_series, stationarity_strength, periodicity_strength) of a table in the order of its time column, or of its first timestamp
+    or date column if none is named; rows of one time by the tie column. The strengths are means over the first `most` numeric
+    columns, which is what the surveyed tool reads; 0 without such a column, or without a time column, when it is no series."""
+    found = time if time in df.columns else None if time else time_column(df)
+    columns = numeric_columns(df)[:most] if found else []
+    if not columns:
+        return df.sparkSession.createDataFrame([(found is not None, 0.0, 0.0)], "is_time_series boolean, stationarity_strength double, periodicity_strength double")
+    each = [stationarity(df, found, c, tie or found).crossJoin(periodicity(df, found, c, tie or found)) for c in columns]  # one row each
+    return reduce(DataFrame.union, each).agg(F.lit(True).alias("is_time_series"), rounded(F.avg("stationarity")).alias("stationarity_strength"), rounded(F.avg("periodicity")).alias("periodicity_strength"))
+
+
 def spatial_correlation(df: DataFrame, x: str, y: str, z: str, order: str | list[str], rows: int = 1000) -> DataFrame:
     """(spatial_correlation): minus the correlation of distance and difference in z over all pairs of the first `rows` rows with known
     cells, by the order columns and then the cells, so that only equal rows are tied; 0 for fewer than 50. `rows` is

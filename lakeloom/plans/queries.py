@@ -264,6 +264,11 @@ def d11_uncertainty(t):
     return D.uncertainty(t.orders, "o_orderpriority")
 
 
+@query("""SELECT round_even(avg(r), 4) AS uncertainty FROM (SELECT unnest([count(DISTINCT o_orderkey) / count(o_orderkey), count(DISTINCT o_custkey) / count(o_custkey), count(DISTINCT o_orderstatus) / count(o_orderstatus), count(DISTINCT o_totalprice) / count(o_totalprice), count(DISTINCT o_orderdate) / count(o_orderdate), count(DISTINCT o_orderpriority) / count(o_orderpriority)]) AS r FROM orders)""")
+def d11_diversity(t):
+    return D.uncertainty(t.orders)
+
+
 # ---- correlation
 
 @query("""SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, round_even(corr(l_quantity, l_extendedprice), 4) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', round_even(corr(l_quantity, l_tax), 4) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', round_even(corr(l_extendedprice, l_tax), 4) FROM lineitem""")
@@ -470,6 +475,13 @@ def q4_lake_totals(t):
     return sizes(t).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("total_values_count").alias("n_cells"))
 
 
+@query(f"WITH {COLUMNS_SQL} SELECT 1::BIGINT AS datasets, (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderstatus = 'F') AS pipelines, count(DISTINCT table_name) AS tables, count(*) AS columns FROM cols")
+def q4_graph_info(t):
+    """Orders are the pipelines; those done are of the lake's data set, the others of none."""
+    pipelines = t.orders.select(F.col("o_orderkey").alias("pipeline_id"), F.when(F.col("o_orderstatus") == "F", "lake/tpch").otherwise("other").alias("dataset_id"))
+    return K.graph_info(schema(t), pipelines)
+
+
 @query(" UNION ALL ".join(f"SELECT 'tpch' AS dataset_name, '{t}' AS table_name, count(*) AS n_rows, {len(cs)}::BIGINT AS n_columns FROM {t}" for t, cs in COLUMNS.items()))
 def q2_tables_info(t):
     return K.tables_info(sizes(t))
@@ -692,6 +704,11 @@ def x1_periodicity(t):
     return Z.periodicity(t.events, "ts", "value", "event_id", 3, ["user_id"])
 
 
+@query()
+def x3_time_series(t):
+    return Z.time_series_properties(t.events.select("event_id", "ts", "value"), tie="event_id")
+
+
 @query()
 def x2_stationarity(t):
     return Z.stationarity(t.orders, "o_orderdate", "o_totalprice", "o_orderkey")
@@ -816,7 +833,19 @@ def f10_typed_edges(t):
 
 @query()
 def g5_synergy(t):
-    return G.synergy(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return G.synergy(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"])
+
+
+@query()
+def g3_interaction_effects(t):
+    return G.interaction_effects(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query()
+def g3_encoded_importances(t):
+    """Importances of numbers and of one-hot categories, summed by column."""
+    found = G.encoded_importances(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"])
+    return rounded(found.groupBy("column").agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("importance")), 4, "importance")
 
 
 @query("""WITH d AS (SELECT unnest([count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_name)]) AS d, count(*) AS n FROM part) SELECT round_even(avg((d >= 20)::INT), 4) AS high_share, coalesce(round_even(var_pop(d / n) FILTER (WHERE d >= 20), 4), 0) AS impact FROM d""")
@@ -824,9 +853,17 @@ def g7_high_cardinality(t):
     return G.high_cardinality(t.part, ["p_brand", "p_type", "p_name"])
 
 
+@query("""WITH d AS (SELECT unnest([count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_name)]) AS d FROM part)
+SELECT round_even(avg((d >= 20)::INT), 4) AS high_share, CASE WHEN count(*) FILTER (WHERE d >= 20) = 0 THEN 0.3 ELSE coalesce(round_even(least(1, 10.0 / sum(d) FILTER (WHERE d >= 20)), 4), 0) END AS impact FROM d""")
+def g7_high_cardinality_impact(t):
+    """Importances of a tree sum to 1, so that their mean is known: every value but the first, and missing cells, has an indicator."""
+    return G.high_cardinality_impact(t.part, "p_retailprice", ["p_brand", "p_type", "p_name"])
+
+
 @query()
 def g12_dataset_complexity(t):
-    return G.dataset_complexity(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"), "l_returnflag")
+    found = G.dataset_complexity(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"), "l_returnflag")
+    return found.select("dimensionality.*", "sparsity_patterns.*", "noise_level.*")
 
 
 @query("""SELECT o_orderkey AS version_id, o_custkey AS kernel_id, best_score, tags FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) o

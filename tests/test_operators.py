@@ -16,6 +16,7 @@ from lakeloom.operators import correlation as M
 from lakeloom.operators import distributions as D
 from lakeloom.operators import features as X
 from lakeloom.operators import missing as C
+from lakeloom.operators import models as G
 from lakeloom.operators import outliers as O
 from lakeloom.operators import pipelines as P
 from lakeloom.operators import ranking as V
@@ -243,6 +244,96 @@ def test_ranking(spark):
     assert [tuple(r) for r in V.plan_references(plan, "id", "text").collect()] == [(1, 1, "a", "b", "c")]
 
 
+def plain_tree(x, y, depth):
+    """Importances of a regression tree that tries every split, ties to the first column."""
+    gains = np.zeros(x.shape[1])
+
+    def grow(rows, left):
+        best = (1e-12, None, None)
+        whole = rows.sum() * y[rows].var()
+        for j in range(x.shape[1]):
+            for cut in np.unique(x[rows, j])[:-1]:
+                a, b = rows & (x[:, j] <= cut), rows & (x[:, j] > cut)
+                gain = whole - a.sum() * y[a].var() - b.sum() * y[b].var()
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, (a, b))
+        if left and best[1] is not None:
+            gains[best[1]] += best[0]
+            for part in best[2]:
+                grow(part, left - 1)
+
+    grow(np.ones(len(y), bool), depth)
+    return gains / gains.sum() if gains.sum() else gains
+
+
+def test_importances_of_indicators(spark):
+    rng = np.random.default_rng(5)
+    n = 240
+    c, d, x = rng.integers(0, 5, n), rng.integers(0, 3, n), rng.integers(0, 9, n).astype(float)
+    y = 7.0 * (c == 3) + 2.0 * (d == 2) + 0.3 * x + rng.random(n)
+    rows = [(None if i % 11 == 0 else float(x[i]), None if i % 13 == 0 else "abcde"[c[i]], "pqr"[d[i]], "same", None, float(y[i])) for i in range(n)] + [(1.0, "a", "p", "same", None, None)]
+    df = spark.createDataFrame(rows, "x double, `c.1` string, d string, one string, none string, y double")
+    known = [r[0] for r in rows[:n] if r[0] is not None]
+    wide = np.column_stack([[float(np.mean(known)) if r[0] is None else r[0] for r in rows[:n]], *[[r[1] == v for r in rows[:n]] for v in "bcde"], *[[r[2] == v for r in rows[:n]] for v in "qr"]]).astype(float)
+    got = G.encoded_importances(df, "y", ["x"], ["c.1", "d", "one", "none"], depth=4).collect()
+    assert [(r.column, r.feature) for r in got] == [("x", 0), *[("c.1", i) for i in range(4)], *[("d", i) for i in range(2)]]
+    assert np.allclose([r.importance for r in got], plain_tree(wide, y, 4), atol=1e-9)
+    clash = df.withColumnsRenamed({"x": "label", "c.1": "m0", "d": "features"})
+    assert [r.importance for r in G.encoded_importances(clash, "y", ["label"], ["m0", "features"], depth=4).collect()] == [r.importance for r in got]
+    assert G.encoded_importances(df.limit(0), "y", ["x"], ["d"]).count() == 0 and G.encoded_importances(df, "y", [], ["one"]).count() == 0
+    classes = df.withColumn("t", F.when(F.col("d") == "r", "yes").otherwise("no"))
+    assert {r.column: r.importance for r in G.encoded_importances(classes, "t", ["x"], ["d"]).groupBy("column").agg(F.sum("importance").alias("importance")).collect()} == {"x": 0.0, "d": 1.0}
+    assert G.synergy(df.limit(19), "y", ["x"], ["d"]).first()[0] == 0.3 and 0 <= G.synergy(df, "y", ["x"], ["d"]).first()[0] < 1
+    texts = df.withColumn("t", F.concat(F.col("x").cast("string"), "d", F.col("`c.1`")))
+    assert G.synergy(texts, "t", ["x"], ["d"]).first()[0] == 0.3  # a text of many values is no target
+
+
+def test_interaction_effects(spark):
+    rows = [(float(i // 2), float(i % 2), i + r / 100) for r in range(5) for i in range(4)]  # over ten values, so no classes
+    even = spark.createDataFrame(rows, "a double, b double, y double")
+    low = plain_tree(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]), 5).min()
+    assert G.interaction_effects(even, "y", ["a", "b"]).first()[0] == pytest.approx(1 - ((0.5 - low) / 2) / 0.5, abs=2e-4)
+    assert G.interaction_effects(even, "y", ["a"]).first()[0] == 0.0
+
+
+def test_high_cardinality_impact(spark):
+    df = spark.range(200).select((F.col("id") % 40).cast("string").alias("wide"), (F.col("id") % 3).cast("string").alias("narrow"), F.col("id").cast("double").alias("y"), F.lit(1).alias("same"), F.col("id").cast("string").alias("t"))
+    assert tuple(G.high_cardinality_impact(df, "y", ["wide", "narrow"]).first()) == (0.5, 0.25)
+    assert tuple(G.high_cardinality_impact(df, "same", ["wide"]).first()) == (1.0, 0.0)
+    assert tuple(G.high_cardinality_impact(df, "t", ["wide"]).first()) == (1.0, 0.3)
+    assert tuple(G.high_cardinality_impact(df, "y", ["narrow"]).first()) == (0.0, 0.3)
+    assert tuple(G.high_cardinality_impact(df, "y", []).first()) == (0.0, 0.0)
+    assert tuple(G.high_cardinality_impact(df.limit(0), "y", ["wide"]).first()) == (0.0, 0.3)
+
+
+def test_regression_f_with_gaps(spark):
+    rows = [(None, 1.0), (1.0, 2.0), (2.0, 2.5), (3.0, 4.5), (5.0, 4.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    x, y = np.array([2.75, 1, 2, 3, 5]), np.array([r[1] for r in rows])
+    r = np.corrcoef(x, y)[0, 1]
+    assert G.regression_f(df, "y", ["x"]).first().score == pytest.approx(r * r / (1 - r * r) * 3)
+    gaps = df.union(spark.createDataFrame([(9.0, None)], "x double, y double")).withColumn("same", F.lit(1.0))
+    got = {s.column: s.score for s in G.regression_f(gaps, "y", ["x", "same"]).collect()}
+    assert got == {"x": pytest.approx(abs(np.corrcoef(x[1:], y[1:])[0, 1])), "same": 0.0}
+
+
+def test_series_diversity_and_counts(spark):
+    wave = spark.range(120).select(F.timestamp_seconds("id").alias("at"), F.sin(F.col("id") * math.pi / 5).alias("a"), (F.col("id") % 7).alias("b"), F.lit("x").alias("s"))
+    got = Z.time_series_properties(wave).first()
+    each = [(Z.stationarity(wave, "at", c, "at").first()[0], Z.periodicity(wave, "at", c, "at").first()[0]) for c in "ab"]
+    assert got.is_time_series and (got.stationarity_strength, got.periodicity_strength) == pytest.approx(tuple(np.mean(each, axis=0)), abs=1e-4)
+    assert tuple(Z.time_series_properties(wave.select("a")).first()) == (False, 0.0, 0.0) == tuple(Z.time_series_properties(wave, "nothing").first())
+    assert tuple(Z.time_series_properties(wave.select("at", "s")).first()) == (True, 0.0, 0.0)
+    few = spark.createDataFrame([(i, "a", None if i else "z") for i in range(6)], "id int, same string, none string")
+    assert D.uncertainty(few).first()[0] == D.uncertainty(few, "gone").first()[0] == 0.5833
+    assert D.uncertainty(few.limit(0)).first()[0] == 0.1 and D.uncertainty(few.limit(2)).first()[0] == 0.5
+    empty = G.dataset_complexity(few.limit(0), "same").first()
+    assert (empty.noise_level.signal_to_noise, empty.noise_level.uncertainty, empty.dimensionality.samples_per_feature) == (2.5, 0.1, 0.0)
+    columns = spark.createDataFrame([("a/t/x", "a/t", "a"), ("a/t/y", "a/t", "a"), ("b/u/x", "b/u", "b")], "column_id string, table_id string, dataset_id string")
+    pipelines = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, None)], "pipeline_id int, dataset_id string")
+    assert tuple(K.graph_info(columns, pipelines).first()) == (2, 2, 2, 3) and tuple(K.graph_info(columns.limit(0), pipelines).first()) == (0, 0, 0, 0)
+
+
 def test_tool_states(spark):
     """Empty insights, nulls, tools without paths, paths twice and inner objects."""
     values = [(1, "q.gaps.rate", "0.5"), (1, "q.gaps.kind", "unknown"), (1, "q.odd", "unknown"), (1, "deep.a.b", "unknown"), (1, "flat.x", None), (1, "none", None), (2, "q.odd", "3"), (None, "q.odd", "3")]
