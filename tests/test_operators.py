@@ -654,3 +654,14 @@ def test_a_database_is_read_in_ranges(spark):
     got = S.read_database(spark, url, "numbers", key="ID", partitions=4, where="ID < 50", options=options)
     assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(50)]
     assert S.read_database(spark, url, "numbers", columns=["TWICE"], options=options).count() == 100
+
+
+def test_candidates_of_one_group_are_many_tasks(spark):
+    cases = spark.createDataFrame([(i, "p" if i < 60 else None, i % 2) for i in range(64)], "case_id long, problem_type string, data_type int")
+    met = V.candidate_cases(cases, block=4, keep=("data_type",))
+    assert sorted((r.case_id, r.candidate_id) for r in met.collect()) == sorted((a, b) for a in range(60) for b in range(60) if a != b and a % 2 == b % 2)
+    one = cases.select("case_id", F.lit("p").alias("problem_type"), F.lit("d").alias("data_type"))
+    assert V.candidate_cases(one, block=4).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert V.candidate_cases(cases.where("case_id = 1")).count() == 0 and V.candidate_cases(cases.limit(0)).count() == 0
+    asked = V.candidate_cases(cases.where("case_id = 2"), cases, ("data_type",)).collect()
+    assert sorted(r.candidate_id for r in asked) == [0, *range(4, 60, 2)] and {r.other_data_type for r in asked} == {0}
