@@ -665,3 +665,28 @@ def test_candidates_of_one_group_are_many_tasks(spark):
     assert V.candidate_cases(cases.where("case_id = 1")).count() == 0 and V.candidate_cases(cases.limit(0)).count() == 0
     asked = V.candidate_cases(cases.where("case_id = 2"), cases, ("data_type",)).collect()
     assert sorted(r.candidate_id for r in asked) == [0, *range(4, 60, 2)] and {r.other_data_type for r in asked} == {0}
+
+
+def test_modules_of_candidates_equal_modules_of_pairs(spark):
+    """A score for each pair of rows, without a shuffle of pairs; weights of fields that one case lacks don't count."""
+    pick = random.Random(3)
+    values = {"n": ["1", "2.5", "x", "unknown", None], "s": ["A", "a", "b", "unknown"], "v": ['{"a": 1, "b": 2}', '{"b": 3}', "[1, 2]", "[0, 1]", "{", None], "m": ["MAR", "MCAR", "OTHER"], "d": ["uniform", "balanced", "normal"]}
+    kinds = {"n": ("float", 0.7), "s": ("string", 0.3), "v": ("vector", 0.5), "m": ("missing_pattern", 0.2), "d": ("distribution", 0.4)}
+    rows = [(i, "p", "d", "k", {f: pick.choice(v) for f, v in values.items() if pick.random() < 0.6}) for i in range(40)]
+    cases = spark.createDataFrame(rows, "case_id long, problem_type string, data_type string, module string, fields map<string,string>")
+    fields = spark.createDataFrame([(i, m, f, kinds[f][0], v) for i, _, _, m, held in rows for f, v in held.items()], "case_id long, module string, field string, kind string, value string")
+    weights = spark.createDataFrame([(f, w) for f, (_, w) in kinds.items()], "field string, weight double")
+    got = V.candidate_modules(cases, kinds)
+    want = {(r.case_id, r.candidate_id): r.score for r in V.module_similarity(fields, V.candidate_cases(cases), weights).collect()}
+    found = {(r.case_id, r.candidate_id): r.score for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == want[k] or abs(found[k] - want[k]) < 0.0011 for k in want)
+    twice = V.candidate_modules(cases.where("case_id < 2").union(cases.where("case_id = 0")), {"s": ("string", 1.0)})
+    assert twice.count() == 2 * 2 * ("s" in rows[0][4] and "s" in rows[1][4])
+
+
+def test_even_rounds_as_bround(spark):
+    from lakeloom.functions.columns import even
+
+    xs = [*[i / 10_000 for i in range(-40, 41)], 0.0125, 1e9 + 0.0005, 123456.7885, float("nan"), None, 1 / 3, -0.00001]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(even(F.col("x"), 3).alias("a"), F.bround("x", 3).alias("b"))
+    assert [repr(r.a) for r in df.collect()] == [repr(r.b) for r in df.collect()]
