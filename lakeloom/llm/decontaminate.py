@@ -7,7 +7,7 @@ at most. Each of those is a pair that item and passage share, and each begins at
 m - 1 words that a pair begins at, so any m - ceil(least m) + HITS of them include HITS such words: no choice loses a pair
 of document and item, and the rarest ones make the least work.
 
-1. The pairs of the items are counted over a share of the documents; this only orders them by rarity.
+1. The pairs of the items are counted over all documents; this only orders them by rarity.
 2. The pairs at each item's rarest words are its seeds.
 3. Where a document holds enough of them near each other is a passage; passages and items are joined on the seeds.
 4. Each item is aligned word by word with the passages where it has HITS words or more; the score is the share of the best
@@ -35,7 +35,6 @@ from ._text import mix, randoms, shingles, word_hashes
 _U = np.uint64
 LEAST_WORDS = 4
 HITS = 3
-COUNTED = 8
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -116,6 +115,27 @@ def _whole_copies(docs: DataFrame, short: DataFrame, id_col: str, text_col: str,
     return docs.select(id_col, text_col).mapInArrow(runs, f"doc long, `{id_col}` {kind}, size int, whole long").join(short, ["size", "whole"])
 
 
+def pair_counts(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, n_found) of how often each pair of grams(gram) occurs in all texts; pairs that occur in none have no row,
+    and the filter lets a few others through."""
+    all_bloom = docs.sparkSession.sparkContext.broadcast(bloom(grams))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            for _, texts in pieces(batch, 0):
+                hashes = close_pairs(*word_hashes(texts))[0]
+                hit = in_bloom(hashes, *all_bloom.value)
+                for g, n in zip(*(x.tolist() for x in np.unique(hashes[hit], return_counts=True)), strict=True):
+                    total[g] = total.get(g, 0) + n
+                if len(total) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), _U).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+                    total.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), _U).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+
+    return docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_found"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents with a copy of a test item, exact or edited: (id, item, score), score >= least.
 
@@ -150,23 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col
     longest, fewest = items.where(F.col("size") >= LEAST_WORDS).agg(F.max("size"), F.min("hits")).first()
     reach, fewest = span(longest or 0), fewest or 1
     grams = items.select("item", "size", "steps", "hits", F.posexplode("grams").alias("at", "gram")).withColumn("at", F.col("at") % (F.col("size") - 1))
-    all_bloom = sc.broadcast(bloom(grams))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for _, texts in pieces(batch, 0):
-                hashes = close_pairs(*word_hashes(texts))[0]
-                hit = in_bloom(hashes, *all_bloom.value)
-                for g, n in zip(*(x.tolist() for x in np.unique(hashes[hit], return_counts=True)), strict=True):
-                    total[g] = total.get(g, 0) + n
-                if len(total) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), _U).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-                    total.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), _U).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
-
-    some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(COUNTED)) == 0)
-    spread = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_found"))
+    spread = pair_counts(docs, grams, text_col)
     rarity = grams.join(spread, "gram", "left").groupBy("item", "at").agg(F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"))
     place = F.row_number().over(Window.partitionBy("item").orderBy("n_found", "at"))
     starts = rarity.withColumn("place", place)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,8 @@ import pytest
 
 from lakeloom.llm import jaccard_join as J
 from lakeloom.llm.components import connected_components
-from lakeloom.llm.decontaminate import align, find_leaks
+from lakeloom.llm.decontaminate import align, close_pairs, find_leaks, pair_counts
+from lakeloom.llm._text import word_hashes
 from lakeloom.llm.jaccard_join import COORDINATES, RUNS, candidate_edges, gram_sets, jaccard_join
 from lakeloom.llm.mixing import fly, mix_sources
 from lakeloom.llm.topk import top_k_products
@@ -212,6 +214,15 @@ def test_leaks_equal_plain_alignment_at_all_edit_rates(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in found} == want
 
 
+def test_pairs_are_counted_in_all_texts(spark):
+    words = [[f"w{i % 5}", "of", f"x{i % 3}", f"w{i % 5}", "of"] for i in range(60)]
+    texts = spark.createDataFrame([*[(" ".join(w),) for w in words], (None,), ("",)], "text string")
+    want = Counter(p for w in words for far in (1, 2) for p in zip(w, w[far:], strict=False))
+    of = {p: int(close_pairs(*word_hashes([" ".join(p)]))[0].view(np.int64)[0]) for p in want}
+    found = {r.gram: r.n_found for r in pair_counts(texts, spark.createDataFrame([(h,) for h in of.values()], "gram long")).collect()}
+    assert {p: found[h] for p, h in of.items()} == want
+
+
 def test_leaks_of_items_of_a_few_words(spark):
     items = [(1, "Solo"), (2, "two words"), (3, "Three short words!"), (4, "..."), (4, None), (3, "three short words")]
     docs = [(1, "so the solo, it plays"), (2, "words two"), (3, "these are two\nwords"), (4, "of three short words"), (5, "three shorter words"), (None, "solo solo"), (None, None), (6, ""), (7, "solo " * 20_000)]
