@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.columns import column_table, name, numeric_columns, rounded, value
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranks import numbered
+from ..sources.shared import cut
 
 # Cells that count as missing in the repair tool.
 NA_TOKENS = ["none", "n/a", "na", "NaN", "nan", "missing", "?", "", " "]
@@ -272,46 +273,57 @@ def impute_nearest(df: DataFrame, columns: list[str], key: str, k: int = 5, rows
     """Missing numbers get the mean of the k nearest of all rows that know them, ties to the smaller key. Distance: over the
     columns known in both rows, scaled up for the others; a cell stays missing where no row has one. Keys tell rows apart.
 
-    Rows with gaps and donors are dealt in blocks of about `rows` rows; each pair of blocks is a task that keeps k donors
-    for each gap, and these are ranked again. The work is the number of gaps times that of donors, as the definition has it.
+    Rows with equal cells have equal fills, and a donor's own cell in the missing column is no part of the distance. So equal rows with gaps
+    are one, and of donors of a column that are equal in the others only the k with the smallest keys can be among the nearest:
+    exact, and the work is the number of different gaps times that of different donors. Both are dealt in blocks of about `rows`;
+    each pair of blocks is a task that keeps k donors for each gap, and these are ranked again.
     """
-    cells = df.select(F.col(key).alias("_key"), F.array(*[number_or_null(df, c) for c in columns]).alias("_x"))
+    x = F.array(*[number_or_null(df, c) for c in columns])
+    cells = df.select(F.col(key).alias("_key"), x.alias("_x"))
     gap, knows = F.exists("_x", lambda v: v.isNull()), F.exists("_x", lambda v: v.isNotNull())
-    sizes = cells.agg(F.count_if(gap & knows).alias("gaps"), F.count_if(knows).alias("donors")).first()
-    n_gaps, n_donors = (max(1, -(-n // rows)) for n in sizes)
-    block = lambda n: F.pmod(F.xxhash64("_key", "_x"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = cells.where(gap & knows).select("_key", "_x", block(n_gaps).alias("_g"), every(n_donors).alias("_d"))
-    donors = cells.where(knows).select("_key", "_x", every(n_gaps).alias("_g"), block(n_donors).alias("_d"))
-    of_key = df.schema[key].dataType
-    fields = [("_key", of_key), ("_at", T.IntegerType()), ("_donor", of_key), ("_distance", T.DoubleType()), ("_value", T.DoubleType())]
+    places = lambda known: F.filter(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.get("_x", i).isNotNull() == known)
+    gaps = cut(cells.where(gap & knows).select("_x").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    asked = gaps.select("_id", "_x", F.explode(places(False)).alias("_at"))
+    count = lambda side: {r["_at"]: r["count"] for r in side.groupBy("_at").count().collect()}  # noqa: E731  a row for each column
+    n_gaps = count(asked)
+    known = cells.where(knows).select("_key", "_x", F.explode(places(True)).alias("_at")).where(F.col("_at").isin(*n_gaps))
+    others = known.select("_at", "_key", F.get("_x", F.col("_at")).alias("_value"), F.transform("_x", lambda v, i: F.when(i != F.col("_at"), v)).alias("_x"))
+    first = F.row_number().over(Window.partitionBy("_at", "_x").orderBy("_key", "_value"))
+    donors = cut(others.where(knows).withColumn("_n", first).where(F.col("_n") <= k).drop("_n"))
+
+    def dealt(sizes, *by):
+        n = F.get(F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // rows))) for i in range(len(columns))]), F.col("_at"))
+        return F.pmod(F.xxhash64(*by), n).cast("int"), F.explode(F.sequence(F.lit(0), n - 1))
+
+    (gap_block, every_gap), (donor_block, every_donor) = dealt(n_gaps, "_id"), dealt(count(donors), "_key", "_x")
+    asked = asked.select("_id", "_at", "_x", gap_block.alias("_g"), every_donor.alias("_d"))
+    dealers = donors.select("_key", "_at", "_x", "_value", every_gap.alias("_g"), donor_block.alias("_d"))
+    fields = [("_id", T.LongType()), ("_at", T.IntegerType()), ("_donor", df.schema[key].dataType), ("_distance", T.DoubleType()), ("_value", T.DoubleType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({n: [] for n, _ in fields})]
-        if len(left) and len(right):
-            right = right.sort_values("_key", kind="stable")
-            a, b = (np.array([list(v) for v in side["_x"]], dtype=float) for side in (left, right))
-            squares, used = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-            for j in range(a.shape[1]):
-                step = a[:, j, None] - b[None, :, j]
-                met = ~np.isnan(step)
-                squares += np.where(met, step * step, 0.0)
-                used += met
-            distance = np.where(used > 0, squares * (a.shape[1] / np.maximum(used, 1)), np.inf)
-            for j in range(a.shape[1]):
-                mine, pool = np.flatnonzero(np.isnan(a[:, j])), np.flatnonzero(~np.isnan(b[:, j]))
-                near = np.argsort(distance[np.ix_(mine, pool)], axis=1, kind="stable")[:, :k]
-                at, to = np.repeat(mine, near.shape[1]), pool[near.ravel()]
-                here = pd.DataFrame({"_key": left["_key"].to_numpy()[at], "_at": j, "_donor": right["_key"].to_numpy()[to], "_distance": distance[at, to], "_value": b[to, j]})
-                found.append(here[np.isfinite(here["_distance"])])
-        return pd.concat([f for f in found if len(f)] or found)
-
-    near = asked.groupBy("_g", "_d").cogroup(donors.groupBy("_g", "_d")).applyInPandas(best, schema)
-    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_at").orderBy("_distance", "_donor"))).where(F.col("_n") <= k)
-    fills = ranked.groupBy("_key").agg(*[F.avg(F.when(F.col("_at") == i, F.col("_value"))).alias(f"_fill{i}") for i in range(len(columns))])
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n, _ in fields})
+        right = right.sort_values("_key", kind="stable")
+        a, b = (np.array([list(v) for v in side["_x"]], dtype=float) for side in (left, right))
+        squares, used = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            step = a[:, j, None] - b[None, :, j]
+            met = ~np.isnan(step)
+            squares += np.where(met, step * step, 0.0)
+            used += met
+        distance = np.where(used > 0, squares * (a.shape[1] / np.maximum(used, 1)), np.inf)
+        near = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        at, to = np.repeat(np.arange(len(a)), near.shape[1]), near.ravel()
+        found = pd.DataFrame({"_id": left["_id"].to_numpy()[at], "_at": left["_at"].to_numpy()[at], "_donor": right["_key"].to_numpy()[to], "_distance": distance[at, to], "_value": right["_value"].to_numpy()[to]})
+        return found[np.isfinite(found["_distance"])]
+
+    near = asked.groupBy("_at", "_g", "_d").cogroup(dealers.groupBy("_at", "_g", "_d")).applyInPandas(best, schema)
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_at").orderBy("_distance", "_donor"))).where(F.col("_n") <= k)
+    fills = ranked.groupBy("_id").agg(*[F.avg(F.when(F.col("_at") == i, F.col("_value"))).alias(f"_fill{i}") for i in range(len(columns))])
     at = {c: i for i, c in enumerate(columns)}
-    return df.join(fills, F.col(key) == F.col("_key"), "left").select(*[F.coalesce(number_or_null(df, c), F.col(f"_fill{at[c]}")).alias(c) if c in at else name(c) for c in df.columns])
+    filled = df.withColumn("_x", x).join(gaps.join(fills, "_id"), "_x", "left")
+    return filled.select(*[F.coalesce(number_or_null(df, c), F.col(f"_fill{at[c]}")).alias(c) if c in at else name(c) for c in df.columns])
 
 
 def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3, ridge: float = 1e-3) -> DataFrame:

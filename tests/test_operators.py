@@ -690,3 +690,19 @@ def test_even_rounds_as_bround(spark):
     xs = [*[i / 10_000 for i in range(-40, 41)], 0.0125, 1e9 + 0.0005, 123456.7885, float("nan"), None, 1 / 3, -0.00001]
     df = spark.createDataFrame([(x,) for x in xs], "x double").select(even(F.col("x"), 3).alias("a"), F.bround("x", 3).alias("b"))
     assert [repr(r.a) for r in df.collect()] == [repr(r.b) for r in df.collect()]
+
+
+def test_impute_nearest_compares_different_rows_only(spark, monkeypatch):
+    """Rows of a few values: fills equal those of all rows, and the donors that are dealt are k for each of the others' values."""
+    pick = random.Random(8)
+    rows = [(i, pick.choice([0.0, 1.0, 2.0, None]), pick.random() if i % 7 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    kept = []
+    monkeypatch.setattr(C, "cut", lambda d: (kept.append(d.count()), d.localCheckpoint())[1], raising=False)
+    got = {r.id: r.b for r in C.impute_nearest(df, ["a", "b"], "id", k=3).collect() if rows[r.id][2] is None}
+    for i, a, _ in (r for r in rows if r[2] is None):
+        near = sorted(((a - x) ** 2, j, y) for j, x, y in rows if a is not None and x is not None and y is not None)[:3]
+        assert got[i] == (pytest.approx(sum(y for *_, y in near) / 3) if near else None)
+    n_gaps, n_donors = kept
+    assert n_gaps == 3 + sum(r[1] is None and r[2] is not None for r in rows)
+    assert n_donors == 3 * 3 + sum(r[1] is not None and r[2] is not None for r in rows)
