@@ -129,12 +129,13 @@ def interpolate(df: DataFrame, columns: list[str], order: str, partition: list[s
     if partition:
         out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*partition).orderBy(order)))
     else:
-        rows = numbered(df, [order], "_n").withColumn("_run", F.expr(f"_n div {run}"))
+        rows = numbered(df, [order], "_n").withColumn("_run", F.expr(f"int(_n div {run})"))
         ends = rows.groupBy("_run").agg(*[e for i, c in enumerate(columns) for e in (F.max(known[c]).alias(f"_last{i}"), F.min(known[c]).alias(f"_first{i}"))])
         over_runs = Window.orderBy("_run")  # a row for each run
         earlier, later = over_runs.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select("_run", *[e for i in range(len(columns)) for e in (F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}"), F.last(f"_first{i}", True).over(later).alias(f"_after{i}"))])
-        out = rows.join(carried, "_run")
+        carried = cut(ends.select("_run", *[e for i in range(len(columns)) for e in (F.last(f"_last{i}", True).over(earlier).alias(f"_before{i}"), F.last(f"_first{i}", True).over(later).alias(f"_after{i}"))]))
+        # a task for each run: by their packed size, many runs of like rows would be one task, which holds and sorts them all
+        out = rows.join(carried, "_run").repartitionById(max(1, carried.count()), F.col("_run"))
     whole = Window.partitionBy(*(partition or ["_run"]))
     # from the end backward: a frame that is open at its end would be gone through anew for each row
     back, ahead = (whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in ("_n", F.col("_n").desc()))

@@ -706,3 +706,13 @@ def test_impute_nearest_compares_different_rows_only(spark, monkeypatch):
     n_gaps, n_donors = kept
     assert n_gaps == 3 + sum(r[1] is None and r[2] is not None for r in rows)
     assert n_donors == 3 * 3 + sum(r[1] is not None and r[2] is not None for r in rows)
+
+
+def test_interpolation_holds_one_run_in_a_task(spark):
+    df = spark.createDataFrame([(i, float(i) if i % 9 == 0 else None) for i in range(400)], "n int, x double")
+    out = C.interpolate(df, ["x"], "n", run=10).select("n", "x", F.spark_partition_id().alias("p")).collect()
+    assert {r.n: r.x for r in out} == {i: pytest.approx(float(min(i, 396))) for i in range(400)}
+    tasks = {}
+    for r in out:
+        tasks.setdefault(r.p, []).append(r.n)
+    assert sorted(map(sorted, tasks.values())) == [[*range(i, i + 10)] for i in range(0, 400, 10)]
