@@ -716,3 +716,24 @@ def test_interpolation_holds_one_run_in_a_task(spark):
     for r in out:
         tasks.setdefault(r.p, []).append(r.n)
     assert sorted(map(sorted, tasks.values())) == [[*range(i, i + 10)] for i in range(0, 400, 10)]
+
+
+def test_column_matches_take_norms_from_columns(spark):
+    """Cosines with norms found once a column are those without; scores equal plain ones."""
+    rng = np.random.default_rng(5)
+    rows = [(i // 4, i // 2, i, "int" if i % 2 else "float", rng.normal(size=3).tolist(), rng.normal(size=5).tolist()) for i in range(16)]
+    rows.append((4, 8, 16, "int", [0.0] * 3, rng.normal(size=5).tolist()))
+    columns = spark.createDataFrame(rows, "case_id long, table_id long, column_id long, data_type string, label array<double>, content array<double>")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if a != b], "case_id long, candidate_id long")
+    cos = lambda x, y: max(0.0, round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 3)) if any(x) and any(y) else 0.0
+    want = {}
+    for a in rows:
+        for b in (b for b in rows if b[0] != a[0]):
+            key = (a[0], b[0], a[1], b[1], a[2])
+            want[key] = max(want.get(key, 0.0), 0.4 * cos(a[4], b[4]) + 0.6 * cos(a[5], b[5]))
+    got = {(r.case_id, r.candidate_id, r.table_id, r.other_table_id, r.column_id): r.score for r in V.column_matches(pairs, columns).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.00051 for k in want)
+    from lakeloom.operators.pipelines import cosine, dot
+
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    assert columns.where(~cosine(F.col("label"), F.col("label"), norm("label"), norm("label")).eqNullSafe(cosine(F.col("label"), F.col("label")))).count() == 0
