@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import name, value
 from ..functions.labels import make_label, path_id
-from ..functions.metric import near_pairs
+from ..functions.metric import near_pairs, top_pairs
 from ..functions.quantiles import exact_quantiles
 from ..sources.shared import cut
 from .pipelines import cosine
@@ -460,16 +460,26 @@ def recommend_joint_charts(mains: DataFrame, operations: DataFrame, columns: Dat
     columns, by id, takes the nearest column of its type that isn't used yet; fewer than three columns make no chart, but
     charts over the whole table need none. Names come in order.
 
-    Nearest columns are ranked once for each table and partner, over that table's columns of one type.
+    Nearest columns are ranked once for each table and partner, over that table's columns of one type, in blocks, as `top_pairs`;
+    cosines are compared at twelve decimals. Of the ranking only as many names are kept as the columns of an operation can use up.
+    Vectors of another length, or with cells that are missing or not finite, aren't near.
     """
     drawn = operations.select("eda_id", "column_id", "analysis_type", "chart_type").distinct()
     asked = mains.join(drawn.withColumnRenamed("column_id", "similar_id"), "similar_id")
     several = asked.where(F.col("analysis_type").isin("bivariate", "multivariate"))
     other = drawn.select("eda_id", "analysis_type", "chart_type", F.col("column_id").alias("partner_id"))
     met = cut(several.join(other, ["eda_id", "analysis_type", "chart_type"], "left").where("partner_id <> similar_id"))
-    wanted = met.select("query_table", "partner_id").distinct().join(columns.select(F.col("column_id").alias("partner_id"), "data_type", F.col("vector").alias("v")), "partner_id")
-    near = wanted.join(own, ["query_table", "data_type"]).select("query_table", "partner_id", F.struct((-cosine(F.col("v"), F.col("vector"))).alias("d"), F.col("name").alias("name")).alias("n"))
-    ranked = near.where("n.d IS NOT NULL").groupBy("query_table", "partner_id").agg(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["name"]).alias("names"))  # columns of one table
+    wanted = cut(met.select("query_table", "partner_id").distinct().join(columns.select(F.col("column_id").alias("partner_id"), "data_type", F.col("vector").alias("v")), "partner_id"))
+    named = cut(own.where("name IS NOT NULL").select("query_table", "data_type", "name", "vector").distinct())
+    # an operation's main column and its partners before one use up as many names as the operation has columns, at most
+    used = met.groupBy("query_table", "main_column", "eda_id", "analysis_type", "chart_type").count().agg(F.max("count")).first()[0] or 0
+    again = lambda df, *k: df.groupBy(*k).count().agg(F.max("count")).first()[0] or 1  # noqa: E731  # rows of one id
+    most = (used + 1) * again(named, "query_table", "name") * again(wanted, "query_table", "partner_id")
+    group = lambda v: F.struct("query_table", "data_type", F.size(v).alias("size")).alias("group")
+    whole_only = lambda df: df.where("query_table IS NOT NULL AND data_type IS NOT NULL AND forall(vector, x -> abs(x) < double('Infinity'))")
+    asked_of = whole_only(wanted.withColumnRenamed("v", "vector")).select(F.struct("query_table", "partner_id").alias("query_id"), group("vector"), "vector")
+    near = top_pairs(asked_of, whole_only(named).select(F.col("name").alias("id"), group("vector"), "vector"), most)
+    ranked = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda n: n["id"]).alias("names")).select("query_id.*", "names")  # `most` names
     keys = ["query_table", "main_column", "eda_id"]
     placed = met.join(ranked, ["query_table", "partner_id"], "left")
     first = F.get(F.filter("names", lambda n: n != F.col("main_column")), F.lit(0))

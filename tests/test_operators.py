@@ -618,6 +618,20 @@ def test_joint_charts_take_each_column_once(spark):
     assert {(r.query_table, r.eda_id, tuple(r.chart_columns)) for r in got.collect()} == {("t", "two", ("a", "b")), ("t", "many", ("a", "b", "c", "d")), ("t", "all", ()), ("u", "all", ())}
 
 
+def test_joint_charts_rank_only_what_can_be_used(spark, monkeypatch):
+    """Names stand in several rows; three partners and the main column use up three names before the last one is taken, so four do."""
+    kept = []
+    monkeypatch.setattr(K, "top_pairs", lambda q, r, k: kept.append(k) or top_pairs(q, r, k))
+    own = [("t", f"c{i}", "n", [1.0, i / 10]) for i in range(8)] + [("t", "c0", "n", [1.0, 0.0])] * 3 + [("t", "z", "n", [0.0, 0.0]), ("t", None, "n", [1.0, 0.0]), ("t", "a", "n", [1.0]), ("t", "b", "n", [1.0, None])]
+    got = K.recommend_joint_charts(
+        spark.createDataFrame([("t", "c1", 1)], "query_table string, main_column string, similar_id int"),
+        spark.createDataFrame([("many", i, "multivariate", "line") for i in (1, 2, 3, 4)], "eda_id string, column_id int, analysis_type string, chart_type string"),
+        spark.createDataFrame([(i, "n", [1.0, 0.0]) for i in (1, 2, 3, 4)], "column_id int, data_type string, vector array<double>"),
+        spark.createDataFrame(own, "query_table string, name string, data_type string, vector array<double>"),
+    )
+    assert [r.chart_columns for r in got.collect()] == [["c0", "c1", "c2", "c3"]] and kept == [4]
+
+
 def test_cells_along_a_row(spark):
     numbers = spark.createDataFrame([(1, None, 2.0, None, 8.0, None), (2, None, None, None, None, None), (3, 4.0, None, None, 1.0, 0.0)], "n int, a double, b double, c double, d double, e double")
     assert [tuple(r)[1:] for r in C.interpolate_rows(numbers, list("abcde")).orderBy("n").collect()] == [(None, 2.0, 5.0, 8.0, 8.0), (None,) * 5, (4.0, 3.0, 2.0, 1.0, 0.0)]
