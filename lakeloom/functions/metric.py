@@ -96,13 +96,25 @@ def near_pairs(vectors: DataFrame, radius: float, pivots: int = PIVOTS, home: in
     return once.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), F.col("d").alias("distance"))
 
 
+def best_rows(x: np.ndarray, y: np.ndarray, k: int, strip: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x, the places and products (at twelve decimals) of the k rows of y with the largest products, best first, ties to
+    the smaller place. A strip of x is multiplied at once, so that only `strip` x len(y) products are held."""
+    k = min(k, len(y))
+    order, score = np.zeros((len(x), k), np.int64), np.zeros((len(x), k))
+    for i in range(0, len(x) if k else 0, strip):
+        own = np.round(x[i : i + strip] @ y.T, 12)
+        order[i : i + strip] = np.argsort(-own, axis=1, kind="stable")[:, :k]
+        score[i : i + strip] = np.take_along_axis(own, order[i : i + strip], axis=1)
+    return order, score
+
+
 def top_pairs(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, id, score, place) of the k rows with the largest cosine to each query, of the query's own group; ties, at twelve
     decimals, to the smaller id. queries: (query_id, group, vector); rows: (id, group, vector), all vectors of one length; vectors
     without a length are in no pair.
 
     Every query is scored against every row of its group, so the work is their product; both are dealt in blocks, and each pair of
-    blocks is a task with one matrix product that keeps k rows for each query. So a group of any size is many tasks, and only k rows for
+    blocks is a task that multiplies strips of queries and keeps k rows for each query. So a group of any size is many tasks, and only k rows for
     each query and block are shuffled again.
     """
     kind, of = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
@@ -122,10 +134,9 @@ def top_pairs(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) ->
         a, b = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         names = table["id"].combine_chunks()
         b = b[pc.sort_indices(names.take(pa.array(b))).to_numpy()] if len(b) else b  # so that a stable sort breaks ties by id
-        score = np.round(x[a] @ x[b].T, 12) if len(a) and len(b) else np.zeros((len(a), 0))
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        order, score = best_rows(x[a], x[b], k)
         i = np.repeat(a, order.shape[1])
-        return pa.table({"query_id": table["query_id"].combine_chunks().take(pa.array(i)), "id": names.take(pa.array(b[order.ravel()])), "score": pa.array(np.take_along_axis(score, order, axis=1).ravel())})
+        return pa.table({"query_id": table["query_id"].combine_chunks().take(pa.array(i)), "id": names.take(pa.array(b[order.ravel()])), "score": pa.array(score.ravel())})
 
     found = left.union(right).groupBy("group", "q", "r").applyInArrow(best, f"query_id {kind}, id {of}, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))

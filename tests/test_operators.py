@@ -2,13 +2,14 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import labels as L
-from lakeloom.functions.metric import near_pairs, top_pairs
+from lakeloom.functions.metric import best_rows, near_pairs, top_pairs
 from lakeloom.functions.quantiles import exact_quantiles
 from lakeloom.operators import assertions as A
 from lakeloom.operators import catalog as K
@@ -648,6 +649,18 @@ def test_paths_meet_in_the_middle(spark):
     assert K.join_paths(edges, columns, "a", "b", 1).count() == 2 and K.join_paths(edges, columns, "a", "d", 1).count() == 0
 
 
+def test_best_rows_hold_a_strip_of_products():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(1500, 4)), rng.integers(0, 3, size=(1500, 4)).astype(float)
+    tracemalloc.start()
+    order, score = best_rows(x, y, 3)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.round(x @ y.T, 12)
+    assert (order == np.argsort(-whole, axis=1, kind="stable")[:, :3]).all() and (score == np.take_along_axis(whole, order, axis=1)).all()
+    assert held < whole.nbytes / 2 and best_rows(x, y[:0], 3)[0].shape == (1500, 0)
+
+
 def test_top_pairs_in_blocks(spark):
     rng = np.random.default_rng(9)
     rows = [(i, f"g{i % 2}", rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, "g0", [1.0, 1.0, 0.0, 0.0]) for i in range(5)] + [(200, "g0", [0.0] * 4), (201, "g0", None)]
