@@ -307,6 +307,14 @@ def test_high_cardinality_impact(spark):
     assert tuple(G.high_cardinality_impact(df.limit(0), "y", ["wide"]).first()) == (0.0, 0.3)
 
 
+def test_high_cardinality_impact_grows_no_tree(spark, monkeypatch):
+    monkeypatch.setattr(G, "_grown", None)
+    df = spark.range(300).select(F.when(F.col("id") % 50 > 0, F.col("id") % 50).alias("wide"), (F.col("id") % 50 == 0).cast("double").alias("y"), F.when(F.col("id") % 100 < 50, "a").otherwise("b").alias("k"), F.when(F.col("id") == 7, 1.0).alias("few"))
+    assert tuple(G.high_cardinality_impact(df, "y", ["wide"]).first()) == (1.0, round(10 / 49, 4))  # only missing cells have another label
+    assert tuple(G.high_cardinality_impact(df, "k", ["wide"]).first()) == (1.0, 0.0)  # each value has as many of each class
+    assert tuple(G.high_cardinality_impact(df, "few", ["wide"]).first()) == (1.0, 0.0)
+
+
 def test_regression_f_with_gaps(spark):
     rows = [(None, 1.0), (1.0, 2.0), (2.0, 2.5), (3.0, 4.5), (5.0, 4.0)]
     df = spark.createDataFrame(rows, "x double, y double")
