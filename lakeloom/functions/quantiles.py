@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import number
@@ -32,9 +33,18 @@ def exact_quantiles(df: DataFrame, columns: list[str], fractions: list[float], a
     def inside(s: tuple[int, int]):
         return (x[s[0]] >= F.lit(low[s])) & (x[s[0]] <= F.lit(high[s]))
 
-    def count(some: list[tuple[int, int]]) -> Row:
-        bound = [e for s in some for e in (F.count_if(x[s[0]] < F.lit(low[s])).alias(f"b{s}"), F.count_if(inside(s)).alias(f"m{s}"), F.approx_count_distinct(F.when(inside(s), x[s[0]]), 0.1).alias(f"d{s}"))]
-        return df.agg(*bound).first()
+    def around(some: list[tuple[int, int]]) -> DataFrame:
+        """The rows that are in one of these brackets, so that costly aggregates see no others."""
+        return df.where(reduce(Column.__or__, [inside(s) for s in some]))
+
+    def count(some: list[tuple[int, int]]) -> dict[str, int]:
+        """Rows below and inside of each bracket and, of one that holds over `left` rows, about how many distinct values."""
+        got = df.agg(*[e for s in some for e in (F.count_if(x[s[0]] < F.lit(low[s])).alias(f"b{s}"), F.count_if(inside(s)).alias(f"m{s}"))]).first().asDict()
+        many = [s for s in some if low[s] < high[s] and got[f"m{s}"] > left]
+        got |= {f"d{s}": got[f"m{s}"] for s in some}
+        if many:
+            got |= around(many).agg(*[F.approx_count_distinct(F.when(inside(s), x[s[0]]), 0.1).alias(f"d{s}") for s in many]).first().asDict()
+        return got
 
     # the first scan: all columns as a whole, whose brackets are shared by the fractions
     cuts = sorted({min(1.0, max(0.0, f + t * margin)) for f in fractions for t in (-1, 1)})
@@ -62,7 +72,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], fractions: list[float], a
         if not wide:
             break
         local = {s: sorted({max(0.0, (math.floor(place[s]) - below[s]) / max(1, many[s] - 1) - margin * (1 + 9 * (s in again))), min(1.0, (math.ceil(place[s]) - below[s]) / max(1, many[s] - 1) + margin * (1 + 9 * (s in again)))}) for s in wide}
-        near = df.agg(*[F.percentile_approx(F.when(inside(s), x[s[0]]), local[s], accuracy).alias(f"c{s}") for s in wide]).first()
+        near = around(wide).agg(*[F.percentile_approx(F.when(inside(s), x[s[0]]), local[s], accuracy).alias(f"c{s}") for s in wide]).first()
         new = {s: (low[s], high[s]) for s in open_spots}
         for s in wide:
             cut = near[f"c{s}"]
@@ -78,7 +88,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], fractions: list[float], a
             else:
                 exact[s] = min(1.0, (place[s] - below[s]) / max(1, many[s] - 1))
     if exact:
-        found = df.agg(*[F.percentile(F.when(inside(s), x[s[0]]), f).alias(f"q{s}") for s, f in exact.items()]).first()
+        found = around(list(exact)).agg(*[F.percentile(F.when(inside(s), x[s[0]]), f).alias(f"q{s}") for s, f in exact.items()]).first()
         for s in exact:
             out[columns[s[0]]][s[1]] = found[f"q{s}"]
     return out

@@ -49,7 +49,7 @@ NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
 def _cells(df: DataFrame, first: int) -> DataFrame:
-    """(column, hash, hash2) of the known cells of a table's columns, numbered from `first`, but nested ones; one pass.
+    """(column, hash, hash2) of the known cells of a table's columns, numbered from `first` as text, but nested ones; one pass.
 
     The first hash tells numbers and dates of up to 8 bytes apart without fail, so only strings and longer numbers need
     the second one.
@@ -59,8 +59,9 @@ def _cells(df: DataFrame, first: int) -> DataFrame:
         if not isinstance(f.dataType, NESTED):
             x = value(df, f.name)
             second = F.xxhash64(x, F.lit("second")) if isinstance(f.dataType, (T.StringType, T.DecimalType)) else F.lit(0).cast("long")
-            cells.append(F.when(x.isNotNull(), F.struct(F.lit(first + i).alias("column"), F.xxhash64(x).alias("hash"), second.alias("hash2"))))
-    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+            cells.append(F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("hash"), second.alias("hash2"))).alias(str(first + i)))
+    wide = df.select(*cells)
+    return wide.unpivot([], wide.columns, "column", "cell").where("cell IS NOT NULL").select("column", "cell.*")
 
 
 def _statistics(df: DataFrame, table: str) -> list[tuple]:
@@ -97,7 +98,7 @@ def profile_lake(tables: dict[str, DataFrame], source: str, dataset: str) -> Dat
     cells = reduce(DataFrame.union, [_cells(df, numbers[t, 0]) for t, df in tables.items() if any(not isinstance(f.dataType, NESTED) for f in df.schema.fields)])
     per_column = cells.distinct().groupBy("column").count()
     with ThreadPoolExecutor(8) as several:  # the tables' jobs run side by side
-        found = several.submit(lambda: {r[0]: r[1] for r in per_column.collect()})  # a row for each column
+        found = several.submit(lambda: {int(r[0]): r[1] for r in per_column.collect()})  # a row for each column
         statistics = [r for own in several.map(lambda item: _statistics(item[1], item[0]), tables.items()) for r in own]
         found = found.result()
     distinct = {k: None if isinstance(tables[k[0]].schema[k[1]].dataType, NESTED) else found.get(n, 0) for k, n in numbers.items()}

@@ -627,6 +627,22 @@ def test_joint_charts_take_each_column_once(spark):
     assert {(r.query_table, r.eda_id, tuple(r.chart_columns)) for r in got.collect()} == {("t", "two", ("a", "b")), ("t", "many", ("a", "b", "c", "d")), ("t", "all", ()), ("u", "all", ())}
 
 
+def test_cells_are_unpivoted_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (None, "b", [2]), (1, "a", None)], "n int, s string, l array<int>")
+    cells = K._cells(df, 5)
+    assert {r[0]: r[1] for r in cells.distinct().groupBy("column").count().collect()} == {"5": 1, "6": 2}
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan and "Generate" not in plan
+
+
+def test_quantiles_estimate_distinct_values_only_where_a_bracket_is_large(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).alias("b"))
+    want = {"a": [749.75, 1499.5], "b": [1.0, 3.0]}
+    assert exact_quantiles(df, ["a", "b"], [0.25, 0.5], left=2) == want
+    monkeypatch.setattr(F, "approx_count_distinct", None)
+    assert exact_quantiles(df, ["a", "b"], [0.25, 0.5]) == want
+
+
 def test_joint_charts_rank_only_what_can_be_used(spark, monkeypatch):
     """Names stand in several rows; three partners and the main column use up three names before the last one is taken, so four do."""
     kept = []
