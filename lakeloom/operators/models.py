@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from operator import and_
+
 import numpy as np
-from pyspark.ml import Pipeline
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
@@ -14,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, name, number, numeric_columns, rounded, value
+from ..functions.ranks import numbered
+from ..sources.shared import cut
 from .correlation import matrix
 
 
@@ -123,17 +132,17 @@ def _label(df: DataFrame, target: str) -> tuple[Column, bool]:
     return code, True
 
 
-def _indicators(df: DataFrame, label: Column, numbers: list[str], categories: list[str]) -> tuple[DataFrame, list[str]]:
-    """`features` and `label` of the rows with a label, and the source column of each feature: the numbers, missing cells as the mean, then for each
-    category column an indicator of each value but the first in order. The vectors are sparse. No
-    row or no feature gives no sources.
+def _indicators(df: DataFrame, label: Column, numbers: list[str], categories: list[str]) -> tuple[DataFrame, PipelineModel | None, list[str]]:
+    """Rows with a label (`label`, numbers n0, n1, .. with missing cells as the mean, categories c0, c1, ..), the model that makes
+    `features` of them, and the source column of each feature: the numbers, then for each category column an indicator of each value
+    but the first in order. The vectors are sparse. No row or no feature gives no model and no sources.
 
     The values of the category columns reach the driver, so callers count them first.
     """
     rows = df.select(label.alias("label"), *[number(df, c).alias(f"n{i}") for i, c in enumerate(numbers)], *[name(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)]).where("label IS NOT NULL")
     means = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.avg(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(len(numbers))], *[F.count(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).first().asDict()
     if not means["rows"]:
-        return rows, []
+        return rows, None, []
     rows = rows.fillna({f"n{i}": means[f"n{i}"] for i in range(len(numbers))}) if numbers else rows
     inputs, sources, stages = [f"n{i}" for i in range(len(numbers))], list(numbers), []
     for i, c in enumerate(categories):
@@ -146,8 +155,8 @@ def _indicators(df: DataFrame, label: Column, numbers: list[str], categories: li
             inputs.append(f"v{i}")
             sources += [c] * len(kept)
     if not inputs:
-        return rows, []
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows).transform(rows).select("features", "label"), sources
+        return rows, None, []
+    return rows, Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(rows), sources
 
 
 def _grown(data: DataFrame, classes: bool, trees: int, depth: int, seed: int) -> np.ndarray:
@@ -156,6 +165,88 @@ def _grown(data: DataFrame, classes: bool, trees: int, depth: int, seed: int) ->
     return model.fit(data).featureImportances.toArray()
 
 
+# A forest over at most so many rows is grown over the rows; see _forest.
+FEW_ROWS = 1_000_000
+# Distinct rows of features times trees that a task of _drawn holds sums of, 16 bytes each: 100,000 for 50 trees.
+MOST_SUMS = 5_000_000
+
+
+def _drawn(rows: DataFrame, cells: DataFrame, n: int, keys: list[str], trees: int, seed: int) -> DataFrame:
+    """The n numbered cells that any tree drew, with `drawn`: for each tree how many of a cell's rows its bootstrap draws, then for each
+    tree the sum of their labels. A tree draws each row a Poisson number of times with mean 1, as the forest of pyspark.ml does: that is
+    a Poisson number of draws with the rows at hand as its mean, each of any of them. One pass over the rows; a task holds the sums of all cells."""
+    known = cells.select("cell", *[F.col(k).alias(f"k_{k}") for k in keys])
+    at = rows.join(F.broadcast(known), reduce(and_, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])).select("cell", "label")
+
+    def table(cell: np.ndarray, sums: np.ndarray) -> pa.Table:
+        return pa.table({"block": cell // 256, "cell": cell, "drawn": pa.ListArray.from_arrays(np.arange(len(cell) + 1, dtype=np.int32) * (2 * trees), np.ascontiguousarray(sums).reshape(-1))})
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums, held, size = np.zeros((2 * trees, n)), [], 0
+
+        def add() -> None:
+            cell, label = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for t in range(trees):
+                of = rng.integers(0, size, rng.poisson(size))
+                sums[t] += np.bincount(cell[of], minlength=n)
+                sums[trees + t] += np.bincount(cell[of], weights=label[of], minlength=n)
+
+        for batch in batches:
+            held.append((batch["cell"].to_numpy(), batch["label"].to_numpy()))
+            size += batch.num_rows
+            if size >= 1 << 18:
+                add()
+                held, size = [], 0
+        if size:
+            add()
+        some = np.flatnonzero(sums[:trees].any(axis=0))
+        for first in range(0, len(some), 4096):
+            part = some[first : first + 4096]
+            yield from table(part, sums[:, part].T).to_batches()
+
+    def whole(block: pa.Table) -> pa.Table:
+        cell, drawn = block["cell"].to_numpy(), block["drawn"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * trees)
+        of, at = np.unique(cell, return_inverse=True)
+        sums = np.zeros((len(of), 2 * trees))
+        np.add.at(sums, at, drawn)
+        return table(of, sums)
+
+    kind = "block long, cell long, drawn array<double>"
+    return cells.join(at.mapInArrow(draw, kind).groupBy("block").applyInArrow(whole, kind).select("cell", "drawn"), "cell")
+
+
+def _forest(rows: DataFrame, model: PipelineModel, classes: bool, trees: int, depth: int, seed: int) -> np.ndarray:
+    """Importances of a forest over the rows.
+
+    The forest of pyspark.ml keeps a number for each row and tree and updates a node of each tree by each row. But rows with the
+    same features (of classes: and label) go the same way in any tree, so a tree needs only how many of them it drew and their mean
+    label: what labels differ by inside such a cell is in no split's gain. If the rows are many and the cells few, each tree's draws are summed
+    by cell in one pass over the rows, and the trees are grown over weighted cells.
+    """
+    keys = [c for c in rows.columns if classes or c != "label"]
+    cells = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")))
+    n, total = cells.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if total <= FEW_ROWS or n * trees > MOST_SUMS:
+        return _grown(model.transform(rows).select("features", "label"), classes, trees, depth, seed)
+    cells = cut(numbered(cells.drop("rows"), keys, "cell"))
+    data = cut(model.transform(_drawn(rows, cells, n, keys, trees, seed)).select("features", "drawn", *["label"] * classes)).coalesce(4).persist()
+    kind, subset = (RandomForestClassifier, "sqrt") if classes else (RandomForestRegressor, "onethird")  # what a forest of many trees takes
+
+    def grow(t: int) -> np.ndarray:
+        weight, label = F.col("drawn")[t], F.col("label") if classes else F.col("drawn")[trees + t] / F.col("drawn")[t]
+        own = data.where(weight > 0).select("features", label.alias("label"), weight.alias("weight"))
+        tree = kind(maxDepth=depth, seed=seed + t, numTrees=1, bootstrap=False, featureSubsetStrategy=subset, weightCol="weight")
+        return tree.fit(own).featureImportances.toArray()
+
+    try:
+        with ThreadPool(4) as pool:
+            found = np.sum(pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(trees)), axis=0)
+    finally:
+        data.unpersist()
+    return found / found.sum() if found.any() else found
+
+
 def _distinct(df: DataFrame, columns: list[str]) -> list[int]:
     return list(df.agg(*[F.count_distinct(name(c)) for c in columns], F.lit(0)).first())[: len(columns)]
 
@@ -171,10 +262,11 @@ def encoded_importances(df: DataFrame, target: str, numbers: list[str], categori
     if (n := sum(_distinct(df, categories))) > MOST_INDICATORS:
         raise ValueError(f"{n} values of {categories} are too many for indicators")
     label, classes = _label(df, target)
-    data, sources = _indicators(df, label, numbers, categories)
+    rows, model, sources = _indicators(df, label, numbers, categories)
+    grown = [] if model is None else _forest(rows, model, classes, trees, depth, seed) if trees > 1 else _grown(model.transform(rows).select("features", "label"), classes, 1, depth, seed)
     found: list[tuple[str, int, float]] = []
     place: dict[str, int] = {}
-    for c, v in zip(sources, _grown(data, classes, trees, depth, seed) if sources else [], strict=True):
+    for c, v in zip(sources, grown, strict=True):
         found.append((c, place.setdefault(c, 0), float(v)))
         place[c] += 1
     return df.sparkSession.createDataFrame(found, "column string, feature int, importance double")

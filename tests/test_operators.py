@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import labels as L
@@ -289,6 +290,32 @@ def test_importances_of_indicators(spark):
     assert G.synergy(texts, "t", ["x"], ["d"]).first()[0] == 0.3  # a text of many values is no target
 
 
+def test_forest_over_cells_of_equal_features(spark, monkeypatch):
+    """A forest over many rows of few distinct features never grows over the rows; its trees draw each row as often as a bootstrap does."""
+    cell = (F.xxhash64("id") % 5 + 4).cast("double")
+    df = spark.range(0, 6000, 1, 3).select(F.when(F.col("id") % 50 > 0, cell).alias("x"), F.when(F.col("id") % 7 > 0, F.substring(F.lit("abc"), (F.col("id") % 3 + 1).cast("int"), F.lit(1))).alias("c"), (cell * cell + F.col("id") % 3 + F.rand(1)).alias("y"))
+    classes = df.withColumn("y", F.when(F.col("y") > 20, "yes").otherwise("no"))
+    plain = [[r.importance for r in G.encoded_importances(t, "y", ["x"], ["c"], 16).collect()] for t in (df, classes)]
+    rows = df.select(F.col("y").alias("label"), F.coalesce("x", F.lit(4.0)).alias("n0"), F.col("c").alias("c0"))
+    counts = rows.groupBy("n0", "c0").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("sum"))
+    cells = counts.withColumn("cell", F.row_number().over(Window.orderBy("n0", "c0")) - 1)
+    found = G._drawn(rows, cells, cells.count(), ["n0", "c0"], 200, 7).collect()
+    assert len(found) == cells.count() and any(r.c0 is None for r in found)
+    for r in found:
+        drawn = np.array(r.drawn[:200])
+        assert abs(drawn.mean() - r.rows) < 5 * (r.rows / 200) ** 0.5 and 0.6 < drawn.var() / r.rows < 1.6
+        assert sum(r.drawn[200:]) / drawn.sum() == pytest.approx(r.sum / r.rows, rel=0.05)
+    with monkeypatch.context() as m:
+        m.setattr(G, "FEW_ROWS", 0)
+        m.setattr(G, "MOST_SUMS", 1)  # too many cells: over the rows, as before
+        assert [r.importance for r in G.encoded_importances(df, "y", ["x"], ["c"], 16).collect()] == plain[0]
+    monkeypatch.setattr(G, "FEW_ROWS", 0)
+    monkeypatch.setattr(G, "_grown", None)
+    for t, want in zip((df, classes), plain, strict=True):
+        got = [r.importance for r in G.encoded_importances(t, "y", ["x"], ["c"], 16).collect()]
+        assert sum(got) == pytest.approx(1) and got == pytest.approx(want, abs=0.3)  # a node tries one of the three features
+
+
 def test_interaction_effects(spark):
     rows = [(float(i // 2), float(i % 2), i + r / 100) for r in range(5) for i in range(4)]  # over ten values, so no classes
     even = spark.createDataFrame(rows, "a double, b double, y double")
