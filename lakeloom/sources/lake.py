@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut
+
 # Folders that may hold a case's tables, first ones first; and cells that profiling reads as missing.
 CASE_FOLDERS = ["case", "rawdata", "raw_data", "data"]
 READ_NA = ["", " ", "?", "-", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/A", "<NA>"]
@@ -98,13 +100,28 @@ def triple_lines(triples: DataFrame) -> DataFrame:
 
 def turtle_blocks(triples: DataFrame, most: int = 1000) -> DataFrame:
     """(block) of the distinct triples (s, p, o, o_type) without nulls: a subject's predicates, each with its objects, as one
-    Turtle block in the order of the signs. A subject of over `most` triples gets several blocks, so no group is unbounded."""
-    rows = triples.select("s", "p", _object().alias("o")).dropna().distinct()
-    sizes = rows.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / most).alias("n"))
-    dealt = rows.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("p", "o"), "n"))
-    lists = dealt.groupBy("s", "part", "p").agg(F.array_join(F.sort_array(F.collect_list("o")), ", ").alias("os"))
-    said = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", _iri("p"), "os"))), " ;\n\t")
-    return lists.groupBy("s", "part").agg(said.alias("said")).select(F.concat(_iri("s"), F.lit(" "), "said", F.lit(" .")).alias("block"))
+    Turtle block in the order of the signs. A subject of over `most` triples gets several blocks, so no group is unbounded.
+
+    Subjects of at most `most` rows, repeats included, need no count of their distinct triples: these meet in the set of a subject, in
+    one exchange. Rows are counted by the subjects' hashes, which take little room; only subjects of a hash with more rows are counted and dealt.
+    """
+    many = cut(triples.dropna(subset=["s", "p", "o"]).groupBy(F.xxhash64("s").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("h"))
+    rows = triples.select("s", "p", _object().alias("o")).dropna()
+    if many.isEmpty():
+        return _blocks(rows, "s")
+    hashed = rows.withColumn("h", F.xxhash64("s"))
+    distinct = hashed.join(many, "h", "left_semi").drop("h").distinct()
+    sizes = distinct.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / most).alias("n"))
+    dealt = distinct.join(sizes, "s").withColumn("part", F.pmod(F.xxhash64("p", "o"), "n"))
+    return _blocks(hashed.join(many, "h", "left_anti"), "s").union(_blocks(dealt, "s", "part"))
+
+
+def _blocks(rows: DataFrame, *keys: str) -> DataFrame:
+    """(block) of each group of rows (s, p, o): one set of a group's pairs, whose objects are then listed by predicate."""
+    pairs = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("p", "o"))).alias("pairs"))
+    objects = lambda p: F.array_join(F.transform(F.filter("pairs", lambda x: x.p == p), lambda x: x.o), ", ")
+    said = F.transform(F.array_distinct("pairs.p"), lambda p: F.concat(F.lit("<"), p, F.lit("> "), objects(p)))
+    return pairs.select(F.concat(_iri("s"), F.lit(" "), F.array_join(F.sort_array(said), " ;\n\t"), F.lit(" .")).alias("block"))
 
 
 def pipeline_triples(pipelines: DataFrame, calls: DataFrame) -> DataFrame:

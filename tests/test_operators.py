@@ -515,6 +515,21 @@ def test_turtle_blocks(spark):
     assert S.turtle_blocks(triples.limit(0)).count() == 0
 
 
+def test_turtle_blocks_of_small_subjects_meet_once(spark):
+    """Triples of small subjects are neither counted when distinct nor joined; large subjects are split by their distinct triples beside them."""
+    small = spark.createDataFrame([("a", "q", "1", "iri"), ("a", "p", "y", "iri"), ("a", "p z", "x", "iri"), ("a", "p", "x", "iri"), ("b", "p", "x", "iri")], "s string, p string, o string, o_type string")
+    got = S.turtle_blocks(small, most=4)
+    assert {r.block for r in got.collect()} == {"<a> <p z> <x> ;\n\t<p> <x>, <y> ;\n\t<q> <1> .", "<b> <p> <x> ."}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    repeated = small.union(small)  # 8 rows of <a>, but 4 distinct ones: one block
+    many = spark.range(100).select(F.lit("c"), F.concat(F.lit("p"), F.col("id") % 3), F.col("id").cast("string"), F.lit("iri"))
+    blocks = sorted(r.block for r in S.turtle_blocks(repeated.union(many), most=4).collect())
+    assert blocks[:2] == sorted(r.block for r in got.collect()) and len(blocks) > 12
+    said = sorted((p.split("> ")[0][1:], o) for b in blocks[2:] for p in b[len("<c> ") : -2].split(" ;\n\t") for o in p.split("> ", 1)[1].split(", "))
+    assert said == sorted((f"p{i % 3}", f"<{i}>") for i in range(100))
+
+
 def test_unit_root_statistic(spark):
     """The regression over lags in runs equals plain least squares."""
     x = np.cumsum(np.random.default_rng(5).normal(size=400)) * 0.3 + np.random.default_rng(6).normal(size=400)
