@@ -34,13 +34,17 @@ def pair_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, cnt, rank): the average rank of each distinct value. Counts are summed before a range sort of the distinct
     values, which is written once; what each partition holds is added up apart, so no task sorts all values."""
-    counts = df.select(number(df, column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
+    return _ranked(df.select(number(df, column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """(value, cnt, rank) of distinct values with their counts."""
     parts = cut(counts.orderBy("value").withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
     before, total = [], 0
     for part, n in sorted(tuple(r) for r in parts.groupBy("_part").agg(F.sum("cnt")).collect()):  # a row for each partition
         before.append((part, total))
         total += n
-    base = df.sparkSession.createDataFrame(before, "_part int, _base long")
+    base = counts.sparkSession.createDataFrame(before, "_part int, _base long")
     inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     local = parts.withColumn("before", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
     return local.join(F.broadcast(base), "_part").select("value", "cnt", (F.col("_base") + F.col("before") + (F.col("cnt") + 1) / 2).alias("rank"))
@@ -111,8 +115,28 @@ def kendall_pair(df: DataFrame, x: str, y: str, blocks: int = 1000, least: int =
     of either order are counted inside it, and those in different blocks of both by the histogram of blocks, of at most blocks x blocks
     cells. A task holds one block, or the histogram.
     """
-    both = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
-    counts = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    return _kendall(_pair_counts(df, x, y), blocks, least).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "tau")
+
+
+def _pair_counts(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y, w): how often each pair of known values is met."""
+    return df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _spearman(counts: DataFrame) -> DataFrame:
+    """(rho) of counted pairs; null where one is constant. Ranks are taken from their mean, which is known, so that no large sums cancel."""
+    mean = counts.agg(((F.sum("w") + 1) / 2).alias("mean"))
+    out = counts
+    for c in ("x", "y"):
+        ranks = cut(_ranked(counts.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("cnt"))).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")))
+        out = out.join(F.broadcast(ranks) if ranks.count() <= BROADCAST_RANKS else ranks, c)
+    a, b = (F.col(f"r{c}") - F.col("mean") for c in ("x", "y"))
+    sums = out.crossJoin(F.broadcast(mean)).agg(*[F.sum(F.col("w") * u * v).alias(n) for n, u, v in (("ab", a, b), ("aa", a, a), ("bb", b, b))])  # one row of the mean
+    return sums.select(F.try_divide("ab", F.nullif(F.sqrt("aa") * F.sqrt("bb"), F.lit(0.0))).alias("rho"))
+
+
+def _kendall(counts: DataFrame, blocks: int = 1000, least: int = 1 << 16) -> DataFrame:
+    """(tau) of counted pairs, as kendall_pair says."""
     by_x = numbered(counts, ["x", "y"], "i")
     placed = cut(numbered(by_x, ["y", "x"], "j").select("x", "y", "w", "i", "j"))
     size = max(least, -(-placed.count() // blocks))
@@ -139,7 +163,7 @@ def kendall_pair(df: DataFrame, x: str, y: str, blocks: int = 1000, least: int =
     wide = reduce(DataFrame.crossJoin, [tied, *ties, discordant])  # of one row each
     n0 = F.col("n") * (F.col("n") - 1) / 2
     tau = (n0 - F.col("t_x") - F.col("t_y") + F.col("t_xy") - 2 * F.col("d")) / F.nullif(F.sqrt(n0 - F.col("t_x")) * F.sqrt(n0 - F.col("t_y")), F.lit(0.0))
-    return wide.select(F.lit(x).alias("x"), F.lit(y).alias("y"), tau.alias("tau"))
+    return wide.select(tau.alias("tau"))
 
 
 def correlation_strength(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -188,18 +212,25 @@ def interaction_potential(df: DataFrame, columns: list[str] | None = None) -> Da
 def correlation_select(df: DataFrame, target: str, threshold: float = 0.5, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
     """(column, r) of numeric columns with |r| to the target over the threshold, strongest first. method: pearson,
     spearman or kendall (tau-b), each over the rows where both are known."""
+    return correlation_selects(df, target, threshold, columns, [method]).orderBy(F.abs("r").desc(), "column").select("column", "r")
+
+
+def correlation_selects(df: DataFrame, target: str, threshold: float = 0.5, columns: list[str] | None = None, methods: list[str] | None = None) -> DataFrame:
+    """(method, column, r) as of correlation_select, by each of the methods, all three if not given. The pairs of a column and the target are
+    counted once for all methods by ranks, and ranked and joined as distinct pairs, not as rows."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
-    empty = df.sparkSession.createDataFrame([], "column string, r double")
-    if method == "spearman":
-        table = spearman_pairs(df, [(c, target) for c in columns]).select(F.col("x").alias("column"), F.col("rho").alias("r"))
-    elif method == "kendall":
-        table = reduce(DataFrame.union, [kendall_pair(df, c, target).select(F.col("x").alias("column"), F.col("tau").alias("r")) for c in columns], empty)
-    elif method == "pearson":
-        wide = df.agg(F.lit(0), *[correlation(number(df, c), number(df, target)).alias(f"r{i}") for i, c in enumerate(columns)])
-        table = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)]))) if columns else empty
-    else:
-        raise ValueError(f"method must be pearson, spearman or kendall, not {method}")
-    return table.where(F.abs("r") > threshold).orderBy(F.abs("r").desc(), "column")
+    methods = methods or ["pearson", "spearman", "kendall"]
+    for m in methods:
+        if m not in ("pearson", "spearman", "kendall"):
+            raise ValueError(f"method must be pearson, spearman or kendall, not {m}")
+    tables = [df.sparkSession.createDataFrame([], "method string, column string, r double")]
+    if "pearson" in methods and columns:
+        wide = df.agg(*[correlation(number(df, c), number(df, target)).alias(f"r{i}") for i, c in enumerate(columns)])
+        tables.append(wide.select(F.inline(F.array(*[F.struct(F.lit("pearson").alias("method"), F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(columns)]))))
+    for c in columns if set(methods) & {"spearman", "kendall"} else []:
+        counts = cut(_pair_counts(df, c, target))
+        tables += [f(counts).toDF("r").select(F.lit(m).alias("method"), F.lit(c).alias("column"), "r") for m, f in (("spearman", _spearman), ("kendall", _kendall)) if m in methods]
+    return reduce(DataFrame.union, tables).where(F.abs("r") > threshold)
 
 
 def matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:

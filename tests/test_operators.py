@@ -559,6 +559,16 @@ def test_kendall_equals_all_pairs(spark, a, b):
         assert got == (None if plain_tau(pairs) is None else pytest.approx(plain_tau(pairs), abs=1e-12))
 
 
+def test_correlation_selects_ranks_counted_pairs(spark, monkeypatch):
+    """All methods at once give what each gives by rows; rank methods join distinct pairs, no rows."""
+    df = spark.range(0, 3000, 1, 3).select((F.xxhash64("id") % 40).cast("double").alias("x"), F.when(F.col("id") % 9 > 0, F.xxhash64("id") % 40 + F.col("id") % 50).alias("y"), F.lit(1.0).alias("one"), (F.col("id") % 7).alias("t"))
+    want = {("spearman", c): M.spearman_pair(df, c, "t").first().rho for c in ("x", "y", "one")} | {("kendall", c): M.kendall_pair(df, c, "t").first().tau for c in ("x", "y", "one")}
+    assert want.pop(("spearman", "one")) is None and want.pop(("kendall", "one")) is None
+    monkeypatch.setattr(M, "with_ranks", None)
+    got = {(r.method, r.column): r.r for r in M.correlation_selects(df, "t", 0.0).collect()}
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-12) and len(got) == 6
+
+
 def test_ranks_are_those_of_one_sort(spark):
     df = spark.range(5000).select((F.xxhash64("id") % 700).cast("double").alias("x"), (F.xxhash64("id", F.lit(1)) % 9).cast("double").alias("y"), F.when(F.col("id") % 5 > 0, F.col("id") % 83).alias("z"))
     rows = [(r.x, r.y) for r in df.collect()]
