@@ -840,3 +840,13 @@ def test_column_matches_take_norms_from_columns(spark):
 
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     assert columns.where(~cosine(F.col("label"), F.col("label"), norm("label"), norm("label")).eqNullSafe(cosine(F.col("label"), F.col("label")))).count() == 0
+
+
+def test_tables_of_every_case_are_matched(spark):
+    """No case is left out as the one that asks: its tables meet those of all other cases of its label."""
+    from lakeloom.plans import queries as Q
+
+    path = "/root/testdata/sf0.001"
+    heads = [(r.vec_id // 16, r.label) for r in spark.read.parquet(f"{path}/embeddings.parquet").where("vec_id % 16 = 0").collect()]
+    met = {(r.case_id, r.candidate_id) for r in Q.QUERIES["v5_table_matches"](spark, path).select("case_id", "candidate_id").distinct().collect()}
+    assert met == {(a, b) for a, p in heads for b, q in heads if a != b and p == q}
